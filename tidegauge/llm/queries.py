@@ -4,17 +4,26 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tidegauge.llm import bpe
+from tidegauge.llm import bpe, lines, token_files
 from tidegauge.llm.common import table
 
 
+def op1_token_files(spark, sf_dir):
+    parts = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read(parts)
+
+
+def op4_line_dedup(spark, sf_dir):
+    return lines.digests(table(spark, sf_dir, "documents"), min_docs=10)
+
+
 def op10_byte_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def queries() -> dict:
-    return {"op10_byte_bpe": op10_byte_bpe}
+    return {"op1_token_files": op1_token_files, "op4_line_dedup": op4_line_dedup, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": lines.ORACLE_SQL}
