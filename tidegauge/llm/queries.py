@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tidegauge.llm import bpe, lines, token_files
+from tidegauge.llm import bpe, decontaminate, lines, token_files
 from tidegauge.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_token_files(spark, sf_dir):
     return token_files.read(parts)
 
 
+def op3_decontaminate(spark, sf_dir):
+    return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_line_dedup(spark, sf_dir):
     return lines.digests(table(spark, sf_dir, "documents"), min_docs=10)
 
@@ -22,7 +26,7 @@ def op10_byte_bpe(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"op1_token_files": op1_token_files, "op4_line_dedup": op4_line_dedup, "op10_byte_bpe": op10_byte_bpe}
+    return {"op1_token_files": op1_token_files, "op3_decontaminate": op3_decontaminate, "op4_line_dedup": op4_line_dedup, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
