@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tidegauge.llm import bpe, decontaminate, lines, secret_scan, token_files
+from tidegauge.llm import bpe, decontaminate, language_model, lines, secret_scan, token_files
 from tidegauge.llm.common import table
 
 
@@ -25,12 +25,17 @@ def op6_secret_scan(spark, sf_dir):
     return secret_scan.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return language_model.score(documents, language_model.train(documents))
+
+
 def op10_byte_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def queries() -> dict:
-    return {"op1_token_files": op1_token_files, "op3_decontaminate": op3_decontaminate, "op4_line_dedup": op4_line_dedup, "op6_secret_scan": op6_secret_scan, "op10_byte_bpe": op10_byte_bpe}
+    return {"op1_token_files": op1_token_files, "op3_decontaminate": op3_decontaminate, "op4_line_dedup": op4_line_dedup, "op6_secret_scan": op6_secret_scan, "op7_lm_scoring": op7_lm_scoring, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
