@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tidegauge.llm import bpe, decontaminate, language_model, lines, secret_scan, token_files
+from tidegauge.llm import bpe, decontaminate, language_model, lines, ngram_join, secret_scan, token_files
 from tidegauge.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_token_files(spark, sf_dir):
     return token_files.read(parts)
 
 
+def op2_ngram_join(spark, sf_dir):
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark, sf_dir):
     return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -35,7 +39,7 @@ def op10_byte_bpe(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"op1_token_files": op1_token_files, "op3_decontaminate": op3_decontaminate, "op4_line_dedup": op4_line_dedup, "op6_secret_scan": op6_secret_scan, "op7_lm_scoring": op7_lm_scoring, "op10_byte_bpe": op10_byte_bpe}
+    return {"op1_token_files": op1_token_files, "op2_ngram_join": op2_ngram_join, "op3_decontaminate": op3_decontaminate, "op4_line_dedup": op4_line_dedup, "op6_secret_scan": op6_secret_scan, "op7_lm_scoring": op7_lm_scoring, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
