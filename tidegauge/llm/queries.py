@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tidegauge.llm import bpe, decontaminate, language_model, lines, ngram_join, secret_scan, token_files
+from tidegauge.llm import bpe, decontaminate, embedding_dedup, language_model, lines, ngram_join, secret_scan, sharding, token_files
 from tidegauge.llm.common import table
 
 
@@ -34,13 +34,21 @@ def op7_lm_scoring(spark, sf_dir):
     return language_model.score(documents, language_model.train(documents))
 
 
+def op8_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op9_sharding(spark, sf_dir):
+    return sharding.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def queries() -> dict:
-    return {"op1_token_files": op1_token_files, "op2_ngram_join": op2_ngram_join, "op3_decontaminate": op3_decontaminate, "op4_line_dedup": op4_line_dedup, "op6_secret_scan": op6_secret_scan, "op7_lm_scoring": op7_lm_scoring, "op10_byte_bpe": op10_byte_bpe}
+    return {"op1_token_files": op1_token_files, "op2_ngram_join": op2_ngram_join, "op3_decontaminate": op3_decontaminate, "op4_line_dedup": op4_line_dedup, "op6_secret_scan": op6_secret_scan, "op7_lm_scoring": op7_lm_scoring, "op8_embedding_dedup": op8_embedding_dedup, "op9_sharding": op9_sharding, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": lines.ORACLE_SQL}
+    return {"op4_line_dedup": lines.ORACLE_SQL, "op9_sharding": sharding.ORACLE_SQL}
