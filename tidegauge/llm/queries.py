@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tidegauge.llm import bpe, decontaminate, embedding_dedup, language_model, lines, ngram_join, secret_scan, sharding, token_files
+from tidegauge.llm import bpe, decontaminate, embedding_dedup, language_model, lines, ngram_join, quality, secret_scan, sharding, token_files
 from tidegauge.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op4_line_dedup(spark, sf_dir):
     return lines.digests(table(spark, sf_dir, "documents"), min_docs=10)
 
 
+def op5_quality_classifier(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_secret_scan(spark, sf_dir):
     return secret_scan.digests(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_byte_bpe(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"op1_token_files": op1_token_files, "op2_ngram_join": op2_ngram_join, "op3_decontaminate": op3_decontaminate, "op4_line_dedup": op4_line_dedup, "op6_secret_scan": op6_secret_scan, "op7_lm_scoring": op7_lm_scoring, "op8_embedding_dedup": op8_embedding_dedup, "op9_sharding": op9_sharding, "op10_byte_bpe": op10_byte_bpe}
+    return {"op1_token_files": op1_token_files, "op2_ngram_join": op2_ngram_join, "op3_decontaminate": op3_decontaminate, "op4_line_dedup": op4_line_dedup, "op5_quality_classifier": op5_quality_classifier, "op6_secret_scan": op6_secret_scan, "op7_lm_scoring": op7_lm_scoring, "op8_embedding_dedup": op8_embedding_dedup, "op9_sharding": op9_sharding, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
