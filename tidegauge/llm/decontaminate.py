@@ -59,7 +59,8 @@ def suffix_array(ranks: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(depth):
         key <<= width
-        key[: n - k] += ranks[k:]
+        if k < n:
+            key[: n - k] += ranks[k:]
     order = _order(key, depth * width)
     sorted_key = key[order]
     new = np.empty(n, bool)

@@ -146,8 +146,12 @@ def _prefixes(df: DataFrame, levels: np.ndarray) -> DataFrame:
 
 
 def _can_link(n, at, m, at2) -> np.ndarray:
-    """Length and positional filters for a common shingle at places ``at`` and ``at2`` of sets of n and m."""
-    most = np.minimum(at, at2) + 1 + np.minimum(n - at, m - at2) - 1
+    """Length and positional filters for a common shingle at places ``at`` and ``at2`` of sets of n and m.
+
+    The shingle is taken for the first that they share: no earlier one is common, and at most the rest of the shorter
+    tail is. A pair that links passes at its first common shingle, and need not at others.
+    """
+    most = np.minimum(n - at, m - at2)
     return (np.minimum(n, m) >= least_overlap(np.maximum(n, m))) & links(np.minimum(most, np.minimum(n, m)), n, m)
 
 
