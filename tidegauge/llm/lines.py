@@ -76,6 +76,8 @@ def build_filter(df: DataFrame, blocks: int) -> DataFrame:
             for text in strings(batch["text"]):
                 found.append(_hash(list({k for k in map(key_of, _lines(text)) if k})))
         hashes, times = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, int))
+        if not len(hashes):
+            return
         block, bits = _probes(hashes, blocks)
         order = np.argsort(block, kind="stable")
         edges = np.flatnonzero(np.diff(block[order], prepend=-1))
