@@ -82,3 +82,9 @@ def test_word_encoder_random_text(seed):
     cases = ["".join(rng.choice(" \n\tabE'sSéñ́中1.,!?\U0001f600\x85ΣİK") for _ in range(rng.randint(0, 40))) for _ in range(200)]
     for text, ids in zip(cases, own.encode(cases), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_word_encoder_takes_the_tokenizers_own_marks_as_the_library_does():
+    own, library = token_files.encoder(WORD), Tokenizer.from_file(WORD)
+    cases = ["plain words", "end<|endoftext|> more", "", "x <|startoftext|>.y", "plain words again."]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(cases)] == [library.encode(x, add_special_tokens=False).ids for x in cases]

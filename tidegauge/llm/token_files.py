@@ -5,6 +5,7 @@ allows, else 32) and one file of 64-bit offsets, both written whole or not at al
 nothing half written. A part's place in the whole is a prefix sum over the parts' totals. Readers map the files.
 
 Texts are given to the tokenizers library; what it answers for a blank-separated word is remembered.
+The tokenizer's own marks (its added tokens) in a text become their ids, as the library does by default.
 
 Edge cases: a null or empty text has only the end id; rows with equal ids keep one order (by text); null ids come
 first; an empty table gives no files and no rows. Other columns are not read, so they cannot clash.
@@ -45,6 +46,7 @@ class WordEncoder:
         if suffix:
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.joins = bool(suffix)
+        self.marks = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
 
     def _ask(self, words: list[bytes]) -> dict[bytes, bytes]:
@@ -68,7 +70,12 @@ class WordEncoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+        """Little-endian unsigned 32-bit ids of each text; texts with the tokenizer's own marks go to the library whole."""
+        marked = [k for k, x in enumerate(texts) if any(m in x for m in self.marks)]
+        if marked:
+            whole = {k: np.array(self.library.encode(texts[k], add_special_tokens=False).ids, "<u4").tobytes() for k in marked}
+            rest = iter(self.encode([x for k, x in enumerate(texts) if k not in whole]))
+            return [whole[k] if k in whole else next(rest) for k in range(len(texts))]
         split = [x.encode().lower().replace(b"\n", b" ").split(b" ") for x in texts]
         known = self.known
         fresh = {w for words in split for w in words if w not in known}
