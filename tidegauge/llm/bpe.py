@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-from tidegauge.llm.common import batch_of, slices, strings
+from tidegauge.llm.common import batch_of, slices, small_batches, strings
 
 #: Pieces: blanks and line feeds, then what follows up to the next of them.
 PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space beside these two would let a match span two pieces.
 OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f]")
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 def byte_table() -> list[str]:
@@ -109,11 +109,14 @@ def coder(ranks_path: str, pattern: str) -> Coder:
     return Coder(ranks_path, pattern)
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
-    """id, ``ids`` (binary: little-endian unsigned 32-bit) and, on request, ``starts`` and ``ends`` (code points)."""
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False, decoded: bool = False) -> DataFrame:
+    """id, ``ids`` (binary: little-endian unsigned 32-bit) and, on request, ``starts`` and ``ends`` (code points) and
+    ``decoded`` (binary), what the ids decode to: a round trip in the worker that has the coder already."""
+    small_batches(df.sparkSession)
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     spans = [("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))] if offsets else []
+    spans += [("decoded", pa.binary())] if decoded else []
 
     def run(batches):
         own = coder(ranks_path, pattern)
@@ -122,14 +125,15 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
             ids = [own.encode(x) for x in texts]
             schema = pa.schema([("id", batch["id"].type), ("ids", pa.binary()), *spans])
             pairs = [own.offsets(x, y) for x, y in zip(texts, ids, strict=True)] if offsets else []
-            yield batch_of(schema, batch["id"], ids, *([[p[k] for p in pairs] for k in (0, 1)] if offsets else []))
+            yield batch_of(schema, batch["id"], ids, *([[p[k] for p in pairs] for k in (0, 1)] if offsets else []), *([list(map(own.decode, ids))] if decoded else []))
 
-    out = source.mapInArrow(run, f"id {kind}, ids binary" + ", starts array<bigint>, ends array<bigint>" * offsets)
+    out = source.mapInArrow(run, f"id {kind}, ids binary" + ", starts array<bigint>, ends array<bigint>" * offsets + ", decoded binary" * decoded)
     return out.withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """All columns of ``df`` but ``decoded``, and ``decoded`` (binary) made from ``ids_col``."""
+    small_batches(df.sparkSession)
     source = df.drop("decoded")
 
     def run(batches):
@@ -142,6 +146,6 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids") -
 
 
 def digests(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, through ``encode`` and ``decode``."""
-    coded = decode(encode(df, ranks_path, pattern), ranks_path, pattern)
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text: ids and what they decode to."""
+    coded = encode(df, ranks_path, pattern, decoded=True)
     return coded.select("doc_id", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

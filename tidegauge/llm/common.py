@@ -14,6 +14,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_ROWS = 2_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,6 +36,13 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker and its executor hold at once: ``BATCH_ROWS`` rows an Arrow batch, where the session
+    has not chosen a number itself. Results are lazy, so the setting stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at replicated files."""
     path = shared_dir(df.sparkSession, label)
@@ -74,7 +84,7 @@ def map_file(uri: str, dtype) -> np.ndarray:
 class WordHashes(dict):
     """Word (bytes) -> signed 64-bit hash, remembered up to ``most`` words so that memory stays bounded."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 250_000):
         super().__init__()
         self.most = most
 

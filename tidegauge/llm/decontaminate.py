@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.common import batch_of, slices, strings
+from tidegauge.llm.common import batch_of, slices, small_batches, strings
 
 WINDOW = 10
 SHARD_BITS = 20
@@ -295,6 +295,7 @@ def _searched(batches, passes):
 def scan(df: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted as strings), spans (array of start, end in code points)."""
     spark = df.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast([Phrases(x, window) for x in _benchmark(benchmark)])
     source = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.list_(pa.int64())))])
@@ -309,6 +310,7 @@ def scan(df: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame
 
 def clean(df: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``df`` with removal spans cut out of ``text``; all columns and rows stay."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast([Phrases(x, window) for x in _benchmark(benchmark)])
 
     def run(batches):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import WordHashes, batch_of, map_file, mix, shared_dir, slices, strings, write_file
+from tidegauge.llm.common import WordHashes, batch_of, map_file, mix, shared_dir, slices, small_batches, strings, write_file
 
 END, START = b"\n", b" "  # neither can be a word
 FLUSH = 8 << 20
@@ -144,6 +144,7 @@ def _off(count: np.ndarray, discounts) -> np.ndarray:
 def train(df: DataFrame, folder: str | None = None) -> Model:
     """Count the training rows of ``df`` (doc_id, text) and write the model to the shared folder."""
     spark = df.sparkSession
+    small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     model = Model(folder or shared_dir(spark, "kneser-ney"), max(0, (n - 1).bit_length()), n)
     source = df.select("doc_id", F.col("text").cast("string").alias("text"))

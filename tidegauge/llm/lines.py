@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.common import batch_of, cut, slices, strings
+from tidegauge.llm.common import batch_of, cut, slices, small_batches, strings
 
 SPACE = b" \t\n\x0b\x0c\r"
 BLOCK_BITS = 1 << 15
@@ -167,6 +167,7 @@ def suspects(df: DataFrame, filters: DataFrame, blocks: int, most_bytes: int = M
 
 def repeated(df: DataFrame, min_docs: int, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(key, n_docs, first_doc, first_line): lines found in at least ``min_docs`` documents, counted exactly."""
+    small_batches(df.sparkSession)
     n = df.select(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
     blocks = max(1, -(-n * BITS_A_LINE // BLOCK_BITS))
     filters = cut(build_filter(df, blocks), "line-filter")

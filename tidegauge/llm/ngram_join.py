@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import WordHashes, batch_of, cut, mix, slices, strings
+from tidegauge.llm.common import WordHashes, batch_of, cut, mix, slices, small_batches, strings
 from tidegauge.llm.components import components
 
 WORDS = 5
@@ -288,6 +288,7 @@ def _across(shared: DataFrame, labels: DataFrame, cells: DataFrame, done: DataFr
 
 def classes(df: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id reachable by links."""
+    small_batches(df.sparkSession)
     texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     characters = texts.select(F.sum(F.length("text"))).first()[0] or 0
     n_cells = CHUNK

@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidegauge.llm.common import batch_of, cut, map_file, shared_dir, slices, strings, write_file
+from tidegauge.llm.common import batch_of, cut, map_file, shared_dir, slices, small_batches, strings, write_file
 
 #: A word's letters and the ASCII marks after them are encoded apart: the tokenizer always splits there.
 STEM = re.compile(rb"(.*[a-z])([!#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+)", re.DOTALL)
-REMEMBERED = 700_000
+REMEMBERED = 300_000
 JOINED = 256
 
 
@@ -101,6 +101,7 @@ def write(df: DataFrame, tokenizer_path: str, end_id: int, folder: str | None =
     their total, ``docs-N.bin`` the document ids.
     """
     spark = df.sparkSession
+    small_batches(spark)
     folder = folder or shared_dir(spark, "tokens")
     bits = 16 if max(Tokenizer.from_file(tokenizer_path).get_vocab().values()) < 1 << 16 and end_id < 1 << 16 else 32
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
