@@ -118,7 +118,7 @@ def _frequencies(profile: DataFrame, n_cells: int) -> np.ndarray:
 
     chunks = profile.where("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk").mapInArrow(merge, "chunk int, level binary")
     out = np.zeros(n_cells, np.uint8)
-    for row in chunks.toLocalIterator():
+    for row in chunks.collect():  # a row a chunk, MOST_CELLS bytes in all; one job, where an iterator takes one a partition
         out[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["level"], np.uint8)
     return out
 
