@@ -112,3 +112,17 @@ def test_embedding_dedup(spark, monkeypatch):
     assert np.mean([found[k][1] == c for k, c in component.items()]) >= 0.9
     assert all(found[k] == (0, k, True) for k, v, y in rows if k not in fit)
     assert embedding_dedup.dedup(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_a_short_document_alone_in_its_slice(n):
+    text = " ".join("abcd"[:n])
+    alone = ngram_join.shingle_sets([text], ngram_join.WordHashes())
+    beside = ngram_join.shingle_sets(["e f g h i j", text], ngram_join.WordHashes())
+    assert [x.tolist() for x in alone] == [x.tolist() for x in beside[1:]] and len(alone[0]) == 1
+
+
+def test_short_documents_alone_in_their_partitions(spark):
+    texts = {0: "a b", 1: "a b c", 2: "a b", 3: "a b c"}
+    rows = spark.sparkContext.parallelize(list(texts.items()), 4)  # one row a partition
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(texts)

@@ -52,7 +52,8 @@ def shingle_sets(texts: list[str], hashes: WordHashes, words: int = WORDS) -> li
     flat = hashes.of([w for x in split for w in x])
     grams = np.zeros(len(flat), np.uint64)
     for k in range(words):
-        grams[: len(flat) - k] = grams[: len(flat) - k] * PRIME + flat[k:]
+        whole = max(0, len(flat) - k)  # a slice may hold fewer words than a shingle
+        grams[:whole] = grams[:whole] * PRIME + flat[k : k + whole]
     grams = mix(grams)
     out, at = [], 0
     for n in sizes.tolist():
