@@ -126,3 +126,20 @@ def test_short_documents_alone_in_their_partitions(spark):
     texts = {0: "a b", 1: "a b c", 2: "a b", 3: "a b c"}
     rows = spark.sparkContext.parallelize(list(texts.items()), 4)  # one row a partition
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(texts)
+
+
+@pytest.mark.parametrize("spread", [0.033, 0.3])
+def test_embedding_dedup_misses_no_link(spark, monkeypatch, spread):
+    """Labels as one dense cluster and as several, larger than any window; units are small."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((1 if spread > 0.1 else 12, 24))
+    x = centres[rng.integers(0, len(centres), 1500)] + rng.standard_normal((1500, 24)) * spread
+    x[700:1000] = x[:300] + rng.standard_normal((300, 24)) * 0.15
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    hit = np.triu(unit @ unit.T >= 0.98, 1)
+    pairs = np.argwhere(hit).tolist()
+    component, count = roots(range(1500), pairs), hit.sum(0) + hit.sum(1)
+    frame = spark.createDataFrame([(k, v.tolist(), "dense") for k, v in enumerate(x)], "vec_id long, embedding array<double>, label string").repartition(3)
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.dedup(frame).collect()}
+    assert len(pairs) > 100 and found == {k: (count[k], component[k]) for k in range(1500)}

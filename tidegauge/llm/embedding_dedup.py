@@ -1,12 +1,13 @@
-"""Near-duplicate embeddings by sorted projection passes.
+"""Near-duplicate embeddings: all links of a label, by blocks of vectors around pivots.
 
-Every pass hashes the vectors with its own random hyperplanes, orders the vectors of a label lexicographically by the
-concatenated hash bits, and compares each with the ``window`` vectors before it by cosine in double precision. Pairs
-found link; classes are the union over all passes. A window bounds partners, so what it leaves out is made up exactly:
-within each class all vectors are compared with each other, block by block, to count their links.
+A label of more than ``BLOCK`` vectors takes some of them as pivots, ``PIVOTS`` about at most, and deals each vector to
+the pivot at the least angle; large groups are salted into units of about ``BLOCK`` vectors. Two units are compared,
+each vector with each by cosine in double precision, unless the angle between their pivots is more than their radii
+and the angle of the threshold together: the triangle inequality then rules out a link. So no link is left out, and
+links are counted exactly. A pair of units gives one link a vector for the classes, not all.
 
-Equal vectors of a label are compared once and counted as often as they occur. A pass cuts its order into ranges, and
-a pair that a cut parts is left to the other passes. The figures for recall against brute force are in README.md.
+Work grows with the square of a label's vectors where pivots rule nothing out. Equal vectors of a label are compared
+once and counted as often as they occur.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components, and vectors with a null label, link
 with nothing; vectors of different lengths do not link; repeated rows are copies; rows that share an id are one node
@@ -24,8 +25,9 @@ from tidegauge.llm.common import batch_of, cut
 from tidegauge.llm.components import components
 
 THRESHOLD = 0.98
-PASSES, BITS, WINDOW = 12, 48, 24
-BLOCK = 512
+BLOCK = 2048
+PIVOTS = 64
+SLACK = 1e-6  # for rounding in angles
 
 
 def _unit(rows: list[bytes]) -> np.ndarray:
@@ -50,106 +52,116 @@ def _vectors(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> Dat
     return source.mapInArrow(run, "id long, label string, vec binary")
 
 
-def _hashed(reps: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
-    """(pass, label, size, key, id, vec): a row for each vector and pass."""
-    schema = pa.schema([("pass", pa.int32()), ("label", pa.string()), ("size", pa.int32()), ("key", pa.int64()), ("id", pa.int64()), ("vec", pa.binary())])
-
-    def run(batches):
-        planes: dict[int, np.ndarray] = {}
+def _grouped(reps: DataFrame, threshold: float) -> DataFrame:
+    """``reps`` with unit, its own, and others: the units of its label and size that may hold a link of it."""
+    spark, key = reps.sparkSession, ["label", "size"]
+    sizes = reps.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
+    step = F.greatest(F.lit(BLOCK), F.ceil(F.col("n") / PIVOTS))
+    chosen = reps.join(sizes, key).where(F.pmod(F.xxhash64("id", F.lit(7)), step) == 0).orderBy(*key, "id").select(*key, "vec")
+    found: dict = {}
+    for row in chosen.collect():  # a vector of BLOCK
+        found.setdefault((row["label"], row["size"]), []).append(bytes(row["vec"]))
+    pivots = {k: _unit(v) for k, v in found.items()}
+    shared = spark.sparkContext.broadcast(pivots)
+    schema = pa.schema([("id", pa.int64()), ("label", pa.string()), ("size", pa.int32()), ("times", pa.int64()), ("vec", pa.binary()), ("group", pa.int32()), ("angle", pa.float64())])
+
+    def nearest(batches):
         for batch in batches:
             rows = batch["vec"].to_pylist()
-            sizes = np.array([len(x) // 8 for x in rows])
-            for d in np.unique(sizes).tolist():
-                own = np.flatnonzero(sizes == d)
-                if d not in planes:
-                    planes[d] = np.random.default_rng([seed, d]).standard_normal((d, passes * bits))
-                x = _unit([rows[k] for k in own])
-                signs = (x @ planes[d] > 0).reshape(len(own), passes, bits)
-                keys = signs @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
-                part = batch.take(pa.array(own))
-                for p in range(passes):
-                    yield batch_of(schema, np.full(len(own), p), part["label"], np.full(len(own), d), keys[:, p], part["id"], part["vec"])
-
-    return reps.select("id", "label", "vec").mapInArrow(run, "pass int, label string, size int, key long, id long, vec binary")
-
-
-def _found(hashed: DataFrame, window: int, threshold: float) -> DataFrame:
-    """(a, b): pairs within the windows whose cosine reaches the threshold."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches):
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-            skip = 0 if held is None else held.num_rows
-            vec, ids = table["vec"].to_pylist(), table["id"].to_numpy()
-            group = list(zip(table["pass"].to_pylist(), table["label"].to_pylist(), table["size"].to_pylist(), strict=True))
-            edges = [0, *[k for k in range(1, len(group)) if group[k] != group[k - 1]], len(group)]
-            found = []
-            for a, b in zip(edges, edges[1:], strict=False):
-                x, own = _unit(vec[a:b]), ids[a:b]
-                for k in range(1, min(window, b - a - 1) + 1):
-                    lo = max(0, skip - a - k)  # pairs of two held rows are done
-                    if lo >= len(own) - k:
-                        continue
-                    hit = np.flatnonzero((x[lo + k :] * x[lo : len(own) - k]).sum(1) >= threshold) + lo
-                    if len(hit):
-                        found.append(np.stack([own[hit], own[hit + k]], 1))
-            if found:
-                pairs = np.sort(np.concatenate(found), axis=1)
-                yield batch_of(schema, pairs[:, 0], pairs[:, 1])
-            held = table.slice(max(edges[-2], len(group) - window)).to_batches()[0] if len(group) else None
-
-    dealt = hashed.repartitionByRange("pass", "label", "size", "key").sortWithinPartitions("pass", "label", "size", "key", "id")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def _counted(members: DataFrame, threshold: float) -> DataFrame:
-    """(id, links): for members (component, id, times, vec), the rows of other members each links with."""
-    sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "times", "vec")
-    schema = pa.schema([("id", pa.int64()), ("links", pa.int64())])
-
-    def count(rows):
+            group, angle = np.zeros(len(rows), np.int32), np.full(len(rows), np.pi)
+            own: dict = {}
+            for k, of in enumerate(zip(batch["label"].to_pylist(), batch["size"].to_pylist(), strict=True)):
+                if of in shared.value:
+                    own.setdefault(of, []).append(k)
+            for of, at in own.items():
+                cosine = _unit([rows[k] for k in at]) @ shared.value[of].T
+                group[at] = cosine.argmax(1)
+                angle[at] = np.arccos(np.clip(cosine.max(1), -1, 1))
+            yield batch_of(schema, *[batch[c] for c in ("id", "label", "size", "times", "vec")], group, angle)
+
+    placed = reps.select("id", "label", "size", "times", "vec").mapInArrow(nearest, "id long, label string, size int, times long, vec binary, group int, angle double")
+    placed = cut(placed, "groups")
+    groups = placed.join(sizes, key).groupBy(*key, "group").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).orderBy(*key, "group")
+    of_label: dict = {}
+    for row in groups.collect():  # a row a pivot, or a label of more than BLOCK vectors
+        of_label.setdefault((row["label"], row["size"]), []).append(row)
+    told, reach = [], float(np.arccos(np.clip(threshold, -1, 1))) + SLACK
+    for of, rows in of_label.items():
+        blocks = np.array([-(-r["n"] // BLOCK) for r in rows])
+        base, radius = np.cumsum(blocks) - blocks, np.array([r["radius"] for r in rows])
+        x = pivots[of][[r["group"] for r in rows]] if of in pivots else None
+        apart = np.zeros((1, 1)) if x is None else np.arccos(np.clip(x @ x.T, -1, 1))
+        near = apart <= radius[:, None] + radius + reach  # else the triangle inequality rules all pairs out
+        np.fill_diagonal(near, True)
+        for k, r in enumerate(rows):
+            others = [u for h in np.flatnonzero(near[k]) for u in range(int(base[h]), int(base[h] + blocks[h]))]
+            told.append((*of, r["group"], int(base[k]), int(blocks[k]), others))
+    units = spark.createDataFrame(told, "label string, size int, group int, base int, blocks int, others array<int>")
+    unit = F.col("base") + F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    return placed.join(F.broadcast(units), [*key, "group"], "left").select("id", *key, "times", "vec", F.coalesce(unit, F.lit(0)).alias("unit"), F.coalesce("others", F.array(F.lit(0))).alias("others"))
+
+
+def _firsts(hit: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix of links, the first row of its class."""
+    first = np.arange(len(hit))
+    new = hit.any(1)
+    for k in range(len(hit)):
+        if new[k]:
+            new[k], edge = False, np.array([k])
+            while len(edge):
+                edge = np.flatnonzero(hit[edge].any(0) & new)
+                first[edge], new[edge] = k, False
+    return first
+
+
+def _linked(rows: DataFrame, threshold: float) -> DataFrame:
+    """(id, links, first): for each two units, rows that a vector links with, and a vector of its class among them."""
+    spread = rows.withColumn("other", F.explode("others")).select("label", "size", F.least("unit", "other").alias("i"), F.greatest("unit", "other").alias("j"), "unit", "id", "times", "vec")
+    schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("first", pa.int64())])
+    key = ["label", "size", "i", "j"]
+
+    def linked(rows):
+        unit, ids, times = (rows[c].to_numpy() for c in ("unit", "id", "times"))
+        i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
         x = _unit(rows["vec"].to_pylist())
-        block, ids, times = (rows[c].to_numpy() for c in ("block", "id", "times"))
-        if rows["i"][0].as_py() == rows["j"][0].as_py():
+        if i == j:
             hit = x @ x.T >= threshold
             np.fill_diagonal(hit, False)
-            return ids, hit @ times
-        one, two = block == rows["i"][0].as_py(), block != rows["i"][0].as_py()
-        hit = x[one] @ x[two].T >= threshold
-        return np.concatenate([ids[one], ids[two]]), np.concatenate([hit @ times[two], hit.T @ times[one]])
+        else:  # links within a unit are its own pair's
+            one, two = np.flatnonzero(unit == i), np.flatnonzero(unit == j)
+            hit = np.zeros((len(ids), len(ids)), bool)
+            hit[np.ix_(one, two)] = x[one] @ x[two].T >= threshold
+            hit |= hit.T
+        own = np.flatnonzero(hit.any(1))
+        return ids[own], [int(times[h].sum()) for h in hit[own]], ids[_firsts(hit)[own]]
 
     def run(batches):
-        held = None
+        held = []
         for batch in batches:
-            table = pa.Table.from_batches([batch] if held is None else [*held, batch]).combine_chunks()
+            table = pa.Table.from_batches([*held, batch]).combine_chunks()
             if not table.num_rows:
                 continue
-            key = [table[c].to_numpy() for c in ("component", "i", "j")]
-            edges = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1).tolist()]
-            done = [count(table.slice(a, b - a)) for a, b in zip(edges, edges[1:], strict=False)]
-            if done:
-                yield batch_of(schema, np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done]))
+            label, *rest = table["label"].to_pylist(), *(table[c].to_numpy() for c in key[1:])
+            change = np.any([k[1:] != k[:-1] for k in (np.array(label, object), *rest)], axis=0)
+            edges = [0, *(np.flatnonzero(change) + 1).tolist()]
+            for a, b in zip(edges, edges[1:], strict=False):
+                yield batch_of(schema, *linked(table.slice(a, b - a)))
             held = table.slice(edges[-1]).to_batches()
         if held:
-            yield batch_of(schema, *count(pa.Table.from_batches(held).combine_chunks()))
+            yield batch_of(schema, *linked(pa.Table.from_batches(held).combine_chunks()))
 
-    dealt = spread.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    return dealt.mapInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    return spread.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "id long, links long, first long")
 
 
-def dedup(df: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, bits: int = BITS, window: int = WINDOW, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def dedup(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept: one row a vector."""
     vectors = cut(_vectors(df, id_col, vector_col, label_col), "vectors")
     fit = vectors.where("vec IS NOT NULL AND id IS NOT NULL")
     copies = cut(fit.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("times")), "distinct-vectors")
-    reps = copies.select(F.col("rep").alias("id"), "label", "vec", "times")
-    labels = components(_found(_hashed(reps, passes, bits, seed), window, threshold))
-    members = reps.join(labels, "id").select("component", "id", "times", "vec")
-    counted = _counted(members, threshold)
+    reps = copies.select(F.col("rep").alias("id"), "label", F.expr("cast(length(vec) div 8 as int)").alias("size"), "vec", "times")
+    linked = cut(_linked(_grouped(reps, threshold), threshold), "links")
+    labels = components(linked.where("id <> first").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct())
+    counted = linked.groupBy("id").agg(F.sum("links").alias("links"))
     told = copies.join(labels.withColumnRenamed("id", "rep"), "rep", "left").join(counted.withColumnRenamed("id", "rep"), "rep", "left")
     own = told.select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     rows = vectors.join(own, ["label", "vec"], "left")
