@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -80,11 +81,25 @@ def test_word_encoder_random_text(seed):
     rng = random.Random(seed)
     own, library = token_files.encoder(WORD), Tokenizer.from_file(WORD)
     cases = ["".join(rng.choice(" \n\tabE'sSéñ́中1.,!?\U0001f600\x85ΣİK") for _ in range(rng.randint(0, 40))) for _ in range(200)]
-    for text, ids in zip(cases, own.encode(cases), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    for text, ids in zip(cases, encoded(own, cases), strict=True):
+        assert ids == library.encode(text, add_special_tokens=False).ids
+
+
+def encoded(own, texts):
+    ids, counts = own.encode(pa.array(texts, pa.string()))
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+
+def test_word_encoder_forgets_and_asks_again(monkeypatch):
+    monkeypatch.setattr(token_files, "REMEMBERED", 3)
+    own, library = token_files.WordEncoder(WORD), Tokenizer.from_file(WORD)
+    for _ in range(3):
+        for text in ("alpha beta, gamma", "beta delta alpha.", "epsilon zeta eta beta,", "theta, iota kappa"):
+            assert encoded(own, [text, None, text]) == [library.encode(x, add_special_tokens=False).ids for x in (text, "", text)]
+    assert len(own.old) < 20
 
 
 def test_word_encoder_takes_the_tokenizers_own_marks_as_the_library_does():
     own, library = token_files.encoder(WORD), Tokenizer.from_file(WORD)
     cases = ["plain words", "end<|endoftext|> more", "", "x <|startoftext|>.y", "plain words again."]
-    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(cases)] == [library.encode(x, add_special_tokens=False).ids for x in cases]
+    assert encoded(own, cases) == [library.encode(x, add_special_tokens=False).ids for x in cases]
