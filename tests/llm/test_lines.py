@@ -32,10 +32,28 @@ def test_large_filter_path_is_the_same(documents, keep_first):
     assert small == large
 
 
+def test_only_suspects_are_shuffled(spark):
+    """Of 4,000 lines, 3 occur twice: the filter leaves hardly any others."""
+    rows = [(k, "\n".join(f"line {k} {n}" for n in range(100)) + ("\nagain a\nagain b\nagain c" if k in (3, 30) else "")) for k in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    keys = [bytes(r["key"]) for r in lines.found(frame).collect()]
+    assert sorted(k for k in keys if k.startswith(b"again")) == [b"again a"] * 2 + [b"again b"] * 2 + [b"again c"] * 2 and len(keys) < 400
+    for most in (lines.MOST_BYTES, 0):
+        assert lines.dedup(frame, 2, most_bytes=most).agg({"n_dropped": "sum"}).first()[0] == 6
+
+
+def test_columns_with_the_names_of_intermediates(spark):
+    rows = spark.createDataFrame([(1, "x\ny", 1, [2], "a", "b"), (2, "x\nz", 1, [2], "a", "b"), (None, None, 0, None, "", "")], "doc_id long, text string, __id int, __keys array<int>, row string, lost string")
+    for most in (lines.MOST_BYTES, 0):
+        out = lines.dedup(rows, 2, most_bytes=most)
+        assert sorted(r["kept_text"] for r in out.collect()) == ["", "y", "z"] and out.columns[:6] == rows.columns
+
+
 def test_first_occurrence_stays(spark):
     rows = spark.createDataFrame([(2, "x\na"), (1, "b\nX "), (3, " x\nx")], "doc_id long, text string")
-    got = {r["doc_id"]: r["kept_text"] for r in lines.dedup(rows, 2, keep_first=True).collect()}
-    assert got == {1: "b\nX ", 2: "a", 3: ""}
+    for most in (lines.MOST_BYTES, 0):
+        got = {r["doc_id"]: r["kept_text"] for r in lines.dedup(rows, 2, keep_first=True, most_bytes=most).collect()}
+        assert got == {1: "b\nX ", 2: "a", 3: ""}
 
 
 def test_columns_pass_through_and_empty(documents, empty):
@@ -46,4 +64,4 @@ def test_columns_pass_through_and_empty(documents, empty):
 
 def test_rows_sharing_an_id_count_once(spark):
     rows = spark.createDataFrame([(1, "x"), (1, "x"), (None, "x"), (None, "x")], "doc_id long, text string")
-    assert lines.repeated(rows, 3).count() == 0 and lines.repeated(rows, 2).first()["n_docs"] == 2
+    assert lines.repeated(lines.found(rows), 3).count() == 0 and lines.repeated(lines.found(rows), 2).first()["n_docs"] == 2

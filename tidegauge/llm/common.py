@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(1)
+def _local_dir(application: str) -> str:
+    return f"file://{tempfile.mkdtemp(prefix='shared-')}"
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder name below spark.checkpoint.dir, which driver and executors share.
 
@@ -30,9 +36,7 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_dir(spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -47,7 +51,15 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at replicated files."""
     path = shared_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_folder = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete what ``cut`` wrote for these frames; nothing may read them afterwards."""
+    for frame in frames:
+        remove(frame.sparkSession, frame.cut_folder)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -3,8 +3,9 @@
 Every task fills both filters from the distinct lines of its documents. Filters of tasks merge block by block:
 once = or, again = or of the parts' agains and of every pair of onces, so a line that two tasks hold is in "again".
 Only lines whose hash "again" holds are shuffled, where their documents are counted exactly by the line itself and
-the first occurrence is found. A filter grows with the number of lines. It is broadcast up to ``MOST_BYTES``; beyond,
-line hashes are joined with the filter's blocks instead, and likewise for the lines to drop.
+the first occurrence is found. The second filter grows with the number of lines; it lies in the shared folder, in files
+of a bounded number of blocks, which tasks map whatever its size. Lines to drop are sent to every task while they take
+``MOST_BYTES`` at most; beyond, they meet the suspects of their documents, which then join the documents.
 
 Edge cases: a null or empty text is one empty line; the empty key never counts; equal documents with other ids count
 each; rows that share an id count as one document of it; rows with a null id count as one document. Extra columns pass
@@ -20,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.common import batch_of, cut, slices, small_batches, strings
+from tidegauge.llm.common import batch_of, cut, drop, map_file, remove, shared_dir, slices, small_batches, strings, write_file
 
 SPACE = b" \t\n\x0b\x0c\r"
 BLOCK_BITS = 1 << 15
+BLOCK_BYTES = BLOCK_BITS // 8
 BITS_A_LINE, PROBES = 12, 4
+FILE_BLOCKS = 4096
 MOST_BYTES = 64 << 20
 
 
@@ -66,8 +69,8 @@ def _lines(text: str) -> list[bytes]:
     return text.encode().split(b"\n")
 
 
-def build_filter(df: DataFrame, blocks: int) -> DataFrame:
-    """(block, again): the merged second filter. ``df`` has ``text``."""
+def build_filter(df: DataFrame, blocks: int, folder: str) -> None:
+    """Write the merged second filter of ``df`` (text) to ``folder``, FILE_BLOCKS blocks a file."""
     schema = pa.schema([("block", pa.int64()), ("once", pa.binary()), ("again", pa.binary())])
 
     def fill(batches):
@@ -92,89 +95,88 @@ def build_filter(df: DataFrame, blocks: int) -> DataFrame:
         if rows:
             yield batch_of(schema, *(list(x) for x in zip(*rows, strict=True)))
 
-    merged = pa.schema([("block", pa.int64()), ("again", pa.binary())])
+    written = pa.schema([("file", pa.int32())])
 
     def merge(batches):
-        at, once, again = None, None, None
+        file, at, table = None, None, None
         for batch in batches:
-            out = []
             for key, x, y in zip(*(batch[c].to_pylist() for c in ("block", "once", "again")), strict=True):
+                if key // FILE_BLOCKS != file:
+                    if file is not None:
+                        write_file(_file(folder, file), [table])
+                        yield batch_of(written, [file])
+                    file, table = key // FILE_BLOCKS, np.zeros((min(FILE_BLOCKS, blocks - key // FILE_BLOCKS * FILE_BLOCKS), BLOCK_BYTES), np.uint8)
                 if key != at:
-                    out += [] if at is None else [(at, again.tobytes())]
-                    at, once, again = key, np.zeros(BLOCK_BITS // 8, np.uint8), np.zeros(BLOCK_BITS // 8, np.uint8)
-                bits = _unpack(x)
+                    at, once = key, np.zeros(BLOCK_BYTES, np.uint8)
+                again, bits = table[key % FILE_BLOCKS], _unpack(x)
                 again |= (once & bits) | _unpack(y)
                 once |= bits
-            if out:
-                yield batch_of(merged, *(list(x) for x in zip(*out, strict=True)))
-        if at is not None:
-            yield batch_of(merged, [at], [again.tobytes()])
+        if file is not None:
+            write_file(_file(folder, file), [table])
+            yield batch_of(written, [file])
 
-    parts = df.select("text").mapInArrow(fill, "block long, once binary, again binary")
-    return parts.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block long, again binary")
+    parts = df.select("text").mapInArrow(fill, "block long, once binary, again binary").withColumn("file", F.expr(f"cast(block div {FILE_BLOCKS} as int)"))
+    parts.repartition("file").sortWithinPartitions("block").mapInArrow(merge, "file int").count()
 
 
-def suspects(df: DataFrame, filters: DataFrame, blocks: int, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """(key, doc_id, first_line): a row for each document and distinct line that the second filter holds."""
-    spark = df.sparkSession
-    schema = pa.schema([("key", pa.binary()), ("doc_id", pa.int64()), ("first_line", pa.int64())])
-    small = blocks * (BLOCK_BITS // 8) <= most_bytes
-    source = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    def rows(batch, holds):
-        keys, docs, at = [], [], []
-        for doc, text in zip(batch["doc_id"].to_pylist(), strings(batch["text"]), strict=True):
-            own: dict[bytes, int] = {}
-            for n, k in enumerate(map(key_of, _lines(text))):
-                if k:
-                    own.setdefault(k, n)
-            keys += own
-            docs += [doc] * len(own)
-            at += own.values()
-        keep = np.flatnonzero(holds(keys)).tolist()
-        return [keys[k] for k in keep], [docs[k] for k in keep], [at[k] for k in keep]
-
-    if small:
-        table = np.zeros((blocks, BLOCK_BITS // 8), np.uint8)
-        for row in filters.toLocalIterator():  # at most most_bytes in all
-            table[row["block"]] = np.frombuffer(row["again"], np.uint8)
-        shared = spark.sparkContext.broadcast(table)
-
-        def probe(batches):
-            again = shared.value
-
-            def holds(keys):
-                block, bits = _probes(_hash(keys), blocks)
-                return ((again[block[:, None], bits >> 3] >> (7 - (bits & 7)).astype(np.uint8)) & 1).all(1)
+def _file(folder: str, file: int) -> str:
+    return f"{folder}/again-{file:06d}.bin"
 
-            for batch in slices(batches, "text"):
-                yield batch_of(schema, *rows(batch, holds))
 
-        return source.mapInArrow(probe, "key binary, doc_id long, first_line long")
+def _held(hashes: np.ndarray, blocks: int, folder: str) -> np.ndarray:
+    """Which line hashes the second filter holds; its files are mapped while they are read."""
+    block, bits = _probes(hashes, blocks)
+    out, file = np.zeros(len(hashes), bool), block // FILE_BLOCKS
+    order = np.argsort(file, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(file[order])) + 1):
+        if len(own):
+            try:
+                again = map_file(_file(folder, int(file[own[0]])), np.uint8).reshape(-1, BLOCK_BYTES)
+            except FileNotFoundError:  # no line fell there
+                continue
+            at = bits[own]
+            out[own] = ((again[(block[own] % FILE_BLOCKS)[:, None], at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1)
+    return out
 
-    every = pa.schema([*schema, ("block", pa.int64()), ("bits", pa.list_(pa.int32()))])
 
-    def spread(batches):
-        for batch in slices(batches, "text"):
-            keys, docs, at = rows(batch, lambda x: np.ones(len(x), bool))
-            block, bits = _probes(_hash(keys), blocks)
-            yield batch_of(every, keys, docs, at, block, bits.tolist())
+def suspects(df: DataFrame, blocks: int, folder: str) -> DataFrame:
+    """(key, doc_id, first_line): a row for each document and distinct line that the second filter holds."""
+    schema = pa.schema([("key", pa.binary()), ("doc_id", pa.int64()), ("first_line", pa.int64())])
 
-    lines = source.mapInArrow(spread, "key binary, doc_id long, first_line long, block long, bits array<int>")
-    held = F.expr("forall(bits, b -> (shiftright(cast(conv(hex(substring(again, cast(b div 8 as int) + 1, 1)), 16, 10) as int), 7 - b % 8) & 1) = 1)")
-    return lines.join(filters, "block").where(held).select("key", "doc_id", "first_line")
+    def probe(batches):
+        for batch in slices(batches, "text"):
+            keys, docs, at = [], [], []
+            for doc, text in zip(batch["doc_id"].to_pylist(), strings(batch["text"]), strict=True):
+                own: dict[bytes, int] = {}
+                for n, k in enumerate(map(key_of, _lines(text))):
+                    if k:
+                        own.setdefault(k, n)
+                keys += own
+                docs += [doc] * len(own)
+                at += own.values()
+            keep = np.flatnonzero(_held(_hash(keys), blocks, folder)).tolist()
+            yield batch_of(schema, [keys[k] for k in keep], [docs[k] for k in keep], [at[k] for k in keep])
+
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(probe, "key binary, doc_id long, first_line long")
+
+
+def found(df: DataFrame) -> DataFrame:
+    """(key, doc_id, first_line) of all suspected repeats, written to the shared folder; the filter goes."""
+    spark = df.sparkSession
+    small_batches(spark)
+    n = df.select(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
+    blocks, folder = max(1, -(-n * BITS_A_LINE // BLOCK_BITS)), shared_dir(spark, "line-filter")
+    build_filter(df, blocks, folder)
+    # a document's own copy of a line counts once, also where rows share an id
+    out = cut(suspects(df, blocks, folder).groupBy("key", "doc_id").agg(F.min("first_line").alias("first_line")), "suspects")
+    remove(spark, folder)
+    return out
 
 
-def repeated(df: DataFrame, min_docs: int, most_bytes: int = MOST_BYTES) -> DataFrame:
+def repeated(suspected: DataFrame, min_docs: int) -> DataFrame:
     """(key, n_docs, first_doc, first_line): lines found in at least ``min_docs`` documents, counted exactly."""
-    small_batches(df.sparkSession)
-    n = df.select(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
-    blocks = max(1, -(-n * BITS_A_LINE // BLOCK_BITS))
-    filters = cut(build_filter(df, blocks), "line-filter")
-    # a document's own copy of a line counts once, also where rows share an id
-    found = suspects(df, filters, blocks, most_bytes)
-    once = found.groupBy("key", "doc_id").agg(F.min("first_line").alias("first_line"))
-    return once.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc_id", "first_line")).alias("first")).where(F.col("n_docs") >= min_docs).select("key", "n_docs", F.col("first.doc_id").alias("first_doc"), F.col("first.first_line").alias("first_line"))
+    rows = suspected.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc_id", "first_line")).alias("first")).where(F.col("n_docs") >= min_docs)
+    return rows.select("key", "n_docs", F.col("first.doc_id").alias("first_doc"), F.col("first.first_line").alias("first_line"))
 
 
 def dedup(df: DataFrame, min_docs: int = 10, keep_first: bool = False, most_bytes: int = MOST_BYTES) -> DataFrame:
@@ -184,8 +186,9 @@ def dedup(df: DataFrame, min_docs: int = 10, keep_first: bool = False, most_byte
     """
     spark = df.sparkSession
     source = df.drop("n_lines", "n_dropped", "kept_text")
-    drop = cut(repeated(source, min_docs, most_bytes), "repeated-lines")
-    size = drop.select(F.sum(F.length("key") + 64)).first()[0] or 0
+    suspected = found(source)
+    hot = cut(repeated(suspected, min_docs), "repeated-lines")
+    size = hot.select(F.sum(F.length("key") + 64)).first()[0] or 0
     fields = [*source.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())]
 
     def finish(batch, texts, gone):
@@ -195,8 +198,9 @@ def dedup(df: DataFrame, min_docs: int = 10, keep_first: bool = False, most_byte
         return pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "n_lines", "n_dropped", "kept_text"])
 
     if size <= most_bytes:
-        keys = {bytes(r["key"]): (r["first_doc"], r["first_line"]) for r in drop.toLocalIterator()}  # at most most_bytes in all
+        keys = {bytes(r["key"]): (r["first_doc"], r["first_line"]) for r in hot.toLocalIterator()}  # at most most_bytes in all
         shared = spark.sparkContext.broadcast(keys)
+        drop(suspected, hot)
 
         def run(batches):
             known = shared.value
@@ -211,28 +215,26 @@ def dedup(df: DataFrame, min_docs: int = 10, keep_first: bool = False, most_byte
 
         return source.mapInArrow(run, T.StructType(fields))
 
-    # more lines to drop than may be broadcast: they reach each document through a join on the line
-    schema = pa.schema([("key", pa.binary()), ("doc_id", pa.int64()), ("line", pa.int64())])
+    # more lines to drop than may be sent: each document's own come with it, from its suspects
+    lost = suspected.join(hot.select("key", "first_doc", F.col("first_line").alias("kept_line")), "key")
+    kept = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("first_line") == F.col("kept_line"))
+    lost = lost.groupBy("doc_id").agg(F.collect_list(F.struct("key", F.when(kept, F.col("kept_line")).alias("stays"))).alias("lost"))
+    rows = source.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    names = source.columns
+    joined = rows.join(lost, rows["id"].eqNullSafe(lost["doc_id"]), "left").select("row", "lost")
 
-    def spread(batches):
-        for batch in slices(batches, "text"):
-            rows = [(k, d, n) for d, x in zip(batch["doc_id"].to_pylist(), strings(batch["text"]), strict=True) for n, k in enumerate(map(key_of, _lines(x))) if k]
-            yield batch_of(schema, *(list(x) for x in zip(*rows, strict=True))) if rows else batch_of(schema, [], [], [])
+    def run_joined(batches):
+        for batch in batches:
+            whole = pa.RecordBatch.from_arrays([*batch["row"].flatten(), batch["lost"]], names=[*names, "lost of this row"])
+            for part in slices([whole], "text"):
+                own = [{x["key"]: x["stays"] for x in lost or ()} for lost in part["lost of this row"].to_pylist()]
+                plain = part.select(names)
 
-    lines = source.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(spread, "key binary, doc_id long, line long")
-    hit = lines.join(drop, "key")
-    if keep_first:
-        hit = hit.where(~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("line") == F.col("first_line"))))
-    # by document: the keys that it loses; a kept first occurrence is told by its line
-    lost = hit.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__lines"), F.collect_set("key").alias("__keys"))
-    joined = source.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
+                def gone(k, n, line):
+                    key = key_of(line)
+                    return key in own[k] and not (keep_first and own[k][key] == n)  # noqa: B023
 
-    def run_joined(batches):
-        for batch in slices(batches, "text"):
-            sets = [set(x or ()) for x in batch["__keys"].to_pylist()]
-            at = [set(x or ()) for x in batch["__lines"].to_pylist()]
-            plain = batch.select([x for x in batch.schema.names if x not in ("__lines", "__keys")])
-            yield finish(plain, strings(batch["text"]), lambda k, n, line: n in at[k] if keep_first else key_of(line) in sets[k])  # noqa: B023
+                yield finish(plain, strings(plain["text"]), gone)
 
     return joined.mapInArrow(run_joined, T.StructType(fields))
 
