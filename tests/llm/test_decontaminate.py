@@ -30,12 +30,12 @@ def test_suffix_array_and_index(seed):
 def items():
     rng = random.Random(5)
     own = [" ".join(f"w{rng.randrange(9)}" for _ in range(n)) for n in (25, 12, 10, 4, 1)]
-    return [(9, own[0]), (10, own[1]), (2, own[2]), (33, own[3]), (4, "Zeta-99"), (5, ""), (6, None), (7, own[1])]
+    return [(9, own[0]), (10, own[1]), (2, own[2]), (33, own[3]), (4, "Zeta-99"), (5, ""), (6, None), (7, own[1]), (None, "only here it stands")]
 
 
 def tables(spark, items):
     rng = random.Random(6)
-    texts = {0: None, 1: "", 2: items[0][1].upper(), 3: "x " + items[3][1] + " . " + items[1][1] + "! tail", 4: "zeta 99 zeta", 5: items[0][1][:40] + " cut " + items[0][1][-60:]}
+    texts = {0: None, 1: "", 2: items[0][1].upper(), 3: "x " + items[3][1] + " . " + items[1][1] + "! tail", 4: "zeta 99 zeta only HERE it stands.", 5: items[0][1][:40] + " cut " + items[0][1][-60:]}
     texts |= {k: " ".join(f"w{rng.randrange(9)}" for _ in range(rng.randint(1, 300))) for k in range(10, 30)}
     documents = spark.createDataFrame([(k, t, "z", 1) for k, t in texts.items()], "doc_id long, text string, spans string, n_hit int").repartition(2)
     return texts, documents, spark.createDataFrame(items, "item_id long, text string")
@@ -61,6 +61,9 @@ def test_several_passes(spark, items, monkeypatch):
     texts, documents, benchmark = tables(spark, items)
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items_sha256"]) for r in D.digests(documents, benchmark).collect()}
     assert got == {k: D.brute_force(t, items) for k, t in texts.items()}
+    clash = documents.withColumnsRenamed({"spans": "row", "n_hit": "hits"})
+    whole, parts = D.clean(clash, benchmark).collect(), monkeypatch.setattr(D, "MOST_PHRASE_BYTES", 1 << 20) or D.clean(clash, benchmark).collect()
+    assert sorted(map(str, whole)) == sorted(map(str, parts)) and len(whole) == len(texts)
 
 
 def test_clean_cuts_spans(spark, items):

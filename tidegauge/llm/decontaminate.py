@@ -6,25 +6,30 @@ whose ranks drive a backward search of every test phrase at once. Rows of the fo
 suffix positions, which gives the places; phrase spans merge to hit words and removal spans.
 
 A phrase is a window of ``WINDOW`` consecutive item words; an item of fewer words, but not none, is one phrase.
-Only the phrases (the benchmark) reach every worker; above ``MOST_PHRASE_BYTES`` they go in several passes.
+Only the phrases (the benchmark) reach every worker. A benchmark of more than ``MOST_PHRASE_BYTES`` is dealt by a hash
+into passes of about so many bytes. Each pass is read, sent and searched by itself, and its hits are written to the
+shared folder beside the documents before the next one begins; the last pass merges all hits.
 
 Edge cases: null texts have no words; rows with equal ids are searched each on its own; a document longer than a shard
-is cut into overlapping segments; items without words or with a null id match nothing; an empty benchmark leaves every
-document clean. Extra columns pass through in ``clean``; ``spans`` holds code points of the original text.
+is cut into overlapping segments; items without words match nothing; words of items with a null id are hit, but such an
+item has no id to list; an empty benchmark leaves every document clean. Extra columns pass through in ``clean``; ``spans`` holds code points of the original text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+from collections.abc import Iterable
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.common import batch_of, slices, small_batches, strings
+from tidegauge.llm.common import batch_of, cut, drop, slices, small_batches, strings
 
 WINDOW = 10
 SHARD_BITS = 20
@@ -181,13 +186,13 @@ class FMIndex:
 class Phrases:
     """Test phrases of a benchmark: padded word numbers, and the items that each phrase belongs to."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+    def __init__(self, items: Iterable[tuple[str, str]], window: int = WINDOW):
         numbers: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[str]] = {}
         for item, text in items:
             own = [numbers.setdefault(w, len(numbers) + 2) for w in words_of(text or "")]
-            for k in range(max(1, len(own) - window + 1) if own and item is not None else 0):
-                found.setdefault(tuple(own[k : k + window]), set()).add(str(item))
+            for k in range(max(1, len(own) - window + 1) if own else 0):
+                found.setdefault(tuple(own[k : k + window]), set()).update([] if item is None else [str(item)])
         self.numbers, self.window = numbers, window
         self.items = [sorted(x) for x in found.values()]
         self.lengths = np.array([len(x) for x in found], np.int64)
@@ -253,18 +258,6 @@ class Phrases:
         return mask, np.unique(np.concatenate(seen))
 
 
-def _benchmark(benchmark: DataFrame) -> list[list[tuple[str, str]]]:
-    """The benchmark in passes of at most MOST_PHRASE_BYTES of text each."""
-    passes, size = [[]], 0
-    for row in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        size += len(row["text"] or "") + 64
-        if size > MOST_PHRASE_BYTES and passes[-1]:
-            passes.append([])
-            size = len(row["text"] or "") + 64
-        passes[-1].append((row["item_id"], row["text"]))
-    return passes
-
-
 def _spans(text: str, mask: np.ndarray) -> list[tuple[int, int]]:
     """Code-point spans of runs of hit words, from the first word's start to the last one's end."""
     raw = text.encode()
@@ -277,27 +270,52 @@ def _spans(text: str, mask: np.ndarray) -> list[tuple[int, int]]:
     return [(int(char[starts[a]]), int(char[ends[b] - 1]) + 1) for a, b in zip(first, last, strict=True)]
 
 
-def _searched(batches, passes):
-    """(batch, texts, words, masks, item sets) of every slice, all passes merged."""
+def _searched(batches, phrases: Phrases):
+    """(batch, texts, masks, item sets) of every slice, with the hits of earlier passes."""
     for batch in slices(batches, "text"):
         texts = strings(batch["text"])
         words = [words_of(x) for x in texts]
-        masks = [np.zeros(len(w), bool) for w in words]
-        items: list[set[str]] = [set() for _ in words]
-        for phrases in passes:
-            for k, (mask, which) in enumerate(phrases.in_documents(words)):
-                masks[k] |= mask
-                for w in which.tolist():
-                    items[k].update(phrases.items[w])
+        masks, items = [], []
+        for k, (mask, which) in enumerate(phrases.in_documents(words)):
+            for a, b in itertools.batched(batch["hits"][k].as_py(), 2):
+                mask[a:b] = True
+            masks.append(mask)
+            items.append({x for w in which.tolist() for x in phrases.items[w]}.union(batch["items"][k].as_py()))
         yield batch, texts, masks, items
 
 
-def scan(df: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted as strings), spans (array of start, end in code points)."""
+def _last_pass(df: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, Broadcast]:
+    """(row: all columns of ``df``, text, hits: first and last-plus-one places of hit words in turn, items) after all
+    passes but the last, and the last pass's phrases."""
     spark = df.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast([Phrases(x, window) for x in _benchmark(benchmark)])
-    source = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = benchmark.select(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
+    n = max(1, -(-size // MOST_PHRASE_BYTES))
+    dealt = benchmark.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).alias("pass"))
+    state = df.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"), F.array().cast("array<bigint>").alias("hits"), F.array().cast("array<string>").alias("items"))
+    for k in range(n):
+        own = dealt.where(F.col("pass") == k).select("item_id", "text").orderBy("item_id", "text")
+        shared = spark.sparkContext.broadcast(Phrases(((r["item_id"], r["text"]) for r in own.toLocalIterator()), window))  # about MOST_PHRASE_BYTES
+        if k == n - 1:
+            return state, shared
+
+        def run(batches):
+            for batch, _, masks, items in _searched(batches, shared.value):  # noqa: B023
+                turns = [np.flatnonzero(np.diff(np.concatenate([[0], m.astype(np.int8), [0]]))).tolist() for m in masks]
+                columns = [batch["row"], batch["text"], pa.array(turns, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "text", "hits", "items"])
+
+        before, state = state, cut(state.mapInArrow(run, state.schema), "pass")
+        if k:
+            drop(before)
+        shared.destroy()
+    raise AssertionError("there is one pass at least")
+
+
+def scan(df: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_hit, items (sorted as strings), spans (array of start, end in code points)."""
+    state, shared = _last_pass(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, window)
+    source = state.select(F.col("row.doc_id").alias("doc_id"), "text", "hits", "items")
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.list_(pa.int64())))])
 
     def run(batches):
@@ -310,8 +328,8 @@ def scan(df: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame
 
 def clean(df: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``df`` with removal spans cut out of ``text``; all columns and rows stay."""
-    small_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast([Phrases(x, window) for x in _benchmark(benchmark)])
+    state, shared = _last_pass(df, benchmark, window)
+    names = df.columns
 
     def run(batches):
         for batch, texts, masks, _ in _searched(batches, shared.value):
@@ -323,9 +341,11 @@ def clean(df: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFram
                         parts.append(text[at:a])
                         at = b
                     out[k] = "".join([*parts, text[at:]])
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, pa.string()))
+            columns = batch["row"].flatten()
+            columns[names.index("text")] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return df.mapInArrow(run, T.StructType(df.schema.fields))
+    return state.mapInArrow(run, T.StructType(df.schema.fields))
 
 
 def digests(df: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -343,5 +363,5 @@ def brute_force(text: str | None, items: list[tuple[str, str]], window: int = WI
             for a in range(len(own) - len(phrase) + 1):
                 if own[a : a + len(phrase)] == phrase:
                     hit.update(range(a, a + len(phrase)))
-                    found.add(str(item))
+                    found.update([] if item is None else [str(item)])
     return len(own), len(hit), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
