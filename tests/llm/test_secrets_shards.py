@@ -57,11 +57,11 @@ def test_scan_uses_no_python(spark):
 
 
 def content(df):
-    return sorted(map(str, df.drop("__shard").collect()))
+    return sorted(map(str, df.collect()))
 
 
 def test_compaction_keeps_rows_and_merges(spark, documents):
-    table = sharding.ShardedTable(spark, target_bytes=20_000, arrival_rows=5)
+    table = sharding.ShardedTable(spark, target_bytes=20_000, arrival_bytes=3_000)
     table.append(documents)
     first = table.manifest().count()
     assert content(table.read(documents.schema)) == content(documents)
@@ -76,14 +76,39 @@ def test_compaction_keeps_rows_and_merges(spark, documents):
     assert table.versions() == sorted(table.versions()) and table.manifest().agg({"n_bytes": "max"}).first()[0] < 10**7
 
 
-def test_second_writer_fails(spark, documents):
-    one = sharding.ShardedTable(spark)
-    two = sharding.ShardedTable(spark, one.path)
-    version = two._next()
+def test_of_two_interleaved_writers_one_fails(spark, documents):
+    one = sharding.ShardedTable(spark, arrival_bytes=3_000)
     one.append(documents.limit(3))
+    two = sharding.ShardedTable(spark, one.path)
+    version, before = two._next(), two.manifest()
+    assert one.append(documents.limit(3)) == version  # while the other one writes
     with pytest.raises(RuntimeError):
-        two._commit(two.manifest(), version)
-    assert one.versions() == [1]
+        two._commit(before, version)
+    assert one.versions() == [1, 2] and two.read(documents.schema).count() == 6
+
+
+def test_vacuum_spares_what_is_not_committed_and_kept_versions(spark, documents):
+    import glob
+
+    table = sharding.ShardedTable(spark, arrival_bytes=3_000)
+    local = table.path.removeprefix("file://")
+    for _ in range(3):
+        table.append(documents.limit(5))
+    documents.limit(2).write.parquet(f"{table.path}/data/000000004-of-another-writer")
+    table.compact(documents.schema)
+    table.vacuum(retain=2)
+    assert table.versions() == [3, 4] and table.read(documents.schema, 3).count() == 15 == table.read(documents.schema).count()
+    table.vacuum()
+    assert table.versions() == [4] and table.read(documents.schema).count() == 15
+    assert len(glob.glob(f"{local}/data/*")) == 2 and len(glob.glob(f"{local}/manifests/*")) == 1
+
+
+def test_clashing_columns_repeats_and_nulls(spark):
+    rows = spark.createDataFrame([(1, "a", "x", 1, 2, "s"), (1, "a", "x", 1, 2, "s"), (None, None, None, None, None, None)] * 20, "doc_id long, text string, __shard string, run_ int, run int, shard string").repartition(7)
+    table = sharding.compacted(rows, target_bytes=30, arrival_bytes=2)
+    assert content(table.read(rows.schema)) == content(rows) and table.plan().count() == 0
+    out = sharding.digests(rows, target_bytes=30, arrival_bytes=2).select("mergeable", "oversized", "table_docs").distinct().collect()
+    assert [tuple(r) for r in out] == [(0, 0, 60)]
 
 
 def test_empty_table(empty):

@@ -1,23 +1,26 @@
 """Size-tiered compaction of document shards, in DataFrame functions only.
 
-Arrivals are appended as small immutable shards: each file that an append writes is one. A shard's tier is the power
+Arrivals are appended as small immutable shards of about ``ARRIVAL_BYTES``: each file that an append writes is one. A shard's tier is the power
 of ``FANOUT`` by which its text exceeds ``LEAST_BYTES``. Shards of one tier, in order of arrival, form runs of up to
 ``target_bytes``, and a run of two shards or more merges into one file. A version of the table is a manifest with a
-row for each live shard; it is written aside and renamed into place, which happens as a whole or not at all, so readers
-see whole versions only, and of two writers of one version one fails. Shards never change; ``vacuum`` removes
-the folders of commits of which no shard is live.
+row for each live shard; it is written aside, and a file named by the version, created only where there is none yet,
+points to it. So readers see whole versions only, and of two writers of one version one fails and tries again from the
+other's version. Shards never change; ``vacuum`` forgets all but the last versions and removes the folders that
+forgotten versions name and kept ones do not, so what a writer has not committed yet is never touched.
 
 Runs follow from the manifest alone (one row a shard), so a lost task writes its shard again from the same rows, and
 runs hold about the same bytes whatever source or key the rows have.
 
 Edge cases: null texts have 0 bytes; rows that repeat stay; a shard of half the target or more is left alone; an empty
-arrival commits a version without new shards; ``__run`` is the one column name that rows must not have.
+arrival commits a version without new shards; rows may have columns of any names.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +29,7 @@ from tidegauge.llm.common import shared_dir
 FANOUT = 4
 LEAST_BYTES = 1 << 20
 TARGET_BYTES = 128 << 20
-ARRIVAL_ROWS = 2_000
+ARRIVAL_BYTES = 4 << 20
 MOST_BROADCAST_SHARDS = 100_000
 MANIFEST = "shard string, tier int, n_docs long, n_bytes long, arrived long, version long"
 
@@ -34,33 +37,42 @@ MANIFEST = "shard string, tier int, n_docs long, n_bytes long, arrived long, ver
 class ShardedTable:
     """A table of immutable shards under ``path`` with versioned manifests."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, target_bytes: int = TARGET_BYTES, arrival_rows: int = ARRIVAL_ROWS):
-        self.spark, self.path, self.target, self.arrival_rows = spark, path or shared_dir(spark, "shards"), target_bytes, arrival_rows
-        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    def __init__(self, spark: SparkSession, path: str | None = None, target_bytes: int = TARGET_BYTES, arrival_bytes: int = ARRIVAL_BYTES):
+        self.spark, self.path, self.target, self.arrival = spark, path or shared_dir(spark, "shards"), target_bytes, arrival_bytes
+        self._jvm = spark.sparkContext._jvm
+        self._hadoop = self._jvm.org.apache.hadoop.fs
         self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _at(self, name: str):
         return self._hadoop.Path(f"{self.path}/{name}" if name else self.path)
 
     def versions(self) -> list[int]:
-        if not self._fs.exists(self._at("manifest")):
+        if not self._fs.exists(self._at("versions")):
             return []
-        return sorted(int(x.getPath().getName()) for x in self._fs.listStatus(self._at("manifest")))
+        return sorted(int(x.getPath().getName()) for x in self._fs.listStatus(self._at("versions")) if x.getLen())
+
+    def _manifest_of(self, version: int) -> str:
+        opened = self._fs.open(self._at(f"versions/{version:09d}"))
+        name = opened.readUTF()
+        opened.close()
+        return name
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """shard, tier, n_docs, n_bytes, arrived (order), version (that added it); of the last version by default."""
         known = self.versions()
         if not known:
             return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest/{known[-1] if version is None else version:09d}")
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifests/{self._manifest_of(known[-1] if version is None else version)}")
 
     def _commit(self, manifest: DataFrame, version: int) -> int:
-        aside = f"aside/{uuid.uuid4().hex}"
-        manifest.select(*[x.split()[0] for x in MANIFEST.split(", ")]).coalesce(1).write.parquet(f"{self.path}/{aside}")
-        self._fs.mkdirs(self._at("manifest"))
-        to = self._at(f"manifest/{version:09d}")
-        if self._fs.exists(to) or not self._fs.rename(self._at(aside), to):
-            raise RuntimeError(f"version {version} was committed by another writer")
+        name = f"{version:09d}-{uuid.uuid4().hex}"
+        manifest.select(*[x.split()[0] for x in MANIFEST.split(", ")]).write.parquet(f"{self.path}/manifests/{name}")
+        try:
+            created = self._fs.create(self._at(f"versions/{version:09d}"), False)  # only where there is none
+        except Py4JJavaError as error:
+            raise RuntimeError(f"version {version} was committed by another writer") from error
+        created.writeUTF(name)
+        created.close()
         return version
 
     def _next(self) -> int:
@@ -75,7 +87,9 @@ class ShardedTable:
         """Add rows as small shards; returns the version that has them."""
         version = self._next()
         folder = f"{self.path}/data/{version:09d}-{uuid.uuid4().hex}"
-        df.write.option("maxRecordsPerFile", self.arrival_rows).option("compression", "zstd").parquet(folder)
+        n, size = df.select(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+        rows_a_file = max(1, self.arrival * n // max(1, size or 0))
+        df.write.option("maxRecordsPerFile", rows_a_file).option("compression", "zstd").parquet(folder)
         rows = self.spark.read.schema(df.schema).parquet(folder)
         bytes_of = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
         files = rows.groupBy(F.col("_metadata.file_path").alias("shard")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(bytes_of).alias("n_bytes"))
@@ -100,38 +114,50 @@ class ShardedTable:
         if n is None:
             return None
         folder = f"{self.path}/data/{version:09d}-{uuid.uuid4().hex}"
-        rows = self._rows(plan, schema)
-        of = plan.select(F.col("shard").alias("__shard"), F.col("run").alias("__run"))
+        names = [f.name for f in schema]
+        run = next(x for x in (f"run{'_' * k}" for k in range(1, len(names) + 2)) if x not in names)
+        of = plan.select("shard", "run")
         few = plan.count() <= MOST_BROADCAST_SHARDS
-        dealt = rows.join(F.broadcast(of) if few else of, "__shard").drop("__shard")
-        dealt.repartitionById(n + 1, F.col("__run")).write.partitionBy("__run").option("compression", "zstd").parquet(folder)
+        dealt = self._rows(plan, schema).join(F.broadcast(of) if few else of, "shard").select("row.*", F.col("run").alias(run))
+        dealt.repartitionById(n + 1, F.col(run)).write.partitionBy(run).option("compression", "zstd").parquet(folder)
         # the manifest has a row for each run; its path is the folder of its one file
         merged = plan.groupBy("run").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_bytes").alias("n_bytes"), F.min("arrived").alias("arrived"))
-        named = self._described(merged.withColumn("shard", F.concat(F.lit(f"{folder}/__run="), F.col("run").cast("string"))), version)
-        kept = self.manifest().join(plan.select("shard"), "shard", "left_anti")
+        named = self._described(merged.withColumn("shard", F.concat(F.lit(f"{folder}/{run}="), F.col("run").cast("string"))), version)
+        kept = self.manifest(version - 1).join(plan.select("shard"), "shard", "left_anti")
         self._commit(kept.unionByName(named), version)
         plan.unpersist()
         return version
 
     def _rows(self, shards: DataFrame, schema) -> DataFrame:
-        """Rows of the given shards with ``__shard``."""
+        """(row: the columns, shard) of the given shards."""
         paths = [r["shard"] for r in shards.select("shard").toLocalIterator()]  # one a shard: the scan's file listing
         if not paths:
-            return self.spark.createDataFrame([], schema).withColumn("__shard", F.lit(""))
+            return self.spark.createDataFrame([], schema).select(F.struct("*").alias("row"), F.lit("").alias("shard"))
         file = F.col("_metadata.file_path")
-        rows = self.spark.read.schema(schema).parquet(*paths)
-        return rows.select("*", F.when(file.contains("/__run="), F.regexp_replace(file, "/[^/]+$", "")).otherwise(file).alias("__shard"))
+        shard = F.when(file.rlike("/run_+=[0-9]+/[^/]+$"), F.regexp_replace(file, "/[^/]+$", "")).otherwise(file)
+        return self.spark.read.schema(schema).parquet(*paths).select(F.struct("*").alias("row"), shard.alias("shard"))
 
     def read(self, schema, version: int | None = None) -> DataFrame:
-        """Rows of a version and ``__shard``."""
-        return self._rows(self.manifest(version), schema)
-
-    def vacuum(self) -> None:
-        """Remove folders of commits that have no live shard; readers of earlier versions must be done."""
-        live = {r["shard"].split("/data/")[1].split("/")[0] for r in self.manifest().select("shard").toLocalIterator()}
-        for status in self._fs.listStatus(self._at("data")):
-            if status.getPath().getName() not in live:
-                self._fs.delete(status.getPath(), True)
+        """Rows of a version."""
+        return self._rows(self.manifest(version), schema).select("row.*")
+
+    def _folders(self, version: int) -> DataFrame:
+        return self.manifest(version).select(F.regexp_extract("shard", "/data/([^/]+)/", 1).alias("folder")).distinct()
+
+    def vacuum(self, retain: int = 1) -> None:
+        """Forget all versions but the last ``retain``; readers of the others must be done."""
+        versions = self.versions()
+        old, kept = versions[:-retain], versions[-retain:]
+        if not old:
+            return
+        named = reduce(DataFrame.unionByName, map(self._folders, old)).distinct()
+        dead = named.join(reduce(DataFrame.unionByName, map(self._folders, kept)), "folder", "left_anti")
+        for row in dead.toLocalIterator():  # a folder a commit
+            self._fs.delete(self._at(f"data/{row['folder']}"), True)
+        for version in old:
+            manifest = self._manifest_of(version)
+            self._fs.delete(self._at(f"versions/{version:09d}"), True)
+            self._fs.delete(self._at(f"manifests/{manifest}"), True)
 
 
 def compacted(df: DataFrame, **options) -> ShardedTable:
@@ -145,16 +171,20 @@ def compacted(df: DataFrame, **options) -> ShardedTable:
 
 
 def digests(df: DataFrame, **options) -> DataFrame:
-    """doc_id, n_bytes, text_sha256 of every row of the committed table, and n_rows and n_bytes of the whole version."""
+    """doc_id, n_bytes, text_sha256 of every row of the committed table, and of its version: table_docs, table_bytes,
+    mergeable (shards that a further compaction would merge) and oversized (merged shards of over twice the target)."""
     table = compacted(df, **options)
     rows = table.read(df.schema)
-    whole = table.manifest().agg(F.sum("n_docs").alias("table_docs"), F.sum("n_bytes").alias("table_bytes")).first()
+    merged = F.col("shard").rlike("/run_+=[0-9]+$")
+    whole = table.manifest().agg(F.sum("n_docs"), F.sum("n_bytes"), F.count_if(merged & (F.col("n_bytes") > 2 * table.target))).first()
     text = F.coalesce(F.col("text"), F.lit(""))
-    return rows.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("text_sha256"), F.lit(whole[0] or 0).cast("long").alias("table_docs"), F.lit(whole[1] or 0).cast("long").alias("table_bytes"))
+    told = {"table_docs": whole[0] or 0, "table_bytes": whole[1] or 0, "mergeable": table.plan().count(), "oversized": whole[2]}
+    return rows.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("text_sha256"), *[F.lit(v).cast("long").alias(k) for k, v in told.items()])
 
 
 ORACLE_SQL = """
 SELECT doc_id, strlen(coalesce(text, '')) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256,
-       (SELECT count(*) FROM documents) AS table_docs, (SELECT sum(strlen(text))::BIGINT FROM documents) AS table_bytes
+       (SELECT count(*) FROM documents) AS table_docs, (SELECT sum(strlen(text))::BIGINT FROM documents) AS table_bytes,
+       0::BIGINT AS mergeable, 0::BIGINT AS oversized
 FROM documents
 """
