@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import cut
+from tidegauge.llm.common import cut, drop
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,14 +20,18 @@ def components(links: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("to")), "least")
+        before = [edges, least]
         if labels is None:
-            labels = least.select(F.col("node").alias("id"), F.col("to").alias("component"))
+            labels = cut(least.select(F.col("node").alias("id"), F.col("to").alias("component")), "labels")
         else:
             moved = least.where("node <> to")
+            before.append(labels)
             labels = cut(labels.join(moved, labels["component"] == moved["node"], "left").select("id", F.coalesce("to", "component").alias("component")), "labels")
         first = edges.join(least.withColumnsRenamed({"node": "a", "to": "x"}), "a")
         second = first.join(least.withColumnsRenamed({"node": "b", "to": "y"}), "b")
         edges = cut(second.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        drop(*before)
     if labels is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    drop(edges)
     return labels
