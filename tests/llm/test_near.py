@@ -142,4 +142,7 @@ def test_embedding_dedup_misses_no_link(spark, monkeypatch, spread):
     component, count = roots(range(1500), pairs), hit.sum(0) + hit.sum(1)
     frame = spark.createDataFrame([(k, v.tolist(), "dense") for k, v in enumerate(x)], "vec_id long, embedding array<double>, label string").repartition(3)
     found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.dedup(frame).collect()}
+    reps = frame.selectExpr("vec_id AS id", "label", "24 AS size", "embedding").rdd.map(lambda r: (r[0], r[1], r[2], np.array(r[3], "<f8").tobytes())).toDF("id long, label string, size int, vec binary")
+    met = {(r["a"], r["b"]) for r in embedding_dedup._passes(reps, 0.98).collect()}
+    assert met and met <= set(map(tuple, pairs))  # the passes verify what they find
     assert len(pairs) > 100 and found == {k: (count[k], component[k]) for k in range(1500)}

@@ -1,13 +1,16 @@
-"""Near-duplicate embeddings: all links of a label, by blocks of vectors around pivots.
+"""Near-duplicate embeddings: sorted projection passes find the classes, and an exact step counts links and adds the rest.
 
-A label of more than ``BLOCK`` vectors takes some of them as pivots, ``PIVOTS`` about at most, and deals each vector to
-the pivot at the least angle; large groups are salted into units of about ``BLOCK`` vectors. Two units are compared,
-each vector with each by cosine in double precision, unless the angle between their pivots is more than their radii
-and the angle of the threshold together: the triangle inequality then rules out a link. So no link is left out, and
-links are counted exactly. A pair of units gives one link a vector for the classes, not all.
+1. A pass orders the vectors of a label by a key of ``BITS`` concatenated random sign hashes and compares each vector
+   with the ``WINDOW`` before it. Pairs verified by cosine in double precision unite across ``PASSES`` passes.
+2. Windows are bounded, so a dense label may hold links that no pass meets. The exact step finds them: a label of more
+   than ``BLOCK`` vectors takes some of them as pivots, ``PIVOTS`` about at most, and deals each vector to the pivot at
+   the least angle; large groups are salted into units of about ``BLOCK`` vectors. Two units are compared unless the
+   angle between their pivots is more than their radii and the angle of the threshold together: the triangle inequality
+   then rules out a link. Links are counted there, and those between classes of the passes unite them, one a vector
+   for each two units.
 
-Work grows with the square of a label's vectors where pivots rule nothing out. Equal vectors of a label are compared
-once and counted as often as they occur.
+The exact step's work grows with the square of a label's vectors where pivots rule nothing out. Equal vectors of a
+label are compared once and counted as often as they occur.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components, and vectors with a null label, link
 with nothing; vectors of different lengths do not link; repeated rows are copies; rows that share an id are one node
@@ -21,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import batch_of, cut
+from tidegauge.llm.common import batch_of, cut, drop
 from tidegauge.llm.components import components
 
 THRESHOLD = 0.98
+PASSES, BITS, WINDOW = 6, 63, 16
 BLOCK = 2048
 PIVOTS = 64
 SLACK = 1e-6  # for rounding in angles
@@ -52,6 +56,51 @@ def _vectors(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> Dat
     return source.mapInArrow(run, "id long, label string, vec binary")
 
 
+def _passes(reps: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): verified pairs of the windows of all passes; of a vector's pairs in a window the nearest and the farthest."""
+    keyed = pa.schema([("pass", pa.int32()), ("label", pa.string()), ("size", pa.int32()), ("key", pa.int64()), ("id", pa.int64()), ("vec", pa.binary())])
+
+    def keys(batches):
+        for batch in batches:
+            sizes, rows = batch["size"].to_numpy(), batch["vec"].to_pylist()
+            for size in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == size)
+                x = _unit([rows[k] for k in at])
+                own = batch.take(pa.array(at))
+                for p in range(PASSES):
+                    planes = np.random.default_rng((p, size)).standard_normal((size, BITS))
+                    key = (x @ planes > 0) @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+                    yield batch_of(keyed, np.full(len(at), p), own["label"], own["size"], key, own["id"], own["vec"])
+
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    line = ["pass", "label", "size", "key", "id"]
+
+    def windows(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            ids, p, size, rows = table["id"].to_numpy(), table["pass"].to_numpy(), table["size"].to_numpy(), table["vec"].to_pylist()
+            label = np.array(table["label"].to_pylist(), object)
+            near, far = np.full(len(ids), -1), np.full(len(ids), -1)
+            starts = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (size[1:] != size[:-1]) | (label[1:] != label[:-1])]))
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):
+                x = _unit(rows[a:b])
+                for d in range(1, min(WINDOW, b - a - 1) + 1):
+                    hit = a + d + np.flatnonzero((x[d:] * x[:-d]).sum(1) >= threshold)
+                    near[hit] = np.where(near[hit] < 0, ids[hit - d], near[hit])
+                    far[hit] = ids[hit - d]
+            pairs = np.concatenate([np.stack([o[o >= 0], ids[o >= 0]], 1) for o in (near, far)])
+            if len(pairs):
+                pairs = np.unique(np.sort(pairs, 1), axis=0)
+                yield batch_of(schema, pairs[:, 0], pairs[:, 1])
+            last = table.slice(max(0, len(ids) - WINDOW)).to_batches()
+            held = last[0] if last else None
+
+    spread = reps.select("id", "label", "size", "vec").mapInArrow(keys, "pass int, label string, size int, key long, id long, vec binary")
+    n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return spread.repartitionByRange(n, *line).sortWithinPartitions(*line).mapInArrow(windows, "a long, b long").where("a <> b").distinct()
+
+
 def _grouped(reps: DataFrame, threshold: float) -> DataFrame:
     """``reps`` with unit, its own, and others: the units of its label and size that may hold a link of it."""
     spark, key = reps.sparkSession, ["label", "size"]
@@ -63,7 +112,7 @@ def _grouped(reps: DataFrame, threshold: float) -> DataFrame:
         found.setdefault((row["label"], row["size"]), []).append(bytes(row["vec"]))
     pivots = {k: _unit(v) for k, v in found.items()}
     shared = spark.sparkContext.broadcast(pivots)
-    schema = pa.schema([("id", pa.int64()), ("label", pa.string()), ("size", pa.int32()), ("times", pa.int64()), ("vec", pa.binary()), ("group", pa.int32()), ("angle", pa.float64())])
+    schema = pa.schema([("id", pa.int64()), ("label", pa.string()), ("size", pa.int32()), ("times", pa.int64()), ("class", pa.int64()), ("vec", pa.binary()), ("group", pa.int32()), ("angle", pa.float64())])
 
     def nearest(batches):
         for batch in batches:
@@ -77,9 +126,9 @@ def _grouped(reps: DataFrame, threshold: float) -> DataFrame:
                 cosine = _unit([rows[k] for k in at]) @ shared.value[of].T
                 group[at] = cosine.argmax(1)
                 angle[at] = np.arccos(np.clip(cosine.max(1), -1, 1))
-            yield batch_of(schema, *[batch[c] for c in ("id", "label", "size", "times", "vec")], group, angle)
+            yield batch_of(schema, *[batch[c] for c in ("id", "label", "size", "times", "class", "vec")], group, angle)
 
-    placed = reps.select("id", "label", "size", "times", "vec").mapInArrow(nearest, "id long, label string, size int, times long, vec binary, group int, angle double")
+    placed = reps.select("id", "label", "size", "times", "class", "vec").mapInArrow(nearest, "id long, label string, size int, times long, class long, vec binary, group int, angle double")
     placed = cut(placed, "groups")
     groups = placed.join(sizes, key).groupBy(*key, "group").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).orderBy(*key, "group")
     of_label: dict = {}
@@ -98,7 +147,7 @@ def _grouped(reps: DataFrame, threshold: float) -> DataFrame:
             told.append((*of, r["group"], int(base[k]), int(blocks[k]), others))
     units = spark.createDataFrame(told, "label string, size int, group int, base int, blocks int, others array<int>")
     unit = F.col("base") + F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    return placed.join(F.broadcast(units), [*key, "group"], "left").select("id", *key, "times", "vec", F.coalesce(unit, F.lit(0)).alias("unit"), F.coalesce("others", F.array(F.lit(0))).alias("others"))
+    return placed.join(F.broadcast(units), [*key, "group"], "left").select("id", *key, "times", "class", "vec", F.coalesce(unit, F.lit(0)).alias("unit"), F.coalesce("others", F.array(F.lit(0))).alias("others"))
 
 
 def _firsts(hit: np.ndarray) -> np.ndarray:
@@ -115,13 +164,14 @@ def _firsts(hit: np.ndarray) -> np.ndarray:
 
 
 def _linked(rows: DataFrame, threshold: float) -> DataFrame:
-    """(id, links, first): for each two units, rows that a vector links with, and a vector of its class among them."""
-    spread = rows.withColumn("other", F.explode("others")).select("label", "size", F.least("unit", "other").alias("i"), F.greatest("unit", "other").alias("j"), "unit", "id", "times", "vec")
+    """(id, links, first): for each two units, rows that a vector links with, and a vector of another class of the passes
+    that these links lead to, if there is one."""
+    spread = rows.withColumn("other", F.explode("others")).select("label", "size", F.least("unit", "other").alias("i"), F.greatest("unit", "other").alias("j"), "unit", "id", "times", "class", "vec")
     schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("first", pa.int64())])
     key = ["label", "size", "i", "j"]
 
     def linked(rows):
-        unit, ids, times = (rows[c].to_numpy() for c in ("unit", "id", "times"))
+        unit, ids, times, known = (rows[c].to_numpy() for c in ("unit", "id", "times", "class"))
         i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
         x = _unit(rows["vec"].to_pylist())
         if i == j:
@@ -133,7 +183,8 @@ def _linked(rows: DataFrame, threshold: float) -> DataFrame:
             hit[np.ix_(one, two)] = x[one] @ x[two].T >= threshold
             hit |= hit.T
         own = np.flatnonzero(hit.any(1))
-        return ids[own], [int(times[h].sum()) for h in hit[own]], ids[_firsts(hit)[own]]
+        first = _firsts(hit)[own]
+        return ids[own], [int(times[h].sum()) for h in hit[own]], pa.array(ids[first], mask=known[first] == known[own])
 
     def run(batches):
         held = []
@@ -159,8 +210,13 @@ def dedup(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", v
     fit = vectors.where("vec IS NOT NULL AND id IS NOT NULL")
     copies = cut(fit.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("times")), "distinct-vectors")
     reps = copies.select(F.col("rep").alias("id"), "label", F.expr("cast(length(vec) div 8 as int)").alias("size"), "vec", "times")
+    pairs = cut(_passes(reps, threshold), "pairs")
+    near = components(pairs)
+    reps = reps.join(near, "id", "left").withColumn("class", F.coalesce("component", "id"))
     linked = cut(_linked(_grouped(reps, threshold), threshold), "links")
-    labels = components(linked.where("id <> first").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct())
+    rest = linked.where("first IS NOT NULL").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
+    labels = near if rest.isEmpty() else components(pairs.unionByName(rest))
+    drop(pairs)
     counted = linked.groupBy("id").agg(F.sum("links").alias("links"))
     told = copies.join(labels.withColumnRenamed("id", "rep"), "rep", "left").join(counted.withColumnRenamed("id", "rep"), "rep", "left")
     own = told.select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
