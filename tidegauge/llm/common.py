@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 BATCH_ROWS = 2_000
+PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,7 +80,8 @@ def write_file(uri: str, parts: list) -> None:
     temporary = f"{path}.{uuid.uuid4().hex}.tmp"
     with fs.open_output_stream(temporary) as out:
         for part in parts:
-            out.write(memoryview(part).cast("B") if not isinstance(part, bytes) else part)
+            if len(part):
+                out.write(part if isinstance(part, bytes) else memoryview(part).cast("B"))
     fs.move(temporary, path)
 
 
@@ -110,6 +112,44 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words)).view(np.uint64)
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, each word's number among them, words of each text): texts split at ASCII white space; null is empty."""
+    lists = pa.compute.ascii_split_whitespace(texts.fill_null(""))
+    coded = pa.compute.dictionary_encode(lists.flatten())
+    which, bounds = np.asarray(coded.indices), np.diff(np.asarray(lists.offsets))
+    blank = pa.compute.index(coded.dictionary, "").as_py()
+    if blank < 0:
+        return coded.dictionary, which, bounds.astype(np.int64)
+    own = which != blank  # before leading and after trailing white space
+    words = pa.concat_arrays([coded.dictionary[:blank], coded.dictionary[blank + 1 :]])
+    return words, (which - (which > blank))[own], np.bincount(np.repeat(np.arange(len(bounds)), bounds)[own], minlength=len(bounds))
+
+
+LANES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)  # masks of 0 to 8 bytes
+LONG_WORD = 4096
+
+
+def hash_words(words: pa.Array) -> np.ndarray:
+    """64-bit hashes (unsigned) of words, mixed 8 bytes at a time, all words side by side."""
+    n = len(words)
+    if not n:
+        return np.empty(0, np.uint64)
+    offsets = np.frombuffer(words.buffers()[1], np.int32, n + 1, 4 * words.offset).astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    lanes = np.lib.stride_tricks.sliding_window_view(np.concatenate([data[offsets[0] : offsets[-1]], np.zeros(8, np.uint8)]), 8)
+    starts, sizes = offsets[:-1] - offsets[0], np.diff(offsets)
+    out, at = mix(sizes), 0
+    live = np.flatnonzero((sizes > 0) & (sizes <= LONG_WORD))
+    while len(live):
+        lane = lanes[starts[live] + at].copy().view("<u8").ravel() & LANES[np.minimum(sizes[live] - at, 8)]
+        out[live] = mix((out[live] ^ lane) * PRIME)
+        at += 8
+        live = live[sizes[live] > at]
+    for k in np.flatnonzero(sizes > LONG_WORD).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(words[k].as_py().encode())
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (splitmix finalizer)."""
     x = x.astype(np.uint64, copy=True)

@@ -1,17 +1,20 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted arrays, memory-mapped to score.
+"""Interpolated modified Kneser-Ney n-gram model: counted in Spark, kept as sorted hash arrays, memory-mapped to score.
 
-Training takes two shuffles of pre-aggregated counts and a small third one:
+Order 3 by default, or 2. Counts are raw at the highest order, below it the number of different words before an n-gram;
+two start marks precede a text. Training:
 
-1. words, dealt by ranges of their 64-bit hash; a word's number is its place in the order of all hashes, whose shards
-   get their first numbers from a prefix sum;
-2. bigrams, keyed by both numbers in 64 bits and dealt by context, so that a context's counts meet in one shard; a
-   context with more than a fraction of all tokens is dealt by bigram instead, so no shard grows with one word;
-3. per word: different contexts before it, and its followers seen once, twice and more often.
+1. Words are dealt by ranges of their 63-bit hash; a word's number is its place in the order of all hashes, whose shards
+   get their first numbers from a prefix sum.
+2. Triples (a, b, c) are dealt by their middle word b, so that the context (a, b), the pairs (b, c) and what follows b
+   meet in one shard, and one shuffle serves two orders. A word with more than a fraction of all tokens is dealt by
+   (a, b) instead; its pairs, already added up, are shuffled once more by (b, c). Shards are counted in ``ROUNDS``
+   rounds, whose shuffle files go before the next one, so that the disk needed beside the model stays small.
+3. Per word: different words before it, and how often its followers were counted once, twice and more.
 
-Every shard is one sorted file in the shared folder. Scoring tasks map the files and look their batch's words and
-bigrams up; nothing of the model passes through the driver but its totals. All arrays grow with the corpus.
-
-Order 2 is what the stated disk limit bears on text whose trigrams are mostly distinct; README.md has figures.
+A shard is a sorted file for each kind in the shared folder: buckets by the leading bits of a hash, the next 32 bits, and
+numbers of rows in a table of the distinct counts. Two n-grams of a shard are taken for one where these bits agree, a
+chance of 2 ** -26 a lookup at any size. Scoring tasks map the files a slice of texts needs; nothing of the model passes
+through the driver but its totals and the frequent words' numbers. All arrays grow with the corpus.
 
 Edge cases: a null text is empty and has the end token only; a row with a null id trains as the empty id text; rows
 that repeat count each; words outside the training text share the uniform part of the unigram distribution; without
@@ -21,113 +24,177 @@ training rows every score is 0, the log of 1 over (V + 1). Other columns are not
 from __future__ import annotations
 
 import zlib
+from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import WordHashes, batch_of, map_file, mix, shared_dir, slices, small_batches, strings, write_file
+from tidegauge.llm.common import PRIME, batch_of, cut, drop, hash_words, map_file, mix, shared_dir, slices, small_batches, split_words, write_file
 
-END, START = b"\n", b" "  # neither can be a word
+ORDER = 3
+ROUNDS = 3
+SHARD_TOKENS = 4 << 20
 FLUSH = 8 << 20
-
-
-def words_of(text: str) -> list[bytes]:
-    return text.encode().lower().split()
+ROWS = 1 << 18
+END, START = 3, 5  # hashes of the two marks
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def in_training(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 != 0
 
 
-def add_up(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys in order, and the sums of each array of values."""
-    if not len(keys):
-        return (keys, *values)
+def distinct(columns: tuple[np.ndarray, ...], *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct rows of non-negative columns in order, and the sums of each array of values (of ones, without any)."""
+    n = len(columns[0])
+    values = values or (np.ones(n, np.int64),)
+    if not n:
+        return (*columns, *values)
+    bits = [int(c.max()).bit_length() for c in columns]
+    if sum(bits) <= 63:
+        order = np.argsort(reduce(lambda key, x: (key << x[1]) | x[0], zip(columns, bits, strict=True), np.zeros(n, np.int64)))
+    else:
+        order = np.lexsort(columns[::-1])
+    columns = tuple(c[order] for c in columns)
+    at = _starts(*columns)
+    return (*[c[at] for c in columns], *[np.add.reduceat(v[order], at) for v in values])
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Places where a row of sorted columns differs from the one before."""
+    return np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)]))
+
+
+def _joint(*numbers: np.ndarray) -> np.ndarray:
+    return reduce(lambda h, x: mix(h * PRIME + x.view(np.uint64)), numbers[1:], mix(numbers[0].view(np.uint64)))
+
+
+def hash_file(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """A sorted hash array: keys (unsigned, distinct) with one row of values each."""
     order = np.argsort(keys)
-    keys = keys[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return (keys[at], *[np.add.reduceat(v[order], at) for v in values])
+    keys, n = keys[order], len(keys)
+    code, rows = np.zeros(n, np.int64), np.zeros(1, np.int64)
+    for v in values:  # number the distinct rows of values
+        code = np.unique(code * (int(v.max(initial=0)) + 1) + v, return_inverse=True)[1] if n else code
+    rows = np.unique(code, return_index=True)[1]
+    table = np.stack([v[rows] for v in values], 1).astype("<i8")
+    width = 1 if len(rows) <= 1 << 8 else 2 if len(rows) <= 1 << 16 else 4
+    bits = max(0, n.bit_length() - 6)
+    bucket = keys >> np.uint64(64 - bits) if bits else np.zeros(n, np.uint64)
+    offsets = np.searchsorted(bucket, np.arange((1 << bits) + 1, dtype=np.uint64))
+    rest = (keys << np.uint64(bits)) >> np.uint64(32)
+    header = np.array([bits, n, width, *table.shape], "<i8")
+    return [header, table, offsets.astype("<u4"), rest.astype("<u4"), code[order].astype(f"<u{width}")]
+
+
+class HashArray:
+    """A mapped file of ``hash_file``."""
+
+    def __init__(self, uri: str):
+        raw = map_file(uri, np.uint8)
+        self.bits, self.n, width, rows, columns = raw[:40].view("<i8").tolist()
+        edges = np.cumsum([40, 8 * rows * columns, 4 * ((1 << self.bits) + 1), 4 * self.n, width * self.n]).tolist()
+        table, self.offsets, self.rest, self.index = (raw[a:b].view(t) for (a, b), t in zip(pairwise(edges), ("<i8", "<u4", "<u4", f"<u{width}"), strict=True))
+        self.table = table.reshape(rows, columns)
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        """Rows of values; zeros for keys that the file has not."""
+        if not self.n:
+            return np.zeros((len(keys), self.table.shape[1]), np.int64)
+        bucket = (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
+        rest = ((keys << np.uint64(self.bits)) >> np.uint64(32)).astype(np.uint32)
+        low, end = self.offsets[bucket].astype(np.int64), self.offsets[bucket + 1].astype(np.int64)
+        high = end
+        for _ in range(int((end - low).max(initial=0)).bit_length()):
+            middle = (low + high) >> 1
+            less = (self.rest[np.minimum(middle, self.n - 1)] < rest) & (low < high)
+            high = np.where(less, high, middle)
+            low = np.where(less, middle + 1, low)
+        at = np.minimum(low, self.n - 1)
+        return np.where(((low < end) & (self.rest[at] == rest))[:, None], self.table[self.index[at]], 0)
 
 
 class Model:
     """Files and totals of a model; small, and sent to every task."""
 
-    def __init__(self, folder: str, word_bits: int, bigram_shards: int):
-        self.folder, self.word_bits, self.bigram_shards = folder, word_bits, bigram_shards
+    def __init__(self, folder: str, order: int, word_bits: int):
+        self.folder, self.order, self.word_bits, self.shards = folder, order, word_bits, 1
         self.bases = np.zeros((1 << word_bits) + 1, np.int64)
         self.hot = np.empty(0, np.int64)
-        self.n = self.v = self.documents = self.bigrams = 0
-        self.discounts = self.lower = (0.5, 1.0, 1.5)
+        self.n = self.v = self.pairs = 0
+        self.discounts = {k: (0.5, 1.0, 1.5) for k in (1, 2, 3)}
         self.rest = 1.0
-        self._files: dict = {}
-
-    def __getstate__(self):
-        return self.__dict__ | {"_files": {}}
 
-    def file(self, kind: str, shard: int, dtype: str) -> np.ndarray:
-        if (kind, shard) not in self._files:
-            self._files[kind, shard] = map_file(f"{self.folder}/{kind}-{shard:06d}.bin", dtype)
-        return self._files[kind, shard]
+    def uri(self, kind: str, shard: int) -> str:
+        return f"{self.folder}/{kind}-{shard:06d}.bin"
 
     def word_shard(self, hashes: np.ndarray) -> np.ndarray:
         """Shards are ranges of the hash, in its order."""
-        return (hashes >> np.int64(64 - self.word_bits)) + (1 << (self.word_bits - 1)) if self.word_bits else np.zeros(len(hashes), np.int64)
+        return hashes >> (63 - self.word_bits)
 
-    def bigram_shard(self, first: np.ndarray, key: np.ndarray) -> np.ndarray:
-        hot = np.isin(first, self.hot)
-        return (mix(np.where(hot, key, first).view(np.uint64)) % np.uint64(self.bigram_shards)).astype(np.int64)
+    def shard(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        spread = a if self.order == 3 else c
+        return (np.where(self.is_hot(b), _joint(b, spread), _joint(b)) % np.uint64(self.shards)).astype(np.int64)
 
-    def look_up(self, hashes: np.ndarray, kinds: tuple[tuple[str, str], ...] = ()) -> tuple[np.ndarray, ...]:
-        """Numbers of distinct sorted word hashes (-1: not in training), and their rows of the named files."""
+    def is_hot(self, b: np.ndarray) -> np.ndarray:
+        return np.isin(b, self.hot)
+
+    def look_up(self, hashes: np.ndarray, *kinds: str) -> tuple[np.ndarray, ...]:
+        """Numbers of distinct sorted word hashes (-1: not in training), and their rows of "count" (1) and "stats" (5)."""
         number = np.full(len(hashes), -1, np.int64)
-        found = [np.zeros((len(hashes), *((4,) if kind == "stats" else ())), np.int64) for kind, _ in kinds]
+        found = [np.zeros((len(hashes), {"count": 1, "stats": 5}[kind]), np.int64) for kind in kinds]
         edges = np.searchsorted(self.word_shard(hashes), np.arange((1 << self.word_bits) + 1))
         for shard in np.flatnonzero(np.diff(edges)).tolist():
-            if self.bases[shard] == self.bases[shard + 1]:
+            size = int(self.bases[shard + 1] - self.bases[shard])
+            if not size:
                 continue
             a, b = edges[shard], edges[shard + 1]
-            own = self.file("words", shard, "<i8")
-            at = np.minimum(np.searchsorted(own, hashes[a:b]), len(own) - 1)
+            own = map_file(self.uri("words", shard), "<i8")
+            at = np.minimum(np.searchsorted(own, hashes[a:b]), size - 1)
             hit = np.flatnonzero(own[at] == hashes[a:b])
             at = at[hit]
             number[a + hit] = self.bases[shard] + at
-            for out, (kind, dtype) in zip(found, kinds, strict=True):
-                table = self.file(kind, shard, dtype)
-                out[a + hit] = table.reshape(-1, 4)[at] if kind == "stats" else table[at]
+            for out, kind in zip(found, kinds, strict=True):
+                raw = map_file(self.uri(kind, shard), np.uint8)
+                out[a + hit] = raw.view(f"<u{len(raw) // size // out.shape[1]}").reshape(size, -1)[at]
         return (number, *found)
 
-    def counts(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Counts of bigrams by their words' numbers; 0 where one is -1."""
-        out = np.zeros(len(first), np.int64)
-        known = np.flatnonzero((first >= 0) & (second >= 0))
-        key = (first[known] << 32) | second[known]
-        shard = self.bigram_shard(first[known], key)
-        order = np.argsort(shard.astype(np.uint16) if self.bigram_shards < 1 << 16 else shard, kind="stable")
-        edges = np.searchsorted(shard[order], np.arange(self.bigram_shards + 1))
-        for k in np.flatnonzero(np.diff(edges)).tolist():
-            own = self.file("bigrams", k, "<i8")
+    def rows(self, kind: str, keys: np.ndarray, shards: np.ndarray, columns: int) -> np.ndarray:
+        """Rows of values for n-gram keys of the given shards."""
+        out = np.zeros((len(keys), columns), np.int64)
+        order = np.argsort(shards.astype(np.uint16) if self.shards < 1 << 16 else shards, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(shards[order])) + 1):
             if len(own):
-                mine = order[edges[k] : edges[k + 1]]
-                at = np.minimum(np.searchsorted(own, key[mine]), len(own) - 1)
-                hit = np.flatnonzero(own[at] == key[mine])
-                out[known[mine[hit]]] = self.file("times", k, "<u4")[at[hit]]
+                try:
+                    out[own] = HashArray(self.uri(kind, int(shards[own[0]])))[keys[own]]
+                except FileNotFoundError:  # no n-gram fell there
+                    continue
         return out
 
 
-def _tokens(texts: list[str], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, each text's followed by the end; and the texts' token counts."""
-    split = [words_of(x) for x in texts]
-    flat = [w for words in split for w in (*words, END)]
-    return np.fromiter(map(hashes.__getitem__, flat), np.int64, len(flat)), np.array([len(w) + 1 for w in split], np.int64)
+def _words(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the distinct words, then of start and end; every token's number among them, each text's followed by
+    the end; the texts' token counts)."""
+    words, which, counts = split_words(pa.compute.ascii_lower(batch["text"]))
+    keys = np.append((hash_words(words) >> np.uint64(1)).view(np.int64), [START, END])
+    return keys, np.insert(which.astype(np.int64), np.cumsum(counts), len(words) + 1), counts + 1
+
+
+def _before(tokens: np.ndarray, sizes: np.ndarray, start) -> np.ndarray:
+    """The token before each one, ``start`` before a text's first."""
+    out = np.append(start, tokens[:-1]) if len(tokens) else tokens
+    out[np.cumsum(sizes) - sizes] = start
+    return out
 
 
 def _training(batch) -> pa.RecordBatch:
     return batch.filter(pa.array(map(in_training, batch["doc_id"].to_pylist()), pa.bool_()))
 
 
-def _discounts(times: np.ndarray) -> tuple[float, float, float]:
+def _discounts(times) -> tuple[float, float, float]:
     """D1, D2, D3+ from how many n-grams were seen once to four times; the usual defaults where text is too little."""
     n1, n2, n3, n4 = (float(x) for x in times)
     if min(n1, n2, n3, n4) <= 0:
@@ -141,192 +208,279 @@ def _off(count: np.ndarray, discounts) -> np.ndarray:
     return np.array([0.0, *discounts])[np.minimum(count, 3)]
 
 
-def train(df: DataFrame, folder: str | None = None) -> Model:
+def _kinds(counts: np.ndarray) -> list[np.ndarray]:
+    """Whether counts are 1, 2, and more."""
+    return [(counts == 1).astype(np.int64), (counts == 2).astype(np.int64), (counts > 2).astype(np.int64)]
+
+
+def _narrow(table: np.ndarray) -> np.ndarray:
+    return table.astype("<u4" if table.max(initial=0) < 1 << 32 else "<u8")
+
+
+def _flushed(batches, counted, emit):
+    """Add ``counted`` (columns and counts of a batch) up over batches and ``emit`` them whenever they are many."""
+    parts, size = [], 0
+    for batch in slices(batches, "text"):
+        batch = _training(batch)
+        if batch.num_rows:
+            parts.append(counted(batch))
+            size += len(parts[-1][0])
+        if parts and size > FLUSH:
+            *columns, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+            yield from emit(*distinct(tuple(columns), times))
+            parts, size = [], 0
+    if parts:
+        *columns, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+        yield from emit(*distinct(tuple(columns), times))
+
+
+def _gathered(batches, names):
+    found = [[b[c].to_numpy().astype(np.int64) for c in names] for b in batches]
+    return [np.concatenate(x) for x in zip(*found, strict=True)] if found else []
+
+
+def _in_rows(schema: pa.Schema, *columns):
+    for a in range(0, len(columns[0]), ROWS):
+        yield batch_of(schema, *[c[a : a + ROWS] for c in columns])
+
+
+TOLD = pa.schema([("kind", pa.int8()), ("shard", pa.int32()), *[(c, pa.int64()) for c in ("id", "other", "before", "total", "n1", "n2", "n3")]])
+TOLD_SQL = "kind byte, shard int, id long, other long, before long, total long, n1 long, n2 long, n3 long"
+WORD, PAIR, SEEN = 0, 1, 2  # kinds of TOLD: counts of a word; a pair of a hot word; how many n-grams were counted 1 to 4 times
+
+
+def _told(kind: int, shard, *columns):
+    n = len(columns[0])
+    columns = [*columns, *[np.zeros(n, np.int64)] * (7 - len(columns))]
+    yield from _in_rows(TOLD, np.full(n, kind, np.int8), np.broadcast_to(np.asarray(shard, np.int32), n), *columns)
+
+
+def _seen(order: int, counts: np.ndarray):
+    n = np.bincount(np.minimum(counts, 5), minlength=6)[1:5]
+    yield from _told(SEEN, 0, np.array([order]), np.zeros(1, np.int64), *[np.array([x]) for x in (n[3], len(counts), *n[:3])])
+
+
+def _pairs(model: Model, kind: str, shard: int, b: np.ndarray, c: np.ndarray, counts: np.ndarray):
+    """Write pairs (sorted by b) of a shard; tell what they say about their words."""
+    write_file(model.uri(kind, shard), hash_file(_joint(b, c), counts))
+    yield from _seen(2, counts)
+    first, total, *kinds = distinct((b,), counts, *_kinds(counts))
+    second, before = distinct((c,))
+    none = np.zeros(len(first), np.int64)
+    yield from _told(WORD, np.searchsorted(model.bases, first, "right") - 1, first, none, none, total, *kinds)
+    yield from _told(WORD, np.searchsorted(model.bases, second, "right") - 1, second, np.zeros(len(second), np.int64), before)
+
+
+def train(df: DataFrame, folder: str | None = None, order: int = ORDER) -> Model:
     """Count the training rows of ``df`` (doc_id, text) and write the model to the shared folder."""
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     spark = df.sparkSession
     small_batches(spark)
+    cleanup = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")  # shuffle files of a round go with its query
+    try:
+        return _train(df, folder or shared_dir(spark, "kneser-ney"), order)
+    finally:
+        spark.conf.set(CLEANUP, cleanup)
+
+
+def _train(df: DataFrame, folder: str, order: int) -> Model:
+    spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    model = Model(folder or shared_dir(spark, "kneser-ney"), max(0, (n - 1).bit_length()), n)
+    model = Model(folder, order, max(0, (n - 1).bit_length()))
+    word_shards = 1 << model.word_bits
     source = df.select("doc_id", F.col("text").cast("string").alias("text"))
-    folder, shards = model.folder, 1 << model.word_bits
 
     # 1. words
     rows = pa.schema([("shard", pa.int32()), ("key", pa.int64()), ("times", pa.int64())])
-
-    def flushed(parts, shard_of):
-        keys, times = add_up(np.concatenate([k for k, _ in parts]), np.concatenate([t for _, t in parts]))
-        shard = shard_of(keys)
-        for a in range(0, len(keys), 1 << 18):
-            yield batch_of(rows, shard[a : a + (1 << 18)].astype(np.int32), keys[a : a + (1 << 18)], times[a : a + (1 << 18)])
+    totals = pa.schema([("shard", pa.int32()), ("size", pa.int64()), ("total", pa.int64())])
 
     def count_words(batches):
-        hashes, parts, size = WordHashes(), [], 0
-        start = hashes[START]
-        for batch in slices(batches, "text"):
-            batch = _training(batch)
-            if batch.num_rows:
-                flat, _ = _tokens(strings(batch["text"]), hashes)
-                keys, times = np.unique(flat, return_counts=True)
-                parts.append((np.append(keys, start), np.append(times, batch.num_rows)))
-                size += len(keys)
-                if size > FLUSH:
-                    yield from flushed(parts, model.word_shard)
-                    parts, size = [], 0
-        if parts:
-            yield from flushed(parts, model.word_shard)
-
-    def gathered(batches):
-        found = [(b["shard"].to_numpy(), b["key"].to_numpy(), b["times"].to_numpy()) for b in batches]
-        shard, key, times = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int),) * 3
-        for k in np.unique(shard).tolist():  # one, as rows are dealt by it
-            yield k, *add_up(key[shard == k], times[shard == k])
+        def counted(batch):
+            keys, tokens, sizes = _words(batch)
+            times = np.bincount(tokens, minlength=len(keys))
+            times[-2] = len(sizes)
+            return keys, times
 
-    totals = pa.schema([("shard", pa.int32()), ("size", pa.int64()), ("total", pa.int64())])
+        yield from _flushed(batches, counted, lambda keys, times: _in_rows(rows, model.word_shard(keys).astype(np.int32), keys, times))
 
     def write_words(batches):
-        for k, key, times in gathered(batches):
-            write_file(f"{folder}/words-{k:06d}.bin", [key.astype("<i8")])
-            write_file(f"{folder}/count-{k:06d}.bin", [times.astype("<i8")])
-            yield batch_of(totals, [k], [len(key)], [int(times.sum())])
+        if own := _gathered(batches, ("shard", "key", "times")):
+            shard, key, times = distinct(tuple(own[:2]), own[2])
+            write_file(model.uri("words", int(shard[0])), [key.astype("<i8")])
+            write_file(model.uri("count", int(shard[0])), [_narrow(times)])
+            yield batch_of(totals, [int(shard[0])], [len(key)], [int(times.sum())])
 
-    words = source.mapInArrow(count_words, "shard int, key long, times long").repartitionById(shards, "shard")
+    words = source.mapInArrow(count_words, "shard int, key long, times long").repartitionById(word_shards, "shard")
     for row in words.mapInArrow(write_words, "shard int, size long, total long").collect():  # a row a shard
         model.bases[row["shard"] + 1] = row["size"]
         model.n += row["total"]
     model.bases = np.cumsum(model.bases)
     if not model.n:
         return model
-    if model.bases[-1] >= 1 << 31:
-        raise ValueError("more distinct words than 31 bits number")
-    ends = np.array([WordHashes()[START]], np.int64)
-    model.documents = int(model.look_up(ends, (("count", "<i8"),))[1][0])
-    model.n -= model.documents
+    number, count = model.look_up(np.array([END, START], np.int64), "count")
+    start = int(number[1])
+    model.n -= int(count[1, 0])
     model.v = int(model.bases[-1]) - 1
-    most = max(1, model.n // (4 * model.bigram_shards))
+    parts = max(n, -(-model.n // (ROUNDS * SHARD_TOKENS)))
+    model.shards = parts * ROUNDS
+    most = max(1, model.n // (4 * model.shards))
     sizes = np.diff(model.bases)
 
     def hot_words(batches):
         for batch in batches:
             for k in batch["id"].to_pylist():
                 if sizes[k]:
-                    at = np.flatnonzero(model.file("count", k, "<i8") > most)
+                    raw = map_file(model.uri("count", k), np.uint8)
+                    at = np.flatnonzero(raw.view(f"<u{len(raw) // int(sizes[k])}") > most)
                     yield batch_of(pa.schema([("id", pa.int64())]), at + model.bases[k])
 
-    # at most 4 * bigram_shards words can have so many tokens (and the start)
-    model.hot = np.array(sorted(r["id"] for r in spark.range(shards).mapInArrow(hot_words, "id long").collect()), np.int64)
-
-    # 2. bigrams
-    def count_bigrams(batches):
-        hashes, parts, size = WordHashes(), [], 0
-        start = hashes[START]
-        for batch in slices(batches, "text"):
-            batch = _training(batch)
-            if not batch.num_rows:
-                continue
-            flat, sizes = _tokens(strings(batch["text"]), hashes)
-            keys, back = np.unique(np.append(flat, start), return_inverse=True)
-            number = model.look_up(keys)[0][back]
-            second, first = number[:-1], np.append(number[-1], number[:-2])
-            first[np.cumsum(sizes)[:-1]] = number[-1]
-            parts.append(np.unique((first << 32) | second, return_counts=True))
-            size += len(parts[-1][0])
-            if size > FLUSH:
-                yield from flushed(parts, lambda k: model.bigram_shard(k >> 32, k))
-                parts, size = [], 0
-        if parts:
-            yield from flushed(parts, lambda k: model.bigram_shard(k >> 32, k))
-
-    stats = pa.schema([("shard", pa.int32()), ("id", pa.int64()), ("before", pa.int64()), ("n1", pa.int64()), ("n2", pa.int64()), ("n3", pa.int64())])
-
-    def write_bigrams(batches):
-        for k, key, times in gathered(batches):
-            write_file(f"{folder}/bigrams-{k:06d}.bin", [key.astype("<i8")])
-            write_file(f"{folder}/times-{k:06d}.bin", [np.minimum(times, 0xFFFFFFFF).astype("<u4")])
-            one, two, more = ((times == 1).astype(np.int64), (times == 2).astype(np.int64), (times > 2).astype(np.int64))
-            first, one, two, more = add_up(key >> 32, one, two, more)
-            second, before = np.unique(key & 0xFFFFFFFF, return_counts=True)
-            none = np.zeros(len(second), np.int64)
-            own, *sums = add_up(np.concatenate([first, second]), np.concatenate([np.zeros(len(first), np.int64), before]), np.concatenate([one, none]), np.concatenate([two, none]), np.concatenate([more, none]))
-            shard = np.searchsorted(model.bases, own, "right") - 1
-            for a in range(0, len(own), 1 << 18):
-                yield batch_of(stats, shard[a : a + (1 << 18)].astype(np.int32), own[a : a + (1 << 18)], *[s[a : a + (1 << 18)] for s in sums])
-
-    # 3. what the bigrams tell about each word
-    columns = ("before", "n1", "n2", "n3")
-
+    # at most 4 * shards words can have so many tokens (and the start)
+    model.hot = np.array(sorted(r["id"] for r in spark.range(word_shards).mapInArrow(hot_words, "id long").collect()), np.int64)
+
+    # 2. triples (pairs, at order 2, whose first column is 0), a round's shards at a time
+    kind = "int" if model.bases[-1] < 1 << 31 else "long"
+    grams = pa.schema([("part", pa.int32()), *[(c, pa.int32() if kind == "int" else pa.int64()) for c in "abc"], ("times", pa.int64())])
+
+    def count_grams(k):
+        def run(batches):
+            def counted(batch):
+                keys, tokens, sizes = _words(batch)
+                order_of = np.argsort(keys)
+                number = np.empty(len(keys), np.int64)
+                number[order_of] = model.look_up(keys[order_of])[0]
+                c = number[tokens]
+                b = _before(c, sizes, start)
+                a = _before(b, sizes, start) if model.order == 3 else np.zeros(len(c), np.int64)
+                own = model.shard(a, b, c) % ROUNDS == k
+                return distinct((b[own], a[own], c[own]))
+
+            def emit(b, a, c, times):
+                yield from _in_rows(grams, (model.shard(a, b, c) // ROUNDS).astype(np.int32), a, b, c, times)
+
+            yield from _flushed(batches, counted, emit)
+
+        return run
+
+    def write_grams(k):
+        def run(batches):
+            own = _gathered(batches, ("part", "a", "b", "c", "times"))
+            if not own:
+                return
+            shard = int(own[0][0]) * ROUNDS + k
+            b, a, c, times = distinct((own[2], own[1], own[3]), own[4])
+            if model.order == 2:
+                yield from _pairs(model, "pair", shard, b, c, times)
+                return
+            write_file(model.uri("triple", shard), hash_file(_joint(a, b, c), times))
+            yield from _seen(3, times)
+            first, second, total, *kinds = distinct((b, a), times, *_kinds(times))
+            write_file(model.uri("context", shard), hash_file(_joint(second, first), total, *kinds))
+            b, c, before = distinct((b, c))
+            hot = model.is_hot(b)
+            yield from _told(PAIR, (_joint(b[hot], c[hot]) % np.uint64(model.shards)).astype(np.int32), b[hot], c[hot], before[hot])
+            if not hot.all():
+                yield from _pairs(model, "pair", shard, b[~hot], c[~hot], before[~hot])
+
+        return run
+
+    rounds = []
+    for k in range(ROUNDS):
+        counted = source.mapInArrow(count_grams(k), f"part int, a {kind}, b {kind}, c {kind}, times long")
+        rounds.append(cut(counted.repartitionById(parts, "part").mapInArrow(write_grams(k), TOLD_SQL), "told"))
+
+    # pairs of frequent words, from all their shards
+    def write_hot(batches):
+        own = _gathered(batches, ("shard", "id", "other", "before"))
+        if own:
+            b, c, before = distinct((own[1], own[2]), own[3])
+            yield from _pairs(model, "hot", int(own[0][0]), b, c, before)
+
+    told = reduce(DataFrame.unionByName, rounds)
+    hot = told.where(F.col("kind") == PAIR).repartitionById(model.shards, "shard")
+    rounds.append(cut(hot.mapInArrow(write_hot, TOLD_SQL), "told"))
+    told = told.unionByName(rounds[-1])
+
+    # 3. what the pairs tell about each word
     def write_stats(batches):
-        found = [tuple(b[c].to_numpy() for c in ("shard", "id", *columns)) for b in batches]
-        if not found:
-            return
-        shard, key, *values = (np.concatenate(x) for x in zip(*found, strict=True))
-        for k in np.unique(shard).tolist():
-            own = shard == k
-            table = np.zeros((sizes[k], 4), "<u4")
-            place, *sums = add_up(key[own] - model.bases[k], *[v[own] for v in values])
-            for c, s in enumerate(sums):
-                table[place, c] = s
-            write_file(f"{folder}/stats-{k:06d}.bin", [table])
-            seen = np.bincount(np.minimum(table[:, 0], 5), minlength=6)
-            yield batch_of(lower, [k], [int(table[:, 0].sum())], [seen[1:5].tolist()])
-
-    lower = pa.schema([("shard", pa.int32()), ("total", pa.int64()), ("seen", pa.list_(pa.int64()))])
-    bigrams = source.mapInArrow(count_bigrams, "shard int, key long, times long").repartitionById(n, "shard")
-    told = bigrams.mapInArrow(write_bigrams, "shard int, id long, before long, n1 long, n2 long, n3 long").repartitionById(shards, "shard")
-    rows_lower = told.mapInArrow(write_stats, "shard int, total long, seen array<long>").collect()  # a row a shard
-
-    def count_times(batches):
-        for batch in batches:
-            for k in batch["id"].to_pylist():
-                try:
-                    seen = np.bincount(np.minimum(model.file("times", k, "<u4"), 5), minlength=6)
-                except FileNotFoundError:  # no bigram fell there
-                    seen = np.zeros(6, int)
-                    write_file(f"{folder}/bigrams-{k:06d}.bin", [b""])
-                    write_file(f"{folder}/times-{k:06d}.bin", [b""])
-                yield batch_of(lower, [k], [int(seen.sum())], [seen[1:5].tolist()])
-
-    rows_upper = spark.range(n).mapInArrow(count_times, "shard int, total long, seen array<long>").collect()  # a row a shard
-    model.discounts = _discounts(np.sum([r["seen"] for r in rows_upper], 0))
-    model.lower = _discounts(seen := np.sum([r["seen"] for r in rows_lower], 0))
-    model.bigrams = int(sum(r["total"] for r in rows_lower))
-    d1, d2, d3 = model.lower
-    model.rest = (d1 * seen[0] + d2 * seen[1] + d3 * (model.v - seen[0] - seen[1])) / model.bigrams
+        own = _gathered(batches, ("shard", "id", "before", "total", "n1", "n2", "n3"))
+        if own:
+            k = int(own[0][0])
+            place, *sums = distinct((own[1] - model.bases[k],), *own[2:])
+            table = np.zeros((sizes[k], 5), np.int64)
+            table[place] = np.stack(sums, 1)
+            write_file(model.uri("stats", k), [_narrow(table)])
+            yield from _seen(1, table[table[:, 0] > 0, 0])
+            yield from _told(SEEN, 0, np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([0]), np.array([table[:, 0].sum()]))
+
+    rows = told.where(F.col("kind") == WORD).repartitionById(word_shards, "shard")
+    stats = cut(rows.mapInArrow(write_stats, TOLD_SQL), "told")
+    sums = [F.sum(c).alias(c) for c in ("n1", "n2", "n3", "before", "total")]
+    seen = {r["id"]: r for r in told.unionByName(stats).where(F.col("kind") == SEEN).groupBy("id").agg(*sums).collect()}  # a row an order
+    drop(*rounds, stats)
+    for k in range(1, order + 1):
+        model.discounts[k] = _discounts([seen[k][c] for c in ("n1", "n2", "n3", "before")])
+    model.pairs = seen[0]["total"]
+    d1, d2, d3 = model.discounts[1]
+    one, two = seen[1]["n1"], seen[1]["n2"]
+    model.rest = (d1 * one + d2 * two + d3 * (seen[1]["total"] - one - two)) / model.pairs
     return model
 
 
+def _probabilities(model: Model, numbers: np.ndarray, stats: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Each token's probability after those before it; ``numbers`` and ``stats`` are those of the distinct words."""
+    before, total, *kinds = stats.T
+    d = model.discounts
+    p = (np.maximum(before - _off(before, d[1]), 0) / max(1, model.pairs) + model.rest / (model.v + 1))[tokens]
+    if not model.n:
+        return p
+    left = np.stack(kinds, 1) @ np.array(d[2])
+    at = _before(tokens, sizes, len(numbers) - 2)
+    a, b, c = numbers[_before(at, sizes, len(numbers) - 2)], numbers[at], numbers[tokens]
+    shard, pair, hot = model.shard(a, b, c), _joint(b, c), model.is_hot(b)
+    known = (b >= 0) & (c >= 0)
+    times = np.zeros(len(c), np.int64)
+    plain, other = np.flatnonzero(known & ~(hot & (model.order == 3))), np.flatnonzero(known & hot & (model.order == 3))
+    times[plain] = model.rows("pair", pair[plain], shard[plain], 1)[:, 0]
+    times[other] = model.rows("hot", pair[other], (pair[other] % np.uint64(model.shards)).astype(np.int64), 1)[:, 0]
+    whole = total[at]
+    p = np.where(whole > 0, (np.maximum(times - _off(times, d[2]), 0) + left[at] * p) / np.maximum(whole, 1), p)
+    if model.order == 2:
+        return p
+    met = np.flatnonzero((a >= 0) & (b >= 0))
+    whole, *kinds = model.rows("context", _joint(a[met], b[met]), shard[met], 4).T
+    left = np.stack(kinds, 1) @ np.array(d[3])
+    own = np.flatnonzero((whole > 0) & (times[met] > 0))  # else the triple was not in training
+    times = np.zeros(len(met), np.int64)
+    times[own] = model.rows("triple", _joint(a[met[own]], b[met[own]], c[met[own]]), shard[met[own]], 1)[:, 0]
+    p[met] = np.where(whole > 0, (np.maximum(times - _off(times, d[3]), 0) + left * p[met]) / np.maximum(whole, 1), p[met])
+    return p
+
+
 def score(df: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("perplexity", pa.float64())])
 
     def run(batches):
-        own, hashes = shared.value, WordHashes()
-        start = hashes[START]
-        for batch in slices(batches, "text"):
-            docs = batch["doc_id"].to_pylist()
-            flat, sizes = _tokens(strings(batch["text"]), hashes)
-            keys, back = np.unique(np.append(flat, start), return_inverse=True)
-            number, count, stats = own.look_up(keys, (("count", "<i8"), ("stats", "<u4"))) if own.n else (np.full(len(keys), -1), np.zeros(len(keys), np.int64), np.zeros((len(keys), 4), np.int64))
-            total, starts = count.copy(), np.cumsum(sizes) - sizes
-            before = stats[:, 0]
-            uniform = 1 / (own.v + 1)
-            p1 = np.maximum(before - _off(before, own.lower), 0) / max(1, own.bigrams) + own.rest * uniform
-            left = stats[:, 1:] @ np.array(own.discounts)
-            second, first = back[:-1], np.append(back[-1], back[:-2])
-            first[starts] = back[-1]
-            times = own.counts(number[first], number[second]) if own.n else np.zeros(len(second), np.int64)
-            whole = total[first]
-            p = np.where(whole > 0, (np.maximum(times - _off(times, own.discounts), 0) + left[first] * p1[second]) / np.maximum(whole, 1), p1[second])
-            base = np.log10((count + 0.1) / (own.n + 0.1 * (own.v + 1)))[second]
-            known = (count[second] > 0).astype(np.int64)
-            scores = np.add.reduceat(np.log10(p), starts)
+        own = shared.value
+        for batch in slices(batches, "text", 4 << 20):
+            keys, tokens, sizes = _words(batch)
+            order = np.argsort(keys)
+            back = np.argsort(order)
+            number, count, stats = (x[back] for x in own.look_up(keys[order], "count", "stats")) if own.n else (np.full(len(keys), -1), np.zeros((len(keys), 1), np.int64), np.zeros((len(keys), 5), np.int64))
+            starts = np.cumsum(sizes) - sizes
+            base = np.log10((count[:, 0] + 0.1) / (own.n + 0.1 * (own.v + 1)))[tokens]
+            known = (count[tokens, 0] > 0).astype(np.int64)
+            scores = np.add.reduceat(np.log10(_probabilities(own, number, stats, tokens, sizes)), starts)
             yield batch_of(
                 schema,
                 batch["doc_id"].cast(pa.int64()),
-                [not in_training(d) for d in docs],
+                [not in_training(d) for d in batch["doc_id"].to_pylist()],
                 sizes,
                 np.add.reduceat(known, starts),
-                np.full(len(docs), own.n),
+                np.full(len(sizes), own.n),
                 np.add.reduceat(base, starts),
                 scores,
                 10 ** np.minimum(-scores / sizes, 300),
