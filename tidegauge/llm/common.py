@@ -90,7 +90,7 @@ def map_file(uri: str, dtype) -> np.ndarray:
     system, else read through the store's client."""
     fs, path = _where(uri)
     if isinstance(fs, pyarrow.fs.LocalFileSystem):
-        return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.empty(0, dtype)
+        return np.memmap(path, dtype=dtype, mode="r").view(np.ndarray) if os.path.getsize(path) else np.empty(0, dtype)
     with fs.open_input_stream(path) as stream:
         return np.frombuffer(stream.read(), dtype=dtype)
 

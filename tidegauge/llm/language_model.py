@@ -13,7 +13,7 @@ two start marks precede a text. Training:
 
 A shard is a sorted file for each kind in the shared folder: buckets by the leading bits of a hash, the next 32 bits, and
 numbers of rows in a table of the distinct counts. Two n-grams of a shard are taken for one where these bits agree, a
-chance of 2 ** -26 a lookup at any size. Scoring tasks map the files a slice of texts needs; nothing of the model passes
+chance of 2 ** -28 a lookup at any size. Scoring tasks map the files a slice of texts needs; nothing of the model passes
 through the driver but its totals and the frequent words' numbers. All arrays grow with the corpus.
 
 Edge cases: a null text is empty and has the end token only; a row with a null id trains as the empty id text; rows
@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 from tidegauge.llm.common import PRIME, batch_of, cut, drop, hash_words, map_file, mix, shared_dir, slices, small_batches, split_words, write_file
 
 ORDER = 3
-ROUNDS = 3
+ROUNDS = 2
 SHARD_TOKENS = 4 << 20
 FLUSH = 8 << 20
-ROWS = 1 << 18
+ROW_BYTES = 16 << 20  # of a batch of packed rows
 END, START = 3, 5  # hashes of the two marks
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -50,14 +50,20 @@ def in_training(doc_id) -> bool:
 def distinct(columns: tuple[np.ndarray, ...], *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct rows of non-negative columns in order, and the sums of each array of values (of ones, without any)."""
     n = len(columns[0])
-    values = values or (np.ones(n, np.int64),)
     if not n:
-        return (*columns, *values)
+        return (*columns, *(values or (np.zeros(0, np.int64),)))
     bits = [int(c.max()).bit_length() for c in columns]
-    if sum(bits) <= 63:
-        order = np.argsort(reduce(lambda key, x: (key << x[1]) | x[0], zip(columns, bits, strict=True), np.zeros(n, np.int64)))
-    else:
-        order = np.lexsort(columns[::-1])
+    key = reduce(lambda key, x: (key << x[1]) | x[0], zip(columns, bits, strict=True), np.zeros(n, np.int64)) if sum(bits) <= 63 else None
+    if key is not None and not values:
+        key = np.sort(key)
+        at = _starts(key)
+        key, out = key[at], []
+        for b in bits[::-1]:
+            out.insert(0, key & ((1 << b) - 1))
+            key = key >> b
+        return (*out, np.diff(np.append(at, n)))
+    values = values or (np.ones(n, np.int64),)
+    order = np.lexsort(columns[::-1]) if key is None else np.argsort(key)
     columns = tuple(c[order] for c in columns)
     at = _starts(*columns)
     return (*[c[at] for c in columns], *[np.add.reduceat(v[order], at) for v in values])
@@ -82,7 +88,7 @@ def hash_file(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     rows = np.unique(code, return_index=True)[1]
     table = np.stack([v[rows] for v in values], 1).astype("<i8")
     width = 1 if len(rows) <= 1 << 8 else 2 if len(rows) <= 1 << 16 else 4
-    bits = max(0, n.bit_length() - 6)
+    bits = max(0, n.bit_length() - 4)
     bucket = keys >> np.uint64(64 - bits) if bits else np.zeros(n, np.uint64)
     offsets = np.searchsorted(bucket, np.arange((1 << bits) + 1, dtype=np.uint64))
     rest = (keys << np.uint64(bits)) >> np.uint64(32)
@@ -114,7 +120,9 @@ class HashArray:
             high = np.where(less, high, middle)
             low = np.where(less, middle + 1, low)
         at = np.minimum(low, self.n - 1)
-        return np.where(((low < end) & (self.rest[at] == rest))[:, None], self.table[self.index[at]], 0)
+        out = self.table[self.index[at]]
+        out[(low >= end) | (self.rest[at] != rest)] = 0
+        return out
 
 
 class Model:
@@ -136,8 +144,9 @@ class Model:
         return hashes >> (63 - self.word_bits)
 
     def shard(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-        spread = a if self.order == 3 else c
-        return (np.where(self.is_hot(b), _joint(b, spread), _joint(b)) % np.uint64(self.shards)).astype(np.int64)
+        out, hot = _joint(b), np.flatnonzero(self.is_hot(b))
+        out[hot] = _joint(b[hot], (a if self.order == 3 else c)[hot])
+        return (out % np.uint64(self.shards)).astype(np.int64)
 
     def is_hot(self, b: np.ndarray) -> np.ndarray:
         return np.isin(b, self.hot)
@@ -217,6 +226,52 @@ def _narrow(table: np.ndarray) -> np.ndarray:
     return table.astype("<u4" if table.max(initial=0) < 1 << 32 else "<u8")
 
 
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of non-negative numbers, each in the fewest bytes that hold it."""
+    kinds = [next(k for k in (0, 1, 2, 3) if int(c.max(initial=0)) < 1 << (8 << k)) for c in columns]
+    parts = [np.array([len(columns[0]), *kinds], "<i8"), *[c.astype(f"<u{1 << k}") for c, k in zip(columns, kinds, strict=True)]]
+    return b"".join(p.tobytes() for p in parts)
+
+
+def unpack(data: bytes, columns: int) -> list[np.ndarray]:
+    n, *kinds = np.frombuffer(data, "<i8", columns + 1).tolist()
+    out, at = [], 8 * (columns + 1)
+    for k in kinds:
+        out.append(np.frombuffer(data, f"<u{1 << k}", n, at).astype(np.int64))
+        at += n << k
+    return out
+
+
+PACKED = pa.schema([("kind", pa.int8()), ("shard", pa.int32()), ("data", pa.binary())])
+PACKED_SQL = "kind byte, shard int, data binary"
+WORD, PAIR, SEEN, GRAM = range(4)  # kinds: counts of words; pairs of hot words; how many n-grams were counted 1 to 4 times; n-grams
+
+
+def _dealt(kind: int, shard: np.ndarray, *columns: np.ndarray):
+    """Batches of (kind, shard, data), the columns packed by shard, in the order they have."""
+    order = np.argsort(shard, kind="stable")
+    rows, size = [], 0
+    for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+        if len(own):
+            rows.append((kind, int(shard[own[0]]), pack(*[c[own] for c in columns])))
+            size += len(rows[-1][2])
+        if size > ROW_BYTES:
+            yield batch_of(PACKED, *map(list, zip(*rows, strict=True)))
+            rows, size = [], 0
+    if rows:
+        yield batch_of(PACKED, *map(list, zip(*rows, strict=True)))
+
+
+def _gathered(batches, columns: int) -> tuple[int, list[np.ndarray]] | None:
+    """The shard of all rows of a task, and their columns; None without rows."""
+    found, shard = [], None
+    for batch in batches:
+        for k, data in zip(batch["shard"].to_pylist(), batch["data"], strict=True):
+            shard = k
+            found.append(unpack(data.as_buffer(), columns))
+    return None if shard is None else (shard, [np.concatenate(x) for x in zip(*found, strict=True)])
+
+
 def _flushed(batches, counted, emit):
     """Add ``counted`` (columns and counts of a batch) up over batches and ``emit`` them whenever they are many."""
     parts, size = [], 0
@@ -234,41 +289,21 @@ def _flushed(batches, counted, emit):
         yield from emit(*distinct(tuple(columns), times))
 
 
-def _gathered(batches, names):
-    found = [[b[c].to_numpy().astype(np.int64) for c in names] for b in batches]
-    return [np.concatenate(x) for x in zip(*found, strict=True)] if found else []
-
-
-def _in_rows(schema: pa.Schema, *columns):
-    for a in range(0, len(columns[0]), ROWS):
-        yield batch_of(schema, *[c[a : a + ROWS] for c in columns])
-
-
-TOLD = pa.schema([("kind", pa.int8()), ("shard", pa.int32()), *[(c, pa.int64()) for c in ("id", "other", "before", "total", "n1", "n2", "n3")]])
-TOLD_SQL = "kind byte, shard int, id long, other long, before long, total long, n1 long, n2 long, n3 long"
-WORD, PAIR, SEEN = 0, 1, 2  # kinds of TOLD: counts of a word; a pair of a hot word; how many n-grams were counted 1 to 4 times
-
-
-def _told(kind: int, shard, *columns):
-    n = len(columns[0])
-    columns = [*columns, *[np.zeros(n, np.int64)] * (7 - len(columns))]
-    yield from _in_rows(TOLD, np.full(n, kind, np.int8), np.broadcast_to(np.asarray(shard, np.int32), n), *columns)
-
-
 def _seen(order: int, counts: np.ndarray):
-    n = np.bincount(np.minimum(counts, 5), minlength=6)[1:5]
-    yield from _told(SEEN, 0, np.array([order]), np.zeros(1, np.int64), *[np.array([x]) for x in (n[3], len(counts), *n[:3])])
+    """(order, n-grams counted 1, 2, 3 and 4 times, all n-grams, sum of the counts)."""
+    told = [order, *np.bincount(np.minimum(counts, 5), minlength=6)[1:5].tolist(), len(counts), int(counts.sum())]
+    yield from _dealt(SEEN, np.zeros(1, np.int64), *[np.array([x], np.int64) for x in told])
 
 
 def _pairs(model: Model, kind: str, shard: int, b: np.ndarray, c: np.ndarray, counts: np.ndarray):
-    """Write pairs (sorted by b) of a shard; tell what they say about their words."""
+    """Write pairs (sorted by b) of a shard; tell what they say about their words: id, before, total, n1, n2, n3."""
     write_file(model.uri(kind, shard), hash_file(_joint(b, c), counts))
     yield from _seen(2, counts)
     first, total, *kinds = distinct((b,), counts, *_kinds(counts))
     second, before = distinct((c,))
-    none = np.zeros(len(first), np.int64)
-    yield from _told(WORD, np.searchsorted(model.bases, first, "right") - 1, first, none, none, total, *kinds)
-    yield from _told(WORD, np.searchsorted(model.bases, second, "right") - 1, second, np.zeros(len(second), np.int64), before)
+    none, zero = np.zeros(len(first), np.int64), np.zeros(len(second), np.int64)
+    yield from _dealt(WORD, np.searchsorted(model.bases, first, "right") - 1, first, none, total, *kinds)
+    yield from _dealt(WORD, np.searchsorted(model.bases, second, "right") - 1, second, before, *[zero] * 4)
 
 
 def train(df: DataFrame, folder: str | None = None, order: int = ORDER) -> Model:
@@ -293,7 +328,6 @@ def _train(df: DataFrame, folder: str, order: int) -> Model:
     source = df.select("doc_id", F.col("text").cast("string").alias("text"))
 
     # 1. words
-    rows = pa.schema([("shard", pa.int32()), ("key", pa.int64()), ("times", pa.int64())])
     totals = pa.schema([("shard", pa.int32()), ("size", pa.int64()), ("total", pa.int64())])
 
     def count_words(batches):
@@ -303,16 +337,16 @@ def _train(df: DataFrame, folder: str, order: int) -> Model:
             times[-2] = len(sizes)
             return keys, times
 
-        yield from _flushed(batches, counted, lambda keys, times: _in_rows(rows, model.word_shard(keys).astype(np.int32), keys, times))
+        yield from _flushed(batches, counted, lambda keys, times: _dealt(WORD, model.word_shard(keys), keys, times))
 
     def write_words(batches):
-        if own := _gathered(batches, ("shard", "key", "times")):
-            shard, key, times = distinct(tuple(own[:2]), own[2])
-            write_file(model.uri("words", int(shard[0])), [key.astype("<i8")])
-            write_file(model.uri("count", int(shard[0])), [_narrow(times)])
-            yield batch_of(totals, [int(shard[0])], [len(key)], [int(times.sum())])
+        if own := _gathered(batches, 2):
+            shard, (key, times) = own[0], distinct((own[1][0],), own[1][1])
+            write_file(model.uri("words", shard), [key.astype("<i8")])
+            write_file(model.uri("count", shard), [_narrow(times)])
+            yield batch_of(totals, [shard], [len(key)], [int(times.sum())])
 
-    words = source.mapInArrow(count_words, "shard int, key long, times long").repartitionById(word_shards, "shard")
+    words = source.mapInArrow(count_words, PACKED_SQL).repartitionById(word_shards, "shard")
     for row in words.mapInArrow(write_words, "shard int, size long, total long").collect():  # a row a shard
         model.bases[row["shard"] + 1] = row["size"]
         model.n += row["total"]
@@ -340,9 +374,6 @@ def _train(df: DataFrame, folder: str, order: int) -> Model:
     model.hot = np.array(sorted(r["id"] for r in spark.range(word_shards).mapInArrow(hot_words, "id long").collect()), np.int64)
 
     # 2. triples (pairs, at order 2, whose first column is 0), a round's shards at a time
-    kind = "int" if model.bases[-1] < 1 << 31 else "long"
-    grams = pa.schema([("part", pa.int32()), *[(c, pa.int32() if kind == "int" else pa.int64()) for c in "abc"], ("times", pa.int64())])
-
     def count_grams(k):
         def run(batches):
             def counted(batch):
@@ -357,7 +388,7 @@ def _train(df: DataFrame, folder: str, order: int) -> Model:
                 return distinct((b[own], a[own], c[own]))
 
             def emit(b, a, c, times):
-                yield from _in_rows(grams, (model.shard(a, b, c) // ROUNDS).astype(np.int32), a, b, c, times)
+                yield from _dealt(GRAM, model.shard(a, b, c) // ROUNDS, b, a, c, times)
 
             yield from _flushed(batches, counted, emit)
 
@@ -365,21 +396,21 @@ def _train(df: DataFrame, folder: str, order: int) -> Model:
 
     def write_grams(k):
         def run(batches):
-            own = _gathered(batches, ("part", "a", "b", "c", "times"))
+            own = _gathered(batches, 4)
             if not own:
                 return
-            shard = int(own[0][0]) * ROUNDS + k
-            b, a, c, times = distinct((own[2], own[1], own[3]), own[4])
+            shard, (*columns, times) = own[0] * ROUNDS + k, own[1]
+            b, a, c, times = distinct(tuple(columns), times)
             if model.order == 2:
                 yield from _pairs(model, "pair", shard, b, c, times)
                 return
-            write_file(model.uri("triple", shard), hash_file(_joint(a, b, c), times))
+            write_file(model.uri("triple", shard), hash_file(_joint(_joint(b, c).view(np.int64), a), times))
             yield from _seen(3, times)
             first, second, total, *kinds = distinct((b, a), times, *_kinds(times))
             write_file(model.uri("context", shard), hash_file(_joint(second, first), total, *kinds))
             b, c, before = distinct((b, c))
             hot = model.is_hot(b)
-            yield from _told(PAIR, (_joint(b[hot], c[hot]) % np.uint64(model.shards)).astype(np.int32), b[hot], c[hot], before[hot])
+            yield from _dealt(PAIR, (_joint(b[hot], c[hot]) % np.uint64(model.shards)).astype(np.int64), b[hot], c[hot], before[hot])
             if not hot.all():
                 yield from _pairs(model, "pair", shard, b[~hot], c[~hot], before[~hot])
 
@@ -387,44 +418,42 @@ def _train(df: DataFrame, folder: str, order: int) -> Model:
 
     rounds = []
     for k in range(ROUNDS):
-        counted = source.mapInArrow(count_grams(k), f"part int, a {kind}, b {kind}, c {kind}, times long")
-        rounds.append(cut(counted.repartitionById(parts, "part").mapInArrow(write_grams(k), TOLD_SQL), "told"))
+        counted = source.mapInArrow(count_grams(k), PACKED_SQL).repartitionById(parts, "shard")
+        rounds.append(cut(counted.mapInArrow(write_grams(k), PACKED_SQL), "told"))
 
     # pairs of frequent words, from all their shards
     def write_hot(batches):
-        own = _gathered(batches, ("shard", "id", "other", "before"))
-        if own:
-            b, c, before = distinct((own[1], own[2]), own[3])
-            yield from _pairs(model, "hot", int(own[0][0]), b, c, before)
+        if own := _gathered(batches, 3):
+            shard, (b, c, before) = own
+            yield from _pairs(model, "hot", shard, *distinct((b, c), before))
 
     told = reduce(DataFrame.unionByName, rounds)
     hot = told.where(F.col("kind") == PAIR).repartitionById(model.shards, "shard")
-    rounds.append(cut(hot.mapInArrow(write_hot, TOLD_SQL), "told"))
+    rounds.append(cut(hot.mapInArrow(write_hot, PACKED_SQL), "told"))
     told = told.unionByName(rounds[-1])
 
     # 3. what the pairs tell about each word
     def write_stats(batches):
-        own = _gathered(batches, ("shard", "id", "before", "total", "n1", "n2", "n3"))
-        if own:
-            k = int(own[0][0])
-            place, *sums = distinct((own[1] - model.bases[k],), *own[2:])
+        if own := _gathered(batches, 6):
+            k, (words, *counts) = own
+            place, *sums = distinct((words - model.bases[k],), *counts)
             table = np.zeros((sizes[k], 5), np.int64)
             table[place] = np.stack(sums, 1)
             write_file(model.uri("stats", k), [_narrow(table)])
             yield from _seen(1, table[table[:, 0] > 0, 0])
-            yield from _told(SEEN, 0, np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([0]), np.array([table[:, 0].sum()]))
 
     rows = told.where(F.col("kind") == WORD).repartitionById(word_shards, "shard")
-    stats = cut(rows.mapInArrow(write_stats, TOLD_SQL), "told")
-    sums = [F.sum(c).alias(c) for c in ("n1", "n2", "n3", "before", "total")]
-    seen = {r["id"]: r for r in told.unionByName(stats).where(F.col("kind") == SEEN).groupBy("id").agg(*sums).collect()}  # a row an order
+    stats = cut(rows.mapInArrow(write_stats, PACKED_SQL), "told")
+    seen = np.zeros((4, 6), np.int64)
+    for row in told.unionByName(stats).where(F.col("kind") == SEEN).collect():  # a row of 7 numbers a shard
+        own = [int(x[0]) for x in unpack(row["data"], 7)]
+        seen[own[0]] += own[1:]
     drop(*rounds, stats)
     for k in range(1, order + 1):
-        model.discounts[k] = _discounts([seen[k][c] for c in ("n1", "n2", "n3", "before")])
-    model.pairs = seen[0]["total"]
+        model.discounts[k] = _discounts(seen[k, :4])
+    one, two, _, _, n, model.pairs = (int(x) for x in seen[1])
     d1, d2, d3 = model.discounts[1]
-    one, two = seen[1]["n1"], seen[1]["n2"]
-    model.rest = (d1 * one + d2 * two + d3 * (seen[1]["total"] - one - two)) / model.pairs
+    model.rest = (d1 * one + d2 * two + d3 * (n - one - two)) / model.pairs
     return model
 
 
@@ -453,7 +482,7 @@ def _probabilities(model: Model, numbers: np.ndarray, stats: np.ndarray, tokens:
     left = np.stack(kinds, 1) @ np.array(d[3])
     own = np.flatnonzero((whole > 0) & (times[met] > 0))  # else the triple was not in training
     times = np.zeros(len(met), np.int64)
-    times[own] = model.rows("triple", _joint(a[met[own]], b[met[own]], c[met[own]]), shard[met[own]], 1)[:, 0]
+    times[own] = model.rows("triple", _joint(pair[met[own]].view(np.int64), a[met[own]]), shard[met[own]], 1)[:, 0]
     p[met] = np.where(whole > 0, (np.maximum(times - _off(times, d[3]), 0) + left * p[met]) / np.maximum(whole, 1), p[met])
     return p
 
@@ -465,7 +494,7 @@ def score(df: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         own = shared.value
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text"):
             keys, tokens, sizes = _words(batch)
             order = np.argsort(keys)
             back = np.argsort(order)
