@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm import bpe, decontaminate, lines, ngram_join, quality
-from tidegauge.llm.common import cut, table
+from tidegauge.llm.common import cut, drop, table
 
 MIN_LINE_DOCUMENTS = 10
 
@@ -39,8 +39,9 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of benchmark items are cut out of the texts."""
-    cleaned = decontaminate.clean(docs.withColumn("__before", F.length("text")), table(spark, sf_dir, "benchmark"))
-    changed = F.length("text") != F.col("__before")
+    before = next(x for x in (f"before{'_' * k}" for k in range(len(docs.columns) + 1)) if x not in docs.columns)
+    cleaned = decontaminate.clean(docs.withColumn(before, F.length("text")), table(spark, sf_dir, "benchmark"))
+    changed = F.length("text") != F.col(before)
     return cleaned.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
@@ -63,8 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; a stage's rows are deleted once the next one has been written."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES):
+        before, docs = docs, cut(stage(spark, docs, sf_dir), name)
+        if k:
+            drop(before)
     return docs
