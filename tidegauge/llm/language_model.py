@@ -301,9 +301,9 @@ def _pairs(model: Model, kind: str, shard: int, b: np.ndarray, c: np.ndarray, co
     yield from _seen(2, counts)
     first, total, *kinds = distinct((b,), counts, *_kinds(counts))
     second, before = distinct((c,))
-    none, zero = np.zeros(len(first), np.int64), np.zeros(len(second), np.int64)
-    yield from _dealt(WORD, np.searchsorted(model.bases, first, "right") - 1, first, none, total, *kinds)
-    yield from _dealt(WORD, np.searchsorted(model.bases, second, "right") - 1, second, before, *[zero] * 4)
+    joined = [np.concatenate([np.zeros(len(first), np.int64), before]), *[np.append(x, np.zeros(len(second), np.int64)) for x in (total, *kinds)]]
+    words, *sums = distinct((np.append(first, second),), *joined)
+    yield from _dealt(WORD, np.searchsorted(model.bases, words, "right") - 1, words, *sums)
 
 
 def train(df: DataFrame, folder: str | None = None, order: int = ORDER) -> Model:
@@ -375,7 +375,7 @@ def _train(df: DataFrame, folder: str, order: int) -> Model:
 
     # 2. triples (pairs, at order 2, whose first column is 0), a round's shards at a time
     def count_grams(k):
-        def run(batches):
+        def count(batches):
             def counted(batch):
                 keys, tokens, sizes = _words(batch)
                 order_of = np.argsort(keys)
@@ -392,10 +392,10 @@ def _train(df: DataFrame, folder: str, order: int) -> Model:
 
             yield from _flushed(batches, counted, emit)
 
-        return run
+        return count
 
     def write_grams(k):
-        def run(batches):
+        def write(batches):
             own = _gathered(batches, 4)
             if not own:
                 return
@@ -414,7 +414,7 @@ def _train(df: DataFrame, folder: str, order: int) -> Model:
             if not hot.all():
                 yield from _pairs(model, "pair", shard, b[~hot], c[~hot], before[~hot])
 
-        return run
+        return write
 
     rounds = []
     for k in range(ROUNDS):
