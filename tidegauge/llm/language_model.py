@@ -130,6 +130,7 @@ class Model:
 
     def __init__(self, folder: str, order: int, word_bits: int):
         self.folder, self.order, self.word_bits, self.shards = folder, order, word_bits, 1
+        self.hot_shards = 1
         self.bases = np.zeros((1 << word_bits) + 1, np.int64)
         self.hot = np.empty(0, np.int64)
         self.n = self.v = self.pairs = 0
@@ -358,7 +359,7 @@ def _train(df: DataFrame, folder: str, order: int) -> Model:
     model.n -= int(count[1, 0])
     model.v = int(model.bases[-1]) - 1
     parts = max(n, -(-model.n // (ROUNDS * SHARD_TOKENS)))
-    model.shards = parts * ROUNDS
+    model.shards, model.hot_shards = parts * ROUNDS, parts  # frequent words' pairs are few beside all triples
     most = max(1, model.n // (4 * model.shards))
     sizes = np.diff(model.bases)
 
@@ -410,7 +411,7 @@ def _train(df: DataFrame, folder: str, order: int) -> Model:
             write_file(model.uri("context", shard), hash_file(_joint(second, first), total, *kinds))
             b, c, before = distinct((b, c))
             hot = model.is_hot(b)
-            yield from _dealt(PAIR, (_joint(b[hot], c[hot]) % np.uint64(model.shards)).astype(np.int64), b[hot], c[hot], before[hot])
+            yield from _dealt(PAIR, (_joint(b[hot], c[hot]) % np.uint64(model.hot_shards)).astype(np.int64), b[hot], c[hot], before[hot])
             if not hot.all():
                 yield from _pairs(model, "pair", shard, b[~hot], c[~hot], before[~hot])
 
@@ -428,7 +429,7 @@ def _train(df: DataFrame, folder: str, order: int) -> Model:
             yield from _pairs(model, "hot", shard, *distinct((b, c), before))
 
     told = reduce(DataFrame.unionByName, rounds)
-    hot = told.where(F.col("kind") == PAIR).repartitionById(model.shards, "shard")
+    hot = told.where(F.col("kind") == PAIR).repartitionById(parts, "shard")
     rounds.append(cut(hot.mapInArrow(write_hot, PACKED_SQL), "told"))
     told = told.unionByName(rounds[-1])
 
@@ -472,7 +473,7 @@ def _probabilities(model: Model, numbers: np.ndarray, stats: np.ndarray, tokens:
     times = np.zeros(len(c), np.int64)
     plain, other = np.flatnonzero(known & ~(hot & (model.order == 3))), np.flatnonzero(known & hot & (model.order == 3))
     times[plain] = model.rows("pair", pair[plain], shard[plain], 1)[:, 0]
-    times[other] = model.rows("hot", pair[other], (pair[other] % np.uint64(model.shards)).astype(np.int64), 1)[:, 0]
+    times[other] = model.rows("hot", pair[other], (pair[other] % np.uint64(model.hot_shards)).astype(np.int64), 1)[:, 0]
     whole = total[at]
     p = np.where(whole > 0, (np.maximum(times - _off(times, d[2]), 0) + left[at] * p) / np.maximum(whole, 1), p)
     if model.order == 2:
