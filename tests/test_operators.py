@@ -186,6 +186,8 @@ def test_store(spark, tmp_path):
     assert own.next_number() == 3 and own.recent(1).first()["event_id"] == "ANOM-0002" and own.status().first()["n_events"] == 2
     own.add_followup("ANOM-0001", "q", "a")
     own.add_followup("ANOM-0001", "q2", "a2")
+    many = spark.createDataFrame([("ANOM-9999", 1), ("ANOM-10000", 1)], "event_id string, last_sample long")
+    assert store.status(many).first()["last_event"] == "ANOM-10000" == store.recent(many, 1).first()["event_id"]
     assert [r["id"] for r in own.followups().orderBy("id").collect()] == [1, 2]
     assert [m["role"] for m in store.as_messages(own.followups()).orderBy("turn").collect()] == ["user", "assistant"] * 2
     with pytest.raises(KeyError):
@@ -203,12 +205,15 @@ def test_stream_equals_batch(spark, tmp_path):
     for k in range(4):
         rows = [{"sample_index": i, "values": x[i].tolist(), "is_fault": False, "fault_label": 3 if i > 100 else None} for i in range(40 * k, 40 * k + 40)]
         (tmp_path / "in" / f"{k}.json").write_text("\n".join(map(json.dumps, rows)))
+    (tmp_path / "in" / "again.json").write_text((tmp_path / "in" / "0.json").read_text().split("\n")[3])  # sample 3 twice
     base = spark.createDataFrame([(s, 0.0, 1.0) for s in range(3)], "sensor int, mean double, std double")
     stream = files.read_stream(spark, f"file://{tmp_path}/in").withColumn("run_id", F.lit("r"))
     found = detector.events(stream, base, 2.5, 10, 2, 3, 4, cap=5)
     query = found.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    got = [(r["start_sample"], r["n_windows"], r["fault_label"]) for r in spark.read.schema(found.schema).parquet(f"file://{tmp_path}/out").orderBy("start_sample").collect()]
+    out = spark.read.schema(found.schema).parquet(f"file://{tmp_path}/out")
+    assert [(r["start_sample"], r["n_windows"]) for r in out.where("late").collect()] == [(3, 0)]
+    got = [(r["start_sample"], r["n_windows"], r["fault_label"]) for r in out.where("NOT late").orderBy("start_sample").collect()]
     q = (x * x).mean(1)
     scores = [q[s : s + 10].mean() for s in range(0, 151, 2)]
     want = restated([s > 2.5 for s in scores], 3, 4, 5)

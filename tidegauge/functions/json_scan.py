@@ -10,28 +10,14 @@ from pyspark.sql import functions as F
 
 
 def first_object(text: str | None) -> str | None:
-    """The first {...} whose braces balance outside strings, if it is valid JSON; else null."""
+    """The JSON object that begins at the first brace of a text, if it is a valid one; else null."""
     start = -1 if text is None else text.find("{")
     if start < 0:
         return None
-    depth, quoted, skip = 0, False, False
-    for k in range(start, len(text)):
-        c = text[k]
-        if skip:
-            skip = False
-        elif quoted:
-            skip, quoted = c == "\\", c != '"'
-        elif c == '"':
-            quoted = True
-        elif c in "{}":
-            depth += 1 if c == "{" else -1
-            if not depth:
-                try:
-                    json.loads(text[start : k + 1])
-                except ValueError:
-                    return None
-                return text[start : k + 1]
-    return None
+    try:
+        return text[start : json.JSONDecoder().raw_decode(text, start)[1]]
+    except ValueError:
+        return None
 
 
 def extract_json(column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+RANGES = 64
+
 
 def confusion(rows: DataFrame) -> DataFrame:
     """One row: tp, fp, tn, fn, precision, recall, f1, fpr, fnr; a rate without cases is 0."""
@@ -20,22 +22,35 @@ def _by_score(rows: DataFrame) -> DataFrame:
     return rows.where("score IS NOT NULL AND label IS NOT NULL").groupBy("score").agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("n"))
 
 
-def auroc(rows: DataFrame) -> DataFrame:
-    """One row: auroc, the chance that a positive outscores a negative, ties half.
+def _cumulative(rows: DataFrame, ranges: int = RANGES) -> DataFrame:
+    """(score, p, n, p_below, n_below): positives and rows of each distinct score, and those of smaller scores.
 
-    Equal scores are summed first; ranks are cumulative sums over what is left.
+    Scores are cut into ranges at approximate quantiles; sums run within a range, and each range starts from the totals
+    of those before it, a row a range.
     """
     groups = _by_score(rows)
-    below = F.coalesce(F.sum(F.col("n") - F.col("p")).over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = groups.select("p", "n", (F.col("p") * (below + (F.col("n") - F.col("p")) / 2)).alias("wins"))
-    return wins.agg(F.when((F.sum("p") == 0) | (F.sum(F.col("n") - F.col("p")) == 0), 0.0).otherwise(F.sum("wins") / F.sum("p") / F.sum(F.col("n") - F.col("p"))).alias("auroc"))
+    cuts = groups.agg(F.percentile_approx("score", F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.lit(10_000))).first()[0] or []
+    placed = groups.withColumn("range", sum((F.when(F.col("score") > F.lit(c), 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0)))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("range").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    bases = totals.select("range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_base") for c in ("p", "n")])
+    line = Window.partitionBy("range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    return placed.join(F.broadcast(bases), "range").select("score", "p", "n", *[(F.col(f"{c}_base") + F.coalesce(F.sum(c).over(line), F.lit(0))).alias(f"{c}_below") for c in ("p", "n")])
+
+
+def auroc(rows: DataFrame) -> DataFrame:
+    """One row: auroc, the chance that a positive outscores a negative, ties half."""
+    p, negatives = F.col("p"), F.col("n") - F.col("p")
+    wins = _cumulative(rows).select("p", "n", (p * (F.col("n_below") - F.col("p_below") + negatives / 2)).alias("wins"))
+    return wins.agg(F.when((F.sum("p") == 0) | (F.sum(negatives) == 0), 0.0).otherwise(F.sum("wins") / F.sum("p") / F.sum(negatives)).alias("auroc"))
 
 
 def auprc(rows: DataFrame) -> DataFrame:
     """One row: auprc, average precision over distinct thresholds."""
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    told = _by_score(rows).select("p", (F.col("p") * F.sum("p").over(down) / F.sum("n").over(down)).alias("area"))
-    return told.agg(F.when(F.sum("p") == 0, 0.0).otherwise(F.sum("area") / F.sum("p")).alias("auprc"))
+    told = _cumulative(rows)
+    all_of = told.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    above = told.join(F.broadcast(all_of)).select("p", (F.col("p") * (F.col("all_p") - F.col("p_below")) / (F.col("all_n") - F.col("n_below"))).alias("area"))
+    return above.agg(F.when(F.sum("p") == 0, 0.0).otherwise(F.sum("area") / F.sum("p")).alias("auprc"))
 
 
 def detection_delay(windows: DataFrame, onsets: DataFrame) -> DataFrame:

@@ -12,9 +12,19 @@ def latest(rows: DataFrame, key: str, version: str) -> DataFrame:
     return rows.withColumn("__rn", newest).where("__rn = 1").drop("__rn")
 
 
+def number(event_id: str = "event_id") -> Column:
+    """The number of an event's id, by which ids are ordered: ANOM-10000 comes after ANOM-9999."""
+    return F.regexp_extract(event_id, r"(\d+)$", 1).cast("long")
+
+
 def recent(events: DataFrame, n: int, at: str = "last_sample") -> DataFrame:
-    """The n newest events; of equals the larger id comes first."""
-    return events.orderBy(F.desc(at), F.desc("event_id")).limit(n)
+    """The n newest events; of equals the one with the larger number comes first."""
+    return events.orderBy(F.desc(at), number().desc()).limit(n)
+
+
+def status(events: DataFrame) -> DataFrame:
+    """n_events, last_event (of the largest number): one row."""
+    return events.agg(F.count(F.lit(1)).alias("n_events"), F.max_by("event_id", number()).alias("last_event"))
 
 
 def history(messages: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
@@ -56,7 +66,7 @@ class EventStore:
 
     def next_number(self) -> int:
         rows = self._read("events")
-        last = None if rows is None else rows.agg(F.max(F.regexp_extract("event_id", r"(\d+)$", 1).cast("int"))).first()[0]
+        last = None if rows is None else rows.agg(F.max(number())).first()[0]
         return (last or 0) + 1
 
     def upsert(self, events: DataFrame, version: int) -> None:
@@ -91,4 +101,4 @@ class EventStore:
 
     def status(self) -> DataFrame:
         """n_events, last_event: over all events."""
-        return self.events().agg(F.count(F.lit(1)).alias("n_events"), F.max("event_id").alias("last_event"))
+        return status(self.events())

@@ -297,7 +297,7 @@ def report_latest(spark, d):
 
 
 def store_status(spark, d):
-    return events.summary(_event_windows(spark, d)).agg(F.count(F.lit(1)).alias("n_events"), F.max("event_id").alias("last_event"))
+    return store.status(events.summary(_event_windows(spark, d)))
 
 
 # metrics
@@ -434,7 +434,7 @@ def stream_run(spark, path: str, base: DataFrame, limit: float) -> DataFrame:
     found = detector.events(records, base, limit, E_SIZE, E_STRIDE, CONFIRM, SEPARATE)
     query = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(found.schema).parquet(f"{folder}/out")
+    return spark.read.schema(found.schema).parquet(f"{folder}/out").where("NOT late")
 
 
 def queries() -> dict:

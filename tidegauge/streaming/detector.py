@@ -1,8 +1,10 @@
 """The detector as a Structured Streaming query: windows, scores and events with state per run.
 
-State of a run: the last samples' squared z (for count-based windows), the flags' run length and the open event's
-window ends. Records of a batch are ordered by sample number; a record at or below the last one processed is late and
-counted, not used. An event leaves the stream when it closes; one still open at the end stays in the state.
+State of a run: the last samples' squared z (for count-based windows), the flags' run length, the open event's window
+ends, and records held back. Sample numbers are dense from 0; a record waits until those before it are there, in whatever
+order files and batches come, and ``hold`` records wait at most: beyond, a missing number is given up. A record whose
+number has passed is late; it is not used, and leaves as a row of its own (late, its number as start and last sample).
+An event leaves the stream when it closes; one still open at the end stays in the state.
 """
 
 from __future__ import annotations
@@ -15,34 +17,45 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-EVENTS = "run_id string, start_sample long, last_sample long, n_windows int, max_score double, mean_score double, fault_label int"
+EVENTS = "run_id string, start_sample long, last_sample long, n_windows int, max_score double, mean_score double, fault_label int, late boolean"
 
 
 class Detector(StatefulProcessor):
-    def __init__(self, mean, std, limit: float, size: int, stride: int, confirm: int, separate: int, cap: int):
+    def __init__(self, mean, std, limit: float, size: int, stride: int, confirm: int, separate: int, cap: int, hold: int):
         self.mean, self.scale = np.asarray(mean, float), np.where(np.asarray(std) == 0, 1.0, std)
         self.limit, self.size, self.stride = limit, size, stride
-        self.confirm, self.separate, self.cap = confirm, separate, cap
+        self.confirm, self.separate, self.cap, self.hold = confirm, separate, cap, hold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("run", "last long, seen long, late long, tail array<double>, recent int, gap int, starts array<bigint>, scores array<double>, label int")
+        self.state = handle.getValueState("run", "last long, seen long, tail array<double>, recent int, gap int, starts array<bigint>, scores array<double>, label int, held array<struct<i:bigint,q:double,fault:int>>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, seen, late, tail, recent, gap, starts, scores, label = self.state.get() if self.state.exists() else (-1, 0, 0, [], 0, -1, [], [], None)
+        last, seen, tail, recent, gap, starts, scores, label, held = self.state.get() if self.state.exists() else (-1, 0, [], 0, -1, [], [], None, [])
         tail, starts, scores = list(tail), list(starts), list(scores)
-        batch = pd.concat(list(rows)).sort_values("sample_index")
+        waiting = {r[0]: (r[1], r[2]) for r in held}
         out = []
 
         def close():
-            out.append((key[0], starts[0], starts[-1] + self.size - 1, len(starts), max(scores), float(np.mean(scores)), label))
-
-        for i, values, fault in zip(batch["sample_index"], batch["values"], batch["fault_label"], strict=True):
-            if i <= last:
-                late += 1
-                continue
-            last, seen = int(i), seen + 1
-            z = (np.asarray(values, float) - self.mean) / self.scale
-            tail = [*tail, float((z * z).mean())][-self.size :]
+            out.append((key[0], starts[0], starts[-1] + self.size - 1, len(starts), max(scores), float(np.mean(scores)), label, False))
+
+        def ready():
+            """Records in order of their numbers, as far as none is missing or too many wait."""
+            at = last + 1
+            while waiting and (at in waiting or len(waiting) > self.hold):
+                at = at if at in waiting else min(waiting)
+                yield at, *waiting.pop(at)
+                at += 1
+
+        for rows_of in rows:
+            for i, values, fault in zip(rows_of["sample_index"], rows_of["values"], rows_of["fault_label"], strict=True):
+                if i <= last or i in waiting:
+                    out.append((key[0], int(i), int(i), 0, None, None, None if pd.isna(fault) else int(fault), True))
+                else:
+                    z = (np.asarray(values, float) - self.mean) / self.scale
+                    waiting[int(i)] = (float((z * z).mean()), None if pd.isna(fault) else int(fault))
+        for last, q, fault in ready():
+            seen += 1
+            tail = [*tail, q][-self.size :]
             if seen < self.size or (seen - self.size) % self.stride:
                 continue
             score = float(np.mean(tail))
@@ -51,11 +64,11 @@ class Detector(StatefulProcessor):
             if not starts:
                 if recent >= self.confirm:
                     starts, scores, gap = [last - self.size + 1], [score], 0
-                    label = None if pd.isna(fault) else int(fault)
+                    label = fault
             elif hot:
                 starts.append(last - self.size + 1)
                 scores.append(score)
-                gap, label = 0, label if pd.isna(fault) else int(fault)
+                gap, label = 0, label if fault is None else fault
                 if len(starts) >= self.cap:
                     close()
                     starts, scores, label = [], [], None
@@ -64,7 +77,7 @@ class Detector(StatefulProcessor):
                 if gap >= self.separate:
                     close()
                     starts, scores, label = [], [], None
-        self.state.update((last, seen, late, tail, recent, gap, starts, scores, label))
+        self.state.update((last, seen, tail, recent, gap, starts, scores, label, [(i, *waiting[i]) for i in sorted(waiting)]))
         if out:
             yield pd.DataFrame(out, columns=[x.split()[0] for x in EVENTS.split(", ")]).astype({"fault_label": "Int32"})
 
@@ -72,13 +85,13 @@ class Detector(StatefulProcessor):
         pass
 
 
-def events(stream: DataFrame, base: DataFrame, limit: float, size: int = 60, stride: int = 5, confirm: int = 3, separate: int = 20, cap: int = 200) -> DataFrame:
-    """Closed events of a stream of run_id, sample_index, values, fault_label. ``base`` has a row a sensor.
+def events(stream: DataFrame, base: DataFrame, limit: float, size: int = 60, stride: int = 5, confirm: int = 3, separate: int = 20, cap: int = 200, hold: int = 10_000) -> DataFrame:
+    """Closed events and late records of a stream of run_id, sample_index, values, fault_label. ``base`` has a row a sensor.
 
     The session needs the RocksDB state store.
     """
     rows: list[Row] = base.orderBy("sensor").select("mean", "std").collect()  # a row a sensor
-    processor = Detector([r["mean"] for r in rows], [r["std"] for r in rows], limit, size, stride, confirm, separate, cap)
+    processor = Detector([r["mean"] for r in rows], [r["std"] for r in rows], limit, size, stride, confirm, separate, cap, hold)
     own = stream.select("run_id", "sample_index", "values", F.col("fault_label").cast("int").alias("fault_label"))
     return own.groupBy("run_id").transformWithStateInPandas(processor, EVENTS, "append", "None")
 
