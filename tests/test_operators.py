@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import columns as C
 from tidegauge.functions.json_scan import first_object
-from tidegauge.operators import events, metrics, repair, scaling, scoring, store, taxonomy, text_eval, windows
-from tidegauge.sources import files
-from tidegauge.streaming import detector, timed
+from tidegauge.operators import events, metrics, repair, reports, scaling, scoring, store, taxonomy, text_eval, windows
+from tidegauge.sources import artifacts, files
+from tidegauge.streaming import detector, online, timed
 
 
 def grid(spark, values, run="r"):
@@ -228,3 +228,111 @@ def test_watermarked_windows_stream(spark, tmp_path):
     query = timed.hopping(timed.timed(stream, "10 minutes")).writeStream.format("memory").queryName("hops").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("hops").where("n > 0").count() >= 3
+
+
+def stream_of(spark, folder, x, name="in", per_file=None):
+    """Records of one run as a stream, in files of ``per_file`` samples."""
+    (folder / name).mkdir()
+    step = per_file or len(x)
+    for k in range(0, len(x), step):
+        rows = [{"sample_index": i, "values": x[i].tolist(), "is_fault": False, "fault_label": 7 if i > 40 else None} for i in range(k, min(k + step, len(x)))]
+        (folder / name / f"{k:05d}.json").write_text("\n".join(map(json.dumps, rows)))
+    return files.read_stream(spark, f"file://{folder}/{name}").withColumn("run_id", F.lit("r"))
+
+
+def hot_run():
+    x = np.random.default_rng(4).standard_normal((160, 3))
+    x[40:60] *= 3
+    x[90:130] *= 3
+    return x
+
+
+BASE = "sensor int, mean double, std double, low double, high double, n long"
+
+
+def unit(spark, n=3):
+    return spark.createDataFrame([(s, 0.0, 1.0, -1.0, 1.0, 9) for s in range(n)], BASE)
+
+
+def test_online_path(spark, tmp_path):
+    """Two streams into one store: numbers go on, a repeated batch adds nothing, late records get out."""
+    x = hot_run()
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", online.ROCKSDB)
+    kept = store.EventStore(spark, f"file://{tmp_path}/store")
+    late = []
+    found = detector.events(stream_of(spark, tmp_path, x, per_file=60), unit(spark), 2.5, 10, 2, 3, 4)
+    online.start(found, unit(spark), 2.5, kept, f"file://{tmp_path}/state", 2, late=lambda rows: late.append(rows.count())).awaitTermination()
+    got = kept.events().orderBy("start_sample").collect()
+    q = (x * x).mean(1)
+    scores = [q[s : s + 10].mean() for s in range(0, 151, 2)]
+    want = restated([s > 2.5 for s in scores], 3, 4, 200)
+    assert [(r["start_sample"], r["n_windows"]) for r in got] == [(2 * e[0], len(e)) for e in want] and want
+    assert [r["event_id"] for r in got] == [f"ANOM-{k + 1:04d}" for k in range(len(got))] and sum(late) == 0
+    assert all(r["fault_label"] == 7 and r["detection_time"] and r["created_at"] and r["report"]["summary"] for r in got)
+    errors = np.array([(x[s : s + 10] ** 2).mean(0) for s in [2 * k for k in want[0]]])
+    assert np.allclose(got[0]["sensor_time_series"]["per_sensor_mean_error"], errors.mean(0))
+    assert kept.next_number(before=0) == 1 and kept.next_number() == len(got) + 1
+    kept.upsert(kept.events().drop("version"), version=99)
+    assert kept.events().count() == len(got)
+
+
+def test_stream_rejects_a_vector_of_another_length(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", online.ROCKSDB)
+    found = detector.events(stream_of(spark, tmp_path, np.ones((20, 1))), unit(spark), 2.5, 10, 2).drop("errors", "means")
+    with pytest.raises(Exception, match="has 1 values, the baseline has 3"):
+        found.writeStream.format("noop").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+def matrix_of(spark, x):
+    return spark.createDataFrame([("r", i, row.tolist(), None) for i, row in enumerate(x)], "run_id string, sample_index long, values array<double>, fault_label int")
+
+
+def test_matrix_scores_equal_terms(spark):
+    matrix = matrix_of(spark, hot_run())
+    long = matrix.select("run_id", "sample_index", F.posexplode("values").alias("sensor", "value"))
+    base = scaling.baseline(long)
+    for phase in ("full", "stride"):
+        a = scoring.matrix_scores(matrix, base, 10, 4, bucket=17, phase=phase).orderBy("window_id").toPandas()
+        b = scoring.window_scores(scoring.squared(long, base), 10, 4, phase=phase).orderBy("window_id").toPandas()
+        assert np.allclose(a["score"], b["score"]) and (a["end_sample"] == b["end_sample"]).all()
+        assert a["end_sample"].tolist() == [r["end_sample"] for r in windows.index(matrix, 10, 4, phase).orderBy("window_id").collect()]
+    told = scoring.record_results(matrix, base, 1.5, 10, 4).orderBy("sample_index").toPandas()
+    assert told["window_id"].isna().sum() == 9 and told["score"].notna().sum() == len(a)
+    assert (told.loc[told["score"].notna(), "sample_index"] % 4 == 3).all()
+    with pytest.raises(Exception, match="components of the baseline"):
+        scoring.matrix_scores(matrix_of(spark, np.ones((20, 2))), base, 10, 4).collect()
+
+
+def test_artifacts(spark, tmp_path):
+    matrix = matrix_of(spark, hot_run())
+    base = scaling.baseline(matrix.select("run_id", "sample_index", F.posexplode("values").alias("sensor", "value")))
+    for name, scorer in (("plain", None), ("pca", scoring.PCAScorer(2).fit(matrix))):
+        own = artifacts.Fitted(base, 1.5, {"size": 10, "stride": 2}, scorer)
+        artifacts.save(own, f"file://{tmp_path}/{name}")
+        again = artifacts.load(spark, f"file://{tmp_path}/{name}")
+        assert again.describe() == own.describe() and again.describe()["n_sensors"] == 3
+        a, b = (f.scores(matrix).orderBy("window_id").toPandas() for f in (own, again))
+        assert np.allclose(a["score"], b["score"]) and (a["anomalous"] == b["anomalous"]).all()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        artifacts.load(spark, f"file://{tmp_path}/none")
+    assert artifacts.merged({"a": {"b": 1, "c": 2}, "d": 3}, {"a": {"b": 5}, "d": {"e": 1}}) == {"a": {"b": 5, "c": 2}, "d": {"e": 1}}
+
+
+def test_text_model_and_followups(spark):
+    kind = "event_id string, max_score double, evidence struct<event_id:string,anomaly_score:double,severity:string,pre_anomaly_context:struct<duration_minutes:double,status:string>,top_anomalous_sensors:array<struct<display_name:string,deviation_percent:double,trend:string,contribution:double>>,temporal_sequence:array<struct<place:int,display_name:string,relative_time_minutes:double>>,candidate_subsystem:string>"
+    rows = spark.createDataFrame([(f"ANOM-000{k}", 2.0, (f"ANOM-000{k}", 2.0, "high", (0.5, "normal"), [("Level", 4.0, "stable", 0.5)], [], "reactor")) for k in (1, 2)], kind)
+    model = lambda p: F.when(F.contains(p, F.lit("ANOM-0001")), 'So: {"summary": "s", "severity": "HIGH", "confidence": 7} end').otherwise("no idea")
+    one, two = (r["report"].asDict() for r in reports.model_reports(rows, model).orderBy("event_id").collect())
+    assert (one["summary"], one["severity"], one["confidence"], one["evidence"], one["root_cause"]) == ("s", "high", 0.0, [], "")
+    assert (two["summary"], two["root_cause"], two["affected_subsystem"], two["severity"]) == ("no idea", "unable_to_parse", "reactor", "high")
+    past = spark.createDataFrame([(1, "ANOM-0001", "first?", "yes"), (2, "ANOM-0001", "second?", None)], "id long, event_id string, question string, answer string")
+    asked = spark.createDataFrame([("ANOM-0001", "third?"), ("ANOM-0002", "why?"), ("ANOM-0009", "who?")], "event_id string, question string")
+    got = [r["prompt"] for r in reports.followup_prompts(asked, reports.model_reports(rows, model), past).orderBy("event_id").collect()]
+    assert got[2] is None and '"confidence":0.0' in got[0] and got[0].endswith("third?<|im_end|><|im_start|>assistant\n")
+    places = [got[0].index(t) for t in ("Report:", "first?", "assistant\nyes", "second?", "third?")]
+    assert places == sorted(places) and got[1].count("<|im_start|>user") == 2
+
+
+def test_summary_takes_the_last_label(spark):
+    rows = spark.createDataFrame([(1, "r", k, k, k + 5, 2.0, 1.0, label) for k, label in enumerate([3, 4, None])], "event_number int, run_id string, window_id long, start_sample long, end_sample long, score double, threshold double, fault_label int")
+    assert events.summary(rows).first()["fault_label"] == 4

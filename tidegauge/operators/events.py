@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,19 +81,30 @@ def machine(flags: Iterator[bool], confirm: int, separate: int, cap: int, flush:
 
 
 def capped(flags: DataFrame, confirm: int = 3, separate: int = 20, cap: int = 200, flush: bool = False) -> DataFrame:
-    """run_id, event_number (in its run), window_id, rn of the windows of events, with the cap."""
+    """run_id, event_number (in its run), window_id, rn of the windows of events, with the cap.
+
+    ``separate`` normal windows end an event and any run of flags, so the machine runs over each island by itself.
+    """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("window_id")
-        ids = rows["window_id"].to_numpy()
-        out = [(rows["run_id"].iloc[0], n, int(ids[k]), rn) for n, event in enumerate(machine(rows["anomalous"], confirm, separate, cap, flush), 1) for rn, k in enumerate(event, 1)]
-        return pd.DataFrame(out, columns=["run_id", "event_number", "window_id", "rn"])
+        ids, final = rows["window_id"].to_numpy(), rows["final"].iloc[0]
+        hot = np.zeros(ids[-1] - ids[0] + 1 + min(separate, final - ids[-1]), bool)
+        hot[ids - ids[0]] = True
+        out = [(rows["run_id"].iloc[0], rows["island"].iloc[0], n, int(ids[0] + k), rn) for n, event in enumerate(machine(hot, confirm, separate, cap, flush)) for rn, k in enumerate(event, 1)]
+        return pd.DataFrame(out, columns=["run_id", "island", "part", "window_id", "rn"])
 
-    return flags.select("run_id", "window_id", "anomalous").groupBy("run_id").applyInPandas(one, "run_id string, event_number int, window_id long, rn int")
+    ends = flags.groupBy("run_id").agg(F.max("window_id").alias("final"))
+    cut = islands(flags, confirm, separate).select("run_id", "island", "window_id").join(ends, "run_id")
+    found = cut.groupBy("run_id", "island").applyInPandas(one, "run_id string, island long, part int, window_id long, rn int")
+    number = F.dense_rank().over(Window.partitionBy("run_id").orderBy("island", "part"))
+    return found.select("run_id", number.alias("event_number"), "window_id", "rn")
 
 
 def summary(windows: DataFrame) -> DataFrame:
-    """event_id, run_id, start_sample, last_sample, n_windows, max_score, mean_score, severity: a row an event."""
+    """event_id, run_id, start_sample, last_sample, n_windows, max_score, mean_score, severity: a row an event; also
+    fault_label, that of the last window with one, where windows have it."""
+    labelled = "fault_label" in windows.columns
     rows = windows.groupBy("event_number", "run_id").agg(
         F.min("start_sample").alias("start_sample"),
         F.max("end_sample").alias("last_sample"),
@@ -100,5 +112,6 @@ def summary(windows: DataFrame) -> DataFrame:
         F.max("score").alias("max_score"),
         F.avg("score").alias("mean_score"),
         F.max("threshold").alias("threshold"),
+        *([F.max_by("fault_label", F.when(F.col("fault_label").isNotNull(), F.col("window_id"))).alias("fault_label")] if labelled else []),
     )
-    return rows.select(C.event_name("event_number").alias("event_id"), "run_id", "start_sample", "last_sample", "n_windows", "max_score", "mean_score", C.severity("max_score", "threshold").alias("severity"))
+    return rows.select(C.event_name("event_number").alias("event_id"), "run_id", "start_sample", "last_sample", "n_windows", "max_score", "mean_score", C.severity("max_score", "threshold").alias("severity"), *(["fault_label"] if labelled else []))

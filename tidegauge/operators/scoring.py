@@ -22,15 +22,38 @@ def squared(long: DataFrame, base: DataFrame) -> DataFrame:
     return long.join(base, "sensor").select("run_id", "sample_index", "sensor", "value", (z * z).alias("q"))
 
 
-def window_errors(terms: DataFrame, size: int, stride: int, bucket: int = windows.BUCKET) -> DataFrame:
+def window_errors(terms: DataFrame, size: int, stride: int, bucket: int = windows.BUCKET, phase: str = "full") -> DataFrame:
     """run_id, sensor, window_id, start_sample, end_sample, error, mean_value."""
-    return windows.rolling(terms, size, stride, ["run_id", "sensor"], {"error": F.col("q"), "mean_value": F.col("value")}, bucket)
+    return windows.rolling(terms, size, stride, ["run_id", "sensor"], {"error": F.col("q"), "mean_value": F.col("value")}, bucket, phase)
 
 
-def window_scores(terms: DataFrame, size: int, stride: int, bucket: int = windows.BUCKET) -> DataFrame:
-    """run_id, window_id, start_sample, end_sample, score."""
+def window_scores(terms: DataFrame, size: int, stride: int, bucket: int = windows.BUCKET, phase: str = "full") -> DataFrame:
+    """run_id, window_id, start_sample, end_sample, score, from ``squared`` terms."""
     samples = terms.groupBy("run_id", "sample_index").agg(F.avg("q").alias("q"))
-    return windows.rolling(samples, size, stride, ["run_id"], {"score": F.col("q")}, bucket)
+    return windows.rolling(samples, size, stride, ["run_id"], {"score": F.col("q")}, bucket, phase)
+
+
+def matrix_scores(matrix: DataFrame, base: DataFrame, size: int, stride: int, bucket: int = windows.BUCKET, phase: str = "full") -> DataFrame:
+    """``window_scores`` of a matrix: a sample's term is summed within its row against the baseline's few numbers, so
+    samples are neither exploded nor shuffled to be put together again. A vector whose length is not the baseline's is
+    an error; null components make no term, and a sample without any has no score."""
+    known = base.orderBy("sensor").select("mean", "std").collect()  # a row a sensor
+    means, scales = F.lit([b["mean"] for b in known]), F.lit([b["std"] or 1.0 for b in known])
+    z = F.zip_with(F.zip_with("values", means, lambda v, m: v - m), scales, lambda x, s: x / s)
+    terms = F.filter(z, lambda x: x.isNotNull())
+    mean = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x * x) / F.nullif(F.size(terms), F.lit(0))
+    wrong = F.raise_error(F.lit(f"a vector has not the {len(known)} components of the baseline")).cast("double")
+    q = F.when(F.col("values").isNull(), F.lit(None).cast("double")).when(F.size("values") == len(known), mean).otherwise(wrong)
+    return windows.rolling(matrix, size, stride, ["run_id"], {"score": q}, bucket, phase)
+
+
+def record_results(matrix: DataFrame, base: DataFrame, limit: float, size: int, stride: int) -> DataFrame:
+    """What each record tells when it comes: run_id, sample_index, window_id (counts full buffers; null in the warm-up),
+    score (null unless the record's number is a multiple of the stride) and anomalous (false where nothing is scored)."""
+    i = F.col("sample_index")
+    scores = matrix_scores(matrix, base, size, stride, phase="stride").select("run_id", F.col("end_sample").alias("sample_index"), "score")
+    told = matrix.select("run_id", "sample_index").join(scores, ["run_id", "sample_index"], "left")
+    return told.select("run_id", "sample_index", F.when(i >= size - 1, i - (size - 1)).alias("window_id"), "score", F.coalesce(F.col("score") > limit, F.lit(False)).alias("anomalous"))
 
 
 def threshold(scores: DataFrame, method: str = "percentile", percentile: float = 99.0, k: float = 3.0) -> DataFrame:
@@ -91,6 +114,16 @@ class PCAScorer:
         self.axes = vectors[:, ::-1][:, : self.n]
         return self
 
+    def saved(self) -> dict:
+        """The fitted scorer as plain numbers, for ``artifacts.save``."""
+        return {"components": self.n, "mean": self.mean.tolist(), "std": self.std.tolist(), "axes": self.axes.tolist()}
+
+    @classmethod
+    def restored(cls, numbers: dict) -> PCAScorer:
+        own = cls(numbers["components"])
+        own.mean, own.std, own.axes = (np.asarray(numbers[k], float) for k in ("mean", "std", "axes"))
+        return own
+
     def terms(self, matrix: DataFrame) -> DataFrame:
         """run_id, sample_index, q: mean squared residual of a sample; feed for ``windows.rolling``."""
         mean, scale, axes = self.mean, np.where(self.std == 0, 1, self.std), self.axes

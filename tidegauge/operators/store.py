@@ -64,14 +64,19 @@ class EventStore:
                 return None
             raise
 
-    def next_number(self) -> int:
+    def next_number(self, before: int | None = None) -> int:
+        """The number after the largest; ``before``: of events that some version before that one has."""
         rows = self._read("events")
+        if rows is not None and before is not None:
+            rows = rows.where(F.col("version") < before)
         last = None if rows is None else rows.agg(F.max(number())).first()[0]
         return (last or 0) + 1
 
     def upsert(self, events: DataFrame, version: int) -> None:
-        """Add events, or replace those of the same event_id, as of a version (a batch number, say)."""
-        events.withColumn("version", F.lit(version)).write.mode("append").parquet(f"{self.path}/events")
+        """Add events, or replace those of the same event_id, as of a version (a batch number, say); created_at is now
+        unless the rows have it already."""
+        dated = events if "created_at" in events.columns else events.withColumn("created_at", F.current_timestamp())
+        dated.withColumn("version", F.lit(version).cast("long")).write.mode("append").parquet(f"{self.path}/events")
 
     def events(self) -> DataFrame:
         rows = self._read("events")

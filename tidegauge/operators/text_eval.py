@@ -51,14 +51,22 @@ def fault_class_hit(subsystem, cause, ref_subsystem, ref_name) -> F.Column:
     return named | root_cause_hit(cause, ref_name, 2)
 
 
+def clean_field(name: str, value) -> F.Column:
+    """A field of a parsed answer: empty texts, evidence an array, confidence within [0, 1] else 0, known severity."""
+    if name == "confidence":
+        return F.when(value.between(0, 1), value).otherwise(0.0)
+    if name == "severity":
+        return F.when(F.lower(value).isin(*SEVERITIES), F.lower(value)).otherwise("unknown")
+    if name == "evidence":
+        return F.coalesce(value, F.array().cast("array<string>"))
+    if name in ("summary", "root_cause", "affected_subsystem", "reasoning", "recommended_action", "uncertainty"):
+        return F.coalesce(value, F.lit(""))
+    return value
+
+
 def sanitized(answers: DataFrame) -> DataFrame:
-    """Parsed answers with defaults: empty texts, evidence an array, confidence within [0, 1] else 0, known severity."""
-    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    confidence = F.when(F.col("confidence").between(0, 1), F.col("confidence")).otherwise(0.0)
-    severity = F.when(F.lower("severity").isin(*SEVERITIES), F.lower("severity")).otherwise("unknown")
-    own = {"confidence": confidence, "severity": severity, "evidence": F.coalesce("evidence", F.array().cast("array<string>"))}
-    texts = ("summary", "root_cause", "affected_subsystem", "reasoning", "recommended_action", "uncertainty")
-    return answers.select(*[own[c].alias(c) if c in own else text(c) if c in texts else F.col(c) for c in answers.columns])
+    """Parsed answers with each column as ``clean_field`` leaves it."""
+    return answers.select(*[clean_field(c, F.col(c)).alias(c) for c in answers.columns])
 
 
 def evaluate(answers: DataFrame, k: int = 3) -> DataFrame:

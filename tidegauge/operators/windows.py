@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 BUCKET = 100_000
 
 
-def rolling(rows: DataFrame, size: int, stride: int, keys: list[str], values: dict[str, Column], bucket: int = BUCKET) -> DataFrame:
+def rolling(rows: DataFrame, size: int, stride: int, keys: list[str], values: dict[str, Column], bucket: int = BUCKET, phase: str = "full") -> DataFrame:
     """keys, window_id, start_sample, end_sample and means over each window, by frame: ``values`` names them.
 
-    ``rows`` has run_id and sample_index, dense from 0. ``values`` are expressions of a row.
+    ``rows`` has run_id and sample_index, dense from 0. ``values`` are expressions of a row. ``phase`` is that of ``index``.
     """
     if size < 1 or stride < 1:
         raise ValueError("size and stride must be positive")
@@ -25,9 +25,17 @@ def rolling(rows: DataFrame, size: int, stride: int, keys: list[str], values: di
     spread = own.withColumn("bucket", F.explode(F.sequence(F.floor(i / bucket), F.floor((i + size - 1) / bucket))))
     frame = Window.partitionBy(*keys, "bucket").orderBy("sample_index").rowsBetween(-(size - 1), 0)
     framed = spread.select(*keys, i, "bucket", *[F.avg(k).over(frame).alias(k) for k in values])
-    ends = framed.where((F.floor(i / bucket) == F.col("bucket")) & (i >= size - 1) & ((i - (size - 1)) % stride == 0))
+    first = first_end(size, stride, phase) - 1
+    ends = framed.where((F.floor(i / bucket) == F.col("bucket")) & (i >= first) & ((i - first) % stride == 0))
     start = i - (size - 1)
-    return ends.select(*keys, F.floor(start / stride).cast("long").alias("window_id"), start.alias("start_sample"), i.alias("end_sample"), *values)
+    return ends.select(*keys, F.floor((i - first) / stride).cast("long").alias("window_id"), start.alias("start_sample"), i.alias("end_sample"), *values)
+
+
+def first_end(size: int, stride: int, phase: str) -> int:
+    """Samples up to the end of a run's first window; phase "full" or "stride"."""
+    if phase not in ("full", "stride"):
+        raise ValueError(f"phase {phase!r} is neither 'full' nor 'stride'")
+    return size if phase == "full" else -(-size // stride) * stride
 
 
 def exploded(rows: DataFrame, size: int, stride: int) -> DataFrame:
@@ -54,11 +62,17 @@ def index(rows: DataFrame, size: int, stride: int, phase: str = "full") -> DataF
     phase "full": the first window ends at sample ``size``; "stride": windows end at multiples of the stride.
     """
     runs = rows.groupBy("run_id").agg((F.max("sample_index") + 1).alias("n"))
-    first = size if phase == "full" else -(-size // stride) * stride
+    first = first_end(size, stride, phase)
     ends = F.when(F.col("n") >= first, F.sequence(F.lit(first).cast("long"), F.col("n"), F.lit(stride).cast("long"))).otherwise(F.array().cast("array<bigint>"))
     return runs.select("run_id", F.posexplode(ends).alias("window_id", "stop")).select("run_id", F.col("window_id").cast("long").alias("window_id"), (F.col("stop") - size).alias("start_sample"), (F.col("stop") - 1).alias("end_sample"))
 
 
+def replay_index(rows: DataFrame, size: int, stride: int) -> DataFrame:
+    """Windows of a replayed run: they never skip samples (the step is at most the size), and window_id counts strides
+    of the records read so far, so it has gaps or repeats where stride and size differ much."""
+    return index(rows, size, min(stride, size)).withColumn("window_id", F.floor((F.col("end_sample") + 1) / stride).cast("long"))
+
+
 def split_segments(segments: list[int], validation: float, test: float, seed: int) -> dict[int, str]:
     """Whole segments to train, val and test. The order is a seeded shuffle of the classic Mersenne generator."""
     import numpy as np

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from tidegauge.functions.json_scan import extract_json
 from tidegauge.operators import datagen, events, evidence, metrics, repair, reports, scaling, scoring, store, taxonomy, text_eval, windows
 from tidegauge.plans.oracles import ORACLES
 from tidegauge.sources import files, tables
-from tidegauge.streaming import detector, timed
+from tidegauge.streaming import detector, online, timed
 
 SIZE, STRIDE = 60, 5  # windows of scores
 E_SIZE, E_STRIDE, E_PERCENTILE, CONFIRM, SEPARATE = 5, 1, 90.0, 3, 5  # windows of events
@@ -39,7 +40,7 @@ def _grid(spark, d):
 
 
 def _flags(spark, d):
-    scores = scoring.window_scores(_terms(spark, d), E_SIZE, E_STRIDE)
+    scores = scoring.matrix_scores(tables.sensor_matrix(spark, d), _base(spark, d), E_SIZE, E_STRIDE)
     limit = scoring.threshold_value(scores, percentile=E_PERCENTILE)
     return scoring.flagged(scores, limit)
 
@@ -48,9 +49,9 @@ def _event_windows(spark, d):
     return events.event_windows(_flags(spark, d), CONFIRM, SEPARATE)
 
 
-def _event_sensors(spark, d):
+def _event_sensors(spark, d, own=None):
     """event_id, rn, sensor, error, mean_value of the windows of events."""
-    own = _event_windows(spark, d).select("run_id", "window_id", "rn", C.event_name("event_number").alias("event_id"))
+    own = (_event_windows(spark, d) if own is None else own).select("run_id", "window_id", "rn", C.event_name("event_number").alias("event_id"))
     errors = scoring.window_errors(_terms(spark, d), E_SIZE, E_STRIDE)
     return errors.join(own, ["run_id", "window_id"])
 
@@ -132,7 +133,7 @@ def window_errors(spark, d):
 
 
 def window_scores(spark, d):
-    return scoring.window_scores(_terms(spark, d), SIZE, STRIDE).select("window_id", "start_sample", "end_sample", F.round("score", 6).alias("score"))
+    return scoring.matrix_scores(tables.sensor_matrix(spark, d), _base(spark, d), SIZE, STRIDE).select("window_id", "start_sample", "end_sample", F.round("score", 6).alias("score"))
 
 
 def window_scores_bucketed(spark, d):
@@ -168,6 +169,16 @@ def daily_scores(spark, d):
     return scoring.fit_and_score(tables.to_long(matrix), 30, 10).select("window_id", "start_sample", F.round("score", 5).alias("score"))
 
 
+def record_results(spark, d):
+    """What each record tells, at a stride that does not divide the size."""
+    matrix, base = tables.sensor_matrix(spark, d), _base(spark, d)
+    return scoring.record_results(matrix, base, 1.0, SIZE, 7).select("sample_index", "window_id", F.round("score", 6).alias("score"), "anomalous")
+
+
+def replay_windows(spark, d):
+    return windows.replay_index(tables.sensor_matrix(spark, d), 10, 15).drop("run_id")
+
+
 # events
 def confirmed_runs(spark, d):
     return events.confirmed(_flags(spark, d), CONFIRM).select("window_id", "anomalous", "confirmed")
@@ -238,7 +249,10 @@ def downstream_two_hops(spark, d):
 
 
 def _documents(spark, d):
-    return evidence.documents(_event_sensors(spark, d), _base(spark, d), events.summary(_event_windows(spark, d)), E_STRIDE)
+    """Every branch of the evidence reads the events' windows and their sensors, so these are kept on disk."""
+    own = _event_windows(spark, d).persist(StorageLevel.DISK_ONLY)
+    rows = _event_sensors(spark, d, own).persist(StorageLevel.DISK_ONLY)
+    return evidence.documents(rows, _base(spark, d), events.summary(own), E_STRIDE)
 
 
 def evidence_documents(spark, d):
@@ -375,8 +389,8 @@ def answer_metrics(spark, d):
     """Evaluation of synthetic answers: the generated reports against their own faults."""
     made = _instruction_events(spark, d)
     answer = F.struct(F.lit("").alias("summary"), F.concat(F.lit("candidate "), "subsystem").alias("root_cause"), F.col("subsystem").alias("affected_subsystem"), F.array(F.lit("feed")).alias("evidence"), F.when(F.col("n") % 2 == 0, "likely").otherwise("it definitely is").alias("reasoning"), F.when(F.col("n") % 3 == 0, "low").otherwise(F.col("severity")).alias("severity"), F.when(F.col("n") % 5 == 0, "unable to say what to do").otherwise("inspect the feed valves first").alias("recommended_action"))
-    rows = made.select(F.when(F.col("n") % 4 != 0, answer).alias("answer"), F.array(F.lit("Reactor_Level")).alias("evidence_sensors"), F.lit("no such name").alias("fault_name"), "subsystem", "severity")
-    return text_eval.evaluate(rows).select("n_samples", *[F.round(c, 6).alias(c) for c in ("fault_classification_accuracy", "severity_accuracy", "hedged_reasoning_rate", "recommendation_rate", "json_validity_rate", "overclaiming_rate")])
+    rows = made.select(F.when(F.col("n") % 4 != 0, answer).alias("answer"), F.array(F.lit("Reactor_Level")).alias("evidence_sensors"), F.when(F.col("n") % 7 == 0, "no such name").otherwise(F.col("subsystem")).alias("fault_name"), "subsystem", "severity")
+    return text_eval.evaluate(rows).select("n_samples", *[F.round(c, 6).alias(c) for c in ("root_cause_accuracy", "fault_classification_accuracy", "severity_accuracy", "evidence_consistency", "hallucination_rate", "hedged_reasoning_rate", "recommendation_rate", "json_validity_rate", "overclaiming_rate")])
 
 
 # instruction data
@@ -410,31 +424,37 @@ def session_windows(spark, d):
     return rows.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", F.round("total", 6).alias("total"))
 
 
-def stream_events(spark, d) -> DataFrame:
-    """Closed events from the stateful stream over the same records, to set beside event_summary."""
-    scores = scoring.window_scores(_terms(spark, d), E_SIZE, E_STRIDE)
-    limit = scoring.threshold_value(scores, percentile=E_PERCENTILE)
-    return stream_run(spark, f"{d}/embeddings.parquet", _base(spark, d), limit).select("start_sample", "last_sample", "n_windows", F.round("max_score", 6).alias("max_score"), F.round("mean_score", 6).alias("mean_score"))
+def _record_stream(spark, path: str) -> DataFrame:
+    """The records of the matrix as a stream."""
+    parent, name = path.rsplit("/", 1)
+    raw = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", name).parquet(parent)
+    return raw.select(F.lit("run0").alias("run_id"), F.col("vec_id").alias("sample_index"), F.col("embedding").cast("array<double>").alias("values"), F.col("label").alias("fault_label"))
+
 
+def _limit(spark, d, base) -> float:
+    return scoring.threshold_value(scoring.matrix_scores(tables.sensor_matrix(spark, d), base, E_SIZE, E_STRIDE), percentile=E_PERCENTILE)
 
-def stream_run(spark, path: str, base: DataFrame, limit: float) -> DataFrame:
-    import os
-    import tempfile
-    import uuid
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    folder = f"{shared or 'file://' + tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    schema = spark.read.parquet(path).schema
-    parent, name = os.path.split(path)
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", name).option("recursiveFileLookup", False).parquet(parent)
-    records = raw.select(F.lit("run0").alias("run_id"), F.col("vec_id").alias("sample_index"), F.col("embedding").cast("array<double>").alias("values"), F.col("label").alias("fault_label"))
-    found = detector.events(records, base, limit, E_SIZE, E_STRIDE, CONFIRM, SEPARATE)
-    query = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(found.schema).parquet(f"{folder}/out").where("NOT late")
+def stream_events(spark, d) -> DataFrame:
+    """Closed events from the stateful stream over the same records, to set beside event_summary."""
+    base = _base(spark, d)
+    folder = online.folder(spark)
+    found = detector.events(_record_stream(spark, f"{d}/embeddings.parquet"), base, _limit(spark, d, base), E_SIZE, E_STRIDE, CONFIRM, SEPARATE)
+    told = found.drop("errors", "means")
+    told.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(told.schema).parquet(f"{folder}/out").where("NOT late")
+    return rows.select("start_sample", "last_sample", "n_windows", F.round("max_score", 6).alias("max_score"), F.round("mean_score", 6).alias("mean_score"))
+
+
+def stream_reports(spark, d) -> DataFrame:
+    """Reports of the events that the stream closed, as the event store has them, to set beside fallback_report."""
+    base = _base(spark, d)
+    limit = _limit(spark, d, base)
+    folder = online.folder(spark)
+    found = detector.events(_record_stream(spark, f"{d}/embeddings.parquet"), base, limit, E_SIZE, E_STRIDE, CONFIRM, SEPARATE)
+    kept = store.EventStore(spark, f"{folder}/store")
+    online.start(found, base, limit, kept, f"{folder}/state", E_STRIDE).awaitTermination()
+    return kept.events().select("event_id", "report.summary", "report.root_cause", F.element_at("report.evidence", 1).alias("first_line"), "report.severity", "report.confidence")
 
 
 def queries() -> dict:
@@ -444,7 +464,7 @@ def queries() -> dict:
         top_k_sensors, sensor_contribution, event_deviation, sensor_trend, sensor_onsets, temporal_sequence, pre_post_context, candidate_subsystem, sensor_names, downstream_effects, downstream_two_hops,
         evidence_documents, fallback_report, evidence_prompt, followup_answers, conversation_history, chat_prompt, followup_messages, events_recent, event_with_followups, report_latest, store_status,
         confusion_metrics, auroc, auprc, detection_delay, delay_summary, window_labels, text_normalize, token_overlap, hedge_overclaim, foreign_tokens, json_extract, sanitize_answer, answer_metrics,
-        instruction_counts, followup_explode, fault_kb_lookup, hop_window_avg, session_windows, stream_events,
+        instruction_counts, followup_explode, fault_kb_lookup, hop_window_avg, session_windows, stream_events, stream_reports, record_results, replay_windows,
     ]
     out = {f.__name__: f for f in named}
     out |= {"null_drop": _repaired(repair.drop), "null_ffill": _repaired(repair.ffill), "null_interpolate": _repaired(repair.interpolate)}

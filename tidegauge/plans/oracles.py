@@ -132,6 +132,19 @@ ORACLES = {
       {_scores(30, 10, TERMS.replace(LONG, "long AS (SELECT i, generate_subscripts(x, 1) - 1 AS sensor, unnest(x)::DOUBLE AS v FROM days)"))}
       SELECT window_id, start_sample, round(score, 5) AS score FROM scores""",
     "confirmed_runs": f"WITH {FLAGS} SELECT window_id, anomalous, sum(anomalous::INT) OVER (ORDER BY window_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3 AS confirmed FROM flags",
+    "event_capped": f"""WITH RECURSIVE {FLAGS}, step AS (
+        SELECT -1::BIGINT AS window_id, 0 AS recent, 0 AS held, 0 AS gap, 0 AS event_number, 0 AS rn, false AS closed
+        UNION ALL SELECT f.window_id, CASE WHEN f.anomalous THEN recent + 1 ELSE 0 END,
+          CASE WHEN held = 0 THEN (f.anomalous AND recent >= 2)::INT WHEN f.anomalous THEN CASE WHEN held = 3 THEN 0 ELSE held + 1 END WHEN gap = 4 THEN 0 ELSE held END,
+          CASE WHEN f.anomalous OR held = 0 THEN 0 ELSE gap + 1 END,
+          CASE WHEN held = 0 AND f.anomalous AND recent >= 2 THEN event_number + 1 ELSE event_number END,
+          CASE WHEN NOT f.anomalous THEN 0 WHEN held > 0 THEN held + 1 ELSE (recent >= 2)::INT END,
+          held > 0 AND CASE WHEN f.anomalous THEN held = 3 ELSE gap = 4 END
+        FROM step JOIN flags f ON f.window_id = step.window_id + 1)
+      SELECT event_number, window_id, rn FROM step WHERE rn > 0 AND event_number IN (SELECT event_number FROM step WHERE closed)""",
+    "record_results": f"""WITH {TERMS}, q AS (SELECT i, avg(q) AS q FROM terms GROUP BY i), w AS (SELECT i, avg(q) OVER (ORDER BY i ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS score FROM q)
+      SELECT i AS sample_index, CASE WHEN i >= 59 THEN i - 59 END AS window_id, CASE WHEN i >= 59 AND (i + 1) % 7 = 0 THEN round(score, 6) END AS score, i >= 59 AND (i + 1) % 7 = 0 AND score > 1.0 AS anomalous FROM w""",
+    "replay_windows": "SELECT (e // 15)::BIGINT AS window_id, e - 10 AS start_sample, e - 1 AS end_sample FROM (SELECT unnest(range(10, max(vec_id) + 2, 10)) AS e FROM embeddings)",
     "event_islands": f"WITH {EVENTS} SELECT event_number::INT AS event_number, rn::INT AS rn, window_id, round(score, 6) AS score FROM ev",
     "event_summary": f"WITH {SUMMARY} SELECT event_id, start_sample, last_sample, n_windows, round(max_score, 6) AS max_score, round(mean_score, 6) AS mean_score, {SEVERITY} AS severity FROM summary",
     "stream_events": f"WITH {SUMMARY} SELECT start_sample, last_sample, n_windows::INT AS n_windows, round(max_score, 6) AS max_score, round(mean_score, 6) AS mean_score FROM summary",
@@ -187,7 +200,8 @@ ORACLES = {
         lambda x: NOT list_contains([{', '.join(f"'{w}'" for w in dict.fromkeys(text_eval.ALLOWED))}], x))) AS f FROM conversations) SELECT conv_id, turn, len(f)::INT AS n_foreign, array_to_string(f, ' ') AS foreign_tokens FROM t""",
     "json_extract": "SELECT event_id, (props->>'$.k')::INT AS k FROM events",
     "sanitize_answer": """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type ELSE '' END AS summary, round(CASE WHEN value / 50 BETWEEN 0 AND 1 THEN value / 50 ELSE 0 END, 6) AS confidence, CASE WHEN event_id % 2 = 0 THEN 'high' ELSE 'unknown' END AS severity FROM events""",
-    "answer_metrics": f"""WITH {INSTRUCTIONS} SELECT count(*) AS n_samples, round(avg((n % 4 <> 0)::INT), 6) AS fault_classification_accuracy,
+    "answer_metrics": f"""WITH {INSTRUCTIONS} SELECT count(*) AS n_samples, round(avg((n % 4 <> 0 AND n % 7 <> 0)::INT), 6) AS root_cause_accuracy, round(avg((n % 4 <> 0)::INT), 6) AS fault_classification_accuracy,
+        0.0::DOUBLE AS evidence_consistency, round(avg((n % 4 <> 0)::INT), 6) AS hallucination_rate, -- an answer's own key root_cause is foreign
         round(avg((n % 4 <> 0 AND (n % 3 <> 0 OR severity = 'low'))::INT), 6) AS severity_accuracy, round(avg((n % 4 <> 0 AND n % 2 = 0)::INT), 6) AS hedged_reasoning_rate,
         round(avg((n % 4 <> 0 AND n % 5 <> 0)::INT), 6) AS recommendation_rate, round(avg((n % 4 <> 0)::INT), 6) AS json_validity_rate, round(avg((n % 4 <> 0 AND n % 2 = 1)::INT), 6) AS overclaiming_rate FROM numbered""",
     "instruction_counts": f"WITH {INSTRUCTIONS} SELECT split, kind, count(*) AS n_samples FROM numbered, (VALUES ('report'), ('followup'), ('followup'), ('followup'), ('followup')) k(kind) GROUP BY ALL",
@@ -199,3 +213,6 @@ ORACLES = {
       g AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM s)
       SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(sum(value), 6) AS total FROM g GROUP BY user_id, k""",
 }
+
+
+ORACLES["stream_reports"] = ORACLES["fallback_report"]

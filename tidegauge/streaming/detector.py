@@ -1,14 +1,17 @@
 """The detector as a Structured Streaming query: windows, scores and events with state per run.
 
-State of a run: the last samples' squared z (for count-based windows), the flags' run length, the open event's window
-ends, and records held back. Sample numbers are dense from 0; a record waits until those before it are there, in whatever
+State of a run: the last ``size`` samples, the flags' run length, the open event's windows (start, score, error and mean
+of each sensor; at most ``cap`` of them), and records held back. Sample numbers are dense from 0; a record waits until those before it are there, in whatever
 order files and batches come, and ``hold`` records wait at most: beyond, a missing number is given up. A record whose
 number has passed is late; it is not used, and leaves as a row of its own (late, its number as start and last sample).
-An event leaves the stream when it closes; one still open at the end stays in the state.
+An event leaves the stream when it closes, with the errors and means of its windows, from which ``online`` derives
+evidence and report; one still open at the end stays in the state. A record whose vector has not the baseline's length
+is an error.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,26 +20,35 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-EVENTS = "run_id string, start_sample long, last_sample long, n_windows int, max_score double, mean_score double, fault_label int, late boolean"
+EVENTS = "run_id string, start_sample long, last_sample long, n_windows int, max_score double, mean_score double, fault_label int, late boolean, errors array<array<double>>, means array<array<double>>"
 
 
 class Detector(StatefulProcessor):
-    def __init__(self, mean, std, limit: float, size: int, stride: int, confirm: int, separate: int, cap: int, hold: int):
+    def __init__(self, mean, std, limit: float, size: int, stride: int, confirm: int, separate: int, cap: int, hold: int, phase: str):
         self.mean, self.scale = np.asarray(mean, float), np.where(np.asarray(std) == 0, 1.0, std)
         self.limit, self.size, self.stride = limit, size, stride
         self.confirm, self.separate, self.cap, self.hold = confirm, separate, cap, hold
+        self.first = size if phase == "full" else -(-size // stride) * stride  # samples before the first window's end
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("run", "last long, seen long, tail array<double>, recent int, gap int, starts array<bigint>, scores array<double>, label int, held array<struct<i:bigint,q:double,fault:int>>")
+        self.state = handle.getValueState("run", "last long, seen long, tail array<double>, recent int, gap int, starts array<bigint>, scores array<double>, errors array<double>, means array<double>, label int, held array<struct<i:bigint,values:array<double>,fault:int>>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, seen, tail, recent, gap, starts, scores, label, held = self.state.get() if self.state.exists() else (-1, 0, [], 0, -1, [], [], None, [])
-        tail, starts, scores = list(tail), list(starts), list(scores)
-        waiting = {r[0]: (r[1], r[2]) for r in held}
+        last, seen, tail, recent, gap, starts, scores, errors, means, label, held = self.state.get() if self.state.exists() else (-1, 0, [], 0, -1, [], [], [], [], None, [])
+        f = len(self.mean)
+        tail = deque(np.reshape(tail, (-1, f)), self.size)
+        starts, scores, errors, means = list(starts), list(scores), list(np.reshape(errors, (-1, f))), list(np.reshape(means, (-1, f)))
+        waiting = {r[0]: (np.asarray(r[1], float), r[2]) for r in held}
         out = []
 
         def close():
-            out.append((key[0], starts[0], starts[-1] + self.size - 1, len(starts), max(scores), float(np.mean(scores)), label, False))
+            out.append((key[0], starts[0], starts[-1] + self.size - 1, len(starts), max(scores), float(np.mean(scores)), label, False, [e.tolist() for e in errors], [m.tolist() for m in means]))
+            for own in (starts, scores, errors, means):
+                own.clear()
+
+        def keep(*window):
+            for own, part in zip((starts, scores, errors, means), window, strict=True):
+                own.append(part)
 
         def ready():
             """Records in order of their numbers, as far as none is missing or too many wait."""
@@ -49,35 +61,38 @@ class Detector(StatefulProcessor):
         for rows_of in rows:
             for i, values, fault in zip(rows_of["sample_index"], rows_of["values"], rows_of["fault_label"], strict=True):
                 if i <= last or i in waiting:
-                    out.append((key[0], int(i), int(i), 0, None, None, None if pd.isna(fault) else int(fault), True))
+                    out.append((key[0], int(i), int(i), 0, None, None, None if pd.isna(fault) else int(fault), True, None, None))
+                elif len(values) != f:
+                    raise ValueError(f"record {i} of run {key[0]} has {len(values)} values, the baseline has {f}")
                 else:
-                    z = (np.asarray(values, float) - self.mean) / self.scale
-                    waiting[int(i)] = (float((z * z).mean()), None if pd.isna(fault) else int(fault))
-        for last, q, fault in ready():
+                    waiting[int(i)] = (np.asarray(values, float), None if pd.isna(fault) else int(fault))
+        for last, values, fault in ready():
             seen += 1
-            tail = [*tail, q][-self.size :]
-            if seen < self.size or (seen - self.size) % self.stride:
+            tail.append(values)
+            if seen < self.first or (seen - self.first) % self.stride:
                 continue
-            score = float(np.mean(tail))
+            window = np.array(tail)
+            error, mean = np.square((window - self.mean) / self.scale).mean(0), window.mean(0)
+            score = float(error.mean())
             hot = score > self.limit
             recent = recent + 1 if hot else 0
             if not starts:
                 if recent >= self.confirm:
-                    starts, scores, gap = [last - self.size + 1], [score], 0
-                    label = fault
+                    keep(last - self.size + 1, score, error, mean)
+                    gap, label = 0, fault
             elif hot:
-                starts.append(last - self.size + 1)
-                scores.append(score)
+                keep(last - self.size + 1, score, error, mean)
                 gap, label = 0, label if fault is None else fault
                 if len(starts) >= self.cap:
                     close()
-                    starts, scores, label = [], [], None
+                    label = None
             else:
                 gap += 1
                 if gap >= self.separate:
                     close()
-                    starts, scores, label = [], [], None
-        self.state.update((last, seen, tail, recent, gap, starts, scores, label, [(i, *waiting[i]) for i in sorted(waiting)]))
+                    label = None
+        flat = lambda rows: np.ravel(rows).tolist()
+        self.state.update((last, seen, flat(tail), recent, gap, starts, scores, flat(errors), flat(means), label, [(i, waiting[i][0].tolist(), waiting[i][1]) for i in sorted(waiting)]))
         if out:
             yield pd.DataFrame(out, columns=[x.split()[0] for x in EVENTS.split(", ")]).astype({"fault_label": "Int32"})
 
@@ -85,13 +100,14 @@ class Detector(StatefulProcessor):
         pass
 
 
-def events(stream: DataFrame, base: DataFrame, limit: float, size: int = 60, stride: int = 5, confirm: int = 3, separate: int = 20, cap: int = 200, hold: int = 10_000) -> DataFrame:
-    """Closed events and late records of a stream of run_id, sample_index, values, fault_label. ``base`` has a row a sensor.
+def events(stream: DataFrame, base: DataFrame, limit: float, size: int = 60, stride: int = 5, confirm: int = 3, separate: int = 20, cap: int = 200, hold: int = 10_000, phase: str = "full") -> DataFrame:
+    """Closed events and late records of a stream of run_id, sample_index, values, fault_label. ``base`` has a row a sensor;
+    ``phase`` is that of ``windows.rolling``.
 
     The session needs the RocksDB state store.
     """
     rows: list[Row] = base.orderBy("sensor").select("mean", "std").collect()  # a row a sensor
-    processor = Detector([r["mean"] for r in rows], [r["std"] for r in rows], limit, size, stride, confirm, separate, cap, hold)
+    processor = Detector([r["mean"] for r in rows], [r["std"] for r in rows], limit, size, stride, confirm, separate, cap, hold, phase)
     own = stream.select("run_id", "sample_index", "values", F.col("fault_label").cast("int").alias("fault_label"))
     return own.groupBy("run_id").transformWithStateInPandas(processor, EVENTS, "append", "None")
 
