@@ -63,6 +63,28 @@ def test_chains_and_borders(spark, seed, monkeypatch):
     assert got(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)) == brute(texts)
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_frequent_shingles_are_salted(spark, seed, monkeypatch):
+    """Many near copies of a few texts, with salts of a row or two: no link is lost, alone in its salt or not."""
+    monkeypatch.setattr(ngram_join, "SALT_ROWS", 1)
+    rng = random.Random(seed)
+    texts = {}
+    for base in range(3):
+        own = [f"{base}{rng.choice('abcdefgh')}{rng.randrange(9)}" for _ in range(60)]
+        for _ in range(30):
+            copy = list(own)
+            for _ in range(rng.choice([0, 1, 2, 2])):
+                copy[rng.randrange(60)] = f"w{rng.randrange(10**6)}"
+            texts[len(texts)] = " ".join(copy)
+    ids = rng.sample(range(1000), len(texts))
+    texts = {k: t for k, t in zip(ids, texts.values(), strict=True)} | {2000 + k: f"only text number {k} of its kind" for k in range(300)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    seen = []
+    plain = ngram_join._first_of_salted
+    monkeypatch.setattr(ngram_join, "_first_of_salted", lambda met: seen.append(met.where("salt > 0").count()) or plain(met))
+    assert got(frame) == brute(texts) and seen[0] > 50
+
+
 def test_keep_one(documents, empty):
     kept = ngram_join.keep_one(documents)
     ids = {r["doc_id"] for r in kept.collect()}

@@ -11,7 +11,8 @@
    shingles in fixed ranges bound the difference from below) and are verified once each.
 
 No pair is emitted within a class, and none is left out across classes, so the classes are exact. Groups of any size
-are streamed or split into blocks; a set that meets many others is salted.
+are streamed or split into blocks; a set that meets many others is salted, and so is a shingle whose cell of the sketch
+stands out: its rows are dealt by salt, and the first sets of its salts give the first one of all.
 
 Edge cases: null texts and texts without words have no shingles and link with nothing; fewer words than a shingle are
 one shingle; repeated rows link as copies; rows that share an id are one node; a null id keeps a null component.
@@ -38,6 +39,7 @@ LOAD = 128  # shingles to a cell of the count sketch
 MOST_CELLS = 1 << 24
 MOST_BROADCAST_ROWS = 1_000_000
 BLOCK = 1024
+SALT_ROWS = 1 << 13  # rows of a frequent shingle that one salt takes
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -124,10 +126,17 @@ def _frequencies(profile: DataFrame, n_cells: int) -> np.ndarray:
     return out
 
 
+def _salts(levels: np.ndarray) -> np.ndarray:
+    """Number of salts by level: one up to twice the median cell, beyond it one for SALT_ROWS of the excess."""
+    count = np.exp2(np.arange(256) / 8)
+    usual = 2 * count[int(np.median(levels[levels > 0]))] if levels.any() else 0
+    return np.maximum(1, np.ceil((count - usual) / SALT_ROWS)).astype(np.uint64)
+
+
 def _prefixes(df: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(gram, doc_id, n, at): the prefix of every set, rare shingles first."""
-    shared, n_cells = df.sparkSession.sparkContext.broadcast(levels), len(levels)
-    schema = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("at", pa.int32())])
+    """(gram, doc_id, n, at, salt): the prefix of every set, rare shingles first; salt is -1 but for frequent shingles."""
+    shared, n_cells, salts = df.sparkSession.sparkContext.broadcast(levels), len(levels), _salts(levels)
+    schema = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("salt", pa.int32())])
 
     def run(batches):
         hashes, level = WordHashes(), shared.value
@@ -140,10 +149,12 @@ def _prefixes(df: DataFrame, levels: np.ndarray) -> DataFrame:
                 sizes.append(len(grams[-1]))
             sizes = np.array(sizes)
             at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            docs = np.asarray(batch["doc_id"])
-            yield batch_of(schema, np.concatenate(grams).view(np.int64), np.repeat(docs, sizes), np.repeat([len(x) for x in sets], sizes), at)
+            docs, grams = np.repeat(np.asarray(batch["doc_id"]), sizes), np.concatenate(grams)
+            among = salts[level[(grams % np.uint64(n_cells)).astype(np.int64)]]
+            salt = np.where(among > 1, (mix(docs.view(np.uint64)) % among).astype(np.int64), -1)
+            yield batch_of(schema, grams.view(np.int64), docs, np.repeat([len(x) for x in sets], sizes), at, salt)
 
-    return df.mapInArrow(run, "gram long, doc_id long, n int, at int")
+    return df.mapInArrow(run, "gram long, doc_id long, n int, at int, salt int")
 
 
 def _can_link(n, at, m, at2) -> np.ndarray:
@@ -157,10 +168,13 @@ def _can_link(n, at, m, at2) -> np.ndarray:
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
-    """Prefix rows whose shingle another document has too, with first: the least document of the shingle, and its
-    and the preceding document's sizes and places."""
-    names = ("gram", "doc_id", "n", "at")
-    schema = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("first", pa.int64()), ("before", pa.int64())])
+    """Prefix rows whose shingle another document has too, with the documents that may link with theirs: first, the
+    least document of the shingle, and before, the preceding one. Rows of salted shingles all stay, without first."""
+    names = ("gram", "doc_id", "n", "at", "salt")
+    schema = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("salt", pa.int32()), ("first", pa.int64()), ("before", pa.int64())])
+
+    def written_rows(rows, pivot, near):
+        return batch_of(schema, *rows, pa.array(pivot, pa.int64(), mask=pivot < 0), pa.array(near, pa.int64(), mask=near < 0))
 
     def run(batches):
         held = None  # last row, and the first one of its shingle; written when a second row comes
@@ -173,28 +187,42 @@ def _shared(prefixes: DataFrame) -> DataFrame:
                 skip = held[1]
             else:
                 skip = 0
-            gram, doc, n, at = rows
+            gram, doc, n, at, salt = rows
             size = len(gram)
-            start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            change = (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1])
+            start = np.flatnonzero(np.concatenate([[True], change]))
             head = np.repeat(start, np.diff(np.append(start, size)))
             last = np.maximum(np.arange(size) - 1, head)
-            alone = (head == np.arange(size)) & np.append(gram[1:] != gram[:-1], True)
-            pivot = np.where(_can_link(n, at, n[head], at[head]) & (doc != doc[head]), doc[head], -1)
+            alone = (head == np.arange(size)) & np.append(change, True) & (salt < 0)
+            pivot = np.where(_can_link(n, at, n[head], at[head]) & (doc != doc[head]) & (salt < 0), doc[head], -1)
             near = np.where(_can_link(n, at, n[last], at[last]) & (doc != doc[last]), doc[last], -1)
             # the last shingle may go on in the next batch: carry its first and its last row
             a = int(head[-1])
             keep = np.flatnonzero(~alone)
             keep = keep[(keep >= skip) & ~((keep == size - 1) & (a == size - 1))]
-            if held is not None and not held[2] and size > 1 and gram[0] == gram[1]:
+            if held is not None and not held[2] and (not change[0] or salt[0] >= 0):
                 keep = np.concatenate([[0], keep]) if 0 not in keep else keep
             if len(keep):
-                yield batch_of(schema, gram[keep], doc[keep], n[keep], at[keep], pa.array(pivot[keep], pa.int64(), mask=pivot[keep] < 0), pa.array(near[keep], pa.int64(), mask=near[keep] < 0))
+                yield written_rows([r[keep] for r in rows], pivot[keep], near[keep])
             carried = [a] if a == size - 1 else [a, size - 1]
             written = a != size - 1  # a lone last row is written once its second comes
             held = ([r[carried] for r in rows], len(carried), written)
+        if held is not None and not held[2] and held[0][4][0] >= 0:
+            yield written_rows(held[0], np.array([-1]), np.array([-1]))
+
+    dealt = prefixes.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "doc_id")
+    return dealt.mapInArrow(run, "gram long, doc_id long, n int, at int, salt int, first long, before long")
+
 
-    dealt = prefixes.repartition("gram").sortWithinPartitions("gram", "doc_id")
-    return dealt.mapInArrow(run, "gram long, doc_id long, n int, at int, first long, before long")
+def _first_of_salted(met: DataFrame) -> DataFrame:
+    """(doc_id, first, before) of rows of salted shingles, with the first document of the shingle's first salts."""
+    salted = met.where("salt >= 0")
+    heads = salted.groupBy("gram", "salt").agg(F.min(F.struct("doc_id", "n", "at")).alias("head"))
+    tops = heads.groupBy("gram").agg(F.min("head").alias("top"))
+    told = salted.join(heads.join(tops, "gram").select("gram", "salt", "top"), ["gram", "salt"])
+    most = F.least(F.expr("n - at"), F.expr("top.n - top.at"))  # the tests of _can_link
+    linked = F.expr(f"doc_id <> top.doc_id AND {DENOMINATOR} * least(n, top.n) >= {NUMERATOR} * greatest(n, top.n)") & links(most, F.col("n"), F.col("top.n"))
+    return told.where(linked).select("doc_id", F.col("top.doc_id").alias("first"), F.lit(None).cast("long").alias("before"))
 
 
 def _with_text(pairs: DataFrame, texts: DataFrame, key: str) -> DataFrame:
@@ -238,7 +266,9 @@ def _across(shared: DataFrame, labels: DataFrame, cells: DataFrame, done: DataFr
     told = shared.join(labels, shared["doc_id"] == labels["id"], "left").select("gram", "doc_id", "n", "at", F.coalesce("component", "doc_id").alias("label"))
     told = cut(told, "told")
     mixed = told.groupBy("gram").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("size")).where("least <> most").select("gram", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = told.join(mixed, "gram").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    mixed = cut(mixed, "mixed")
+    few = mixed.count() <= MOST_BROADCAST_ROWS
+    rows = told.join(F.broadcast(mixed) if few else mixed, "gram").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("gram", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "n", "at", "label")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -303,7 +333,7 @@ def classes(df: DataFrame) -> DataFrame:
     prefixes = _prefixes(texts.where("doc_id IS NOT NULL"), _frequencies(profile, n_cells))
     met = cut(_shared(prefixes), "shared")
     # copies stand for their representative: a shingle's rows of one set fall together
-    nearest = met.groupBy("doc_id").agg(F.min("first").alias("first"), F.max("before").alias("before"))
+    nearest = met.select("doc_id", "first", "before").unionByName(_first_of_salted(met)).groupBy("doc_id").agg(F.min("first").alias("first"), F.max("before").alias("before"))
     reps = members.where("doc_id <> rep").distinct()
 
     def standing(frame, column):
