@@ -181,5 +181,6 @@ def slices(batches, column: str, most_bytes: int = 8 << 20):
         edges = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # the worker lives on, and so would what Arrow keeps for it
 
 
