@@ -25,7 +25,7 @@ def test_oracle(spark, name):
 
 def test_one_query_an_operator():
     names = queries.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
 
 
 def test_pipeline(spark):
