@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import columns as C
 from tidegauge.functions.json_scan import first_object
-from tidegauge.operators import events, metrics, repair, reports, scaling, scoring, store, taxonomy, text_eval, windows
+from tidegauge.operators import events, metrics, repair, reports, scaling, scans, scoring, selection, store, taxonomy, text_eval, windows
 from tidegauge.sources import artifacts, files
 from tidegauge.streaming import detector, online, timed
 
@@ -33,6 +33,58 @@ def test_interpolate_matches_pandas(spark):
         repair.repair(grid(spark, values), "guess")
 
 
+def test_repair_by_buckets_equals_pandas(spark):
+    """Buckets of all sizes, with stretches of nulls over several of them, at both ends and everywhere."""
+    rng = random.Random(6)
+    lines = {name: [None if rng.random() < p or 40 <= i < 75 or i < start else rng.random() for i in range(150)] for name, p, start in (("a", 0.2, 0), ("b", 0.9, 30), ("c", 1.1, 0), ("d", 0, 0))}
+    rows = spark.createDataFrame([(r, i, n, v) for r in ("r", "s") for n, values in lines.items() for i, v in enumerate(values)], "run_id string, sample_index long, name string, value double").repartition(5)
+    frame = pd.DataFrame(lines, dtype=float)
+    for bucket in (1, 7, 97, 1000):
+        for how, want in ((repair.ffill, frame.ffill().bfill()), (repair.interpolate, frame.interpolate().ffill().bfill())):
+            got = how(rows, bucket).where("run_id = 's'").toPandas().pivot(index="sample_index", columns="name", values="value")
+            assert np.allclose(got, want, equal_nan=True)
+        kept = repair.drop(rows.where("name IN ('a', 'd')"), bucket).where("run_id = 'r'").toPandas().pivot(index="sample_index", columns="name", values="value")
+        assert np.allclose(kept, frame[["a", "d"]].dropna().reset_index(drop=True)) and kept.index.tolist() == list(range(len(kept)))
+
+
+def test_no_task_orders_a_run(spark):
+    """Windows over samples are keyed by bucket; those keyed by run alone see a row a bucket."""
+    rows = grid(spark, [1.0, None] * 40)
+    plan = repair.interpolate(rows, 7)._jdf.queryExecution().optimizedPlan().toString()
+    keys = [line.split("], [")[1] for line in plan.splitlines() if line.lstrip(" +-:").startswith("Window")]
+    assert keys and sum("bucket" in k for k in keys) == len(keys) - 2  # two carry the bucket rows
+
+
+def test_repaired_matrix(spark):
+    x = [[1.0, None, 5.0], [None, 2.0, 5.0], [3.0, 4.0, 5.0], [float("nan"), 6.0, None]]
+    matrix = spark.createDataFrame([("r", i, v, i) for i, v in enumerate(x)], "run_id string, sample_index long, values array<double>, fault_label int")
+    told = lambda how, f=None: [(r["values"], r["fault_label"]) for r in repair.repair_matrix(matrix, how, f, 2).orderBy("sample_index").collect()]
+    assert told("ffill") == [([1, 2, 5], 0), ([1, 2, 5], 1), ([3, 4, 5], 2), ([3, 6, 5], 3)]
+    assert told("interpolate", 2) == [([1, 2], 0), ([2, 2], 1), ([3, 4], 2), ([3, 6], 3)]
+    assert told("drop") == [([3, 4, 5], 2)]
+    with pytest.raises(ValueError):
+        repair.repair_matrix(matrix, "guess")
+
+
+def test_places_and_neighbours_along_a_run(spark):
+    rows = spark.createDataFrame([(k % 2, k * k) for k in range(60)], "g int, at long")
+    for bucket in (1, 50, 10**6):
+        got = {r["at"]: r["place"] for r in scans.placed(rows, ["g"], "at", bucket).collect()}
+        assert got == {k * k: k // 2 for k in range(60)}
+
+
+def test_percentiles_by_selection(spark):
+    """To the bit what sorting gives, whatever the bound, with ties that no cut can part."""
+    rng = random.Random(8)
+    for values in ([rng.random() for _ in range(3000)], [rng.choice([0.1, 0.2, 0.3]) for _ in range(2000)] + [rng.random() for _ in range(40)], [5.0] * 500 + [-1.0, 7.0], [2.5]):
+        rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "score double").repartition(4)
+        shares = [0.0, 0.01, 0.5, 0.9, 0.99, 1.0]
+        want = list(rows.agg(*[F.percentile("score", F.lit(s)) for s in shares]).first())
+        for bound, ranges in ((10, 5), (300, 16), (10**6, 256)):
+            assert selection.percentiles(rows, "score", shares, bound=bound, ranges=ranges) == want
+    assert selection.percentiles(rows.limit(0), "score", [0.5]) == [None]
+
+
 def test_all_null_stays_null(spark):
     rows = grid(spark, [None, None])
     assert column(repair.interpolate(rows)) == [None, None] == column(repair.ffill(rows))
@@ -107,12 +159,24 @@ def test_islands_equal_machine(spark):
     runs = {f"r{k}": [rng.random() < p for _ in range(120)] for k, p in enumerate((0.3, 0.6, 0.9, 0.0))}
     rows = [(r, i, i, i + 4, float(f), 0.5, f) for r, flags in runs.items() for i, f in enumerate(flags)]
     flags = spark.createDataFrame(rows, "run_id string, window_id long, start_sample long, end_sample long, score double, threshold double, anomalous boolean")
-    for flush in (False, True):
-        got = events.event_windows(flags, 3, 4, flush).groupBy("run_id", "event_number").agg(F.array_sort(F.collect_list("window_id")).alias("w")).orderBy("event_number").collect()
+    for flush, bucket in ((False, 100_000), (True, 7), (False, 1), (False, 31)):
+        got = events.event_windows(flags, 3, 4, flush, bucket).groupBy("run_id", "event_number").agg(F.array_sort(F.collect_list("window_id")).alias("w")).orderBy("event_number").collect()
         want = [(r, e) for r, f in runs.items() for e in restated(f, 3, 4, 10**9, flush)]
         assert [(x["run_id"], x["w"]) for x in got] == want
     capped = events.capped(flags, 3, 4, cap=5).groupBy("run_id", "event_number").agg(F.array_sort(F.collect_list("window_id")).alias("w")).orderBy("run_id", "event_number").collect()
     assert [(x["run_id"], x["w"]) for x in capped] == [(r, e) for r, f in runs.items() for e in restated(f, 3, 4, 5)]
+    for cap, flush, bucket in ((5, False, 7), (2, True, 3), (1, False, 10), (9, True, 1)):
+        rows = events.capped(flags, 3, 4, cap, flush, bucket).orderBy("run_id", "event_number", "rn").collect()
+        got = {}
+        for x in rows:
+            own = got.setdefault((x["run_id"], x["event_number"]), [])
+            own.append(x["window_id"])
+            assert x["rn"] == len(own)
+        want = [(r, e) for r, f in runs.items() for e in events.machine(f, 3, 4, cap, flush)]
+        assert [(r, e) for (r, _), e in sorted(got.items())] == want and want
+    for bucket in (1, 5, 100):
+        told = events.confirmed(flags, 3, bucket).orderBy("run_id", "window_id").collect()
+        assert [x["confirmed"] for x in told if x["run_id"] == "r1"] == [k >= 2 and all(runs["r1"][k - 2 : k + 1]) for k in range(120)]
 
 
 def test_metrics(spark):

@@ -1,16 +1,13 @@
-"""Repair of missing values in long grids (run_id, sample_index, name, value)."""
+"""Repair of missing values in long grids (run_id, sample_index, name, value), by buckets of samples."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STRATEGIES = ("drop", "ffill", "interpolate")
-
+from tidegauge.operators import scans
 
-def _sides():
-    line = Window.partitionBy("run_id", "name").orderBy("sample_index")
-    return line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(0, Window.unboundedFollowing)
+STRATEGIES = ("drop", "ffill", "interpolate")
 
 
 def clean(grid: DataFrame) -> DataFrame:
@@ -18,32 +15,49 @@ def clean(grid: DataFrame) -> DataFrame:
     return grid.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
-def drop(grid: DataFrame) -> DataFrame:
+def drop(grid: DataFrame, bucket: int = scans.BUCKET) -> DataFrame:
     """Samples without any null, numbered anew."""
-    whole = grid.groupBy("run_id", "sample_index").agg(F.bool_and(F.col("value").isNotNull()).alias("whole")).where("whole")
-    place = (F.row_number().over(Window.partitionBy("run_id").orderBy("sample_index")) - 1).cast("long")
-    return grid.join(whole.select("run_id", "sample_index", place.alias("place")), ["run_id", "sample_index"]).select("run_id", F.col("place").alias("sample_index"), "name", "value")
+    whole = grid.groupBy("run_id", "sample_index").agg(F.bool_and(F.col("value").isNotNull()).alias("whole")).where("whole").drop("whole")
+    return grid.join(scans.placed(whole, ["run_id"], "sample_index", bucket), ["run_id", "sample_index"]).select("run_id", F.col("place").alias("sample_index"), "name", "value")
 
 
-def ffill(grid: DataFrame) -> DataFrame:
+def ffill(grid: DataFrame, bucket: int = scans.BUCKET) -> DataFrame:
     """The last value before, or at the start the first one behind."""
-    back, ahead = _sides()
-    value = F.coalesce(F.last("value", ignorenulls=True).over(back), F.first("value", ignorenulls=True).over(ahead))
-    return grid.withColumn("value", value)
+    told = scans.known(grid, ["run_id", "name"], "sample_index", F.col("value"), bucket)
+    return told.withColumn("value", F.coalesce("back", "ahead")).select(*grid.columns)
 
 
-def interpolate(grid: DataFrame) -> DataFrame:
+def interpolate(grid: DataFrame, bucket: int = scans.BUCKET) -> DataFrame:
     """Linear by position between neighbours that have values; ends take the nearest."""
-    back, ahead = _sides()
     at = F.when(F.col("value").isNotNull(), F.struct(F.col("sample_index").alias("i"), F.col("value").alias("v")))
-    near = grid.withColumn("at", at).select("*", F.last("at", ignorenulls=True).over(back).alias("a"), F.first("at", ignorenulls=True).over(ahead).alias("b"))
-    share = (F.col("sample_index") - F.col("a.i")) / (F.col("b.i") - F.col("a.i"))
-    between = F.col("a.v") + (F.col("b.v") - F.col("a.v")) * share
-    value = F.when(F.col("value").isNotNull(), F.col("value")).when(F.col("a").isNull(), F.col("b.v")).when(F.col("b").isNull(), F.col("a.v")).otherwise(between)
-    return near.withColumn("value", value).drop("at", "a", "b")
+    near = scans.known(grid, ["run_id", "name"], "sample_index", at, bucket)
+    a, b = F.col("back"), F.col("ahead")
+    between = a["v"] + (b["v"] - a["v"]) * ((F.col("sample_index") - a["i"]) / (b["i"] - a["i"]))
+    value = F.when(F.col("value").isNotNull(), F.col("value")).when(a.isNull(), b["v"]).when(b.isNull(), a["v"]).otherwise(between)
+    return near.withColumn("value", value).select(*grid.columns)
+
+
+def repair(grid: DataFrame, strategy: str, bucket: int = scans.BUCKET) -> DataFrame:
+    if strategy not in STRATEGIES:
+        raise ValueError(f"strategy {strategy!r} is none of {STRATEGIES}")
+    return {"drop": drop, "ffill": ffill, "interpolate": interpolate}[strategy](clean(grid), bucket)
+
 
+def repair_matrix(matrix: DataFrame, strategy: str, features: int | None = None, bucket: int = scans.BUCKET) -> DataFrame:
+    """A matrix (run_id, sample_index, values, ...) repaired sensor by sensor; ``features`` truncates its vectors after that.
 
-def repair(grid: DataFrame, strategy: str) -> DataFrame:
+    Columns besides the vector stay with their sample; ``drop`` numbers the samples that stay anew.
+    """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy {strategy!r} is none of {STRATEGIES}")
-    return {"drop": drop, "ffill": ffill, "interpolate": interpolate}[strategy](clean(grid))
+    rest = [c for c in matrix.columns if c not in ("run_id", "sample_index", "values")]
+    if strategy == "drop":
+        # a sample is whole or not by itself, so vectors are neither taken apart nor put together
+        whole = matrix.where(F.col("values").isNotNull() & F.forall("values", lambda v: v.isNotNull() & ~F.isnan(v)))
+        out = scans.placed(whole, ["run_id"], "sample_index", bucket).withColumn("sample_index", F.col("place")).drop("place")
+    else:
+        long = matrix.select("run_id", "sample_index", F.posexplode("values").alias("name", "value"))
+        cells = repair(long, strategy, bucket).groupBy("run_id", "sample_index").agg(F.transform(F.sort_array(F.collect_list(F.struct("name", "value"))), lambda x: x["value"]).alias("values"))
+        out = matrix.drop("values").join(cells, ["run_id", "sample_index"])
+    values = F.col("values") if features is None else F.slice("values", 1, features)
+    return out.select("run_id", "sample_index", values.alias("values"), *rest)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions import columns as C
-from tidegauge.operators import scaling, windows
+from tidegauge.operators import scaling, selection, windows
 
 
 def squared(long: DataFrame, base: DataFrame) -> DataFrame:
@@ -56,13 +56,27 @@ def record_results(matrix: DataFrame, base: DataFrame, limit: float, size: int,
     return told.select("run_id", "sample_index", F.when(i >= size - 1, i - (size - 1)).alias("window_id"), "score", F.coalesce(F.col("score") > limit, F.lit(False)).alias("anomalous"))
 
 
+METHODS = ("percentile", "validation_percentile", "mean_std")
+STATS = "n long, mean_score double, std_score double, max_score double"
+
+
+def _stats(scores: DataFrame):
+    return scores.agg(F.count("score").alias("n"), F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"), F.max("score").alias("max_score")).first()
+
+
 def threshold(scores: DataFrame, method: str = "percentile", percentile: float = 99.0, k: float = 3.0) -> DataFrame:
-    """One row: threshold, method, n, mean_score, std_score, max_score. Fit on scores of normal windows."""
-    forms = {"percentile": F.percentile("score", F.lit(percentile / 100)), "mean_std": F.avg("score") + k * F.stddev_pop("score")}
-    forms["validation_percentile"] = forms["percentile"]
-    if method not in forms:
-        raise ValueError(f"method {method!r} is none of {sorted(forms)}")
-    return scores.agg(forms[method].alias("threshold"), F.lit(method).alias("method"), F.count("score").alias("n"), F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"), F.max("score").alias("max_score"))
+    """One row: threshold, method, n, mean_score, std_score, max_score. Fit on scores of normal windows.
+
+    A percentile is exact and comes from ``selection``, so it runs jobs when it is called.
+    """
+    if method not in METHODS:
+        raise ValueError(f"method {method!r} is none of {sorted(METHODS)}")
+    told = _stats(scores)
+    if method == "mean_std":
+        limit = told["mean_score"] + k * told["std_score"] if told["n"] else None
+    else:
+        (limit,) = selection.percentiles(scores, "score", [percentile / 100], told["n"])
+    return scores.sparkSession.createDataFrame([(limit, method, *told)], f"threshold double, method string, {STATS}")
 
 
 def threshold_value(scores: DataFrame, **options) -> float:
@@ -74,7 +88,9 @@ def threshold_value(scores: DataFrame, **options) -> float:
 
 
 def summary(scores: DataFrame) -> DataFrame:
-    return scores.agg(F.count("score").alias("n"), F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"), F.max("score").alias("max_score"), F.percentile("score", F.lit(0.99)).alias("p99"))
+    """One row: n, mean_score, std_score, max_score, p99."""
+    told = _stats(scores)
+    return scores.sparkSession.createDataFrame([(*told, *selection.percentiles(scores, "score", [0.99], told["n"]))], f"{STATS}, p99 double")
 
 
 def flagged(scores: DataFrame, limit: float) -> DataFrame:

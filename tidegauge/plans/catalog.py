@@ -62,7 +62,8 @@ def grid_pivot(spark, d):
 
 
 def _repaired(how):
-    return lambda spark, d: how(_grid(spark, d)).select("sample_index", "name", F.round("value", 6).alias("value"))
+    """Buckets of 97 samples, as a run of any length is cut."""
+    return lambda spark, d: how(_grid(spark, d), 97).select("sample_index", "name", F.round("value", 6).alias("value"))
 
 
 def null_cells(spark, d):
@@ -181,15 +182,15 @@ def replay_windows(spark, d):
 
 # events
 def confirmed_runs(spark, d):
-    return events.confirmed(_flags(spark, d), CONFIRM).select("window_id", "anomalous", "confirmed")
+    return events.confirmed(_flags(spark, d), CONFIRM, bucket=211).select("window_id", "anomalous", "confirmed")
 
 
 def event_islands(spark, d):
-    return _event_windows(spark, d).select("event_number", "rn", "window_id", F.round("score", 6).alias("score"))
+    return events.event_windows(_flags(spark, d), CONFIRM, SEPARATE, bucket=211).select("event_number", "rn", "window_id", F.round("score", 6).alias("score"))
 
 
 def event_capped(spark, d):
-    return events.capped(_flags(spark, d), CONFIRM, SEPARATE, cap=4).drop("run_id")
+    return events.capped(_flags(spark, d), CONFIRM, SEPARATE, cap=4, bucket=211).drop("run_id")
 
 
 def event_summary(spark, d):
