@@ -9,7 +9,8 @@ looks for their other parts, and they are reported only where these co-occur:
 * ``endpoint`` when both an identifier and a secret are in scope.
 
 The join is a sweep: within a document, parts in order of start meet the nearest part of each role before and behind
-them, so a document with many parts costs their number, not their pairs.
+them, so a document with many parts costs their number (sorted), not their pairs. Texts may be of any length: places are
+running sums over a document's matches, and no list of them is built again for each one.
 
 Edge cases: a null text is empty and has no spans; rows with equal ids, or that repeat, stay rows of their own; a weak
 candidate that overlaps a base span is that span and is not reported again; equal starts are in order of kind. Only
@@ -38,27 +39,27 @@ def _sql(pattern: str) -> str:
     return "r'" + pattern.replace("'", "\\x27") + "'"
 
 
-def _places(k: int) -> str:
-    """SQL for the spans of kind k from its matches m{k}: the pieces between matches give their places."""
-    _, _, pattern, group, least = KINDS[k]
+def _pieces(k: int) -> str:
+    """SQL for the matches m{k} of kind k in turn: code points between the match before and it, its own, and the counted ones."""
+    _, _, pattern, group, _ = KINDS[k]
     counted = f"regexp_extract_all(text, {_sql(pattern)}, {group})" if group else f"m{k}"
-    kind = "array<struct<s:int,e:int,n:int,k:int>>"
-    return f"""CASE WHEN size(m{k}) = 0 THEN cast(array() AS {kind}) ELSE filter(aggregate(
-        zip_with(zip_with(slice(split(text, {_sql(pattern)}, -1), 1, size(m{k})), m{k}, (a, b) -> named_struct('skip', length(a), 'len', length(b))),
-            {counted}, (a, b) -> named_struct('skip', a.skip, 'len', a.len, 'n', length(b))),
-        cast(named_struct('at', 0, 'out', array()) AS struct<at:int,out:{kind}>),
-        (a, x) -> named_struct('at', a.at + x.skip + x.len,
-            'out', concat(a.out, array(named_struct('s', a.at + x.skip, 'e', a.at + x.skip + x.len, 'n', x.n, 'k', {k})))),
-        a -> a.out), x -> x.n >= {least}) END"""
+    return f"""CASE WHEN size(m{k}) = 0 THEN cast(array() AS array<struct<skip:int,len:int,n:int,k:int>>) ELSE zip_with(
+        zip_with(slice(split(text, {_sql(pattern)}, -1), 1, size(m{k})), m{k}, (a, b) -> named_struct('skip', length(a), 'len', length(b))),
+        {counted}, (a, b) -> named_struct('skip', a.skip, 'len', a.len, 'n', length(b), 'k', {k})) END"""
 
 
 def _parts(df: DataFrame) -> DataFrame:
-    """One row a document: row, doc_id, parts (base spans and weak candidates, in no order)."""
+    """row, doc_id, start, end, order, kind, role: a row for each base span and weak candidate; all null for matches that are too short and
+    once for a document without matches. Places are running sums over a document's matches of a kind."""
     source = df.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     matched = source.select("*", *[F.expr(f"regexp_extract_all(text, {_sql(x[2])}, 0)").alias(f"m{k}") for k, x in enumerate(KINDS)])
-    names = [f"p{k}" for k in range(len(KINDS))]
-    placed = matched.select("row", "doc_id", *[F.expr(_places(k)).alias(names[k]) for k in range(len(KINDS))])
-    return placed.select("row", "doc_id", F.concat(*names).alias("parts"))
+    pieces = matched.select("row", "doc_id", F.posexplode_outer(F.concat(*[F.expr(_pieces(k)) for k in range(len(KINDS))])).alias("at", "m"))
+    dealt = pieces.select("row", "doc_id", "at", "m.*").repartition("row")  # the windows of a kind and of a document need no other shuffle
+    end = F.sum(F.col("skip") + F.col("len")).over(Window.partitionBy("row", "k").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    told = dealt.withColumn("end", end).withColumn("long", F.col("n") >= F.element_at(F.array(*[F.lit(x[4]) for x in KINDS]), F.col("k") + 1))
+    of = lambda column: F.when(F.col("long"), column)
+    named = lambda at: F.element_at(F.array(*[F.lit(x[at]) for x in KINDS]), F.col("k") + 1)
+    return told.select("row", "doc_id", of(F.col("end") - F.col("len")).alias("start"), of(F.col("end")).alias("end"), of(F.col("k")).alias("order"), of(named(0)).alias("kind"), of(named(1)).alias("role"))
 
 
 def find(df: DataFrame) -> DataFrame:
@@ -67,30 +68,23 @@ def find(df: DataFrame) -> DataFrame:
     row, doc_id, kind, order, start, end, and identifier, secret, endpoint: start of the nearest other part of that
     role within the scope, if there is one.
     """
-    parts = _parts(df).select("row", "doc_id", F.explode_outer("parts").alias("part"))
-    roles = F.array(*[F.lit(role) for _, role, *_ in KINDS])
-    kinds = F.array(*[F.lit(kind) for kind, *_ in KINDS])
-    flat = parts.select("row", "doc_id", F.col("part.s").alias("start"), F.col("part.e").alias("end"), F.col("part.k").alias("order"), F.when(F.col("part").isNotNull(), kinds[F.col("part.k")]).alias("kind"), F.when(F.col("part").isNotNull(), roles[F.col("part.k")]).alias("role"))
-    line = Window.partitionBy("row").orderBy("start", "order", "end")
-    before, behind = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
+    flat = _parts(df)
+    order = ("start", "order", "end")
+    # frames that grow with the rows, one in each direction: a frame that shrinks would be summed anew for every row
+    before = Window.partitionBy("row").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy("row").orderBy(*map(F.desc, order)).rowsBetween(Window.unboundedPreceding, -1)
     base = F.col("order") < BASE
-    swept = flat.select(
-        "*",
-        F.max(F.when(base, F.col("end"))).over(before).alias("base_before"),
-        F.min(F.when(base, F.col("start"))).over(behind).alias("base_behind"),
-    )
+    swept = flat.withColumn("base_before", F.max(F.when(base, F.col("end"))).over(before)).withColumn("base_behind", F.min(F.when(base, F.col("start"))).over(behind))
     # a weak candidate that overlaps a base span is part of it and takes no part in linking
-    told = swept.where(F.col("order").isNull() | base | ((F.coalesce("base_before", F.lit(0)) <= F.col("start")) & (F.coalesce("base_behind", F.col("end")) >= F.col("end"))))
-    near = told
-    for role in ("identifier", "secret", "endpoint"):
-        mine = F.col("role") == role
-        # the latest end before, and the first start behind; equal roles do not link with themselves
-        last = F.max(F.when(mine, F.struct("end", "start"))).over(before)
-        first = F.min(F.when(mine, F.col("start"))).over(behind)
-        near = near.select("*", last.alias("last"), first.alias("first")).select(
-            *near.columns,
-            F.when(F.col("start") - F.col("last.end") <= SCOPE, F.col("last.start")).otherwise(F.when(F.col("first") - F.col("end") <= SCOPE, F.col("first"))).alias(role),
-        )
+    near = swept.where(F.col("order").isNull() | base | ((F.coalesce("base_before", F.lit(0)) <= F.col("start")) & (F.coalesce("base_behind", F.col("end")) >= F.col("end"))))
+    roles = ("identifier", "secret", "endpoint")
+    mine = lambda role: F.col("role") == role
+    # the latest end before, and the first start behind; equal roles do not link with themselves
+    near = near.select("*", *[F.min(F.when(mine(role), F.col("start"))).over(behind).alias(f"first_{role}") for role in roles])
+    near = near.select("*", *[F.max(F.when(mine(role), F.struct("end", "start"))).over(before).alias(f"last_{role}") for role in roles])
+    for role in roles:
+        first, last = F.col(f"first_{role}"), F.col(f"last_{role}")
+        near = near.withColumn(role, F.when(F.col("start") - last["end"] <= SCOPE, last["start"]).otherwise(F.when(first - F.col("end") <= SCOPE, first)))
     has = lambda role: F.col(role).isNotNull()
     linked = F.when(F.col("kind") == "token", has("identifier")).when(F.col("kind") == "account", has("secret")).otherwise(has("identifier") & has("secret"))
     keep = near.withColumn("told", F.col("order").isNull() | (F.col("order") < BASE) | linked)

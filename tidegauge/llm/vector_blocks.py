@@ -62,7 +62,7 @@ class Blocks:
                     at = np.flatnonzero(ids % every == 0)
                     name = f"{part}-{count}"
                     head = np.array([len(ids), size, len(at)], np.int64)
-                    write_file(f"{folder}/{name}", [head, ids, labels, at, np.ascontiguousarray(x[at]), *encode(x)])
+                    write_file(f"{folder}/{name}", [np.ravel(part) for part in (head, ids, labels, at, x[at], *encode(x))])
                     count += 1
                     yield batch_of(kept, [name], [len(ids)], [len(at)])
 
