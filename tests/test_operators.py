@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -252,12 +253,64 @@ def test_store(spark, tmp_path):
     own.add_followup("ANOM-0001", "q2", "a2")
     many = spark.createDataFrame([("ANOM-9999", 1), ("ANOM-10000", 1)], "event_id string, last_sample long")
     assert store.status(many).first()["last_event"] == "ANOM-10000" == store.recent(many, 1).first()["event_id"]
-    assert [r["id"] for r in own.followups().orderBy("id").collect()] == [1, 2]
+    assert [r["id"] for r in own.followups().orderBy("id").collect()] == [1, 2] and own.followups("ANOM-0002").count() == 0
     assert [m["role"] for m in store.as_messages(own.followups()).orderBy("turn").collect()] == ["user", "assistant"] * 2
     with pytest.raises(KeyError):
         own.add_followup("ANOM-0009", "q", "a")
 
 
+def test_store_of_many_writes(spark, tmp_path, monkeypatch):
+    """Runs are merged, a point read touches its bucket alone, numbers are reserved by commits, and two writers agree."""
+    monkeypatch.setattr(store, "FAN", 3)
+    monkeypatch.setattr(store, "KEEP", 4)
+    own = store.EventStore(spark, f"file://{tmp_path}/store", buckets=4)
+    event = lambda k, text: spark.createDataFrame([(f"ANOM-{k:04d}", 10 * k, text)], "event_id string, last_sample long, report string")
+    for k in range(14):
+        own.upsert(event(own.next_number(before=k), f"r{k}"), k)
+    assert own.events().count() == 14 and own.next_number() == 15
+    runs = own.log.last()[1]["events"]["runs"]
+    assert len(runs) <= 2 * 3 and len(own.log.versions()) == 4
+    kept = {r["name"] for v in own.log.versions() for r in own.log.read(v)["events"]["runs"]}
+    assert set(own.log.names("runs")) == kept
+    read = own.get("ANOM-0005").inputFiles()
+    assert read and all(f"bucket={own._bucket('ANOM-0005')}/" in f for f in read) and len(read) <= len(runs)
+    # a batch that is run again has the number that it had, whether it was the last one or not
+    assert own.next_number(before=13) == 14 and own.next_number(before=11) == 12 and own.next_number(before=14) == 15
+    own.upsert(event(14, "again"), 13)
+    assert own.get("ANOM-0014").first()["report"] == "again" and own.next_number() == 15 and own.events().count() == 14
+    # a writer that died before its commit leaves a run that no version names
+    own._write(event(99, "lost").withColumn("version", F.lit(99)), 99)
+    assert own.next_number(before=14) == 15 and own.events().count() == 14
+    before = len(own.log.names("runs"))
+    own.sweep(3600)
+    assert len(own.log.names("runs")) == before
+    own.sweep(-60)
+    assert len(own.log.names("runs")) < before and own.events().count() == 14
+    # new columns; one of another type is an error
+    own.upsert(spark.createDataFrame([("ANOM-0020", 1.5)], "event_id string, extra double"))
+    assert own.get("ANOM-0020").first()["report"] is None and own.get("ANOM-0001").first()["extra"] is None and own.next_number() == 21
+    with pytest.raises(ValueError):
+        own.upsert(spark.createDataFrame([("ANOM-0021", "x")], "event_id string, extra string"))
+    # of two writers of one version the second goes on from the first one's
+    other = store.EventStore(spark, own.path)
+    state, once = own._state, []
+
+    def raced():
+        told = state()
+        if not once:
+            once.append(other.add_followup("ANOM-0001", "q", "a"))
+        return told
+
+    assert other.buckets == 4
+    own.get("ANOM-0001").first()
+    monkeypatch.setattr(own, "_state", raced)
+    monkeypatch.setattr(own, "get", other.get)
+    assert own.add_followup("ANOM-0001", "q2", None) == 2 and once == [1]
+    told = other.followups("ANOM-0001")
+    assert sorted((r["id"], r["question"]) for r in told.collect()) == [(1, "q"), (2, "q2")]
+    assert all(f"bucket={own._bucket('ANOM-0001')}/" in f for f in told.inputFiles())
+
+
 def test_stream_equals_batch(spark, tmp_path):
     """Records over several files and batches: state carries windows and open events from one to the next."""
     rng = np.random.default_rng(4)
@@ -284,6 +337,41 @@ def test_stream_equals_batch(spark, tmp_path):
     assert [(a, b) for a, b, _ in got] == [(2 * e[0], len(e)) for e in want] and len(want) >= 2
 
 
+def test_stream_gives_gaps_up_after_a_while(spark, tmp_path):
+    """A run with a missing number, one that begins late, and a record that comes when its number is given up."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", online.ROCKSDB)
+    x = hot_run()
+    (tmp_path / "in").mkdir()
+    line = lambda run, i: json.dumps({"run_id": run, "sample_index": i, "values": x[i].tolist(), "fault_label": None})
+    (tmp_path / "in" / "0.json").write_text("\n".join([*(line("gap", i) for i in range(160) if i != 20), *(line("late", i) for i in range(30, 160))]))
+    stream = spark.readStream.schema("run_id string, sample_index long, values array<double>, fault_label int").json(f"file://{tmp_path}/in")
+    found = detector.events(stream, unit(spark), 2.5, 10, 2, 3, 4, wait=1.0)
+    out = f"file://{tmp_path}/out"
+    query = found.drop("errors", "means").writeStream.format("parquet").option("path", out).option("checkpointLocation", f"file://{tmp_path}/state").trigger(processingTime="500 milliseconds").start()
+    told = lambda where: sorted(tuple(r) for r in spark.read.schema("run_id string, start_sample long, last_sample long, n_windows int, late boolean").parquet(out).where(where).collect())
+
+    def until(test):
+        stop = time.monotonic() + 90
+        while time.monotonic() < stop:
+            if (tmp_path / "out").is_dir() and test():
+                return True
+            time.sleep(0.5)
+        return False
+
+    want = []
+    for run, numbers in (("gap", [i for i in range(160) if i != 20]), ("late", list(range(30, 160)))):
+        q = (x[numbers] ** 2).mean(1)
+        ends = range(10, len(numbers) + 1, 2)
+        for e in restated([q[n - 10 : n].mean() > 2.5 for n in ends], 3, 4, 200):
+            want.append((run, numbers[ends[e[0]] - 10], numbers[ends[e[-1]] - 1], len(e), False))
+    try:
+        assert until(lambda: told("NOT late") == sorted(want)) and len(want) >= 4
+        (tmp_path / "in" / "1.json").write_text(line("gap", 20))
+        assert until(lambda: told("late") == [("gap", 20, 20, 0, True)])
+    finally:
+        query.stop()
+
+
 def test_watermarked_windows_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     frame = pd.DataFrame({"ts": pd.to_datetime(["2024-01-01 00:05", "2024-01-01 00:40", "2024-01-01 05:00"]), "user_id": [1, 1, 1], "event_type": "a", "value": [1.0, 2.0, 3.0]})
@@ -335,7 +423,7 @@ def test_online_path(spark, tmp_path):
     assert all(r["fault_label"] == 7 and r["detection_time"] and r["created_at"] and r["report"]["summary"] for r in got)
     errors = np.array([(x[s : s + 10] ** 2).mean(0) for s in [2 * k for k in want[0]]])
     assert np.allclose(got[0]["sensor_time_series"]["per_sensor_mean_error"], errors.mean(0))
-    assert kept.next_number(before=0) == 1 and kept.next_number() == len(got) + 1
+    assert kept.next_number(before=0) == 1 and kept.next_number() == len(got) + 1 == kept.next_number(before=10**6)
     kept.upsert(kept.events().drop("version"), version=99)
     assert kept.events().count() == len(got)
 

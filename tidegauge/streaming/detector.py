@@ -1,12 +1,14 @@
 """The detector as a Structured Streaming query: windows, scores and events with state per run.
 
-State of a run: the last ``size`` samples, the flags' run length, the open event's windows (start, score, error and mean
-of each sensor; at most ``cap`` of them), and records held back. Sample numbers are dense from 0; a record waits until those before it are there, in whatever
-order files and batches come, and ``hold`` records wait at most: beyond, a missing number is given up. A record whose
-number has passed is late; it is not used, and leaves as a row of its own (late, its number as start and last sample).
-An event leaves the stream when it closes, with the errors and means of its windows, from which ``online`` derives
-evidence and report; one still open at the end stays in the state. A record whose vector has not the baseline's length
-is an error.
+State of a run: a small value (numbers, the last ``size`` samples, the flags' run length), a list to which each window of the
+open event is appended (start, score, error and mean of each sensor; at most ``cap`` of them), and a map of the records that wait.
+Sample numbers are dense from 0; a record waits until those before it are there, in whatever order files and batches
+come. A gap is given up, and the run goes on with the next number that is there (a run that begins late begins with its first), once more than
+``hold`` records wait behind it or, where ``wait`` is given, once a timer of so many seconds that was set
+with the gap has expired. A record whose number has passed is late; it is not used, and leaves as a row of its own (late, its
+number as start and last sample). An event leaves the stream when it closes, with the errors and means of its windows,
+from which ``online`` derives evidence and report; one still open at the end stays in the state. A record whose vector
+has not the baseline's length is an error.
 """
 
 from __future__ import annotations
@@ -24,51 +26,85 @@ EVENTS = "run_id string, start_sample long, last_sample long, n_windows int, max
 
 
 class Detector(StatefulProcessor):
-    def __init__(self, mean, std, limit: float, size: int, stride: int, confirm: int, separate: int, cap: int, hold: int, phase: str):
+    def __init__(self, mean, std, limit: float, size: int, stride: int, confirm: int, separate: int, cap: int, hold: int, phase: str, wait: float | None = None):
         self.mean, self.scale = np.asarray(mean, float), np.where(np.asarray(std) == 0, 1.0, std)
-        self.limit, self.size, self.stride = limit, size, stride
+        self.limit, self.size, self.stride, self.wait = limit, size, stride, wait
         self.confirm, self.separate, self.cap, self.hold = confirm, separate, cap, hold
         self.first = size if phase == "full" else -(-size // stride) * stride  # samples before the first window's end
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("run", "last long, seen long, tail array<double>, recent int, gap int, starts array<bigint>, scores array<double>, errors array<double>, means array<double>, label int, held array<struct<i:bigint,values:array<double>,fault:int>>")
+        self.handle = handle
+        # held, end: windows of the open event, and the last sample of the last of them; timer: when the gap is given up, 0 without one
+        self.run = handle.getValueState("run", "last long, seen long, recent int, gap int, held int, end long, label int, waiting int, timer long, numbers array<bigint>, tail array<double>")
+        self.windows = handle.getListState("windows", "start long, score double, error array<double>, mean array<double>")
+        self.waiting = handle.getMapState("waiting", "i long", "sample array<double>, fault int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, seen, tail, recent, gap, starts, scores, errors, means, label, held = self.state.get() if self.state.exists() else (-1, 0, [], 0, -1, [], [], [], [], None, [])
-        f = len(self.mean)
-        tail = deque(np.reshape(tail, (-1, f)), self.size)
-        starts, scores, errors, means = list(starts), list(scores), list(np.reshape(errors, (-1, f))), list(np.reshape(means, (-1, f)))
-        waiting = {r[0]: (np.asarray(r[1], float), r[2]) for r in held}
-        out = []
+        yield from self._step(key, rows, timerValues, False)
 
-        def close():
-            out.append((key[0], starts[0], starts[-1] + self.size - 1, len(starts), max(scores), float(np.mean(scores)), label, False, [e.tolist() for e in errors], [m.tolist() for m in means]))
-            for own in (starts, scores, errors, means):
-                own.clear()
-
-        def keep(*window):
-            for own, part in zip((starts, scores, errors, means), window, strict=True):
-                own.append(part)
-
-        def ready():
-            """Records in order of their numbers, as far as none is missing or too many wait."""
-            at = last + 1
-            while waiting and (at in waiting or len(waiting) > self.hold):
-                at = at if at in waiting else min(waiting)
-                yield at, *waiting.pop(at)
-                at += 1
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._step(key, (), timerValues, True)
+
+    def _step(self, key, rows, timer_values, give_up: bool) -> Iterator[pd.DataFrame]:
+        """Take in records; with ``give_up`` the first gap is passed over."""
+        last, seen, recent, gap, held, end, label, waiting, timer, numbers, tail = self.run.get() if self.run.exists() else (-1, 0, 0, -1, 0, -1, None, 0, 0, [], [])
+        f = len(self.mean)
+        numbers, tail = deque(numbers, self.size), deque(np.reshape(tail, (-1, f)), self.size)
+        out, opened, fresh = [], [], {}
+        known = None  # numbers that wait, read once they are needed
 
         for rows_of in rows:
             for i, values, fault in zip(rows_of["sample_index"], rows_of["values"], rows_of["fault_label"], strict=True):
-                if i <= last or i in waiting:
-                    out.append((key[0], int(i), int(i), 0, None, None, None if pd.isna(fault) else int(fault), True, None, None))
+                i, fault = int(i), None if pd.isna(fault) else int(fault)
+                if i <= last or i in fresh or (waiting and self.waiting.containsKey((i,))):
+                    out.append((key[0], i, i, 0, None, None, fault, True, None, None))
                 elif len(values) != f:
                     raise ValueError(f"record {i} of run {key[0]} has {len(values)} values, the baseline has {f}")
                 else:
-                    waiting[int(i)] = (np.asarray(values, float), None if pd.isna(fault) else int(fault))
-        for last, values, fault in ready():
+                    fresh[i] = (np.asarray(values, float), fault)
+
+        def take(i):
+            """A record that has come or waits."""
+            nonlocal waiting
+            if i in fresh:
+                return fresh.pop(i)
+            if waiting and self.waiting.containsKey((i,)):
+                values, fault = self.waiting.getValue((i,))
+                self.waiting.removeKey((i,))
+                waiting -= 1
+                return np.asarray(values, float), fault
+            return None
+
+        def first_waiting():
+            nonlocal known
+            if known is None:
+                known = sorted(k[0] for k in self.waiting.keys()) if waiting else []
+            while known and known[0] <= last:
+                known.pop(0)
+            return min([*known[:1], *([min(fresh)] if fresh else [])])
+
+        def close():
+            nonlocal held, label
+            own = [*([(w[0], w[1], list(w[2]), list(w[3])) for w in self.windows.get()] if held > len(opened) else []), *opened]
+            starts, scores, errors, means = zip(*own, strict=True)
+            out.append((key[0], starts[0], end, len(own), max(scores), float(np.mean(scores)), label, False, list(errors), list(means)))
+            self.windows.clear()
+            opened.clear()
+            held, label = 0, None
+
+        while fresh or waiting:
+            found = take(last + 1)
+            if found is None:
+                if not (give_up or len(fresh) + waiting > self.hold):
+                    break
+                give_up, timer = False, 0
+                last = first_waiting() - 1
+                continue
+            values, fault = found
+            last += 1
             seen += 1
             tail.append(values)
+            numbers.append(last)
             if seen < self.first or (seen - self.first) % self.stride:
                 continue
             window = np.array(tail)
@@ -76,23 +112,29 @@ class Detector(StatefulProcessor):
             score = float(error.mean())
             hot = score > self.limit
             recent = recent + 1 if hot else 0
-            if not starts:
-                if recent >= self.confirm:
-                    keep(last - self.size + 1, score, error, mean)
-                    gap, label = 0, fault
-            elif hot:
-                keep(last - self.size + 1, score, error, mean)
-                gap, label = 0, label if fault is None else fault
-                if len(starts) >= self.cap:
+            if hot and (held or recent >= self.confirm):
+                opened.append((numbers[0], score, error.tolist(), mean.tolist()))
+                label = fault if fault is not None or not held else label
+                held, gap, end = held + 1, 0, last
+                if held >= self.cap and held > 1:
                     close()
-                    label = None
-            else:
+            elif held:
                 gap += 1
                 if gap >= self.separate:
                     close()
-                    label = None
-        flat = lambda rows: np.ravel(rows).tolist()
-        self.state.update((last, seen, flat(tail), recent, gap, starts, scores, flat(errors), flat(means), label, [(i, waiting[i][0].tolist(), waiting[i][1]) for i in sorted(waiting)]))
+        if opened:
+            self.windows.appendList(opened)
+        for i, (values, fault) in fresh.items():
+            self.waiting.updateValue((i,), (values.tolist(), fault))
+        waiting += len(fresh)
+        if self.wait is not None:
+            if waiting and not timer:
+                timer = timer_values.getCurrentProcessingTimeInMs() + int(1000 * self.wait)
+                self.handle.registerTimer(timer)
+            elif timer and not waiting:
+                self.handle.deleteTimer(timer)
+                timer = 0
+        self.run.update((last, seen, recent, gap, held, end, label, waiting, timer, list(numbers), np.ravel(tail).tolist()))
         if out:
             yield pd.DataFrame(out, columns=[x.split()[0] for x in EVENTS.split(", ")]).astype({"fault_label": "Int32"})
 
@@ -100,16 +142,16 @@ class Detector(StatefulProcessor):
         pass
 
 
-def events(stream: DataFrame, base: DataFrame, limit: float, size: int = 60, stride: int = 5, confirm: int = 3, separate: int = 20, cap: int = 200, hold: int = 10_000, phase: str = "full") -> DataFrame:
+def events(stream: DataFrame, base: DataFrame, limit: float, size: int = 60, stride: int = 5, confirm: int = 3, separate: int = 20, cap: int = 200, hold: int = 10_000, phase: str = "full", wait: float | None = None) -> DataFrame:
     """Closed events and late records of a stream of run_id, sample_index, values, fault_label. ``base`` has a row a sensor;
-    ``phase`` is that of ``windows.rolling``.
+    ``phase`` is that of ``windows.rolling``. ``wait`` (seconds) needs a trigger that goes on, as timers expire in later batches.
 
     The session needs the RocksDB state store.
     """
     rows: list[Row] = base.orderBy("sensor").select("mean", "std").collect()  # a row a sensor
-    processor = Detector([r["mean"] for r in rows], [r["std"] for r in rows], limit, size, stride, confirm, separate, cap, hold, phase)
+    processor = Detector([r["mean"] for r in rows], [r["std"] for r in rows], limit, size, stride, confirm, separate, cap, hold, phase, wait)
     own = stream.select("run_id", "sample_index", "values", F.col("fault_label").cast("int").alias("fault_label"))
-    return own.groupBy("run_id").transformWithStateInPandas(processor, EVENTS, "append", "None")
+    return own.groupBy("run_id").transformWithStateInPandas(processor, EVENTS, "append", "None" if wait is None else "ProcessingTime")
 
 
 def replay(normal: DataFrame, fault: DataFrame, inject_at: int) -> DataFrame:
