@@ -73,7 +73,7 @@ def mine(
             block = Block(folder, name)
             if block.size in asking:
                 anchors = asking[block.size]
-                yield anchors, block, products(anchors.queries, block.rest.reshape(-1, block.size))
+                yield anchors, block, products(anchors.queries, block.rest.reshape(len(block.ids), block.size))
 
     def same(batches):
         for batch in batches:
