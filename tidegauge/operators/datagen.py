@@ -16,14 +16,16 @@ def _uniform(low: float, high: float, seed: int, *parts) -> Column:
     return F.lit(low) + (high - low) * (F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 30)) / float(1 << 30))
 
 
-def synthetic_events(faults: DataFrame, sensors: DataFrame, per_fault: int, validation: list[int], test: list[int], seed: int = 42, top: int = 3) -> DataFrame:
-    """fault_id, subsystem, severity, split, n, evidence: ``per_fault`` events of a training fault, else half, 3 at least.
+def synthetic_events(faults: DataFrame, sensors: DataFrame, per_fault: int | Column, validation: list[int], test: list[int], seed: int = 42, top: int = 3) -> DataFrame:
+    """fault_id, subsystem, severity, split, n, evidence: ``per_fault`` events (a number, or a column of
+    ``faults``) of a training fault, else half, 3 at least.
 
     ``sensors`` (subsystem, display_name) are those an event of the subsystem may show.
     """
-    other = max(3, per_fault // 2)
+    own_number = per_fault if isinstance(per_fault, Column) else F.lit(per_fault)
+    other = F.greatest(F.lit(3), F.floor(own_number / 2).cast("int"))
     told = faults.withColumn("split", split_of("fault_id", validation, test))
-    rows = told.withColumn("n", F.explode(F.sequence(F.lit(1), F.when(F.col("split") == "train", per_fault).otherwise(other))))
+    rows = told.withColumn("n", F.explode(F.sequence(F.lit(1), F.when(F.col("split") == "train", own_number.cast("int")).otherwise(other))))
     own = sensors.groupBy("subsystem").agg(F.array_sort(F.collect_set("display_name")).alias("own"))
     full = rows.join(own, "subsystem", "left").withColumn("own", F.coalesce("own", F.array(F.lit("unknown"))))
     key = lambda x: ("fault_id", "n", x)

@@ -44,6 +44,11 @@ def strong(rows: DataFrame, least: float, forced: DataFrame | None = None) -> Da
     return rows.join(forced.select("event_id", "sensor", F.lit(True).alias("forced")), ["event_id", "sensor"], "left").where(keep | F.coalesce("forced", F.lit(False))).drop("forced")
 
 
+def by_size(rows: DataFrame) -> DataFrame:
+    """Deviations with place: an event's sensors from the largest deviation (up or down) on; of equals the earlier sensor comes first."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc(F.abs("deviation_percent")), "sensor")))
+
+
 def trends(rows: DataFrame, smoothing: int = 8, limit: float = 0.02) -> DataFrame:
     """event_id, sensor, slope, trend: least-squares slope of the (smoothed) window means relative to their largest size.
 

@@ -50,6 +50,13 @@ def exploded(rows: DataFrame, size: int, stride: int) -> DataFrame:
     return spread.where(F.col("window_id") * stride + size - 1 <= F.col("last")).withColumn("pos", i - F.col("window_id") * stride).drop("last")
 
 
+def gathered(rows: DataFrame, size: int, stride: int) -> DataFrame:
+    """run_id, window_id, values: whole windows, each an array of its samples' vectors in order."""
+    spread = exploded(rows.select("run_id", "sample_index", "values"), size, stride)
+    one = spread.groupBy("run_id", "window_id").agg(F.sort_array(F.collect_list(F.struct("pos", "values"))).alias("w"))
+    return one.select("run_id", "window_id", F.col("w.values").alias("values"))
+
+
 def in_blocks(rows: DataFrame, block: int) -> DataFrame:
     """Cut runs into blocks that no window crosses: run_id becomes run:block, sample_index starts anew."""
     number = F.floor(F.col("sample_index") / block)

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions import columns as C
 from tidegauge.functions.json_scan import extract_json
-from tidegauge.operators import datagen, events, evidence, metrics, repair, reports, scaling, scoring, store, taxonomy, text_eval, windows
+from tidegauge.operators import datagen, events, evidence, metrics, recurrent, repair, reports, scaling, scoring, store, taxonomy, text_eval, windows
 from tidegauge.plans.oracles import ORACLES
-from tidegauge.sources import files, tables
-from tidegauge.streaming import detector, online, timed
+from tidegauge.plans.views import Views
+from tidegauge.sources import files, shared, tables
+from tidegauge.streaming import detector, numbering, online, timed
 
 SIZE, STRIDE = 60, 5  # windows of scores
 E_SIZE, E_STRIDE, E_PERCENTILE, CONFIRM, SEPARATE = 5, 1, 90.0, 3, 5  # windows of events
@@ -77,7 +77,7 @@ def file_labels(spark, d):
 
 def fault_splice(spark, d):
     matrix = tables.sensor_matrix(spark, d)
-    fault = matrix.where("sample_index < 37").select("sample_index", F.transform("values", lambda v: v + 10).alias("values"), F.lit(4).alias("fault_label"))
+    fault = matrix.select("sample_index", F.transform("values", lambda v: v + 10).alias("values"), F.lit(4).alias("fault_label"))  # a second run, whole
     out = detector.replay(matrix, fault, 200)
     return out.select("sample_index", "fault_label", F.round(F.element_at("values", 1), 6).alias("first"))
 
@@ -157,6 +157,22 @@ def anomaly_flags(spark, d):
     return _flags(spark, d).select("window_id", F.round("score", 6).alias("score"), "anomalous")
 
 
+def recurrent_scores(spark, d):
+    """Recurrent weights from a seed, the read-out fitted on the matrix."""
+    matrix = tables.sensor_matrix(spark, d)
+    scorer = recurrent.RecurrentScorer.fit(matrix, _base(spark, d), 20, STRIDE, hidden=16, layers=1, latent=8)
+    return scorer.scores(matrix, 20, STRIDE).select("window_id", "start_sample", "score")
+
+
+def window_splits(spark, d):
+    """Whole windows of blocks, written by split, and what was written."""
+    cut = windows.in_blocks(tables.sensor_matrix(spark, d), BLOCK // 5)
+    segments = [row[0] for row in cut.select("segment").distinct().orderBy("segment").collect()]  # a number a block
+    told = windows.gathered(cut, SIZE, STRIDE).withColumn("segment", F.element_at(F.split("run_id", ":"), -1).cast("long"))
+    split = windows.with_split(told, windows.split_segments(segments, 0.15, 0.2, SEED)).drop("segment")
+    return files.write_windows(split, shared.folder(spark, "windows"))
+
+
 def pca_scores(spark, d):
     matrix = tables.sensor_matrix(spark, d)
     return scoring.PCAScorer(5).fit(matrix).scores(matrix, SIZE, STRIDE).select("window_id", "start_sample", "score")
@@ -210,8 +226,8 @@ def sensor_contribution(spark, d):
 def event_deviation(spark, d):
     errors = evidence.sensor_errors(_event_sensors(spark, d))
     told = evidence.deviations(errors, _base(spark, d))
-    kept = evidence.strong(told, 500.0, evidence.top_sensors(errors))
-    return kept.select("event_id", "sensor", F.round("current_value", 6).alias("current_value"), F.round("z_score", 6).alias("z_score"), F.round("deviation_percent", 3).alias("deviation_percent"))
+    kept = evidence.by_size(evidence.strong(told, 500.0, evidence.top_sensors(errors)))
+    return kept.select("event_id", "place", "sensor", F.round("current_value", 6).alias("current_value"), F.round("z_score", 6).alias("z_score"), F.round("deviation_percent", 3).alias("deviation_percent"))
 
 
 def sensor_trend(spark, d):
@@ -249,11 +265,26 @@ def downstream_two_hops(spark, d):
     return taxonomy.downstream(rows, 2)
 
 
+def downstream_reach(spark, d):
+    rows = taxonomy.named(_base(spark, d).select("sensor")).select("sensor", "display_name")
+    return taxonomy.downstream(rows, None)
+
+
+def customer_reach(spark, d):
+    """From each nation's first customer, the fewest steps to every other one along consecutive orders (a graph with cycles)."""
+    line = Window.partitionBy(F.floor(F.col("o_orderkey") / 4096)).orderBy("o_orderkey")  # orders follow each other within a book of 4,096 keys
+    edges = tables.table(spark, d, "orders").select(F.col("o_custkey").alias("src"), F.lead("o_custkey").over(line).alias("dst"))
+    first = tables.table(spark, d, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("src"))
+    return taxonomy.reachable(edges, first)
+
+
 def _documents(spark, d):
-    """Every branch of the evidence reads the events' windows and their sensors, so these are kept on disk."""
-    own = _event_windows(spark, d).persist(StorageLevel.DISK_ONLY)
-    rows = _event_sensors(spark, d, own).persist(StorageLevel.DISK_ONLY)
-    return evidence.documents(rows, _base(spark, d), events.summary(own), E_STRIDE)
+    """Every branch of the evidence reads the events' windows and their sensors, so these are written once."""
+    own = shared.cut(_event_windows(spark, d), "event-windows")
+    rows = shared.cut(_event_sensors(spark, d, own), "event-sensors")
+    out = shared.cut(evidence.documents(rows, _base(spark, d), events.summary(own), E_STRIDE), "evidence")
+    shared.drop(own, rows)
+    return out
 
 
 def evidence_documents(spark, d):
@@ -264,7 +295,13 @@ def evidence_documents(spark, d):
 
 def fallback_report(spark, d):
     rows = reports.reports(_documents(spark, d))
-    return rows.select("event_id", "report.summary", "report.root_cause", F.element_at("report.evidence", 1).alias("first_line"), "report.severity", "report.confidence")
+    return _told(rows)
+
+
+def _told(rows):
+    """All fields of a report."""
+    fields = ("summary", "root_cause", "affected_subsystem", "reasoning", "severity", "confidence", "recommended_action", "uncertainty")
+    return rows.select("event_id", *[f"report.{f}" for f in fields], F.array_join("report.evidence", " | ").alias("evidence"))
 
 
 def evidence_prompt(spark, d):
@@ -364,8 +401,10 @@ def text_normalize(spark, d):
 
 def token_overlap(spark, d):
     rows = tables.table(spark, d, "documents").select("doc_id", "text")
-    items = tables.table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("reference"))
-    return rows.join(items, "doc_id").select("doc_id", C.token_overlap("text", "reference", 3).alias("overlaps"))
+    items = tables.table(spark, d, "benchmark")
+    numbered = items.select((F.row_number().over(Window.orderBy("item_id")) - 1).alias("k"), F.col("text").alias("reference"))  # the benchmark is small
+    n = items.count()
+    return rows.join(numbered, F.pmod("doc_id", F.lit(n)) == F.col("k")).select("doc_id", C.token_overlap("text", "reference", 3).alias("overlaps"))
 
 
 def hedge_overclaim(spark, d):
@@ -387,7 +426,7 @@ def sanitize_answer(spark, d):
 
 
 def answer_metrics(spark, d):
-    """Evaluation of synthetic answers: the generated reports against their own faults."""
+    """Evaluation of synthetic answers: reports of as many events as the matrix has records, against their own faults."""
     made = _instruction_events(spark, d)
     answer = F.struct(F.lit("").alias("summary"), F.concat(F.lit("candidate "), "subsystem").alias("root_cause"), F.col("subsystem").alias("affected_subsystem"), F.array(F.lit("feed")).alias("evidence"), F.when(F.col("n") % 2 == 0, "likely").otherwise("it definitely is").alias("reasoning"), F.when(F.col("n") % 3 == 0, "low").otherwise(F.col("severity")).alias("severity"), F.when(F.col("n") % 5 == 0, "unable to say what to do").otherwise("inspect the feed valves first").alias("recommended_action"))
     rows = made.select(F.when(F.col("n") % 4 != 0, answer).alias("answer"), F.array(F.lit("Reactor_Level")).alias("evidence_sensors"), F.when(F.col("n") % 7 == 0, "no such name").otherwise(F.col("subsystem")).alias("fault_name"), "subsystem", "severity")
@@ -396,7 +435,9 @@ def answer_metrics(spark, d):
 
 # instruction data
 def _instruction_events(spark, d):
-    return datagen.synthetic_events(taxonomy.faults(spark), taxonomy.subsystems(spark), 8, [3, 9], [5, 12])
+    """As many events of a fault as the matrix has records with its label."""
+    seen = tables.sensor_matrix(spark, d).groupBy(F.col("fault_label").alias("fault_id")).agg(F.count(F.lit(1)).alias("seen"))
+    return datagen.synthetic_events(taxonomy.faults(spark).join(seen, "fault_id"), taxonomy.subsystems(spark), F.col("seen"), [3, 9], [5, 12])
 
 
 def instruction_counts(spark, d):
@@ -432,6 +473,35 @@ def _record_stream(spark, path: str) -> DataFrame:
     return raw.select(F.lit("run0").alias("run_id"), F.col("vec_id").alias("sample_index"), F.col("embedding").cast("array<double>").alias("values"), F.col("label").alias("fault_label"))
 
 
+def sql_event_summary(spark, d):
+    """Events by SQL over the registered views."""
+    Views(E_SIZE, E_STRIDE, E_PERCENTILE, CONFIRM, SEPARATE).register(tables.sensor_matrix(spark, d))
+    return spark.sql("""
+        SELECT event_id, min(start_sample) AS start_sample, max(end_sample) AS last_sample, count(*) AS n_windows, round(max(score), 6) AS max_score, round(avg(score), 6) AS mean_score,
+            CASE WHEN max(score) / greatest(max(threshold), 1e-9) >= 3 THEN 'critical' WHEN max(score) / greatest(max(threshold), 1e-9) >= 1.8 THEN 'high'
+                WHEN max(score) / greatest(max(threshold), 1e-9) >= 1.2 THEN 'medium' ELSE 'low' END AS severity
+        FROM event_windows GROUP BY event_id""")
+
+
+def sql_window_samples(spark, d):
+    """Samples of windows by SQL: a table function explodes each sample to its windows."""
+    Views(SIZE, STRIDE).register(tables.sensor_matrix(spark, d))
+    return spark.sql(f"SELECT w.window_id, w.pos, s.sample_index FROM samples s, LATERAL windows_of(s.sample_index, s.last, {SIZE}, {STRIDE}) w")
+
+
+def csv_stream_events(spark, d) -> DataFrame:
+    """The matrix as delimited text files, read as a stream in order of arrival, to set beside stream_events."""
+    base, limit = _base(spark, d), _limit(spark, d, _base(spark, d))
+    folder = online.folder(spark)
+    matrix = tables.sensor_matrix(spark, d)
+    names = [f"c{k}" for k in range(base.count())]
+    rows = matrix.repartitionByRange(4, "sample_index").sortWithinPartitions("sample_index").select(*[F.col("values")[k].alias(n) for k, n in enumerate(names)])
+    rows.write.option("header", True).csv(f"{folder}/csv")
+    stream = files.csv_stream(spark, f"{folder}/csv", names, files_per_trigger=100)
+    found = numbering.run(stream, base, limit, folder, size=E_SIZE, stride=E_STRIDE, confirm=CONFIRM, separate=SEPARATE)
+    return found.where("NOT late").select("start_sample", "last_sample", "n_windows", F.round("max_score", 6).alias("max_score"), F.round("mean_score", 6).alias("mean_score"))
+
+
 def _limit(spark, d, base) -> float:
     return scoring.threshold_value(scoring.matrix_scores(tables.sensor_matrix(spark, d), base, E_SIZE, E_STRIDE), percentile=E_PERCENTILE)
 
@@ -455,7 +525,7 @@ def stream_reports(spark, d) -> DataFrame:
     found = detector.events(_record_stream(spark, f"{d}/embeddings.parquet"), base, limit, E_SIZE, E_STRIDE, CONFIRM, SEPARATE)
     kept = store.EventStore(spark, f"{folder}/store")
     online.start(found, base, limit, kept, f"{folder}/state", E_STRIDE).awaitTermination()
-    return kept.events().select("event_id", "report.summary", "report.root_cause", F.element_at("report.evidence", 1).alias("first_line"), "report.severity", "report.confidence")
+    return _told(kept.events())
 
 
 def queries() -> dict:
@@ -466,6 +536,7 @@ def queries() -> dict:
         evidence_documents, fallback_report, evidence_prompt, followup_answers, conversation_history, chat_prompt, followup_messages, events_recent, event_with_followups, report_latest, store_status,
         confusion_metrics, auroc, auprc, detection_delay, delay_summary, window_labels, text_normalize, token_overlap, hedge_overclaim, foreign_tokens, json_extract, sanitize_answer, answer_metrics,
         instruction_counts, followup_explode, fault_kb_lookup, hop_window_avg, session_windows, stream_events, stream_reports, record_results, replay_windows,
+        recurrent_scores, window_splits, downstream_reach, customer_reach, sql_event_summary, sql_window_samples, csv_stream_events,
     ]
     out = {f.__name__: f for f in named}
     out |= {"null_drop": _repaired(repair.drop), "null_ffill": _repaired(repair.ffill), "null_interpolate": _repaired(repair.interpolate)}

@@ -67,6 +67,13 @@ NAMES = f"""dim(sensor, name, display_name, subsystem) AS (VALUES {_values((k, n
       FROM (SELECT DISTINCT sensor FROM long) b LEFT JOIN dim USING (sensor))"""
 EDGES = f"edges(src, dst) AS (VALUES {_values(tuple(x.split()) for x in taxonomy.COUPLINGS.splitlines())})"
 FAULTS = f"faults(fault_id, subsystem, severity) AS (VALUES {_values((int(a), b, c) for a, b, c in (x.split() for x in taxonomy.FAULTS.splitlines()))})"
+REPORT_PARTS = f"""WITH {ONSETS}, {DEVIATIONS}, {TRENDS.format(k=8, a=4, b=3)}, {NAMES}, votes AS (SELECT event_id, subsystem, count(*) AS matched FROM shares JOIN named USING (sensor) WHERE rank <= 5 GROUP BY ALL),
+      best AS (SELECT event_id, arg_min(subsystem, (-matched, subsystem)) AS s, max(matched) AS matched FROM votes GROUP BY event_id),
+      sums AS (SELECT event_id, max(score) AS max_score, max(score) / greatest(max(threshold), 1e-9) AS ratio FROM ev GROUP BY event_id),
+      lines AS (SELECT event_id, rank, display_name, deviation, trend, contribution, printf('%s changed by %+.1f%% (trend %s, contribution %.2f)', display_name, deviation, trend, contribution) AS line
+        FROM deviations JOIN trends USING (event_id, sensor) JOIN named USING (sensor) WHERE rank <= 5),
+      steps AS (SELECT * FROM (SELECT event_id, display_name, row_number() OVER (PARTITION BY event_id ORDER BY onset, sensor) AS place, round((onset - min(onset) OVER (PARTITION BY event_id)) * (1 / 60.0)::DOUBLE, 2) AS relative_minutes
+        FROM onsets JOIN named USING (sensor)) WHERE place <= 6)"""
 KINDS = ("click", "error", "purchase", "signup", "view")
 GRID = """hours AS (SELECT date_trunc('hour', ts) AS bucket, event_type, avg(value) AS value FROM events GROUP BY ALL),
     buckets AS (SELECT bucket, row_number() OVER (ORDER BY bucket) - 1 AS sample_index FROM (SELECT DISTINCT bucket FROM hours)),
@@ -86,8 +93,8 @@ BLOCKED = """long AS (SELECT vec_id // 100 AS block, vec_id % 100 AS i, generate
     delays AS (SELECT 'run0:' || block AS run_id, 16 AS onset_index, min(start_sample) FILTER (WHERE anomalous AND start_sample >= 16) AS first_detected FROM flags GROUP BY block)"""
 NORMAL = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 WORDS = "list_filter(list_distinct(string_split(" + NORMAL + ", ' ')), lambda x: x <> '')"
-INSTRUCTIONS = f"""{FAULTS}, made AS (SELECT *, CASE WHEN fault_id IN (3, 9) THEN 'val' WHEN fault_id IN (5, 12) THEN 'test' ELSE 'train' END AS split FROM faults),
-    numbered AS (SELECT *, unnest(range(1, CASE WHEN split = 'train' THEN 9 ELSE 5 END)) AS n FROM made)"""
+INSTRUCTIONS = f"""{FAULTS}, made AS (SELECT faults.*, CASE WHEN fault_id IN (3, 9) THEN 'val' WHEN fault_id IN (5, 12) THEN 'test' ELSE 'train' END AS split, k FROM faults JOIN (SELECT label, count(*) AS k FROM embeddings GROUP BY label) ON label = fault_id),
+    numbered AS (SELECT *, unnest(range(1, CASE WHEN split = 'train' THEN k ELSE greatest(3, k // 2) END + 1)) AS n FROM made)"""
 
 
 def _scaled(expression: str) -> str:
@@ -107,7 +114,7 @@ ORACLES = {
     "file_labels": """WITH s AS (SELECT doc_id, printf('fault_%02d', doc_id % 22) || CASE WHEN doc_id % 3 = 0 THEN '_run2' ELSE '' END AS stem FROM documents)
       SELECT doc_id, nullif(regexp_replace(stem, '[^0-9]', '', 'g'), '')::INT AS fault_id, nullif(regexp_extract(stem, 'fault[_-]?([0-9]+)', 1), '')::INT AS fault_label FROM s""",
     "fault_splice": """SELECT e.vec_id AS sample_index, CASE WHEN e.vec_id >= 200 THEN 4 ELSE e.label END AS fault_label, round(CASE WHEN e.vec_id >= 200 THEN f.embedding[1]::DOUBLE + 10 ELSE e.embedding[1]::DOUBLE END, 6) AS first
-      FROM embeddings e LEFT JOIN embeddings f ON e.vec_id >= 200 AND f.vec_id = (e.vec_id - 200) % 37""",
+      FROM embeddings e LEFT JOIN embeddings f ON e.vec_id >= 200 AND f.vec_id = (e.vec_id - 200) % (SELECT count(*) FROM embeddings)""",
     "baseline_stats": f"WITH {BASE} SELECT sensor::INT AS sensor, n, round(mean, 6) AS mean, round(std, 6) AS std, round(low, 6) AS low, round(high, 6) AS high FROM base",
     "scale_standard": _scaled("(v - mean) / CASE WHEN std = 0 THEN 1 ELSE std END"),
     "scale_minmax": _scaled("(v - low) / CASE WHEN high = low THEN 1 ELSE high - low END"),
@@ -150,7 +157,7 @@ ORACLES = {
     "stream_events": f"WITH {SUMMARY} SELECT start_sample, last_sample, n_windows::INT AS n_windows, round(max_score, 6) AS max_score, round(mean_score, 6) AS mean_score FROM summary",
     "top_k_sensors": f"WITH {SENSORS} SELECT event_id, rank::INT AS rank, sensor::INT AS sensor, round(worst, 6) AS error, round(contribution, 6) AS contribution FROM shares WHERE rank <= 5",
     "sensor_contribution": f"WITH {SENSORS} SELECT event_id, sensor::INT AS sensor, round(mean_error, 6) AS mean_error, round(mean_error / sum(mean_error) OVER (PARTITION BY event_id), 6) AS contribution FROM worst",
-    "event_deviation": f"WITH {SENSORS}, {DEVIATIONS} SELECT event_id, sensor::INT AS sensor, round(event_mean, 6) AS current_value, round(z, 6) AS z_score, round(deviation, 3) AS deviation_percent FROM deviations WHERE abs(deviation) >= 500 OR rank <= 5",
+    "event_deviation": f"WITH {SENSORS}, {DEVIATIONS} SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY abs(deviation) DESC, sensor)::INT AS place, sensor::INT AS sensor, round(event_mean, 6) AS current_value, round(z, 6) AS z_score, round(deviation, 3) AS deviation_percent FROM deviations WHERE abs(deviation) >= 500 OR rank <= 5",
     "sensor_trend": f"WITH {SENSORS}, {TRENDS.format(k=4, a=2, b=1)} SELECT event_id, sensor::INT AS sensor, round(slope, 6) AS slope, trend FROM trends",
     "sensor_onsets": f"WITH {ONSETS} SELECT o.event_id, o.sensor::INT AS sensor, o.onset::INT AS onset, round(avg(e.error), 6) AS mean_after FROM onsets o JOIN es e ON e.event_id = o.event_id AND e.sensor = o.sensor AND e.rn >= o.onset GROUP BY ALL",
     "temporal_sequence": f"""WITH {ONSETS}, placed AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY onset, sensor) AS place, round((onset - min(onset) OVER (PARTITION BY event_id)) * (1 / 60.0)::DOUBLE, 2) AS relative_minutes FROM onsets)
@@ -160,6 +167,14 @@ ORACLES = {
       SELECT event_id, rank::INT AS rank, subsystem, matched FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY matched DESC, subsystem) AS rank FROM votes) WHERE rank <= 3""",
     "sensor_names": f"WITH {LONG}, {NAMES} SELECT sensor::INT AS sensor, name, display_name, subsystem FROM named",
     "downstream_effects": f"WITH {LONG}, {NAMES}, {EDGES} SELECT sensor::INT AS sensor, display_name, dst AS effect, 1 AS hop FROM named JOIN edges ON src = display_name",
+    "downstream_reach": f"""WITH RECURSIVE {LONG}, {NAMES}, {EDGES}, reach AS (SELECT src, dst, 1 AS hop FROM edges UNION SELECT reach.src, edges.dst, hop + 1 FROM reach JOIN edges ON edges.src = reach.dst WHERE hop < 20)
+      SELECT sensor::INT AS sensor, display_name, dst AS effect, min(hop)::INT AS hop FROM named JOIN reach ON src = display_name GROUP BY ALL""",
+    "customer_reach": """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM (SELECT o_custkey AS src, lead(o_custkey) OVER (PARTITION BY o_orderkey // 4096 ORDER BY o_orderkey) AS dst FROM orders) WHERE dst IS NOT NULL),
+      s AS (SELECT min(c_custkey) AS src FROM customer GROUP BY c_nationkey),
+      reach AS (SELECT src, dst AS node, 1 AS hop FROM s JOIN e USING (src) UNION SELECT reach.src, e.dst, hop + 1 FROM reach JOIN e ON e.src = reach.node WHERE hop < 12)
+      SELECT src, node, min(hop)::INT AS hop FROM reach GROUP BY ALL""",
+    "window_splits": """WITH b AS (SELECT vec_id // 100 AS b, (count(*) - 60) // 5 + 1 AS n FROM embeddings GROUP BY 1), c AS (SELECT count(*) AS k, max(n) AS n, round_even(count(*) * 0.2, 0)::BIGINT AS t, round_even(count(*) * 0.15, 0)::BIGINT AS v FROM b)
+      SELECT s.split, s.k * n AS n_windows, 60 AS size, (SELECT max(len(embedding)) FROM embeddings)::INT AS n_features FROM c, LATERAL (VALUES ('test', t), ('val', v), ('train', k - t - v)) s(split, k) WHERE s.k > 0""",
     "downstream_two_hops": f"""WITH {LONG}, {NAMES}, {EDGES}, one AS (SELECT sensor, display_name, dst AS effect, 1 AS hop FROM named JOIN edges ON src = display_name),
       two AS (SELECT * FROM one UNION ALL SELECT sensor, display_name, dst, 2 FROM one JOIN edges ON src = effect)
       SELECT sensor::INT AS sensor, display_name, effect, min(hop)::INT AS hop FROM two GROUP BY ALL""",
@@ -169,12 +184,18 @@ ORACLES = {
       n AS (SELECT event_id, least(count(*), 6) AS k FROM onsets GROUP BY event_id)
       SELECT event_id, start_sample, start_sample + n_windows AS end_sample, n_windows, {SEVERITY} AS severity, subsystem AS candidate_subsystem, round(matched / 5, 6) AS candidate_score, 5 AS n_sensors, coalesce(k, 0)::INT AS n_onsets, round(max_score, 6) AS anomaly_score
       FROM sums JOIN best USING (event_id) LEFT JOIN n USING (event_id)""",
-    "fallback_report": f"""WITH {SENSORS}, {DEVIATIONS}, {TRENDS.format(k=8, a=4, b=3)}, {NAMES}, votes AS (SELECT event_id, subsystem, count(*) AS matched FROM shares JOIN named USING (sensor) WHERE rank <= 5 GROUP BY ALL),
-      best AS (SELECT event_id, arg_min(subsystem, (-matched, subsystem)) AS s, max(matched) AS matched FROM votes GROUP BY event_id),
-      sums AS (SELECT event_id, max(score) AS max_score, max(score) / greatest(max(threshold), 1e-9) AS ratio FROM ev GROUP BY event_id)
-      SELECT event_id, printf('Anomaly of score %.2f; candidate subsystem ''%s''.', max_score, s) AS summary, 'candidate: ' || s AS root_cause,
-        printf('%s changed by %+.1f%% (trend %s, contribution %.2f)', display_name, deviation, trend, contribution) AS first_line, {SEVERITY} AS severity, round(matched / 5, 2) AS confidence
-      FROM sums JOIN best USING (event_id) JOIN deviations USING (event_id) JOIN trends USING (event_id, sensor) JOIN named USING (sensor) WHERE rank = 1""",
+    "fallback_report": f"""{REPORT_PARTS} SELECT event_id, printf('Anomaly of score %.2f; candidate subsystem ''%s''.', max_score, s) AS summary, 'candidate: ' || s AS root_cause, s AS affected_subsystem, lines AS evidence,
+        'Order in time (no proof of a cause): ' || coalesce(steps, '') || ' Deviations are relative to the baseline of normal operation. Onset order is evidence in time, no proof of a cause. Subsystem ' || chr(39) || s || chr(39) || ' is a candidate from the deviating sensors; verify it.' AS reasoning,
+        {SEVERITY} AS severity, round(matched / 5, 2) AS confidence, 'Inspect the parts of ' || s || ' and check the suspect sensors on site.' AS recommended_action,
+        'Deviations and the candidate go together in time; a check on site has to confirm the cause.' AS uncertainty
+      FROM sums JOIN best USING (event_id) JOIN (SELECT event_id, string_agg(line, ' | ' ORDER BY rank) AS lines FROM lines WHERE rank <= 3 GROUP BY event_id) USING (event_id)
+      LEFT JOIN (SELECT event_id, string_agg(printf('%s at %.1f min', display_name, relative_minutes), '; ' ORDER BY place) AS steps FROM steps WHERE place <= 3 GROUP BY event_id) USING (event_id)""",
+    "evidence_prompt": f"""{REPORT_PARTS} SELECT event_id, concat_ws(chr(10), 'Event: ' || event_id, printf('Score: %.3f', max_score), 'Sensors:', sensors, 'Onsets:', coalesce(onsets, '(no clear order)'),
+        'Candidate subsystem: ' || s, 'Before the event: normal for about 0.33 min',
+        'What is the likely root cause? Answer with the keys summary, root_cause, affected_subsystem, evidence, reasoning, severity, confidence, recommended_action, uncertainty.') AS prompt
+      FROM sums JOIN best USING (event_id)
+      JOIN (SELECT event_id, string_agg(printf('- %s: %+.1f%% (trend: %s, contribution: %.2f)', display_name, deviation, trend, contribution), chr(10) ORDER BY rank) AS sensors FROM lines GROUP BY event_id) USING (event_id)
+      LEFT JOIN (SELECT event_id, string_agg(printf('%d. %s, %.1f min after the first onset', place, display_name, relative_minutes), chr(10) ORDER BY place) AS onsets FROM steps GROUP BY event_id) USING (event_id)""",
     "followup_answers": f"""WITH {SENSORS}, {NAMES}, votes AS (SELECT event_id, subsystem, count(*) AS matched FROM shares JOIN named USING (sensor) WHERE rank <= 5 GROUP BY ALL),
       best AS (SELECT event_id, arg_min(subsystem, (-matched, subsystem)) AS s FROM votes GROUP BY event_id), asked(event_id, question) AS (VALUES ('ANOM-0001', 'Why?'), ('ANOM-0002', 'What now?'), ('ANOM-9999', 'Who?'))
       SELECT event_id, question, CASE WHEN s IS NOT NULL THEN printf('Event %s has 5 deviating sensors; the candidate subsystem is ''%s''.', event_id, s) END AS answer FROM asked LEFT JOIN best USING (event_id)""",
@@ -193,7 +214,7 @@ ORACLES = {
     "detection_delay": f"WITH {BLOCKED} SELECT *, first_detected - onset_index AS delay FROM delays",
     "delay_summary": f"WITH {BLOCKED} SELECT round(avg(first_detected - onset_index), 6) AS mean_delay, count(*) - count(first_detected) AS missed FROM delays",
     "text_normalize": f"SELECT doc_id, sha256({NORMAL.format('text')}) AS normalized_sha256 FROM documents",
-    "token_overlap": f"SELECT d.doc_id, len({WORDS.format('b.text')}) > 0 AND len(list_intersect({WORDS.format('d.text')}, {WORDS.format('b.text')})) >= greatest(1, least(3, len({WORDS.format('b.text')}))) AS overlaps FROM documents d JOIN benchmark b ON d.doc_id = b.item_id",
+    "token_overlap": f"SELECT d.doc_id, len({WORDS.format('b.text')}) > 0 AND len(list_intersect({WORDS.format('d.text')}, {WORDS.format('b.text')})) >= greatest(1, least(3, len({WORDS.format('b.text')}))) AS overlaps FROM documents d JOIN (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS k FROM benchmark) b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.k",
     "hedge_overclaim": f"""WITH h AS (SELECT doc_id, text, {' OR '.join(f"contains(lower(text), '{x}')" for x in text_eval.HEDGES)} AS hedged FROM documents)
       SELECT doc_id, hedged, NOT hedged AND (regexp_matches(text, '(?i)\\b(caused|proves?|definitely|certainly|guaranteed)\\b') OR regexp_matches(text, '(?i)\\b(root cause is\\b.*!|must be\\b)')) AS overclaiming FROM h""",
     "foreign_tokens": f"""WITH t AS (SELECT conv_id, turn, list_sort(list_filter(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z_]+'), lambda x: {NORMAL.format('x')})),
@@ -216,3 +237,6 @@ ORACLES = {
 
 
 ORACLES["stream_reports"] = ORACLES["fallback_report"]
+ORACLES["sql_event_summary"] = ORACLES["event_summary"]
+ORACLES["sql_window_samples"] = ORACLES["window_samples"]
+ORACLES["csv_stream_events"] = ORACLES["stream_events"]

@@ -1,4 +1,4 @@
-"""A fitted detector as files: baseline, threshold, settings and, where one was fitted, the PCA scorer."""
+"""A fitted detector as files: baseline, threshold, settings and, where one was fitted, the PCA or recurrent scorer."""
 
 from __future__ import annotations
 
@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.operators import scoring
+from tidegauge.operators import recurrent, scoring
 from tidegauge.sources import files
 
+SCORERS = {scoring.PCAScorer: "pca", recurrent.RecurrentScorer: "recurrent"}
 BASELINE = "sensor int, mean double, std double, low double, high double, n long"
 
 
@@ -26,7 +27,7 @@ class Fitted:
     baseline: DataFrame
     threshold: float
     settings: dict
-    scorer: scoring.PCAScorer | None = None
+    scorer: scoring.PCAScorer | recurrent.RecurrentScorer | None = None
 
     def scores(self, matrix: DataFrame) -> DataFrame:
         """Scores of all windows of a matrix with threshold and anomalous."""
@@ -36,7 +37,7 @@ class Fitted:
 
     def describe(self) -> dict:
         """What the detector is, in a few plain values."""
-        return {"scorer": "pca" if self.scorer else "baseline", "n_sensors": self.baseline.count(), "threshold": self.threshold, **self.settings}
+        return {"scorer": SCORERS[type(self.scorer)] if self.scorer else "baseline", "n_sensors": self.baseline.count(), "threshold": self.threshold, **self.settings}
 
 
 def save(fitted: Fitted, path: str) -> None:
@@ -55,5 +56,9 @@ def load(spark: SparkSession, path: str) -> Fitted:
     row = files.read_artifact(spark, f"{path}/detector", "threshold double, settings string, scorer string").first()
     if row is None or row["threshold"] is None or not base.where(F.col("mean").isNotNull()).count():
         raise ValueError(f"no whole detector under {path}")
-    scorer = scoring.PCAScorer.restored(json.loads(row["scorer"])) if row["scorer"] else None
+    scorer = None
+    if row["scorer"]:
+        numbers = json.loads(row["scorer"])
+        kinds = {name: kind for kind, name in SCORERS.items()}
+        scorer = kinds[numbers.get("kind", "pca")].restored(numbers)
     return Fitted(base, row["threshold"], json.loads(row["settings"]), scorer)
