@@ -1,5 +1,6 @@
 """FM-index search against comparing every place with every phrase."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -41,29 +42,40 @@ def tables(spark, items):
     return texts, documents, spark.createDataFrame(items, "item_id long, text string")
 
 
-@pytest.mark.parametrize("shard_bits", [20, 6])
-def test_digests(spark, items, shard_bits, monkeypatch):
-    if shard_bits != 20:  # small shards: long documents are cut into overlapping segments
-        phrases = D.Phrases(items)
-        texts, _, _ = tables(spark, items)
-        for (mask, which), (k, t) in zip(phrases.in_documents([D.words_of(t or "") for t in texts.values()], 1 << shard_bits), texts.items(), strict=True):
-            n, hit, _ = D.brute_force(t, items)
-            assert (len(mask), int(mask.sum())) == (n, hit), k
-        return
+def test_digests(spark, items):
     texts, documents, benchmark = tables(spark, items)
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items_sha256"]) for r in D.digests(documents, benchmark).collect()}
     assert got == {k: D.brute_force(t, items) for k, t in texts.items()}
     assert got[2][1] == got[2][0] > 0 == got[1][0]
 
 
-def test_several_passes(spark, items, monkeypatch):
-    monkeypatch.setattr(D, "MOST_PHRASE_BYTES", 100)
+@pytest.mark.parametrize(("shard", "file_bytes", "at_once"), [(64, 60, 5), (20, 1, 1), (1 << 19, 1 << 20, 1 << 17)])
+def test_small_shards_and_files(spark, items, tmp_path, monkeypatch, shard, file_bytes, at_once):
+    """Long documents are cut into overlapping segments, and the benchmark lies in many files."""
+    monkeypatch.setattr(D, "AT_ONCE", at_once)
+    texts, _, benchmark = tables(spark, items)
+    names = D.write_phrases(benchmark.repartition(3), f"file://{tmp_path}/p", file_bytes=file_bytes)
+    masks, found = D.in_documents([t or "" for t in texts.values()], [f"file://{tmp_path}/p/{n}" for n in names], shard=shard)
+    assert (len(names) > 3) == (file_bytes < 100)
+    for mask, own, (k, t) in zip(masks, found, texts.items(), strict=True):
+        digest = hashlib.sha256(",".join(sorted(own)).encode()).hexdigest()
+        assert (len(mask), int(mask.sum()), digest) == D.brute_force(t, items), k
+
+
+def test_names_of_items_are_kept_as_they_are(spark):
+    odd = [("a\nb", "one two"), ("a\\nb", "three four"), ("=,", "five six"), ("", "seven eight"), (None, "nine ten")]
+    benchmark = spark.createDataFrame(odd, "item_id string, text string")
+    documents = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(odd)], "doc_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in D.scan(documents, benchmark).collect()}
+    assert got == {k: [] if i is None else [i] for k, (i, _) in enumerate(odd)}
+
+
+def test_columns_with_the_names_of_intermediates(spark, items):
     texts, documents, benchmark = tables(spark, items)
-    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items_sha256"]) for r in D.digests(documents, benchmark).collect()}
-    assert got == {k: D.brute_force(t, items) for k, t in texts.items()}
     clash = documents.withColumnsRenamed({"spans": "row", "n_hit": "hits"})
-    whole, parts = D.clean(clash, benchmark).collect(), monkeypatch.setattr(D, "MOST_PHRASE_BYTES", 1 << 20) or D.clean(clash, benchmark).collect()
-    assert sorted(map(str, whole)) == sorted(map(str, parts)) and len(whole) == len(texts)
+    whole = D.clean(clash, benchmark)
+    assert whole.columns == clash.columns and whole.count() == len(texts)
+    assert {r["doc_id"]: r["text"] for r in whole.collect()} == {r["doc_id"]: r["text"] for r in D.clean(documents, benchmark).collect()}
 
 
 def test_clean_cuts_spans(spark, items):

@@ -28,8 +28,30 @@ def test_digests(documents, texts):
 
 @pytest.mark.parametrize("keep_first", [False, True])
 def test_large_filter_path_is_the_same(documents, keep_first):
-    small, large = (sorted(map(str, lines.dedup(documents, 3, keep_first, most_bytes=b).select("doc_id", "n_lines", "n_dropped", "kept_text").collect())) for b in (lines.MOST_BYTES, 0))
-    assert small == large
+    small, large = (lines.dedup(documents, 3, keep_first, file_bytes=b).select("doc_id", "n_lines", "n_dropped", "kept_text") for b in (lines.FILE_BYTES, 50))
+    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+    for out in (small, large):  # texts stay where they are
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan and plan.count("Repartition") == 1  # the fixture's own
+
+
+def test_lost_lines_are_held_against_the_lines_themselves(spark, tmp_path, monkeypatch):
+    """Where hashes of lines are equal, the lines decide."""
+    import numpy as np
+
+    rows = [(f"line {k}".encode(), None if k % 7 == 0 else k, k % 5) for k in range(300)]
+    hot = spark.createDataFrame(rows, "key binary, first_doc long, first_line long").repartition(3)
+    folder = f"file://{tmp_path}/lost"
+    files = lines.write_lost(hot, folder, 2_000)
+    keys = [r[0] for r in rows] + [b"other", b"line 300"]
+    assert files > 3 and lines.lost(keys, folder, files) == {r[0]: (r[1], r[2]) for r in rows}
+    flat = np.fromfile(f"{tmp_path}/lost/lost-000000.bin", np.uint8)
+    n = int(flat[:8].view(np.int64)[0])
+    flat[8 : 8 + 8 * n].view(np.int64)[:] = 5  # all hashes of a file alike
+    flat.tofile(f"{tmp_path}/lost/lost-000000.bin")
+    monkeypatch.setattr(lines, "_hash", lambda keys: np.full(len(keys), 5, np.uint64))
+    found = lines.lost([*keys, b"no"], folder, files)
+    assert len(found) == n and all(found[r[0]] == (r[1], r[2]) for r in rows if r[0] in found)
 
 
 def test_only_suspects_are_shuffled(spark):
@@ -38,21 +60,21 @@ def test_only_suspects_are_shuffled(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     keys = [bytes(r["key"]) for r in lines.found(frame).collect()]
     assert sorted(k for k in keys if k.startswith(b"again")) == [b"again a"] * 2 + [b"again b"] * 2 + [b"again c"] * 2 and len(keys) < 400
-    for most in (lines.MOST_BYTES, 0):
-        assert lines.dedup(frame, 2, most_bytes=most).agg({"n_dropped": "sum"}).first()[0] == 6
+    for most in (lines.FILE_BYTES, 1):
+        assert lines.dedup(frame, 2, file_bytes=most).agg({"n_dropped": "sum"}).first()[0] == 6
 
 
 def test_columns_with_the_names_of_intermediates(spark):
     rows = spark.createDataFrame([(1, "x\ny", 1, [2], "a", "b"), (2, "x\nz", 1, [2], "a", "b"), (None, None, 0, None, "", "")], "doc_id long, text string, __id int, __keys array<int>, row string, lost string")
-    for most in (lines.MOST_BYTES, 0):
-        out = lines.dedup(rows, 2, most_bytes=most)
+    for most in (lines.FILE_BYTES, 1):
+        out = lines.dedup(rows, 2, file_bytes=most)
         assert sorted(r["kept_text"] for r in out.collect()) == ["", "y", "z"] and out.columns[:6] == rows.columns
 
 
 def test_first_occurrence_stays(spark):
     rows = spark.createDataFrame([(2, "x\na"), (1, "b\nX "), (3, " x\nx")], "doc_id long, text string")
-    for most in (lines.MOST_BYTES, 0):
-        got = {r["doc_id"]: r["kept_text"] for r in lines.dedup(rows, 2, keep_first=True, most_bytes=most).collect()}
+    for most in (lines.FILE_BYTES, 1):
+        got = {r["doc_id"]: r["kept_text"] for r in lines.dedup(rows, 2, keep_first=True, file_bytes=most).collect()}
         assert got == {1: "b\nX ", 2: "a", 3: ""}
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -16,6 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 BATCH_ROWS = 2_000
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library, which has nothing to trim
+    _LIBC = None
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -181,6 +187,14 @@ def slices(batches, column: str, most_bytes: int = 8 << 20):
         edges = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
-    pa.default_memory_pool().release_unused()  # the worker lives on, and so would what Arrow keeps for it
+    give_back()
+
+
+def give_back() -> None:
+    """Give memory that Arrow and the C library keep for later back to the system: a worker lives on after its task, and
+    beside the other workers and the heap of its executor."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 

@@ -1,14 +1,14 @@
 """Benchmark decontamination with an FM-index per shard of training text.
 
-A shard is a bounded run of document words. Words of the benchmark get numbers, all others one number that no phrase
-holds. The shard's suffixes are sorted by prefix doubling; the Burrows-Wheeler transform goes into a wavelet matrix,
-whose ranks drive a backward search of every test phrase at once. Rows of the found intervals walk back to sampled
+A shard is a bounded run of document words, numbered within it. The shard's suffixes are sorted by prefix doubling; the Burrows-Wheeler transform goes into a wavelet matrix,
+whose ranks drive a backward search of many test phrases at once. Rows of the found intervals walk back to sampled
 suffix positions, which gives the places; phrase spans merge to hit words and removal spans.
 
 A phrase is a window of ``WINDOW`` consecutive item words; an item of fewer words, but not none, is one phrase.
-Only the phrases (the benchmark) reach every worker. A benchmark of more than ``MOST_PHRASE_BYTES`` is dealt by a hash
-into passes of about so many bytes. Each pass is read, sent and searched by itself, and its hits are written to the
-shared folder beside the documents before the next one begins; the last pass merges all hits.
+Tasks write the benchmark to files of about ``FILE_BYTES`` of text in the shared folder: hashes of its words in turn, and
+where each phrase begins. A task maps them one after the other against the shard that it has indexed; phrases with a word that the shard has not are
+left out before the search. So the corpus is read once and nothing but names of files goes through the driver, whatever the benchmark's size.
+Words are told apart by 64-bit hashes: a word of the benchmark and one of a shard are taken for one at a chance of 2 ** -64.
 
 Edge cases: null texts have no words; rows with equal ids are searched each on its own; a document longer than a shard
 is cut into overlapping segments; items without words match nothing; words of items with a null id are hit, but such an
@@ -18,23 +18,23 @@ item has no id to list; an empty benchmark leaves every document clean. Extra co
 from __future__ import annotations
 
 import hashlib
-import itertools
-from collections.abc import Iterable
-from itertools import repeat
+import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.common import batch_of, cut, drop, slices, small_batches, strings
+from tidegauge.llm.common import batch_of, hash_words, map_file, shared_dir, slices, small_batches, split_words, strings, write_file
 
 WINDOW = 10
-SHARD_BITS = 20
+SHARD_BITS = 19
 SAMPLE = 16
-MOST_PHRASE_BYTES = 64 << 20
+FILE_BYTES = 4 << 20
+SLICE_BYTES = 4 << 20
+AT_ONCE = 1 << 17  # phrases searched side by side
 #: Bytes of words as they are, after A-Z became a-z; all other ASCII separates.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -141,7 +141,7 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Index of one shard. ``symbols``: 0 ends a segment, 1 is any word outside the benchmark, others are its words."""
+    """Index of one shard. ``symbols``: 0 ends a segment, the others are its words."""
 
     def __init__(self, symbols: np.ndarray, n_symbols: int):
         ends = symbols == 0
@@ -183,79 +183,134 @@ class FMIndex:
         return out
 
 
-class Phrases:
-    """Test phrases of a benchmark: padded word numbers, and the items that each phrase belongs to."""
-
-    def __init__(self, items: Iterable[tuple[str, str]], window: int = WINDOW):
-        numbers: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            own = [numbers.setdefault(w, len(numbers) + 2) for w in words_of(text or "")]
-            for k in range(max(1, len(own) - window + 1) if own else 0):
-                found.setdefault(tuple(own[k : k + window]), set()).update([] if item is None else [str(item)])
-        self.numbers, self.window = numbers, window
-        self.items = [sorted(x) for x in found.values()]
-        self.lengths = np.array([len(x) for x in found], np.int64)
-        self.table = np.zeros((len(found), window), np.int32)
-        for k, phrase in enumerate(found):
-            self.table[k, : len(phrase)] = phrase
-
-    def occurrences(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(phrase, position) of every occurrence in one shard of symbols."""
-        none = np.empty(0, np.int64)
-        if not len(self.items) or not len(symbols):
-            return none, none
-        index = FMIndex(symbols, len(self.numbers) + 2)
-        low, high = index.search(self.table, self.lengths)
-        count = np.maximum(high - low, 0)
-        phrase = np.repeat(np.arange(len(low)), count)
-        row = np.arange(len(phrase)) - np.repeat(np.cumsum(count) - count, count) + low[phrase]
-        return phrase, index.locate(row)
-
-    def in_documents(self, documents: list[list[bytes]], shard: int = 1 << SHARD_BITS):
-        """For each document in turn: mask of hit words, and the phrases that occur."""
-        get = self.numbers.get
-        coded = [np.fromiter(map(get, w, repeat(1)), np.int32, len(w)) for w in documents]
-        run: list[np.ndarray] = []
-        size = 0
-        for own in coded:
-            if run and size + len(own) + 1 > shard:
-                yield from self._run(run)
-                run, size = [], 0
-            if len(own) >= shard:
-                yield self._long(own, shard)
+def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the distinct words, each word's number among them, words of each text)."""
+    plain = pa.array([x.encode().translate(WORD_BYTES).decode() for x in texts], pa.large_string() if sum(map(len, texts)) >= 1 << 29 else pa.string())
+    words, which, sizes = split_words(plain)
+    return hash_words(words), which, sizes
+
+
+def write_phrases(benchmark: DataFrame, folder: str, window: int = WINDOW, file_bytes: int = FILE_BYTES) -> list[str]:
+    """Write the phrases of a benchmark (item_id, text) to files; their names."""
+    schema = pa.schema([("name", pa.string())])
+
+    def write(batches):
+        part, n = TaskContext.get().partitionId(), 0
+        for batch in slices(batches, "text", file_bytes):
+            hashes, which, sizes = coded(strings(batch["text"]))
+            own = np.flatnonzero(sizes)
+            if not len(own):
                 continue
-            run.append(own)
-            size += len(own) + 1
-        if run:
-            yield from self._run(run)
-
-    def _mark(self, n: int, phrase: np.ndarray, at: np.ndarray) -> np.ndarray:
-        edge = np.bincount(at, minlength=n + 1)[: n + 1] - np.bincount(at + self.lengths[phrase], minlength=n + 1)[: n + 1] if len(at) else np.zeros(n + 1, np.int64)
-        return np.cumsum(edge[:n]) > 0
-
-    def _run(self, run: list[np.ndarray]):
-        sizes = np.array([len(x) + 1 for x in run])
-        starts = np.cumsum(sizes) - sizes
-        symbols = np.zeros(int(sizes.sum()), np.int32)
-        for own, a in zip(run, starts.tolist(), strict=True):
-            symbols[a : a + len(own)] = own
-        phrase, at = self.occurrences(symbols)
-        mask = self._mark(len(symbols), phrase, at)
-        pairs = np.unique((np.searchsorted(starts, at, "right") - 1) * max(1, len(self.items)) + phrase)
-        document, which = np.divmod(pairs, max(1, len(self.items)))
-        edges = np.searchsorted(document, np.arange(len(run) + 1))
-        for k, own in enumerate(run):
-            yield mask[starts[k] : starts[k] + len(own)], which[edges[k] : edges[k + 1]]
-
-    def _long(self, own: np.ndarray, shard: int):
-        mask, seen = np.zeros(len(own), bool), []
-        for a in range(0, len(own), shard):
-            part = own[a : a + shard + self.window - 1]  # overlaps the next by what a phrase may reach over
-            phrase, at = self.occurrences(np.append(part, 0).astype(np.int32))
-            mask[a : a + len(part)] |= self._mark(len(part), phrase, at)
-            seen.append(phrase)
-        return mask, np.unique(np.concatenate(seen))
+            starts = (np.cumsum(sizes) - sizes)[own]
+            count = np.maximum(sizes[own] - window + 1, 1)
+            at = np.repeat(starts - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            lengths = np.repeat(np.minimum(sizes[own], window), count)
+            ids = batch["item_id"].to_pylist()
+            names = json.dumps([None if ids[k] is None else str(ids[k]) for k in own.tolist()]).encode()
+            head = np.array([len(which), len(at)], np.int64)
+            columns = [head, hashes[which], at.astype(np.int64), lengths.astype(np.int64), np.repeat(np.arange(len(own)), count).astype(np.int64)]
+            write_file(f"{folder}/{part}-{n}", [*columns, names])
+            yield batch_of(schema, [f"{part}-{n}"])
+            n += 1
+
+    rows = benchmark.select("item_id", F.col("text").cast("string").alias("text")).mapInArrow(write, "name string")
+    return sorted(r["name"] for r in rows.toLocalIterator())  # a name for each file of FILE_BYTES
+
+
+class PhraseFile:
+    """A mapped file of phrases: word hashes in turn, and of each phrase where it begins, its length and its item."""
+
+    def __init__(self, uri: str):
+        flat = map_file(uri, np.uint8)
+        words, phrases = flat[:16].view(np.int64).tolist()
+        ends = np.cumsum([16, 8 * words, 8 * phrases, 8 * phrases, 8 * phrases])
+        parts = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        self.words = parts[0].view(np.uint64)
+        self.starts, self.lengths, self.item_of = (p.view(np.int64) for p in parts[1:])
+        self._names = flat[ends[-1] :]
+
+    def items(self) -> list[str | None]:
+        """Ids of the items; None for one without."""
+        return json.loads(self._names.tobytes())
+
+
+class Shard:
+    """Symbols of a run of documents (0 ends each), and their index."""
+
+    def __init__(self, hashes: np.ndarray, symbols: np.ndarray):
+        """``hashes``: sorted, of the words that symbols 1, 2, ... stand for."""
+        self.hashes, self.n = hashes, len(symbols)
+        self.index = FMIndex(symbols, len(hashes) + 1)
+
+    def occurrences(self, phrases: PhraseFile, window: int):
+        """(place, length, item) of every occurrence, block by block."""
+        at = np.minimum(np.searchsorted(self.hashes, phrases.words), len(self.hashes) - 1)
+        symbol = np.where(self.hashes[at] == phrases.words, at + 1, 0).astype(np.int32)
+        missing = np.concatenate([[0], np.cumsum(symbol == 0)])
+        alive = np.flatnonzero(missing[phrases.starts + phrases.lengths] == missing[phrases.starts])
+        for k in range(0, len(alive), AT_ONCE):
+            own = alive[k : k + AT_ONCE]
+            starts, lengths = phrases.starts[own], phrases.lengths[own]
+            table = symbol[np.minimum(starts[:, None] + np.arange(window), len(symbol) - 1)]
+            low, high = self.index.search(table, lengths)
+            count = np.maximum(high - low, 0)
+            which = np.repeat(np.arange(len(own)), count)
+            row = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + low[which]
+            yield self.index.locate(row), lengths[which], phrases.item_of[own[which]]
+
+
+def _runs(sizes: list[int], shard: int, window: int):
+    """Pieces (document, first word, words) of each shard in turn: whole documents, or overlapping segments of long ones."""
+    run, size = [], 0
+    for k, n in enumerate(sizes):
+        if n >= shard:
+            for a in range(0, n, shard):
+                yield [(k, a, min(n - a, shard + window - 1))]  # overlaps the next by what a phrase may reach over
+        elif n:
+            if run and size + n + 1 > shard:
+                yield run
+                run, size = [], 0
+            run.append((k, 0, n))
+            size += n + 1
+    if run:
+        yield run
+
+
+def in_documents(texts: list[str], files: list[str], window: int = WINDOW, shard: int = 1 << SHARD_BITS) -> tuple[list[np.ndarray], list[set[str]]]:
+    """For each text: mask of hit words, and ids of the items with an occurring phrase."""
+    hashes, which, sizes = coded(texts)
+    starts = np.cumsum(sizes) - sizes
+    hit, items = np.zeros(len(which) + 1, np.int64), [set() for _ in texts]
+    order = np.argsort(hashes)
+    rank = np.empty(len(hashes), np.int64)
+    rank[order] = np.arange(len(hashes))
+    known: dict[str, list[str | None]] = {}
+    for run in _runs(sizes.tolist(), shard, window) if files else ():
+        words = np.concatenate([rank[which[starts[k] + a : starts[k] + a + n]] for k, a, n in run])
+        used, compact = np.unique(words, return_inverse=True)
+        lengths = np.array([n for _, _, n in run])
+        begins = np.cumsum(lengths + 1) - lengths - 1  # a piece's first place among the symbols
+        symbols = np.zeros(int((lengths + 1).sum()), np.int32)
+        symbols[np.arange(len(words)) + np.repeat(np.arange(len(run)), lengths)] = compact + 1
+        source = np.array([starts[k] + a for k, a, _ in run])
+        document = np.array([k for k, _, _ in run])
+        built = Shard(hashes[order[used]], symbols)
+        for name in files:
+            file = PhraseFile(name)
+            for place, length, item in built.occurrences(file, window):
+                if not len(place):
+                    continue
+                piece = np.searchsorted(begins, place, "right") - 1
+                first = source[piece] + place - begins[piece]
+                hit += np.bincount(first, minlength=len(hit)) - np.bincount(first + length, minlength=len(hit))
+                if name not in known:
+                    known[name] = file.items()
+                pairs = np.unique(np.stack([document[piece], item], 1), axis=0)
+                for k, x in pairs.tolist():
+                    if known[name][x] is not None:
+                        items[k].add(known[name][x])
+    mask = np.cumsum(hit[:-1]) > 0
+    return [mask[a : a + n] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)], items
 
 
 def _spans(text: str, mask: np.ndarray) -> list[tuple[int, int]]:
@@ -270,82 +325,53 @@ def _spans(text: str, mask: np.ndarray) -> list[tuple[int, int]]:
     return [(int(char[starts[a]]), int(char[ends[b] - 1]) + 1) for a, b in zip(first, last, strict=True)]
 
 
-def _searched(batches, phrases: Phrases):
-    """(batch, texts, masks, item sets) of every slice, with the hits of earlier passes."""
-    for batch in slices(batches, "text"):
+def _searched(batches, files: list[str], window: int):
+    """(batch, texts, masks, item sets) of every slice."""
+    for batch in slices(batches, "text", SLICE_BYTES):
         texts = strings(batch["text"])
-        words = [words_of(x) for x in texts]
-        masks, items = [], []
-        for k, (mask, which) in enumerate(phrases.in_documents(words)):
-            for a, b in itertools.batched(batch["hits"][k].as_py(), 2):
-                mask[a:b] = True
-            masks.append(mask)
-            items.append({x for w in which.tolist() for x in phrases.items[w]}.union(batch["items"][k].as_py()))
-        yield batch, texts, masks, items
-
-
-def _last_pass(df: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, Broadcast]:
-    """(row: all columns of ``df``, text, hits: first and last-plus-one places of hit words in turn, items) after all
-    passes but the last, and the last pass's phrases."""
-    spark = df.sparkSession
-    small_batches(spark)
-    size = benchmark.select(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
-    n = max(1, -(-size // MOST_PHRASE_BYTES))
-    dealt = benchmark.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).alias("pass"))
-    state = df.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"), F.array().cast("array<bigint>").alias("hits"), F.array().cast("array<string>").alias("items"))
-    for k in range(n):
-        own = dealt.where(F.col("pass") == k).select("item_id", "text").orderBy("item_id", "text")
-        shared = spark.sparkContext.broadcast(Phrases(((r["item_id"], r["text"]) for r in own.toLocalIterator()), window))  # about MOST_PHRASE_BYTES
-        if k == n - 1:
-            return state, shared
-
-        def run(batches):
-            for batch, _, masks, items in _searched(batches, shared.value):  # noqa: B023
-                turns = [np.flatnonzero(np.diff(np.concatenate([[0], m.astype(np.int8), [0]]))).tolist() for m in masks]
-                columns = [batch["row"], batch["text"], pa.array(turns, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "text", "hits", "items"])
-
-        before, state = state, cut(state.mapInArrow(run, state.schema), "pass")
-        if k:
-            drop(before)
-        shared.destroy()
-    raise AssertionError("there is one pass at least")
+        yield batch, texts, *in_documents(texts, files, window)
+
+
+def _files(df: DataFrame, benchmark: DataFrame, window: int) -> list[str]:
+    """Where the benchmark's phrases lie; they stay in the shared folder, as results read them."""
+    small_batches(df.sparkSession)
+    folder = shared_dir(df.sparkSession, "phrases")
+    return [f"{folder}/{name}" for name in write_phrases(benchmark, folder, window)]
 
 
 def scan(df: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted as strings), spans (array of start, end in code points)."""
-    state, shared = _last_pass(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, window)
-    source = state.select(F.col("row.doc_id").alias("doc_id"), "text", "hits", "items")
+    files = _files(df, benchmark, window)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.list_(pa.int64())))])
 
     def run(batches):
-        for batch, texts, masks, items in _searched(batches, shared.value):
+        for batch, texts, masks, items in _searched(batches, files, window):
             spans = [_spans(t, m) if m.any() else [] for t, m in zip(texts, masks, strict=True)]
             yield batch_of(schema, batch["doc_id"], [len(m) for m in masks], [int(m.sum()) for m in masks], [sorted(x) for x in items], spans)
 
+    source = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>, spans array<array<bigint>>")
 
 
 def clean(df: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``df`` with removal spans cut out of ``text``; all columns and rows stay."""
-    state, shared = _last_pass(df, benchmark, window)
-    names = df.columns
+    files, at = _files(df, benchmark, window), df.columns.index("text")
 
     def run(batches):
-        for batch, texts, masks, _ in _searched(batches, shared.value):
+        for batch, texts, masks, _ in _searched(batches, files, window):
             out = batch["text"].to_pylist()
             for k, (text, mask) in enumerate(zip(texts, masks, strict=True)):
                 if mask.any():
-                    at, parts = 0, []
+                    done, parts = 0, []
                     for a, b in _spans(text, mask):
-                        parts.append(text[at:a])
-                        at = b
-                    out[k] = "".join([*parts, text[at:]])
-            columns = batch["row"].flatten()
-            columns[names.index("text")] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return state.mapInArrow(run, T.StructType(df.schema.fields))
+                        parts.append(text[done:a])
+                        done = b
+                    out[k] = "".join([*parts, text[done:]])
+            columns = list(batch.columns)
+            columns[at] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return df.mapInArrow(run, T.StructType(df.schema.fields))
 
 
 def digests(df: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ Every task fills both filters from the distinct lines of its documents. Filters
 once = or, again = or of the parts' agains and of every pair of onces, so a line that two tasks hold is in "again".
 Only lines whose hash "again" holds are shuffled, where their documents are counted exactly by the line itself and
 the first occurrence is found. The second filter grows with the number of lines; it lies in the shared folder, in files
-of a bounded number of blocks, which tasks map whatever its size. Lines to drop are sent to every task while they take
-``MOST_BYTES`` at most; beyond, they meet the suspects of their documents, which then join the documents.
+of a bounded number of blocks, which tasks map whatever its size. Lines to drop lie there too, dealt by hash into files of about
+``FILE_BYTES``: sorted hashes, then the lines themselves, which a found hash is held against. Tasks map them, so
+whatever their number, a document's text is read where it lies and never shuffled.
 
 Edge cases: a null or empty text is one empty line; the empty key never counts; equal documents with other ids count
 each; rows that share an id count as one document of it; rows with a null id count as one document. Extra columns pass
@@ -28,7 +29,7 @@ BLOCK_BITS = 1 << 15
 BLOCK_BYTES = BLOCK_BITS // 8
 BITS_A_LINE, PROBES = 12, 4
 FILE_BLOCKS = 4096
-MOST_BYTES = 64 << 20
+FILE_BYTES = 16 << 20
 
 
 def key_of(line: bytes) -> bytes:
@@ -179,64 +180,102 @@ def repeated(suspected: DataFrame, min_docs: int) -> DataFrame:
     return rows.select("key", "n_docs", F.col("first.doc_id").alias("first_doc"), F.col("first.first_line").alias("first_line"))
 
 
-def dedup(df: DataFrame, min_docs: int = 10, keep_first: bool = False, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """All columns of ``df`` and ``n_lines``, ``n_dropped``, ``kept_text``.
+def write_lost(hot: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> int:
+    """Write the lines of ``hot`` (key, first_doc, first_line) as files by hash; how many there may be."""
+    size = hot.select(F.sum(F.length("key") + 40)).first()[0] or 0
+    files = max(1, -(-size // file_bytes))
+    hashed = pa.schema([("file", pa.int32()), ("hash", pa.int64()), ("key", pa.binary()), ("first_doc", pa.int64()), ("first_line", pa.int64())])
 
-    Lines found in at least ``min_docs`` documents go; with ``keep_first`` the first one stays, by doc_id and line.
-    """
-    spark = df.sparkSession
-    source = df.drop("n_lines", "n_dropped", "kept_text")
-    suspected = found(source)
-    hot = cut(repeated(suspected, min_docs), "repeated-lines")
-    size = hot.select(F.sum(F.length("key") + 64)).first()[0] or 0
-    fields = [*source.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())]
+    def deal(batches):
+        for batch in slices(batches, "key"):
+            own = _hash(batch["key"].to_pylist())
+            yield batch_of(hashed, _lost_file(own, files), own.view(np.int64), batch["key"], batch["first_doc"], batch["first_line"])
 
-    def finish(batch, texts, gone):
-        lines = [_lines(x) for x in texts]
-        kept = [[x for n, x in enumerate(own) if not gone(k, n, x)] for k, own in enumerate(lines)]
-        columns = [pa.array(map(len, lines), pa.int64()), pa.array([len(a) - len(b) for a, b in zip(lines, kept, strict=True)], pa.int64()), pa.array([b"\n".join(x).decode() for x in kept], pa.string())]
-        return pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "n_lines", "n_dropped", "kept_text"])
+    def put(tables):
+        own = pa.concat_tables(tables).combine_chunks()
+        key, doc = own["key"].combine_chunks(), own["first_doc"].combine_chunks()
+        ends = np.cumsum([0, *map(len, key.to_pylist())]).astype(np.int64)
+        columns = [np.array([len(own)], np.int64), own["hash"].to_numpy(), np.asarray(doc.fill_null(0)), np.asarray(doc.is_valid()).astype(np.int64), own["first_line"].to_numpy(), ends]
+        write_file(f"{folder}/lost-{own['file'][0].as_py():06d}.bin", [*columns, b"".join(key.to_pylist())])
 
-    if size <= most_bytes:
-        keys = {bytes(r["key"]): (r["first_doc"], r["first_line"]) for r in hot.toLocalIterator()}  # at most most_bytes in all
-        shared = spark.sparkContext.broadcast(keys)
-        drop(suspected, hot)
+    def write(batches):
+        held = []
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            file = table["file"].to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(file)) + 1).tolist(), len(file)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if b > a:
+                    if held and held[0]["file"][0] != table["file"][a]:
+                        put(held)
+                        yield batch_of(written, [held[0]["file"][0].as_py()])
+                        held = []
+                    held.append(table.slice(a, b - a))
+        if held:
+            put(held)
+            yield batch_of(written, [held[0]["file"][0].as_py()])
 
-        def run(batches):
-            known = shared.value
-            for batch in slices(batches, "text"):
-                docs = batch["doc_id"].to_pylist()
+    written = pa.schema([("file", pa.int32())])
+    dealt = hot.select("key", "first_doc", "first_line").mapInArrow(deal, "file int, hash long, key binary, first_doc long, first_line long")
+    dealt.repartition("file").sortWithinPartitions("file", "hash", "key").mapInArrow(write, "file int").count()
+    return files
 
-                def gone(k, n, line):
-                    first = known.get(key_of(line))
-                    return first is not None and not (keep_first and first == (docs[k], n))  # noqa: B023
 
-                yield finish(batch, strings(batch["text"]), gone)
+def _lost_file(hashes: np.ndarray, files: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) % np.uint64(files)).astype(np.int32)
 
-        return source.mapInArrow(run, T.StructType(fields))
 
-    # more lines to drop than may be sent: each document's own come with it, from its suspects
-    lost = suspected.join(hot.select("key", "first_doc", F.col("first_line").alias("kept_line")), "key")
-    kept = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("first_line") == F.col("kept_line"))
-    lost = lost.groupBy("doc_id").agg(F.collect_list(F.struct("key", F.when(kept, F.col("kept_line")).alias("stays"))).alias("lost"))
-    rows = source.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
-    names = source.columns
-    joined = rows.join(lost, rows["id"].eqNullSafe(lost["doc_id"]), "left").select("row", "lost")
+def lost(keys: list[bytes], folder: str, files: int) -> dict[bytes, tuple[int | None, int]]:
+    """Of distinct keys, those of lines to drop with the first occurrence's doc_id and line."""
+    out: dict[bytes, tuple[int | None, int]] = {}
+    hashes = _hash(keys)
+    file, signed = _lost_file(hashes, files), hashes.view(np.int64)
+    order = np.argsort(file, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(file[order])) + 1):
+        if not len(own):
+            continue
+        try:
+            flat = map_file(f"{folder}/lost-{int(file[own[0]]):06d}.bin", np.uint8)
+        except FileNotFoundError:  # no line fell there
+            continue
+        n = int(flat[:8].view(np.int64)[0])
+        numbers, text = flat[8 : 8 * (5 * n + 2)].view(np.int64), flat[8 * (5 * n + 2) :]
+        known, docs, has, lines, ends = numbers[:n], numbers[n : 2 * n], numbers[2 * n : 3 * n], numbers[3 * n : 4 * n], numbers[4 * n :]
+        first, last = np.searchsorted(known, signed[own], "left"), np.searchsorted(known, signed[own], "right")
+        for k in np.flatnonzero(last > first).tolist():
+            key = keys[own[k]]
+            for at in range(first[k], last[k]):  # more than one only where hashes of lines are equal
+                if text[ends[at] : ends[at + 1]].tobytes() == key:
+                    out[key] = (int(docs[at]) if has[at] else None, int(lines[at]))
+    return out
 
-    def run_joined(batches):
-        for batch in batches:
-            whole = pa.RecordBatch.from_arrays([*batch["row"].flatten(), batch["lost"]], names=[*names, "lost of this row"])
-            for part in slices([whole], "text"):
-                own = [{x["key"]: x["stays"] for x in lost or ()} for lost in part["lost of this row"].to_pylist()]
-                plain = part.select(names)
 
-                def gone(k, n, line):
-                    key = key_of(line)
-                    return key in own[k] and not (keep_first and own[k][key] == n)  # noqa: B023
+def dedup(df: DataFrame, min_docs: int = 10, keep_first: bool = False, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """All columns of ``df`` and ``n_lines``, ``n_dropped``, ``kept_text``.
 
-                yield finish(plain, strings(plain["text"]), gone)
+    Lines found in at least ``min_docs`` documents go; with ``keep_first`` the first one stays, by doc_id and line. The files
+    of lines to drop stay in the shared folder, as the result reads them.
+    """
+    source = df.drop("n_lines", "n_dropped", "kept_text")
+    suspected = found(source)
+    hot = cut(repeated(suspected, min_docs), "repeated-lines")
+    folder = shared_dir(df.sparkSession, "lost-lines")
+    files = write_lost(hot, folder, file_bytes)
+    drop(suspected, hot)
+    fields = [*source.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())]
 
-    return joined.mapInArrow(run_joined, T.StructType(fields))
+    def run(batches):
+        for batch in slices(batches, "text"):
+            texts = [_lines(x) for x in strings(batch["text"])]
+            keys = [[key_of(x) for x in own] for own in texts]
+            gone = lost(list({k for own in keys for k in own if k}), folder, files)
+            kept = []
+            for doc, own, of in zip(batch["doc_id"].to_pylist(), texts, keys, strict=True):
+                kept.append([x for n, (x, k) in enumerate(zip(own, of, strict=True)) if k not in gone or (keep_first and gone[k] == (doc, n))])
+            columns = [pa.array(map(len, texts), pa.int64()), pa.array([len(a) - len(b) for a, b in zip(texts, kept, strict=True)], pa.int64()), pa.array([b"\n".join(x).decode() for x in kept], pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "n_lines", "n_dropped", "kept_text"])
+
+    return source.mapInArrow(run, T.StructType(fields))
 
 
 def digests(df: DataFrame, min_docs: int) -> DataFrame:
