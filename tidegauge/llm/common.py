@@ -89,6 +89,7 @@ def write_file(uri: str, parts: list) -> None:
             if len(part):
                 out.write(part if isinstance(part, bytes) else memoryview(part).cast("B"))
     fs.move(temporary, path)
+    give_back()
 
 
 def map_file(uri: str, dtype) -> np.ndarray:
