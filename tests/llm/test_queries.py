@@ -28,6 +28,15 @@ def test_one_query_an_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
 
 
+@pytest.mark.parametrize(("name", "left"), [("op2_ngram_join", 1), ("op3_decontaminate", 1), ("op4_line_dedup", 1), ("op5_quality_classifier", 1), ("op8_embedding_dedup", 1), ("op11_hard_negatives", 1), ("op12_exact_topk", 1), ("op13_merkle_manifest", 1)])
+def test_what_a_query_leaves_in_the_shared_folder(spark, name, left):
+    """What the result is read from, and nothing else."""
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(shared))
+    out = queries.queries()[name](spark, SF)
+    assert out.count() > 0 and len(set(os.listdir(shared)) - before) <= left, set(os.listdir(shared)) - before
+
+
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF).toPandas()
     documents = spark.read.parquet(f"{SF}/documents.parquet").toPandas()

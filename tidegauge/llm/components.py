@@ -32,6 +32,8 @@ def components(links: DataFrame) -> DataFrame:
         edges = cut(second.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
         drop(*before)
     if labels is None:
-        return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+        out = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+        out.cut_folder = edges.cut_folder
+        return out
     drop(edges)
     return labels

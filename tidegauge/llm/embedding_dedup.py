@@ -334,5 +334,6 @@ def dedup(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", v
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     out = rows.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
     out = cut(out, "deduplicated")
-    drop(vectors, copies, sizes, met, classed, sampled, crowd, *([] if linked is None else [linked]))
+    made = {id(x): x for x in (near, labels) if hasattr(x, "cut_folder")}
+    drop(vectors, copies, sizes, met, classed, sampled, crowd, *([] if linked is None else [linked]), *made.values())
     return out

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import WordHashes, batch_of, cut, mix, slices, small_batches, strings
+from tidegauge.llm.common import WordHashes, batch_of, cut, drop, mix, slices, small_batches, strings
 from tidegauge.llm.components import components
 
 WORDS = 5
@@ -233,7 +233,7 @@ def _with_text(pairs: DataFrame, texts: DataFrame, key: str) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): pairs whose sets link. ``pairs``: distinct (a, b); ``texts``: doc_id, text."""
+    """(a, b): pairs whose sets link, written. ``pairs``: distinct (a, b); ``texts``: doc_id, text."""
     pairs = cut(pairs, "pairs")
     salts = pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / BLOCK) + 1).cast("int").alias("salts"))
     salted = cut(pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt")), "salted")
@@ -258,11 +258,13 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 yield batch_of(schema, *(list(x) for x in zip(*found, strict=True)))
 
     dealt = left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return dealt.mapInArrow(run, "a long, b long")
+    out = cut(dealt.mapInArrow(run, "a long, b long"), "links")
+    drop(pairs, salted)
+    return out
 
 
 def _across(shared: DataFrame, labels: DataFrame, cells: DataFrame, done: DataFrame) -> DataFrame:
-    """(a, b): all pairs of different classes that share a prefix shingle and pass the filters, but those done."""
+    """(a, b): all pairs of different classes that share a prefix shingle and pass the filters, but those done; written."""
     told = shared.join(labels, shared["doc_id"] == labels["id"], "left").select("gram", "doc_id", "n", "at", F.coalesce("component", "doc_id").alias("label"))
     told = cut(told, "told")
     mixed = told.groupBy("gram").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("size")).where("least <> most").select("gram", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
@@ -312,7 +314,10 @@ def _across(shared: DataFrame, labels: DataFrame, cells: DataFrame, done: DataFr
             both = (n + m - np.abs(x - y).sum(1)) // 2  # at most so many are common
             yield batch.filter(pa.array(links(both, n, m))).select(["a", "b"])
 
-    return new.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(suffix_filter, "a long, b long").distinct()
+    kept = new.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(suffix_filter, "a long, b long").distinct()
+    out = cut(kept, "rest")
+    drop(told)
+    return out
 
 
 def classes(df: DataFrame) -> DataFrame:
@@ -341,20 +346,28 @@ def classes(df: DataFrame) -> DataFrame:
     pairs = nearest.select("doc_id", F.explode(F.array("first", "before")).alias("other")).where("other IS NOT NULL")
     pairs = standing(standing(pairs, "doc_id"), "other").where("doc_id <> other").select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
     pairs = cut(pairs, "first-pairs")
-    near = cut(verified(pairs, texts), "links")
+    near = verified(pairs, texts)
     same_id = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count_distinct("rep").alias("k")).where("k > 1").select("a", "b")
-    labels = components(near.unionByName(same_id))
+    first = labels = components(near.unionByName(same_id))
     rows = standing(met.select("gram", "doc_id", "n", "at"), "doc_id").distinct()
     cells = sets.groupBy("doc_id").agg(F.first("n").alias("n"), F.first("cells").alias("cells"))
-    rest = cut(_across(rows, labels, cells, pairs), "rest")
+    rest = _across(rows, labels, cells, pairs)
+    scratch = [profile, members, met, pairs, near, rest]
     if not rest.isEmpty():
-        labels = components(near.unionByName(same_id).unionByName(verified(rest, texts)))
+        more = verified(rest, texts)
+        scratch.append(more)
+        labels = components(near.unionByName(same_id).unionByName(more))
     own = standing(documents.select("doc_id", "n", F.col("doc_id").alias("rep")), "rep")
-    return own.join(labels, own["rep"] == labels["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    out = own.join(labels, own["rep"] == labels["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    out = cut(out, "classes")
+    drop(*scratch, *{id(x): x for x in (first, labels) if hasattr(x, "cut_folder")}.values())
+    return out
 
 
 def keep_one(df: DataFrame) -> DataFrame:
     """Rows of ``df`` but those whose document has a class with a smaller id. Rows with a null id stay."""
-    gone = cut(classes(df).where("component_id <> doc_id").select("doc_id").distinct(), "copies")
+    told = classes(df)
+    gone = cut(told.where("component_id <> doc_id").select("doc_id").distinct(), "copies")
+    drop(told)
     few = gone.count() <= MOST_BROADCAST_ROWS
     return df.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*df.columns)
