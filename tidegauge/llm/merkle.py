@@ -36,9 +36,19 @@ def _field(value: Column) -> Column:
     return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
 
 
+def _sha(text: Column) -> Column:
+    """A digest as 32 bytes: half of its text, which hardly compresses."""
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
+def _hex(digests: Column) -> Column:
+    """The text of one digest, or of several in a row."""
+    return F.lower(F.hex(digests))
+
+
 def leaf(text: Column) -> Column:
     """The digest of a row of ``documents`` with this text."""
-    return F.sha2(F.concat(*map(_field, (F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text))).cast("binary"), 256)
+    return _sha(F.concat(*map(_field, (F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text))))
 
 
 def _levels(n: Column) -> Column:
@@ -66,7 +76,7 @@ def numbered(rows: DataFrame, group: str, order: list[str]) -> tuple[DataFrame,
 
 def _up(digests: Column) -> Column:
     """The next level of nodes that stand side by side."""
-    return F.transform(F.sequence(F.lit(0), F.size(digests) - 1, F.lit(FAN)), lambda at: F.sha2(F.array_join(F.slice(digests, at + 1, FAN), "").cast("binary"), 256))
+    return F.transform(F.sequence(F.lit(0), F.size(digests) - 1, F.lit(FAN)), lambda at: _sha(F.array_join(F.transform(F.slice(digests, at + 1, FAN), _hex), "")))
 
 
 def tiers(leaves: DataFrame, most: int) -> list[DataFrame]:
@@ -122,7 +132,7 @@ def lookups(units: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def step(level):
         own = F.floor(place / _steps(level))
-        part = lambda test: F.array_join(F.transform(F.filter("s", lambda x: (x["k"] == level) & test(x["at"])), lambda x: x["digest"]), "")
+        part = lambda test: F.aggregate(F.filter("s", lambda x: (x["k"] == level) & test(x["at"])), F.lit(bytearray()), lambda a, x: F.concat(a, x["digest"]))
         return F.struct(part(lambda at: at < own).alias("before"), part(lambda at: at > own).alias("behind"))
 
     return gathered.select("tree", "place", "n", F.transform(rounds, step).alias("path"))
@@ -166,7 +176,7 @@ def manifest(documents: DataFrame, tampered: Column | None = None) -> DataFrame:
     sources = cut(held.join(by_source.withColumnRenamed("n", "n_sources"), ["all", "part"]).select("key", (F.col("seq") - F.col("base")).alias("tree"), "n", "n_sources"), "sources")
     most = sources.agg(F.max("n"), F.max("n_sources")).first()
     if most[0] is None:
-        return rows.select("doc_id", F.col("digest").alias("leaf"), *[F.lit("").alias(c) for c in ("subroot", "root", "proof_sha256", "folded_root")], F.lit(True).alias("verified"))
+        return rows.select("doc_id", _hex(F.col("digest")).alias("leaf"), *[F.lit("").alias(c) for c in ("subroot", "root", "proof_sha256", "folded_root")], F.lit(True).alias("verified"))
     trees = pieces.join(sources.select("key", "tree"), "key").select("key", "part", "base", "n", "tree")
     leaves = cut(told.join(trees, ["key", "part"]).select("tree", (F.col("seq") - F.col("base")).alias("place"), "n", "doc_id", "digest", "shown"), "leaves")
     drop(told, held)
@@ -180,9 +190,9 @@ def manifest(documents: DataFrame, tampered: Column | None = None) -> DataFrame:
     found, written = paths(leaves, nodes, ways)
     proven = leaves.join(found, ["tree", "place"]).join(subroots.withColumnRenamed("digest", "subroot"), "tree")
     digest = lambda text: F.sha2(text.cast("binary"), 256)
-    folded = F.aggregate("path", F.col("shown"), lambda own, s: digest(F.concat(s["before"], own, s["behind"])))
-    proof = digest(F.array_join(F.transform("path", lambda s: F.concat(s["before"], s["behind"])), ""))
-    out = proven.select("doc_id", F.col("digest").alias("leaf"), "subroot", F.lit(root).alias("root"), proof.alias("proof_sha256"), folded.alias("folded_root"))
+    folded = F.aggregate("path", _hex(F.col("shown")), lambda own, s: digest(F.concat(_hex(s["before"]), own, _hex(s["behind"]))))
+    proof = digest(F.array_join(F.transform("path", lambda s: _hex(F.concat(s["before"], s["behind"]))), ""))
+    out = proven.select("doc_id", _hex(F.col("digest")).alias("leaf"), _hex(F.col("subroot")).alias("subroot"), F.lit(bytes(root).hex()).alias("root"), proof.alias("proof_sha256"), folded.alias("folded_root"))
     out = cut(out.withColumn("verified", F.col("folded_root") == F.col("root")), "proofs")
     drop(sources, leaves, *nodes, subroots, *crown, ways, *more, *written)
     return out
