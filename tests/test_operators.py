@@ -455,6 +455,25 @@ def test_matrix_scores_equal_terms(spark):
         scoring.matrix_scores(matrix_of(spark, np.ones((20, 2))), base, 10, 4).collect()
 
 
+def test_matrix_errors_equal_window_errors(spark):
+    x = hot_run()
+    matrix = matrix_of(spark, x).repartition(3)
+    long = matrix.select("run_id", "sample_index", F.posexplode("values").alias("sensor", "value"))
+    base = scaling.baseline(long)
+    for phase, bucket in (("full", 17), ("stride", 1), ("full", 10_000)):
+        got = scoring.by_sensor(scoring.matrix_errors(matrix, base, 10, 4, bucket, phase)).orderBy("window_id", "sensor").toPandas()
+        want = scoring.window_errors(scoring.squared(long, base), 10, 4, phase=phase).orderBy("window_id", "sensor").toPandas()
+        assert np.allclose(got["error"], want["error"]) and np.allclose(got["mean_value"], want["mean_value"]) and len(got) == len(want)
+        assert (got[["start_sample", "end_sample", "sensor"]] == want[["start_sample", "end_sample", "sensor"]]).all().all()
+    holes = [[None if (i + s) % 3 == 0 or s == 2 else float(v) for s, v in enumerate(row)] for i, row in enumerate(x)]
+    partial = spark.createDataFrame([("r", i, v) for i, v in enumerate(holes)], "run_id string, sample_index long, values array<double>")
+    rows = scoring.matrix_errors(partial, base, 10, 4).orderBy("window_id").collect()
+    own = [v for v in (holes[i][0] for i in range(10)) if v is not None]
+    assert rows[0]["means"][0] == pytest.approx(np.mean(own)) and rows[0]["errors"][2] is None and rows[0]["means"][2] is None
+    with pytest.raises(Exception, match="the baseline has 3"):
+        scoring.matrix_errors(matrix_of(spark, np.ones((20, 2))), base, 10, 4).collect()
+
+
 def test_artifacts(spark, tmp_path):
     matrix = matrix_of(spark, hot_run())
     base = scaling.baseline(matrix.select("run_id", "sample_index", F.posexplode("values").alias("sensor", "value")))

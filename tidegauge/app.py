@@ -52,8 +52,8 @@ class Monitor:
     def evidence(self, matrix: DataFrame) -> DataFrame:
         """A row an event with its evidence."""
         s, own = self.settings, self.event_windows(matrix)
-        terms = scoring.squared(tables.to_long(matrix), self.fitted.baseline)
-        rows = scoring.window_errors(terms, s["size"], s["stride"]).join(own.select("run_id", "window_id", "rn", C.event_name("event_number").alias("event_id")), ["run_id", "window_id"])
+        errors = scoring.matrix_errors(matrix, self.fitted.baseline, s["size"], s["stride"])
+        rows = scoring.by_sensor(errors.join(own.select("run_id", "window_id", "rn", C.event_name("event_number").alias("event_id")), ["run_id", "window_id"]))
         return evidence.documents(rows, self.fitted.baseline, events.summary(own), s["stride"])
 
     def reports(self, matrix: DataFrame, model: Callable | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.operators import scans, windows
+from tidegauge.operators import windows
 
 BATCH = 1024  # windows side by side
 BUCKET = 4096  # samples
@@ -134,33 +134,16 @@ class RecurrentScorer:
 
     def _over_windows(self, matrix: DataFrame, size: int, stride: int, phase: str, run, schema: str, bucket: int = BUCKET) -> DataFrame:
         """``run`` over (run_id, ends, scaled windows) of at most ``BATCH`` windows each, bucket by bucket."""
-        first, mean, scale = windows.first_end(size, stride, phase) - 1, self.mean, np.where(self.std == 0, 1.0, self.std)
-
-        def cut(table: pa.Table):
-            name, number = table["run_id"][0].as_py(), table["bucket"][0].as_py()
-            at = table["sample_index"].to_numpy()
-            x = (np.array(table["values"].to_pylist(), float).reshape(len(at), -1) - mean) / scale
-            ends = np.flatnonzero((at >= max(first, size - 1)) & ((at - first) % stride == 0) & (at // bucket == number) & (np.arange(len(at)) >= size - 1))
-            for k in range(0, len(ends), BATCH):
-                own = ends[k : k + BATCH]
-                yield name, at[own], x[own[:, None] - np.arange(size - 1, -1, -1)]
-
-        def groups(batches):
-            held = None
-            for batch in batches:
-                table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
-                if not table.num_rows:
-                    continue
-                names, numbers = np.array(table["run_id"].to_pylist(), object), table["bucket"].to_numpy()
-                edges = [0, *(np.flatnonzero((names[1:] != names[:-1]) | (numbers[1:] != numbers[:-1])) + 1).tolist()]
-                for a, b in zip(edges, edges[1:], strict=False):
-                    yield from cut(table.slice(a, b - a))
-                held = table.slice(edges[-1])
-            if held is not None and held.num_rows:
-                yield from cut(held)
-
-        rows = scans.overlapping(matrix.select("run_id", "sample_index", "values"), "sample_index", size - 1, bucket).drop("here")
-        return rows.repartition("run_id", "bucket").sortWithinPartitions("run_id", "bucket", "sample_index").mapInArrow(lambda batches: run(groups(batches)), schema)
+        mean, scale = self.mean, np.where(self.std == 0, 1.0, self.std)
+
+        def cut(groups):
+            for name, at, x, ends in groups:
+                z = (x - mean) / scale
+                for k in range(0, len(ends), BATCH):
+                    own = ends[k : k + BATCH]
+                    yield name, at[own], z[own[:, None] - np.arange(size - 1, -1, -1)]
+
+        return windows.by_buckets(matrix, size, stride, phase, lambda groups: run(cut(groups)), schema, bucket)
 
     def errors(self, matrix: DataFrame, size: int, stride: int, phase: str = "full", bucket: int = BUCKET) -> DataFrame:
         """run_id, window_id, start_sample, end_sample, errors: the mean squared error of each sensor over a window."""

@@ -47,6 +47,45 @@ def matrix_scores(matrix: DataFrame, base: DataFrame, size: int, stride: int, bu
     return windows.rolling(matrix, size, stride, ["run_id"], {"score": q}, bucket, phase)
 
 
+ERRORS = "run_id string, window_id long, start_sample long, end_sample long, errors array<double>, means array<double>"
+ERROR_BUCKET = 16_384
+
+
+def matrix_errors(matrix: DataFrame, base: DataFrame, size: int, stride: int, bucket: int = ERROR_BUCKET, phase: str = "full") -> DataFrame:
+    """run_id, window_id, start_sample, end_sample, and the error and the mean of each sensor over the window, as arrays.
+
+    Samples stay vectors: a row a window leaves a task instead of one a sample and sensor. Null components count for
+    nothing; a sensor without any value in a window has a null there.
+    """
+    known = base.orderBy("sensor").select("mean", "std").collect()  # a row a sensor
+    mean, scale = np.array([b["mean"] for b in known], float), np.array([b["std"] or 1.0 for b in known], float)
+    first = windows.first_end(size, stride, phase) - 1
+
+    def run(groups):
+        for name, at, x, ends in groups:
+            if x.shape[1] != len(mean):
+                raise ValueError(f"a vector has {x.shape[1]} components, the baseline has {len(mean)}")
+            if not len(ends):
+                continue
+            has = ~np.isnan(x)
+            sums = [np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(np.where(has, v, 0.0), 0)]) for v in (1.0, np.square((x - mean) / scale), x - mean)]
+            n, error, value = (s[ends + 1] - s[ends + 1 - size] for s in sums)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                error, value = np.maximum(error, 0) / n, mean + value / n
+            lists = [pa.ListArray.from_arrays(np.arange(len(ends) + 1) * len(mean), pa.array(v.ravel(), mask=n.ravel() == 0)) for v in (error, value)]
+            columns = [pa.array([name] * len(ends)), pa.array((at[ends] - first) // stride), pa.array(at[ends] - size + 1), pa.array(at[ends]), *lists]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in ERRORS.split(", ")])
+
+    return windows.by_buckets(matrix, size, stride, phase, run, ERRORS, bucket)
+
+
+def by_sensor(errors: DataFrame) -> DataFrame:
+    """Rows of ``matrix_errors`` with sensor, error and mean_value in place of the arrays."""
+    rest = [c for c in errors.columns if c not in ("errors", "means")]
+    told = errors.select(*rest, F.posexplode(F.arrays_zip("errors", "means")).alias("sensor", "w"))
+    return told.select(*rest, "sensor", F.col("w.errors").alias("error"), F.col("w.means").alias("mean_value"))
+
+
 def record_results(matrix: DataFrame, base: DataFrame, limit: float, size: int, stride: int) -> DataFrame:
     """What each record tells when it comes: run_id, sample_index, window_id (counts full buffers; null in the warm-up),
     score (null unless the record's number is a multiple of the stride) and anomalous (false where nothing is scored)."""

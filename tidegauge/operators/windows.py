@@ -7,9 +7,14 @@ samples, and the size - 1 samples before a bucket are dealt to it too.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.operators import scans
+
 BUCKET = 100_000
 
 
@@ -63,6 +68,38 @@ def in_blocks(rows: DataFrame, block: int) -> DataFrame:
     return rows.withColumn("segment", number).withColumn("run_id", F.concat_ws(":", "run_id", number.cast("string"))).withColumn("sample_index", F.col("sample_index") % block)
 
 
+def by_buckets(matrix: DataFrame, size: int, stride: int, phase: str, run, schema: str, bucket: int) -> DataFrame:
+    """``run`` over groups (run_id, samples, vectors, own) of a matrix in Arrow batches: the samples of a bucket and the
+    size - 1 before it, in order, their vectors (nulls are NaN), and places where a window of this bucket ends."""
+    first = first_end(size, stride, phase) - 1
+
+    def group(table: pa.Table):
+        at, lists = table["sample_index"].to_numpy(), table["values"].combine_chunks()
+        sizes = np.asarray(pc.list_value_length(lists).fill_null(0))
+        if len(np.unique(sizes)) > 1:
+            raise ValueError(f"vectors of a run have from {sizes.min()} to {sizes.max()} components")
+        x = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), -1)
+        ends = (at >= max(first, size - 1)) & ((at - first) % stride == 0) & (at // bucket == table["bucket"][0].as_py()) & (np.arange(len(at)) >= size - 1)
+        return table["run_id"][0].as_py(), at, x, np.flatnonzero(ends)
+
+    def groups(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+            if not table.num_rows:
+                continue
+            names, numbers = np.array(table["run_id"].to_pylist(), object), table["bucket"].to_numpy()
+            edges = [0, *(np.flatnonzero((names[1:] != names[:-1]) | (numbers[1:] != numbers[:-1])) + 1).tolist()]
+            for a, b in zip(edges, edges[1:], strict=False):
+                yield group(table.slice(a, b - a))
+            held = table.slice(edges[-1])
+        if held is not None and held.num_rows:
+            yield group(held)
+
+    rows = scans.overlapping(matrix.select("run_id", "sample_index", "values"), "sample_index", size - 1, bucket).drop("here")
+    return rows.repartition("run_id", "bucket").sortWithinPartitions("run_id", "bucket", "sample_index").mapInArrow(lambda batches: run(groups(batches)), schema)
+
+
 def index(rows: DataFrame, size: int, stride: int, phase: str = "full") -> DataFrame:
     """run_id, window_id, start_sample, end_sample of all windows, from the runs' lengths alone.
 
@@ -82,8 +119,6 @@ def replay_index(rows: DataFrame, size: int, stride: int) -> DataFrame:
 
 def split_segments(segments: list[int], validation: float, test: float, seed: int) -> dict[int, str]:
     """Whole segments to train, val and test. The order is a seeded shuffle of the classic Mersenne generator."""
-    import numpy as np
-
     order = list(segments)
     np.random.RandomState(seed).shuffle(order)
     n_test, n_val = round(len(order) * test), round(len(order) * validation)

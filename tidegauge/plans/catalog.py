@@ -52,8 +52,8 @@ def _event_windows(spark, d):
 def _event_sensors(spark, d, own=None):
     """event_id, rn, sensor, error, mean_value of the windows of events."""
     own = (_event_windows(spark, d) if own is None else own).select("run_id", "window_id", "rn", C.event_name("event_number").alias("event_id"))
-    errors = scoring.window_errors(_terms(spark, d), E_SIZE, E_STRIDE)
-    return errors.join(own, ["run_id", "window_id"])
+    errors = scoring.matrix_errors(tables.sensor_matrix(spark, d), _base(spark, d), E_SIZE, E_STRIDE)
+    return scoring.by_sensor(errors.join(own, ["run_id", "window_id"]))
 
 
 # sources and repair
@@ -130,7 +130,8 @@ def segment_split(spark, d):
 
 # scoring
 def window_errors(spark, d):
-    return scoring.window_errors(_terms(spark, d), SIZE, STRIDE).select("window_id", "start_sample", "sensor", F.round("error", 6).alias("error"), F.round("mean_value", 6).alias("mean_value"))
+    found = scoring.by_sensor(scoring.matrix_errors(tables.sensor_matrix(spark, d), _base(spark, d), SIZE, STRIDE))
+    return found.select("window_id", "start_sample", "sensor", F.round("error", 6).alias("error"), F.round("mean_value", 6).alias("mean_value"))
 
 
 def window_scores(spark, d):
