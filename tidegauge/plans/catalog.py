@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.app import Monitor
 from tidegauge.functions import columns as C
 from tidegauge.functions.json_scan import extract_json
 from tidegauge.operators import datagen, events, evidence, metrics, recurrent, repair, reports, scaling, scoring, store, taxonomy, text_eval, windows
@@ -82,6 +83,52 @@ def fault_splice(spark, d):
     return out.select("sample_index", "fault_label", F.round(F.element_at("values", 1), 6).alias("first"))
 
 
+def _as_csv(spark, matrix, names, files_of=3) -> str:
+    """The matrix as delimited files in order, null components empty."""
+    folder = shared.folder(spark, "csv")
+    rows = matrix.repartitionByRange(files_of, "sample_index").sortWithinPartitions("sample_index").select(*[F.col("values")[k].alias(n) for k, n in enumerate(names)])
+    rows.write.option("header", True).csv(folder)
+    return folder
+
+
+def csv_matrix(spark, d):
+    """The matrix written as several files and read as one run, numbered through them."""
+    matrix = tables.sensor_matrix(spark, d)
+    names = [f" s{k} " for k in range(matrix.agg(F.max(F.size("values"))).first()[0])]
+    rows = files.load(spark, "csv", f"{_as_csv(spark, matrix, names)}/*.csv")
+    return rows.select("sample_index", F.size("values").alias("n_values"), F.round(F.element_at("values", 1), 6).alias("first"), F.round(F.element_at("values", -1), 6).alias("last"))
+
+
+def csv_repaired(spark, d):
+    """Files with gaps: read, repaired and cut to five sensors by one call."""
+    matrix = tables.sensor_matrix(spark, d)
+    holed = matrix.withColumn("values", F.transform("values", lambda v, s: F.when((F.col("sample_index") + s) % 11 > 2, v)))
+    names = [f"s{k}" for k in range(matrix.agg(F.max(F.size("values"))).first()[0])]
+    rows = files.load(spark, "csv", f"{_as_csv(spark, holed, names)}/*.csv", repair="interpolate", features=5)
+    return rows.select("sample_index", F.posexplode("values").alias("sensor", "value")).withColumn("value", F.round("value", 6))
+
+
+def csv_faults(spark, d):
+    """A file a label, read as fault runs: label and identifier from the name, onset from a column, rows numbered in each."""
+    folder = shared.folder(spark, "faults")
+    matrix = tables.sensor_matrix(spark, d)
+    for row in matrix.select("fault_label").distinct().where("fault_label IS NOT NULL").collect():  # a label a file
+        own = matrix.where(F.col("fault_label") == row[0]).select("sample_index", F.element_at("values", 1).alias("a"), F.lit(20 + row[0]).alias("onset"))
+        own.coalesce(1).sortWithinPartitions("sample_index").write.option("header", True).csv(f"{folder}/{row[0]}")
+        source, target = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{folder}/{row[0]}", f"{folder}/fault_{row[0]:02d}.csv"))
+        store_of = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store_of.rename(next(x.getPath() for x in store_of.listStatus(source) if x.getPath().getName().startswith("part-")), target)
+    rows = files.load(spark, "csv_faults", f"{folder}/fault_*.csv", onset="onset")
+    return rows.select("run_id", "sample_index", "fault_label", "onset_index", F.element_at("values", 1).cast("long").alias("vec_id"))
+
+
+def records_round_trip(spark, d):
+    """Events as line-delimited JSON and back."""
+    path = shared.folder(spark, "records")
+    tables.table(spark, d, "events").select("event_id", "event_type", "value").write.json(path)
+    return files.read_records(spark, path, "event_id long, event_type string, value double").withColumn("value", F.round("value", 6))
+
+
 # scaling
 def baseline_stats(spark, d):
     return _base(spark, d).select("sensor", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "low", "high")])
@@ -187,6 +234,14 @@ def daily_scores(spark, d):
     return scoring.fit_and_score(tables.to_long(matrix), 30, 10).select("window_id", "start_sample", F.round("score", 5).alias("score"))
 
 
+def artifact_scores(spark, d):
+    """A detector fitted, saved, loaded again, and what it says of all windows."""
+    matrix, path = tables.sensor_matrix(spark, d), shared.folder(spark, "detector")
+    Monitor.fit(matrix, size=SIZE, stride=STRIDE).save(path)
+    own = Monitor.load(spark, path)
+    return own.scores(matrix).select("window_id", F.round("score", 6).alias("score"), F.round("threshold", 6).alias("threshold"), "anomalous")
+
+
 def record_results(spark, d):
     """What each record tells, at a stride that does not divide the size."""
     matrix, base = tables.sensor_matrix(spark, d), _base(spark, d)
@@ -214,6 +269,12 @@ def event_summary(spark, d):
     return events.summary(_event_windows(spark, d)).drop("run_id").withColumns(r("max_score", "mean_score"))
 
 
+def event_labels(spark, d):
+    """The label of each event: that of its last window, which has its last sample's."""
+    labels = tables.sensor_matrix(spark, d).select("run_id", F.col("sample_index").alias("end_sample"), "fault_label")
+    return events.summary(_event_windows(spark, d).join(labels, ["run_id", "end_sample"])).select("event_id", "n_windows", "fault_label")
+
+
 # evidence
 def top_k_sensors(spark, d):
     return evidence.top_sensors(evidence.sensor_errors(_event_sensors(spark, d))).select("event_id", "rank", "sensor", F.round("worst", 6).alias("error"), F.round("contribution", 6).alias("contribution"))
@@ -353,6 +414,16 @@ def store_status(spark, d):
     return store.status(events.summary(_event_windows(spark, d)))
 
 
+def store_replaced(spark, d):
+    """Events put into the store, some of them again with another report, and read back; numbers go on behind them."""
+    kept = store.EventStore(spark, shared.folder(spark, "store"))
+    found = shared.cut(events.summary(_event_windows(spark, d)).drop("run_id"), "events")
+    kept.upsert(found.withColumn("report", F.lit("first")), 1)
+    kept.upsert(found.where("n_windows >= 4").withColumn("report", F.lit("second")), 2)
+    shared.drop(found)
+    return kept.events().select("event_id", "last_sample", "n_windows", "report", F.lit(kept.next_number()).alias("next_number"))
+
+
 # metrics
 def _labelled(spark, d):
     rows = tables.table(spark, d, "labels").join(tables.table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
@@ -538,11 +609,12 @@ def queries() -> dict:
         confusion_metrics, auroc, auprc, detection_delay, delay_summary, window_labels, text_normalize, token_overlap, hedge_overclaim, foreign_tokens, json_extract, sanitize_answer, answer_metrics,
         instruction_counts, followup_explode, fault_kb_lookup, hop_window_avg, session_windows, stream_events, stream_reports, record_results, replay_windows,
         recurrent_scores, window_splits, downstream_reach, customer_reach, sql_event_summary, sql_window_samples, csv_stream_events,
+        csv_matrix, csv_repaired, csv_faults, records_round_trip, artifact_scores, event_labels, store_replaced,
     ]
     out = {f.__name__: f for f in named}
     out |= {"null_drop": _repaired(repair.drop), "null_ffill": _repaired(repair.ffill), "null_interpolate": _repaired(repair.interpolate)}
     out |= {"scale_standard": _scaled("standard"), "scale_minmax": _scaled("minmax"), "zscore_eps": _scaled("zscore"), "percent_deviation": _scaled("percent")}
-    out |= {"threshold_percentile": _threshold(), "threshold_mean_std": _threshold(method="mean_std", k=3.0)}
+    out |= {"threshold_percentile": _threshold(), "threshold_mean_std": _threshold(method="mean_std", k=3.0), "threshold_validation": _threshold(method="validation_percentile", percentile=95.0)}
     return out
 
 

@@ -133,6 +133,18 @@ ORACLES = {
     "threshold_percentile": f"WITH {SCORES} SELECT round(quantile_cont(score, 0.99), 6) AS threshold, 'percentile' AS method, count(*) AS n, round(avg(score), 6) AS mean_score, round(stddev_pop(score), 6) AS std_score, round(max(score), 6) AS max_score FROM scores",
     "threshold_mean_std": f"WITH {SCORES} SELECT round(avg(score) + 3 * stddev_pop(score), 6) AS threshold, 'mean_std' AS method, count(*) AS n, round(avg(score), 6) AS mean_score, round(stddev_pop(score), 6) AS std_score, round(max(score), 6) AS max_score FROM scores",
     "score_summary": f"WITH {SCORES} SELECT count(*) AS n, round(avg(score), 6) AS mean_score, round(stddev_pop(score), 6) AS std_score, round(max(score), 6) AS max_score, round(quantile_cont(score, 0.99), 6) AS p99 FROM scores",
+    "threshold_validation": f"WITH {SCORES} SELECT round(quantile_cont(score, 0.95), 6) AS threshold, 'validation_percentile' AS method, count(*) AS n, round(avg(score), 6) AS mean_score, round(stddev_pop(score), 6) AS std_score, round(max(score), 6) AS max_score FROM scores",
+    "artifact_scores": f"WITH {SCORES}, t AS (SELECT quantile_cont(score, 0.99) AS threshold FROM scores) SELECT window_id, round(score, 6) AS score, round(threshold, 6) AS threshold, score > threshold AS anomalous FROM scores, t",
+    "csv_matrix": "SELECT vec_id AS sample_index, len(embedding)::INT AS n_values, round(embedding[1]::DOUBLE, 6) AS first, round(embedding[-1]::DOUBLE, 6) AS last FROM embeddings",
+    "csv_repaired": """WITH grid AS (SELECT vec_id AS sample_index, s - 1 AS sensor, CASE WHEN (vec_id + s - 1) % 11 > 2 THEN embedding[s]::DOUBLE END AS value FROM embeddings, range(1, 6) r(s)),
+      known AS (SELECT sensor, sample_index AS i, value FROM grid WHERE value IS NOT NULL),
+      near AS (SELECT g.*, a.i AS ai, a.value AS av FROM grid g ASOF LEFT JOIN known a ON g.sensor = a.sensor AND g.sample_index >= a.i),
+      both_sides AS (SELECT n.*, b.i AS bi, b.value AS bv FROM near n ASOF LEFT JOIN known b ON n.sensor = b.sensor AND n.sample_index <= b.i)
+      SELECT sample_index, sensor::INT AS sensor, round(CASE WHEN value IS NOT NULL THEN value WHEN ai IS NULL THEN bv WHEN bi IS NULL THEN av ELSE av + (bv - av) * ((sample_index - ai) / (bi - ai)) END, 6) AS value FROM both_sides""",
+    "csv_faults": "SELECT printf('fault_%02d.csv', label) AS run_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS sample_index, label AS fault_label, 20 + label AS onset_index, vec_id FROM embeddings WHERE label IS NOT NULL",
+    "records_round_trip": "SELECT event_id, event_type, round(value, 6) AS value FROM events",
+    "event_labels": f"WITH {SUMMARY} SELECT event_id, n_windows, label AS fault_label FROM summary JOIN embeddings ON vec_id = last_sample",
+    "store_replaced": f"WITH {SUMMARY} SELECT event_id, last_sample, n_windows, CASE WHEN n_windows >= 4 THEN 'second' ELSE 'first' END AS report, (SELECT count(*) + 1 FROM summary) AS next_number FROM summary",
     "anomaly_flags": f"WITH {FLAGS} SELECT window_id, round(score, 6) AS score, anomalous FROM flags",
     "daily_scores": f"""WITH days AS (SELECT row_number() OVER (ORDER BY d) - 1 AS i, [q, p, c, t] AS x FROM (
         SELECT l_shipdate::DATE AS d, sum(l_quantity) AS q, sum(l_extendedprice) AS p, sum(l_discount) AS c, sum(l_tax) AS t FROM lineitem GROUP BY 1)),
