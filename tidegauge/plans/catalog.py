@@ -569,7 +569,7 @@ def csv_stream_events(spark, d) -> DataFrame:
     names = [f"c{k}" for k in range(base.count())]
     rows = matrix.repartitionByRange(4, "sample_index").sortWithinPartitions("sample_index").select(*[F.col("values")[k].alias(n) for k, n in enumerate(names)])
     rows.write.option("header", True).csv(f"{folder}/csv")
-    stream = files.csv_stream(spark, f"{folder}/csv", names, files_per_trigger=100)
+    stream = files.csv_stream(spark, f"{folder}/csv", names, files_per_trigger=100, by_name=True)
     found = numbering.run(stream, base, limit, folder, size=E_SIZE, stride=E_STRIDE, confirm=CONFIRM, separate=SEPARATE)
     return found.where("NOT late").select("start_sample", "last_sample", "n_windows", F.round("max_score", 6).alias("max_score"), F.round("mean_score", 6).alias("mean_score"))
 

@@ -100,15 +100,16 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> D
     return spark.readStream.schema(STREAM).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
-def csv_stream(spark: SparkSession, path: str, columns: list[str], run_id: str = "normal", delimiter: str = ",", has_header: bool = True, drop: tuple[str, ...] = (), features: int | None = None, fault_label: int | None = None, files_per_trigger: int = 1) -> DataFrame:
+def csv_stream(spark: SparkSession, path: str, columns: list[str], run_id: str = "normal", delimiter: str = ",", has_header: bool = True, drop: tuple[str, ...] = (), features: int | None = None, fault_label: int | None = None, files_per_trigger: int = 1, by_name: bool = False) -> DataFrame:
     """Delimited files in a folder as a stream of run_id, arrival, values, fault_label: one run, files in order of arrival (time
-    of change, then name). ``columns`` names the files' columns. ``arrival`` orders the records; ``streaming.numbering``
+    of change, then name; ``by_name``: the files of a batch in order of name alone, as one job may write them side by side). ``columns`` names the files' columns. ``arrival`` orders the records; ``streaming.numbering``
     turns it into sample numbers."""
     schema = T.StructType([T.StructField(c.strip(), T.StringType()) for c in columns])
     raw = spark.readStream.schema(schema).option("header", has_header).option("sep", delimiter).option("maxFilesPerTrigger", files_per_trigger).csv(path)
     own, _ = _columns(raw, True, None, drop, None, features)
     meta = F.col("_metadata")
-    rows = raw.select(meta["file_modification_time"].alias("time"), meta["file_name"].alias("file"), meta["file_block_start"].alias("block"), own.values.alias("values"))
+    time = F.lit(0).cast("timestamp") if by_name else meta["file_modification_time"]
+    rows = raw.select(time.alias("time"), meta["file_name"].alias("file"), meta["file_block_start"].alias("block"), own.values.alias("values"))
 
     def placed(batches):
         """A partition's rows with their place in it; those of a block of a file follow each other there."""
