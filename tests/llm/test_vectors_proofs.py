@@ -63,9 +63,10 @@ def test_bit_slices_add_up():
         x, q = rng.integers(low, high, (130, size)), rng.integers(low, high, (7, size))
         (bits, words), maps = exact_topk.sliced(x)[0].tolist(), exact_topk.sliced(x)[1].view(np.uint64)
         every = np.concatenate([maps.reshape(size * bits, words), ~maps.reshape(size * bits, words), np.zeros((1, words), np.uint64)])
-        slices, constants = exact_topk.added(every, q, bits)
+        ((numbers, constants),) = exact_topk.prepared(q, bits)
+        slices = exact_topk.added(every, numbers, len(q))
         planes = np.unpackbits(slices.view(np.uint8), axis=2, bitorder="little")[:, :, :130].astype(object)
-        total = sum(plane * (1 << w) for w, plane in enumerate(planes)) + np.array(constants, object)[:, None]
+        total = sum(plane * (1 << w) for w, plane in enumerate(planes)) + constants[:, None]
         assert (total == q.astype(object) @ x.astype(object).T).all()
     for value in (*range(-40, 41), 2**40 - 1, -(2**40)):
         told = exact_topk.digits(value)

@@ -71,35 +71,51 @@ def _terms(query: np.ndarray, bits: int) -> tuple[list[list[int]], int]:
     return of, constant
 
 
-def added(maps: np.ndarray, queries: np.ndarray, bits: int) -> tuple[np.ndarray, list[int]]:
-    """(weights, queries, words): the bit-sliced scores of all rows for each query, less its constant.
+def prepared(queries: np.ndarray, bits: int) -> list[tuple[list[np.ndarray], np.ndarray]]:
+    """For each ``BATCH`` of queries: for each weight the numbers of the bitmaps that each adds (filled up with that of the empty
+    one), and the constants. The same for all blocks whose values take ``bits`` bits."""
+    out = []
+    for start in range(0, len(queries), BATCH):
+        told = [_terms(q, bits) for q in queries[start : start + BATCH]]
+        numbers = []
+        for weight in range(max(len(of) for of, _ in told)):
+            own = [of[weight] if weight < len(of) else [] for of, _ in told]
+            which = np.full((max(map(len, own)), len(told)), 2 * queries.shape[1] * bits)
+            for k, terms in enumerate(own):
+                which[: len(terms), k] = terms
+            numbers.append(which)
+        out.append((numbers, np.array([c for _, c in told], object)))
+    return out
+
+
+def added(maps: np.ndarray, numbers: list[np.ndarray], n: int) -> np.ndarray:
+    """(weights, queries, words): the bit-sliced scores of all rows for each of n queries, less its constant.
 
-    ``maps`` has the bitmaps, then their complements, then an empty one.
+    ``maps`` has the bitmaps, then their complements, then an empty one; ``numbers`` is of ``prepared``.
     """
-    told = [_terms(q, bits) for q in queries]
-    top = max(len(of) for of, _ in told)
-    out, carried, weight = [], np.zeros((len(queries), 0, maps.shape[1]), np.uint64), 0
-    while weight < top or carried.shape[1]:
-        own = [of[weight] if weight < len(of) else [] for of, _ in told]
-        most = max(map(len, own))
-        which = np.full((len(queries), most), len(maps) - 1)
-        for k, numbers in enumerate(own):
-            which[k, : len(numbers)] = numbers
-        pile = np.concatenate([maps[which], carried], 1) if most else carried
+    # piles are (bitmaps, queries, words): what is added side by side lies side by side
+    out, carried, weight = [], np.zeros((0, n, maps.shape[1]), np.uint64), 0
+    while weight < len(numbers) or len(carried):
+        pile = carried
+        if weight < len(numbers) and len(numbers[weight]):
+            pile = np.concatenate([maps[numbers[weight]], carried])
         up = []
-        while pile.shape[1] > 2:
-            whole = pile.shape[1] // 3 * 3
-            a, b, c = pile[:, 0:whole:3], pile[:, 1:whole:3], pile[:, 2:whole:3]
+        while len(pile) > 2:
+            k = len(pile) // 3
+            a, b, c, rest = pile[:k], pile[k : 2 * k], pile[2 * k : 3 * k], pile[3 * k :]
             odd = a ^ b
-            up.append((a & b) | (c & odd))
-            pile = np.concatenate([odd ^ c, pile[:, whole:]], 1)
-        if pile.shape[1] == 2:
-            up.append((pile[:, :1] & pile[:, 1:]))
-            pile = pile[:, :1] ^ pile[:, 1:]
-        out.append(pile[:, 0] if pile.shape[1] else np.zeros((len(queries), maps.shape[1]), np.uint64))
-        carried = np.concatenate(up, 1) if up else carried[:, :0]
+            carry = a & b
+            pile = np.concatenate([odd ^ c, rest]) if len(rest) else odd ^ c
+            odd &= c
+            carry |= odd
+            up.append(carry)
+        if len(pile) == 2:
+            up.append(pile[:1] & pile[1:])
+            pile = pile[:1] ^ pile[1:]
+        out.append(pile[0] if len(pile) else np.zeros((n, maps.shape[1]), np.uint64))
+        carried = np.concatenate(up) if up else carried[:0]
         weight += 1
-    return np.stack(out) if out else np.zeros((1, len(queries), maps.shape[1]), np.uint64), [c for _, c in told]
+    return np.stack(out) if out else np.zeros((1, n, maps.shape[1]), np.uint64)
 
 
 def selected(slices: np.ndarray, live: np.ndarray, k: int) -> np.ndarray:
@@ -116,22 +132,25 @@ def selected(slices: np.ndarray, live: np.ndarray, k: int) -> np.ndarray:
     return sure | np.packbits(rows, axis=1, bitorder="little").view(np.uint64)
 
 
-def best(block: Block, asking: Asked, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of the k best rows of a block, a query's own row left out."""
+def best(block: Block, asking: Asked, k: int, known: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the k best rows of a block, a query's own row left out. ``known`` keeps what was
+    prepared for the queries by the bits of the blocks so far."""
     bits, words = block.rest[:2].tolist()
     bitmaps = block.rest[2:].reshape(block.size * bits, words).view(np.uint64)
     maps = np.concatenate([bitmaps, ~bitmaps, np.zeros((1, words), np.uint64)])
     live = np.repeat(np.packbits(np.arange(words * 64) < len(block.ids), bitorder="little").view(np.uint64)[None], len(asking.ids), 0)
     own, at = asking.own(block.name)
     live[own, at // 64] &= ~(np.uint64(1) << (at % 64).astype(np.uint64))
+    if bits not in known:
+        known[bits] = prepared(asking.queries, bits)
     found = []
-    for start in range(0, len(asking.ids), BATCH):
-        slices, constants = added(maps, asking.queries[start : start + BATCH], bits)
+    for start, (numbers, constants) in zip(range(0, len(asking.ids), BATCH), known[bits], strict=True):
+        slices = added(maps, numbers, len(constants))
         chosen = np.unpackbits(selected(slices, live[start : start + BATCH], k).view(np.uint8), axis=1, bitorder="little")
         q, row = np.nonzero(chosen)
         picked = (slices[:, q, row // 64] >> (row % 64).astype(np.uint64)) & np.uint64(1)
         total = sum((bit.astype(np.int64) << weight for weight, bit in enumerate(picked)), np.zeros(len(q), np.int64))
-        found.append((q + start, row, total + np.array(constants, np.int64)[q]))
+        found.append((q + start, row, total + constants.astype(np.int64)[q]))
     return tuple(np.concatenate(parts) for parts in zip(*found, strict=True))
 
 
@@ -146,11 +165,11 @@ def top(df: DataFrame, every: int, k: int = 5, id_col: str = "vec_id", vector_co
         for batch in batches:
             for ask, asks, others in zip(*(batch[c].to_pylist() for c in ("ask", "asks", "others")), strict=True):
                 asking = asked(folder, asks)
-                kept = {size: Best(len(own.ids), k) for size, own in asking.items()}
+                kept, known = {size: Best(len(own.ids), k) for size, own in asking.items()}, {size: {} for size in asking}
                 for name in others:
                     block = Block(folder, name)
                     if block.size in asking:
-                        q, row, score = best(block, asking[block.size], k)
+                        q, row, score = best(block, asking[block.size], k, known[block.size])
                         kept[block.size].add(q, score, block.ids[row])
                 for size, own in asking.items():
                     out = kept[size]

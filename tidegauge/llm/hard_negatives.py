@@ -5,7 +5,7 @@ exact while every partial sum stays below 2 ** 53; blocks whose lengths could pa
 integers, and it is an error where these could overflow. A block of anchors reaches the tasks as a file of bounded size.
 
 The first pass keeps, for each anchor, its ``positives`` best other rows of the same label; what a tile keeps merges with
-what others keep, so a window over a few rows a tile gives the exact ones. A row for each ask (the anchors of at most 64
+what others keep, so a window over a few rows a tile gives the exact ones. A row for each ask (the anchors of at most 32
 blocks) carries them into the second pass, which multiplies again and keeps, for each anchor and positive, the
 ``negatives`` best rows of other labels whose score s has low * p <= 100 * s <= high * p for the positive's score p;
 these merge in the same way. Higher scores come first, ties by smaller id.

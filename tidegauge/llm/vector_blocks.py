@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.common import batch_of, cut, drop, map_file, remove, shared_dir, write_file
 
-BLOCK = 2048
-ASK = 64
-LEAST_RUN = 2
+BLOCK = 4096
+ASK = 32
+LEAST_RUN = 1
 MOST_RUNS = 512
 MOST_TASKS = 20_000
 
