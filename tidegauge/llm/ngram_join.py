@@ -268,8 +268,8 @@ def _across(shared: DataFrame, labels: DataFrame, cells: DataFrame, done: DataFr
     told = shared.join(labels, shared["doc_id"] == labels["id"], "left").select("gram", "doc_id", "n", "at", F.coalesce("component", "doc_id").alias("label"))
     told = cut(told, "told")
     mixed = told.groupBy("gram").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("size")).where("least <> most").select("gram", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = told.join(mixed, "gram").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("gram", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "n", "at", "label")
+    rows = told.join(mixed, "gram").join(cells.select("doc_id", "cells"), "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("gram", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "n", "at", "label", "cells")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
@@ -277,19 +277,24 @@ def _across(shared: DataFrame, labels: DataFrame, cells: DataFrame, done: DataFr
         held = None
 
         def pairs(group):
-            _, i, j, block, doc, n, at, label = group
+            _, i, j, block, doc, n, at, label, cell = group
             out = []
             for k in range(len(doc) - 1):  # a block of BLOCK rows or two, row by row against the later ones
                 hit = (label[k + 1 :] != label[k]) & _can_link(n[k], at[k], n[k + 1 :], at[k + 1 :]) & (doc[k + 1 :] != doc[k])
                 if i[0] != j[0]:
                     hit &= block[k + 1 :] != block[k]
-                to = doc[k + 1 :][hit]
+                near = np.flatnonzero(hit) + k + 1
+                if len(near):  # the suffix filter: at most so many shingles are common
+                    both = (n[k] + n[near] - np.abs(cell[near] - cell[k]).sum(1)) // 2
+                    near = near[links(both, n[k], n[near])]
+                to = doc[near]
                 if len(to):
                     out.append(np.stack([np.minimum(to, doc[k]), np.maximum(to, doc[k])], 1))
             return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
 
         for batch in batches:
             rows = [batch[c].to_numpy() for c in names]
+            rows.append(np.frombuffer(b"".join(batch["cells"].to_pylist()), "<u2").astype(np.int32).reshape(-1, CELLS))
             if held is not None:
                 rows = [np.concatenate([h, r]) for h, r in zip(held, rows, strict=True)]
             if not len(rows[0]):
@@ -305,17 +310,7 @@ def _across(shared: DataFrame, labels: DataFrame, cells: DataFrame, done: DataFr
 
     met = spread.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j").mapInArrow(run, "a long, b long").distinct()
     new = met.join(done, ["a", "b"], "left_anti")
-    one, two = cells.withColumnsRenamed({"doc_id": "a", "n": "n_a", "cells": "cells_a"}), cells.withColumnsRenamed({"doc_id": "b", "n": "n_b", "cells": "cells_b"})
-
-    def suffix_filter(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u2").astype(np.int64).reshape(-1, CELLS) for c in ("cells_a", "cells_b"))
-            n, m = (batch[c].to_numpy() for c in ("n_a", "n_b"))
-            both = (n + m - np.abs(x - y).sum(1)) // 2  # at most so many are common
-            yield batch.filter(pa.array(links(both, n, m))).select(["a", "b"])
-
-    kept = new.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(suffix_filter, "a long, b long").distinct()
-    out = cut(kept, "rest")
+    out = cut(new, "rest")
     drop(told)
     return out
 
