@@ -539,9 +539,9 @@ def session_windows(spark, d):
 
 
 def _record_stream(spark, path: str) -> DataFrame:
-    """The records of the matrix as a stream."""
-    parent, name = path.rsplit("/", 1)
-    raw = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", name).parquet(parent)
+    """The records of the matrix as a stream; the table is a file or a folder of files. A stream's source takes a single
+    file by a pattern only, and the same pattern finds the folder."""
+    raw = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
     return raw.select(F.lit("run0").alias("run_id"), F.col("vec_id").alias("sample_index"), F.col("embedding").cast("array<double>").alias("values"), F.col("label").alias("fault_label"))
 
 
@@ -597,6 +597,8 @@ def stream_reports(spark, d) -> DataFrame:
     found = detector.events(_record_stream(spark, f"{d}/embeddings.parquet"), base, limit, E_SIZE, E_STRIDE, CONFIRM, SEPARATE)
     kept = store.EventStore(spark, f"{folder}/store")
     online.start(found, base, limit, kept, f"{folder}/state", E_STRIDE).awaitTermination()
+    if kept.next_number() == 1:  # no event closed
+        return _told(reports.reports(online.documents(spark.createDataFrame([], detector.EVENTS), base, limit, E_STRIDE)))
     return _told(kept.events())
 
 
