@@ -176,3 +176,16 @@ def test_thresholds_cover_all_trusted_documents_that_did_not_train(spark):
         calibration = sorted(r["perplexity"] for r in got if r["lang"] == lang and r["doc_id"] < 100 and r["doc_id"] not in train)
         assert len(calibration) > 30
         assert {r["threshold"] for r in got if r["lang"] == lang} == {calibration[math.ceil(0.9 * len(calibration)) - 1]}
+
+
+def test_all_trusted_documents_train_or_calibrate(spark):
+    """More documents of a language than the 2,000 that a bound once left."""
+    rows = spark.range(5000).selectExpr("id AS doc_id", "concat('w', id % 7, ' stone w', id % 11, ' river') AS text", "'en' AS lang")
+    labels = spark.range(5000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    sample = quality.trusted(rows, labels).collect()
+    assert {r["doc_id"] for r in sample} == set(range(5000)) and 2300 < sum(r["trains"] for r in sample) < 2700
+    odd = {r["doc_id"] for r in sample if r["trains"]}
+    plain = Plain([[f"w{k % 7}", "stone", f"w{k % 11}", "river", "\n"] for k in odd], 3)
+    got = {r["doc_id"]: r for r in quality.classify(rows, labels).collect()}
+    for k in range(0, 5000, 97):
+        assert got[k]["perplexity"] == pytest.approx(10 ** (-plain.score([f"w{k % 7}", "stone", f"w{k % 11}", "river", "\n"]) / 5), rel=1e-9)

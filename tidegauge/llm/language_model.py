@@ -24,6 +24,7 @@ training rows every score is 0, the log of 1 over (V + 1). Other columns are not
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from functools import reduce
 from itertools import pairwise
 
@@ -128,8 +129,8 @@ class HashArray:
 class Model:
     """Files and totals of a model; small, and sent to every task."""
 
-    def __init__(self, folder: str, order: int, word_bits: int):
-        self.folder, self.order, self.word_bits, self.shards = folder, order, word_bits, 1
+    def __init__(self, folder: str, order: int, word_bits: int, lower: bool = True):
+        self.folder, self.order, self.word_bits, self.lower, self.shards = folder, order, word_bits, lower, 1
         self.hot_shards = 1
         self.bases = np.zeros((1 << word_bits) + 1, np.int64)
         self.hot = np.empty(0, np.int64)
@@ -185,10 +186,10 @@ class Model:
         return out
 
 
-def _words(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _words(batch, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes of the distinct words, then of start and end; every token's number among them, each text's followed by
     the end; the texts' token counts)."""
-    words, which, counts = split_words(pa.compute.ascii_lower(batch["text"]))
+    words, which, counts = split_words(pa.compute.ascii_lower(batch["text"]) if lower else batch["text"])
     keys = np.append((hash_words(words) >> np.uint64(1)).view(np.int64), [START, END])
     return keys, np.insert(which.astype(np.int64), np.cumsum(counts), len(words) + 1), counts + 1
 
@@ -273,11 +274,11 @@ def _gathered(batches, columns: int) -> tuple[int, list[np.ndarray]] | None:
     return None if shard is None else (shard, [np.concatenate(x) for x in zip(*found, strict=True)])
 
 
-def _flushed(batches, counted, emit):
-    """Add ``counted`` (columns and counts of a batch) up over batches and ``emit`` them whenever they are many."""
+def _flushed(batches, chosen, counted, emit):
+    """Add ``counted`` (columns and counts of a batch's ``chosen`` rows) up over batches and ``emit`` them whenever they are many."""
     parts, size = [], 0
     for batch in slices(batches, "text"):
-        batch = _training(batch)
+        batch = chosen(batch)
         if batch.num_rows:
             parts.append(counted(batch))
             size += len(parts[-1][0])
@@ -307,8 +308,9 @@ def _pairs(model: Model, kind: str, shard: int, b: np.ndarray, c: np.ndarray, co
     yield from _dealt(WORD, np.searchsorted(model.bases, words, "right") - 1, words, *sums)
 
 
-def train(df: DataFrame, folder: str | None = None, order: int = ORDER) -> Model:
-    """Count the training rows of ``df`` (doc_id, text) and write the model to the shared folder."""
+def train(df: DataFrame, folder: str | None = None, order: int = ORDER, chosen: Callable[[pa.RecordBatch], pa.RecordBatch] = _training, lower: bool = True) -> Model:
+    """Count the training rows of ``df`` (doc_id, text) and write the model to the shared folder. ``chosen`` cuts a batch to
+    its training rows; with ``lower`` letters A-Z count as small ones."""
     if order not in (2, 3):
         raise ValueError("order must be 2 or 3")
     spark = df.sparkSession
@@ -316,15 +318,15 @@ def train(df: DataFrame, folder: str | None = None, order: int = ORDER) -> Model
     cleanup = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")  # shuffle files of a round go with its query
     try:
-        return _train(df, folder or shared_dir(spark, "kneser-ney"), order)
+        return _train(df, folder or shared_dir(spark, "kneser-ney"), order, chosen, lower)
     finally:
         spark.conf.set(CLEANUP, cleanup)
 
 
-def _train(df: DataFrame, folder: str, order: int) -> Model:
+def _train(df: DataFrame, folder: str, order: int, chosen, lower: bool) -> Model:
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    model = Model(folder, order, max(0, (n - 1).bit_length()))
+    model = Model(folder, order, max(0, (n - 1).bit_length()), lower)
     word_shards = 1 << model.word_bits
     source = df.select("doc_id", F.col("text").cast("string").alias("text"))
 
@@ -333,12 +335,12 @@ def _train(df: DataFrame, folder: str, order: int) -> Model:
 
     def count_words(batches):
         def counted(batch):
-            keys, tokens, sizes = _words(batch)
+            keys, tokens, sizes = _words(batch, lower)
             times = np.bincount(tokens, minlength=len(keys))
             times[-2] = len(sizes)
             return keys, times
 
-        yield from _flushed(batches, counted, lambda keys, times: _dealt(WORD, model.word_shard(keys), keys, times))
+        yield from _flushed(batches, chosen, counted, lambda keys, times: _dealt(WORD, model.word_shard(keys), keys, times))
 
     def write_words(batches):
         if own := _gathered(batches, 2):
@@ -378,7 +380,7 @@ def _train(df: DataFrame, folder: str, order: int) -> Model:
     def count_grams(k):
         def count(batches):
             def counted(batch):
-                keys, tokens, sizes = _words(batch)
+                keys, tokens, sizes = _words(batch, lower)
                 order_of = np.argsort(keys)
                 number = np.empty(len(keys), np.int64)
                 number[order_of] = model.look_up(keys[order_of])[0]
@@ -391,7 +393,7 @@ def _train(df: DataFrame, folder: str, order: int) -> Model:
             def emit(b, a, c, times):
                 yield from _dealt(GRAM, model.shard(a, b, c) // ROUNDS, b, a, c, times)
 
-            yield from _flushed(batches, counted, emit)
+            yield from _flushed(batches, chosen, counted, emit)
 
         return count
 
@@ -496,7 +498,7 @@ def score(df: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         own = shared.value
         for batch in slices(batches, "text"):
-            keys, tokens, sizes = _words(batch)
+            keys, tokens, sizes = _words(batch, own.lower)
             order = np.argsort(keys)
             back = np.argsort(order)
             number, count, stats = (x[back] for x in own.look_up(keys[order], "count", "stats")) if own.n else (np.full(len(keys), -1), np.zeros((len(keys), 1), np.int64), np.zeros((len(keys), 5), np.int64))

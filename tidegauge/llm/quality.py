@@ -1,12 +1,13 @@
 """Quality classifier: perplexity under a Kneser-Ney n-gram model of trusted text, cut at quantiles of each language.
 
-The model is interpolated and modified, of ``ORDER`` 3 (or 2), and counted in Spark from a bounded sample of documents
-labelled as good and not toxic: about ``TRUSTED`` of each language, chosen by a hash of the id; half of them train. The
-counts become tables keyed by hashes of words, pairs and triples, dealt into shards of about ``SHARD_ROWS`` sorted rows
-in the shared folder. The tokens of every document are joined with them shard by shard, in Arrow batches against the
-mapped shards: a broadcast of these tables would pass the driver's memory (README.md has figures), and a shuffle of all
-tokens the disk. Log probabilities add up to a perplexity per document, partially before the shuffle. A language's threshold is the ``QUANTILE`` quantile of the perplexities of all
-its trusted documents that did not train, in the sample or not; documents above it are rejected.
+Trusted are all documents labelled as good and not toxic. A hash of the id deals them in halves: one trains, and a
+language's threshold is the ``QUANTILE`` quantile of the perplexities of the other, as text that a model has seen tells nothing
+about text that it has not. Documents above it are rejected. A caller may bound the trusted documents of a language (``most``).
+
+The model is that of ``language_model``, of ``ORDER`` 3 (or 2), with capital letters apart: its count tables lie in shards in the
+shared folder, and the tokens of every document are joined with them shard by shard, in Arrow batches against the mapped
+shards. A broadcast of these tables would pass the driver's memory (README.md has figures), and a shuffle of all tokens the
+disk. The ids that train lie in sorted shards there too, so neither they nor texts are broadcast or shuffled.
 
 Edge cases: a null text is empty and has the end token only; rows that share an id are scored as one document; rows
 with a null id and languages without calibration documents (a null language is one of its own) are kept; without
@@ -21,191 +22,94 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import PRIME, batch_of, cut, drop, hash_words, map_file, mix, remove, shared_dir, slices, small_batches, split_words, write_file
+from tidegauge.llm import language_model
+from tidegauge.llm.common import batch_of, cut, drop, map_file, remove, shared_dir, small_batches, write_file
 
 ORDER = 3
-TRUSTED = 2_000
 QUANTILE = 0.975  # chosen on half of sf0.1's held-out labels; README.md has the other half's figures
 ACCURACY = 100_000  # ranks of a threshold are off by 1 / ACCURACY of the calibration documents at most
 SHARD_ROWS = 1_000_000
 MOST_BROADCAST_ROWS = 1_000_000
 PARTS = 1 << 30  # of the ids' hashes
-END, START = (np.uint64(x) for x in (3, 5))  # hashes of the two marks
-DEFAULTS = (0.5, 1.0, 1.5)
-
-
-def _joint(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mix(first * PRIME + second)
-
-
-COLUMNS = ("u", "w", "tu", "uw", "tuw")
-
-
-def _hashed(batch) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """COLUMNS of all tokens of a batch in turn, and the texts' token counts."""
-    words, which, counts = split_words(batch["text"])
-    w = np.append(hash_words(words), END)[np.insert(which, np.cumsum(counts), len(words))]
-    sizes = counts + 1
-    starts = np.cumsum(sizes) - sizes
-    u = np.append(START, w[:-1])
-    u[starts] = START
-    t = np.append(START, u[:-1])
-    t[starts] = START
-    tu = _joint(t, u)
-    own = zip(COLUMNS, (u, w, tu, _joint(u, w), _joint(tu, w)), strict=True)
-    return {k: x.view(np.int64) for k, x in own}, sizes
 
 
 def _texts(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
 
 
-def tokens(df: DataFrame) -> DataFrame:
-    """(u, w, tu, uw, tuw): hashes of each word (and the end of each text) w, of u and t before it, and of their
-    sequences. Two start marks precede a text."""
-    schema = pa.schema([(c, pa.int64()) for c in COLUMNS])
-
-    def run(batches):
-        for batch in slices(batches, "text", 1 << 20):
-            yield batch_of(schema, *_hashed(batch)[0].values())
-
-    return _texts(df).mapInArrow(run, ", ".join(f"{c} long" for c in COLUMNS))
-
-
 def good(labels: DataFrame) -> DataFrame:
     """(doc_id): documents that every label of theirs calls good and not toxic."""
     clean = F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))
     return labels.groupBy("doc_id").agg(F.bool_and(clean).alias("good")).where("good").select("doc_id")
 
 
-def trusted(df: DataFrame, labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    """(doc_id, lang, trains): the sample of trusted documents, ``most`` of a language where it has so many. A hash of
-    the id decides, so the number is met on the average, and no language's documents gather anywhere."""
-    known = cut(df.select("doc_id", "lang").join(good(labels), "doc_id"), "trusted-all")
-    sizes = known.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("n"))  # a row a language
-    told = known.join(F.broadcast(sizes), known["lang"].eqNullSafe(sizes["of"]))
-    own = told.where(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)) * F.col("n") < F.lit(PARTS * most))
+def trusted(df: DataFrame, labels: DataFrame, most: int | None = None) -> DataFrame:
+    """(doc_id, lang, trains): the trusted documents, and which half trains. With ``most``, a hash of the id chooses about
+    so many of a language, and no language's documents gather anywhere."""
+    own = df.select("doc_id", "lang").join(good(labels), "doc_id")
+    if most is not None:
+        known = cut(own, "trusted-all")
+        sizes = known.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("n"))  # a row a language
+        told = known.join(F.broadcast(sizes), known["lang"].eqNullSafe(sizes["of"]))
+        own = told.where(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)) * F.col("n") < F.lit(PARTS * most))
     out = cut(own.select("doc_id", "lang", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0).alias("trains")), "trusted")
-    drop(known)
+    if most is not None:
+        drop(known)
     return out
 
 
-def _discounts(counts: DataFrame, column: str) -> tuple[tuple[float, float, float], list[int]]:
-    row = counts.agg(*[F.count(F.when(F.col(column) == k, 1)) for k in (1, 2, 3, 4)], F.count(F.lit(1))).first()
-    n1, n2, n3, n4, n = row
-    if min(n1, n2, n3, n4) == 0:
-        return DEFAULTS, [n1, n2, n - n1 - n2]
-    y = n1 / (n1 + 2 * n2)
-    raw = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
-    return tuple(d if 0 < d < k + 1 else DEFAULTS[k] for k, d in enumerate(raw)), [n1, n2, n - n1 - n2]
-
-
-def _off(column: str, d) -> F.Column:
-    return F.when(F.col(column) == 1, d[0]).when(F.col(column) == 2, d[1]).otherwise(d[2])
-
-
-def _level(counts: DataFrame, context: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """(key, p): discounted shares of n-grams (context, key, c) in their contexts; (context, g): what a context leaves."""
-    d, _ = _discounts(counts, "c")
-    contexts = counts.groupBy(context).agg(F.sum("c").alias("total"), F.sum(_off("c", d)).alias("left"))
-    shares = counts.join(contexts, context).select(key, ((F.col("c") - _off("c", d)) / F.col("total")).alias("p"))
-    return shares, contexts.select(context, (F.col("left") / F.col("total")).alias("g"))
-
-
-def model(train: DataFrame, order: int = ORDER) -> tuple[list[tuple[str, str, DataFrame]], float]:
-    """Tables [(key column of the tokens, kind, table (key, value))] and the probability of an unknown word, from the
-    training documents (doc_id, text).
-
-    Kinds: p1, p2, p3 are discounted shares of n-grams, by raw counts at the highest order and by the number of different
-    words before at the lower ones, p1 with its part of the unknown; g1, g2 what contexts of one and two words leave.
-    """
-    if order not in (2, 3):
-        raise ValueError("order must be 2 or 3")
-    grams = cut(tokens(train).groupBy("tu", "u", "w", "uw", "tuw").agg(F.count(F.lit(1)).alias("c")), "n-grams")
-    pairs = cut(grams.groupBy("u", "w", "uw").agg((F.count(F.lit(1)) if order == 3 else F.sum("c")).alias("c")), "pairs")
-    before = pairs.groupBy("w").agg(F.count(F.lit(1)).alias("c"))
-    low, seen = _discounts(before, "c")
-    distinct, words = pairs.count(), sum(seen)
-    unknown = sum(d * n for d, n in zip(low, seen, strict=True)) / distinct / (words + 1) if distinct else 1.0
-    tables = [("w", "p1", before.select("w", ((F.col("c") - _off("c", low)) / F.lit(max(1, distinct)) + unknown).alias("p1")))]
-    for kind, counts, context, key in (("2", pairs, "u", "uw"), ("3", grams, "tu", "tuw"))[: order - 1]:
-        shares, left = _level(counts, context, key)
-        tables += [(key, f"p{kind}", shares.withColumnRenamed("p", f"p{kind}")), (context, f"g{kind}", left.withColumnRenamed("g", f"g{kind}"))]
-    tables = [(key, kind, cut(t, f"shares-{kind}")) for key, kind, t in tables]
-    drop(grams, pairs)
-    return tables, unknown
-
-
-def _stored(table: DataFrame, key: str, kind: str, folder: str) -> int:
-    """Write (key, kind) in shards sorted by key; the number of shards."""
-    shards = max(1, -(-table.count() // SHARD_ROWS))
+def _stored(ids: DataFrame, folder: str) -> int:
+    """Write ids (doc_id) in sorted shards; the number of shards."""
+    shards = max(1, -(-ids.count() // SHARD_ROWS))
     written = pa.schema([("shard", pa.int32())])
 
     def write(batches):
-        found = [[b[c].to_numpy() for c in ("shard", key, kind)] for b in batches if b.num_rows]
+        found = [[b[c].to_numpy() for c in ("shard", "doc_id")] for b in batches if b.num_rows]
         if found:
-            shard, keys, values = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.argsort(keys)
-            write_file(f"{folder}/{kind}-keys-{shard[0]:06d}.bin", [keys[order].astype("<i8")])
-            write_file(f"{folder}/{kind}-values-{shard[0]:06d}.bin", [values[order].astype("<f8")])
+            shard, keys = (np.concatenate(x) for x in zip(*found, strict=True))
+            write_file(f"{folder}/ids-{shard[0]:06d}.bin", [np.sort(keys).astype("<i8")])
             yield batch_of(written, [shard[0]])
 
-    rows = table.select(F.pmod(key, F.lit(shards)).cast("int").alias("shard"), key, kind)
+    rows = ids.select(F.pmod("doc_id", F.lit(shards)).cast("int").alias("shard"), "doc_id")
     rows.repartitionById(shards, "shard").mapInArrow(write, "shard int").count()
     return shards
 
 
-def _joined(keys: np.ndarray, kind: str, shards: int, folder: str, default: float) -> np.ndarray:
-    """The values of a table for keys, shard by shard; ``default`` where it has none."""
-    out, shard = np.full(len(keys), default), keys % shards
-    order = np.argsort(shard, kind="stable")
-    for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-        if len(own):
-            k = int(shard[own[0]])
-            try:
-                table = map_file(f"{folder}/{kind}-keys-{k:06d}.bin", "<i8")
-            except FileNotFoundError:  # no row fell there
-                continue
-            at = np.minimum(np.searchsorted(table, keys[own]), len(table) - 1)
-            hit = table[at] == keys[own]
-            out[own[hit]] = map_file(f"{folder}/{kind}-values-{k:06d}.bin", "<f8")[at[hit]]
+def _among(ids: np.ndarray, shards: int, folder: str) -> np.ndarray:
+    """Whether ids are stored."""
+    out, shard = np.zeros(len(ids), bool), ids % shards
+    for k in np.unique(shard).tolist():
+        try:
+            stored = map_file(f"{folder}/ids-{k:06d}.bin", "<i8")
+        except FileNotFoundError:  # no id fell there
+            continue
+        own = np.flatnonzero(shard == k)
+        out[own] = stored[np.minimum(np.searchsorted(stored, ids[own]), len(stored) - 1)] == ids[own]
     return out
 
 
 def scores(df: DataFrame, train: DataFrame, order: int = ORDER) -> DataFrame:
-    """(doc_id, n_tokens, perplexity) of every document."""
+    """(doc_id, n_tokens, perplexity) of every document under a model of those whose ids ``train`` (doc_id) has."""
     spark = df.sparkSession
-    tables, unknown = model(train, order)
-    folder = shared_dir(spark, "shares")
-    sharded = [(key, kind, _stored(table, key, kind, folder)) for key, kind, table in tables]
-    drop(*[table for _, _, table in tables])
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("score", pa.float64())])
-
-    def run(batches):
-        for batch in slices(batches, "text", 4 << 20):
-            columns, sizes = _hashed(batch)
-            found = {kind: _joined(columns[key], kind, n, folder, {"p1": unknown, "p": 0.0, "g": 1.0}[kind if kind == "p1" else kind[0]]) for key, kind, n in sharded}
-            p = found["p1"]
-            for k in range(2, order + 1):
-                p = found[f"p{k}"] + found[f"g{k}"] * p
-            yield batch_of(schema, batch["doc_id"], sizes, np.add.reduceat(np.log10(p), np.cumsum(sizes) - sizes))
-
-    rows = _texts(df).mapInArrow(run, "doc_id long, n_tokens long, score double")
-    sums = rows.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("score").alias("score"))
+    folder, texts = shared_dir(spark, "trusted-model"), _texts(df)
+    shards = _stored(train, folder)
+    chosen = lambda batch: batch.filter(pa.array(_among(batch["doc_id"].to_numpy(), shards, folder)))
+    model = language_model.train(texts, folder, order, chosen, lower=False)
+    sums = language_model.score(texts, model).groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("score").alias("score"))
     out = cut(sums.select("doc_id", "n_tokens", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity")), "scores")
     remove(spark, folder)
     return out
 
 
-def classify(df: DataFrame, labels: DataFrame, quantile: float = QUANTILE, most: int = TRUSTED, order: int = ORDER) -> DataFrame:
+def classify(df: DataFrame, labels: DataFrame, quantile: float = QUANTILE, most: int | None = None, order: int = ORDER) -> DataFrame:
     """(doc_id, lang, n_tokens, perplexity, threshold, kept): a row for each id and language."""
     small_batches(df.sparkSession)
     documents = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     sample = trusted(documents, labels, most)
-    train = documents.join(F.broadcast(sample.where("trains").select("doc_id")), "doc_id", "left_semi")  # most ids a language
+    train = sample.where("trains").select("doc_id").distinct()
     scored = scores(documents, train, order)
     rows = documents.where("doc_id IS NOT NULL").select("doc_id", "lang").distinct().join(scored, "doc_id")
-    calibration = rows.join(good(labels), "doc_id", "left_semi").join(F.broadcast(sample.where("trains").select("doc_id")), "doc_id", "left_anti")
+    calibration = rows.join(good(labels), "doc_id", "left_semi").join(train, "doc_id", "left_anti")
     thresholds = calibration.groupBy(F.col("lang").alias("__lang")).agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(ACCURACY)).alias("threshold"))
     told = rows.join(thresholds, rows["lang"].eqNullSafe(thresholds["__lang"]), "left").drop("__lang")
     out = cut(told.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))), "classified")
@@ -213,7 +117,7 @@ def classify(df: DataFrame, labels: DataFrame, quantile: float = QUANTILE, most:
     return out
 
 
-def keep(df: DataFrame, labels: DataFrame, quantile: float = QUANTILE, most: int = TRUSTED) -> DataFrame:
+def keep(df: DataFrame, labels: DataFrame, quantile: float = QUANTILE, most: int | None = None) -> DataFrame:
     """Rows of ``df`` but those of rejected documents."""
     told = classify(df, labels, quantile, most)
     gone = cut(told.where("NOT kept").select("doc_id").distinct(), "rejected")
