@@ -31,3 +31,9 @@ def test_streams_without_events_are_empty(spark, tmp_path, name):
     d = embeddings(spark, tmp_path, np.ones((40, 8)))
     got, want = (catalog.queries()[k](spark, d) for k in (name, BATCH[name]))
     assert got.count() == want.count() == 0 and set(got.columns) <= set(want.columns)
+
+
+def test_segments_too_short_for_a_window_count(spark, tmp_path):
+    d = embeddings(spark, tmp_path, np.zeros((456, 2)))  # four blocks of 100 and one of 56
+    got = catalog.queries()["segment_split"](spark, d).toPandas()
+    assert got["n_segments"].sum() == 5 and got["n_windows"].sum() == 4 * 9

@@ -170,9 +170,10 @@ def block_windows(spark, d):
 def segment_split(spark, d):
     cut = windows.in_blocks(tables.sensor_matrix(spark, d).select("run_id", "sample_index"), BLOCK // 5)
     segments = [row[0] for row in cut.select("segment").distinct().orderBy("segment").collect()]  # a number a block
-    told = windows.with_split(windows.index(cut, SIZE, STRIDE).withColumn("segment", F.element_at(F.split("run_id", ":"), -1).cast("long")), windows.split_segments(segments, 0.15, 0.2, SEED))
-    # the shuffle is the generator's, so what is told is its sizes
-    return told.groupBy("split").agg(F.count_distinct("segment").alias("n_segments"), F.count(F.lit(1)).alias("n_windows"))
+    found = windows.index(cut, SIZE, STRIDE).groupBy(F.element_at(F.split("run_id", ":"), -1).cast("long").alias("segment")).agg(F.count(F.lit(1)).alias("n"))
+    told = windows.with_split(cut.select("segment").distinct().join(found, "segment", "left"), windows.split_segments(segments, 0.15, 0.2, SEED))
+    # the shuffle is the generator's, so what is told is its sizes; a segment too short for a window counts too
+    return told.groupBy("split").agg(F.count(F.lit(1)).alias("n_segments"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_windows"))
 
 
 # scoring
