@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.test_operators import hot_run, matrix_of, restated
 from tidegauge.app import Monitor
-from tidegauge.operators import evidence, recurrent, scaling, scoring, store, taxonomy, windows
+from tidegauge.operators import evidence, reach, recurrent, scaling, scoring, store, taxonomy, windows
 from tidegauge.plans.views import Views
 from tidegauge.sources import artifacts, files, tables
 from tidegauge.streaming import numbering, online
@@ -223,3 +223,27 @@ def test_deviations_by_size_and_window_files(spark, tmp_path):
     assert told == {"val": (11, 10, 3), "train": (20, 10, 3)}
     first = spark.read.parquet(f"{tmp_path}/w/split=val").where("window_id = 3").first()
     assert np.allclose(first["values"], hot_run()[15:25])
+
+
+def test_reachable_crosses_shards_and_blocks_of_sources(spark, monkeypatch):
+    """A long chain takes a round for each shard that it crosses, not one for each step; loops and shortcuts give fewest steps."""
+    rng, written = random.Random(5), []
+    edges = [(k, k + 1) for k in range(299)] + [(rng.randrange(400), rng.randrange(400)) for _ in range(150)] + [(7, 7), (299, 3)]
+    sources = [0, 7, 3, 120, *range(200, 280), 999]
+    rows = spark.createDataFrame(edges, "src long, dst long")
+    follow = {}
+    for a, b in edges:
+        follow.setdefault(a, set()).add(b)
+    want = []
+    for s in sources:
+        seen, front, hop = {}, {s}, 0
+        while front:
+            hop += 1
+            front = {b for a in front for b in follow.get(a, ())} - set(seen)
+            seen |= dict.fromkeys(front, hop)
+        want += [(s, n, h) for n, h in seen.items()]
+    plain_cut = reach.cut
+    monkeypatch.setattr(reach, "cut", lambda df, label: written.append(label) or plain_cut(df, label))
+    told = taxonomy.reachable(rows, spark.createDataFrame([(s,) for s in sources], "src long"), shard=150)
+    assert sorted(tuple(r) for r in told.collect()) == sorted(want)
+    assert max(h for *_, h in want) > 2 * written.count("round") > 2

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegauge.sources.shared import cut, drop
+from tidegauge.operators.reach import reachable
 
 # Display names of the 41 measured and 11 manipulated variables, in order.
 DISPLAY = """A_Feed_Stream1 D_Feed_Stream2 E_Feed_Stream3 A_C_Feed_Stream4 Recycle_Flow_Stream8 Reactor_Feed_Rate
@@ -137,30 +135,3 @@ def downstream(rows: DataFrame, hops: int | None = 1) -> DataFrame:
         step = step.join(edges, step["effect"] == edges["src"]).select(*rows.columns, F.col("dst").alias("effect"), F.lit(hop).alias("hop")).distinct()
         out = out.unionByName(step)
     return out.groupBy(*rows.columns, "effect").agg(F.min("hop").alias("hop"))
-
-
-def reachable(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
-    """src, node, hop: every node that each of ``sources`` (src) reaches along ``edges`` (src, dst), in the fewest steps.
-
-    Rounds go on until none finds a new pair (or ``most`` of them are made), so cycles end: a pair is expanded only in the
-    round that found it, and one that is known is dropped by an anti-join. Each round is written to the shared folder. A
-    source is not its own node unless a cycle leads back to it.
-    """
-    steps = cut(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct(), "edges")
-    begun = sources.where("src IS NOT NULL").select("src").distinct()
-    front = cut(begun.join(steps, "src").select("src", F.col("dst").alias("node")), "front")
-    fronts, hop = [], 0
-    while not front.isEmpty():
-        hop += 1
-        fronts.append(front.withColumn("hop", F.lit(hop)))
-        fronts[-1].cut_folder = front.cut_folder
-        if hop == most:
-            break
-        known = reduce(DataFrame.unionByName, [f.select("src", "node") for f in fronts])
-        further = front.join(steps.withColumnRenamed("src", "node"), "node").select("src", F.col("dst").alias("node")).distinct()
-        front = cut(further.join(known, ["src", "node"], "left_anti"), "front")
-    if not fronts:
-        return front.withColumn("hop", F.lit(0))
-    out = cut(reduce(DataFrame.unionByName, fronts), "reachable")
-    drop(steps, *fronts)
-    return out
